@@ -1 +1,8 @@
 """Spark-native analytics over evidence-backed knowledge graphs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so workers need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
