@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from provena.llm import decontaminate
+from pyspark.sql import functions as F
+
+from provena.llm import decontaminate, toxicity
 from provena.session import table
 
 OP1_SQL = r"""
@@ -30,8 +32,15 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_toxicity(spark, sf_dir):
+    """Scores of all documents; the model never sees the fifth that is held out."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
+    s = toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return s.select("doc_id", held, "score", "predicted")
+
+
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate}
+    return {"op1_decontaminate": op1_decontaminate, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,14 +16,14 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)
 #: Texts of a batch are hashed in runs of about this many bytes (one longer text is one run).
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd multiplier and of its inverse, modulo 2**64, n of each at least."""
     global _POW, _INV
     if len(_POW) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         made = []
         for base in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)):
             x = np.full(size, base, np.uint64)
