@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.llm import decontaminate, toxicity
+from provena.llm import decontaminate, neardup, toxicity
 from provena.session import table
 
 OP1_SQL = r"""
@@ -32,6 +32,11 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_neardup(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     """Scores of all documents; the model never sees the fifth that is held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
@@ -40,7 +45,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op10_toxicity": op10_toxicity}
+    return {f.__name__: f for f in (op1_decontaminate, op8_neardup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
