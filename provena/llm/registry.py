@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.llm import decontaminate, neardup, toxicity
+from provena.llm import decontaminate, mixing, neardup, shard, toxicity
 from provena.session import table
 
 OP1_SQL = r"""
@@ -32,6 +32,16 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_mixing(spark, sf_dir):
+    """Every reading of every document in a mixture that repeats no source more than the limit."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text", "lang", "n_chars")
+
+
+def op5_sharding(spark, sf_dir):
+    """All documents in 40 shards of near equal bytes."""
+    return shard.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_neardup(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return neardup.groups(table(spark, sf_dir, "documents"))
@@ -45,7 +55,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op8_neardup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_mixing, op5_sharding, op8_neardup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
