@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.llm import chat, decontaminate, mixing, neardup, shard, toxicity
+from provena.llm import chat, decontaminate, mixing, neardup, secrets, shard, toxicity
 from provena.session import table
 
 OP1_SQL = r"""
@@ -63,6 +63,11 @@ def op5_sharding(spark, sf_dir):
     return shard.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark, sf_dir):
+    """Spans of secrets in all documents."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_neardup(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return neardup.groups(table(spark, sf_dir, "documents"))
@@ -76,7 +81,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op4_mixing, op5_sharding, op8_neardup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op4_mixing, op5_sharding, op6_secrets, op8_neardup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
