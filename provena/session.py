@@ -47,3 +47,17 @@ def durable(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a dataset folder; the path may be in any Hadoop file system."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; `spark.checkpoint.dir` where the cluster names one."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return place or f"{tempfile.gettempdir()}/provena-checkpoints"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a compressed table in the shared folder; smaller than a checkpoint for wide rows."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/provena-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
