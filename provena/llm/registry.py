@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.llm import chat, decontaminate, mixing, neardup, secrets, shard, toxicity
+from provena.llm import chat, decontaminate, mixing, neardup, secrets, shard, suffix, toxicity
 from provena.session import table
 
 OP1_SQL = r"""
@@ -53,6 +53,11 @@ def op2_chat(spark, sf_dir):
     return chat.digest(chat.from_table(table(spark, sf_dir, "conversations")).unionByName(chat.from_table(odd)))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    """Bytes of all documents under strings of 400 bytes that occur elsewhere."""
+    return suffix.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_mixing(spark, sf_dir):
     """Every reading of every document in a mixture that repeats no source more than the limit."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("text", "lang", "n_chars")
@@ -81,7 +86,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op4_mixing, op5_sharding, op6_secrets, op8_neardup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_suffix_dedup, op4_mixing, op5_sharding, op6_secrets, op8_neardup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
