@@ -2,14 +2,14 @@
 
 A document's set holds its distinct 5-word shingles.  One hash of each shingle fills `BINS` bins
 with minima; an empty bin copies the first filled bin in a random order of its own (optimal
-densification).  Bands of `ROWS` bins are bucket keys: at a likeness of 0.85 a pair shares none of
+densification); bins are kept as 16 bits.  Bands of `ROWS` bins are bucket keys: at a likeness of 0.85 a pair shares none of
 `BINS // ROWS` buckets with a chance of about 2e-7.
 
 Equal sets are one node from the start, so copies cost nothing.  In each bucket candidate edges
 form a star around the member that shares most bucket places with others, usually the original
 that the others were edited from.  Edges are confirmed on full sets.  Buckets whose members are
-then still in different components are compared across those components, so a pair of linked
-documents that share a bucket is never lost to the choice of a centre.
+then still in different components are compared across those components, first by signature and then
+on full sets, so a pair of linked documents is not lost to the choice of a centre.
 
 Defined cases: null, empty and white-space texts have an empty set and no links; fewer than five
 words are one shingle; a null doc_id takes part and gets the least id of its component (null when
@@ -36,9 +36,13 @@ BINS, ROWS = 384, 8
 PERCENT = 85
 #: Members of one centre that a task verifies in one go.
 STAR_ROWS = 512
+#: Bins that two signatures must share before full sets are compared: five standard deviations below
+#: what a likeness of 0.85 gives, so a link is passed over with a chance of about 3e-7.
+ALIKE = int(BINS * (PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / BINS) ** 0.5))
+#: Members of a bucket that a task compares with each other; larger buckets are dealt by pairs of blocks.
+BLOCK = 2048
 
 _RANK = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1).argsort(axis=1).astype(np.uint16)
-_BAND = vec.mix(np.arange(1, BINS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(column: pa.Array):
@@ -76,16 +80,43 @@ def _sign(batches):
         for s in shingle_sets(batch.column(1)):
             n.append(len(s))
             keys.append(set_key(s))
-            sigs.append(signature(s) if len(s) else None)
-        full = [x for x in sigs if x is not None]
-        bands = iter((np.stack(full) * _BAND).reshape(len(full), BINS // ROWS, ROWS).sum(axis=2, dtype=np.uint64)) if full else iter(())
-        cols = [next(bands) if x is not None else np.zeros(0, np.uint64) for x in sigs]
-        off = np.cumsum([0, *map(len, cols)]).astype(np.int32)
-        values = vec.mix(np.concatenate(cols)).view(np.int64) if cols else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(values))],
-            names=["doc_id", "n_shingles", "set_key", "bands"],
-        )
+            sigs.append(signature(s).astype(np.uint16).tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+
+
+def _alike(batches):
+    """Pairs of one bucket (or of two of its blocks) in different components, with like sizes and signatures."""
+
+    def pairs(rows: list[tuple], crossed: bool):
+        sig = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
+        n = np.array([r[1] for r in rows])
+        label = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        block = np.array([r[4] for r in rows])
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, len(rows))
+            ok = (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))
+            if crossed:
+                ok &= block[j] != block[i]
+            j = j[ok]
+            for k in j[(sig[j] == sig[i]).sum(axis=1) >= ALIKE]:
+                yield min(rows[i][0], rows[k][0]), max(rows[i][0], rows[k][0])
+
+    def pack(found: set):
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    key, rows, found = None, [], set()
+    for batch in batches:
+        for bucket, low, high, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            if (bucket, low, high) != key:
+                found.update(pairs(rows, key[1] != key[2]) if rows else ())
+                if len(found) > 50_000:
+                    yield pack(found)
+                    found = set()
+                key, rows = (bucket, low, high), []
+            rows.append(tuple(row))
+    found.update(pairs(rows, key[1] != key[2]) if rows else ())
+    yield pack(found)
 
 
 def _sets(batches):
@@ -140,10 +171,13 @@ def _like(n: str, m: str):
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, n_shingles, set_key) of every row, and (node, label) of nodes with links."""
     base = docs.select("doc_id", "text")
-    signed = durable(base.mapInArrow(_sign, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, bands array<long>"))
-    reps = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    banded = signed.where("set_key is not null").dropDuplicates(["set_key"]).select(F.col("set_key").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "hash"))
-    bands = banded.select("node", "n", F.xxhash64("band", "hash").alias("bucket"))
+    signed = durable(base.mapInArrow(_sign, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, sig binary"))
+    some = signed.where("set_key is not null")
+    reps = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    nodes = some.dropDuplicates(["set_key"]).select(F.col("set_key").alias("node"), F.col("n_shingles").alias("n"), "sig")
+    width = 2 * ROWS
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))
+    bands = nodes.select("node", "n", F.explode(hashes).alias("bucket"))
     full = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     multi = durable(bands.join(full, "bucket"))
     if multi.isEmpty():
@@ -163,8 +197,12 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     apart = spread.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
     rest = durable(spread.join(apart, "bucket").select("bucket", "node", "n", "label"))
     if not rest.isEmpty():
-        x, y = rest.toDF("bucket", "a", "an", "al"), rest.toDF("bucket", "b", "bn", "bl")
-        pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & _like("an", "bn")).select("a", "b").distinct()
+        size = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = rest.join(size, "bucket").join(nodes.select("node", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "n", "label", "sig", "block")
+        dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
+        pairs = dealt.mapInArrow(_alike, "a binary, b binary").distinct()
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = durable(confirm(pairs.join(tried, ["a", "b"], "left_anti"), base, reps))
         if not more.isEmpty():
