@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.llm import chat, decontaminate, mixing, neardup, secrets, shard, suffix, toxicity
+from provena.llm import chat, decontaminate, imatch, mixing, neardup, secrets, shard, suffix, toxicity
 from provena.session import table
 
 OP1_SQL = r"""
@@ -73,6 +73,11 @@ def op6_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_imatch(spark, sf_dir):
+    """Fingerprints of all documents and of their edits."""
+    return imatch.edited(table(spark, sf_dir, "documents"))
+
+
 def op8_neardup(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return neardup.groups(table(spark, sf_dir, "documents"))
@@ -86,7 +91,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_suffix_dedup, op4_mixing, op5_sharding, op6_secrets, op8_neardup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_suffix_dedup, op4_mixing, op5_sharding, op6_secrets, op7_imatch, op8_neardup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
