@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.llm import chat, decontaminate, imatch, mixing, neardup, secrets, shard, suffix, toxicity
+from provena.llm import chat, decontaminate, imatch, licenses, mixing, neardup, secrets, shard, suffix, toxicity
 from provena.session import table
 
 OP1_SQL = r"""
@@ -83,6 +83,11 @@ def op8_neardup(spark, sf_dir):
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark, sf_dir):
+    """License templates in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     """Scores of all documents; the model never sees the fifth that is held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
@@ -91,7 +96,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_suffix_dedup, op4_mixing, op5_sharding, op6_secrets, op7_imatch, op8_neardup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_suffix_dedup, op4_mixing, op5_sharding, op6_secrets, op7_imatch, op8_neardup, op9_licenses, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
