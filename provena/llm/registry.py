@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from provena.llm import chat, decontaminate, imatch, licenses, mixing, neardup, secrets, shard, suffix, toxicity
@@ -96,8 +97,10 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_suffix_dedup, op4_mixing, op5_sharding, op6_secrets, op7_imatch, op8_neardup, op9_licenses, op10_toxicity)}
+    ops = {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_suffix_dedup, op4_mixing, op5_sharding, op6_secrets, op7_imatch, op8_neardup, op9_licenses, op10_toxicity)}
+    return ops | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_chat": OP2_SQL}
+    sql = {"op1_decontaminate": OP1_SQL, "op2_chat": OP2_SQL}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
