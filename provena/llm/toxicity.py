@@ -25,9 +25,10 @@ from provena.llm import vec
 BITS = 20
 #: Bound of the training sample, in labelled rows: those of the lowest hash of id and text.
 SAMPLE_ROWS = 24_000
-SHARDS = 4
-ROUNDS = 3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
+#: Rows that one task fits in a round.
+SHARD_ROWS = 6_000
+ROUNDS = 6
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.1
 
 
 @dataclass(frozen=True)
@@ -98,9 +99,10 @@ def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(lab), "doc_id").select("text", "y", "k")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS, rounds: int = ROUNDS) -> Model:
-    """Fit on the bounded sample: `shards` tasks a round, weights averaged after each."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS, rounds: int = ROUNDS) -> Model:
+    """Fit on the bounded sample: a task for each `shard_rows` rows, weights averaged after each round."""
     spark = docs.sparkSession
+    shards = max(1, -(-min(sample_rows, labels.count()) // shard_rows))
     rows = labelled(docs, labels, sample_rows).withColumn("shard", F.pmod("k", F.lit(shards)).cast("int"))
     rows = rows.repartition(shards, "shard").cache()
     index, weight, seen, bias = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0.0
