@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from provena.llm import vec
 from provena.llm.components import components
-from provena.session import durable
+from provena.session import durable, stored
 
 SHINGLE = 5
 BINS, ROWS = 384, 8
@@ -87,7 +87,8 @@ def _sign(batches):
 def _alike(batches):
     """Pairs of one bucket (or of two of its blocks) in different components, with like sizes and signatures."""
 
-    def pairs(rows: list[tuple], crossed: bool):
+    def pairs(rows: list[tuple], crossed: bool, band: int):
+        """A pair that shares several buckets is given in the first of them only."""
         sig = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
         n = np.array([r[1] for r in rows])
         label = np.unique([r[2] for r in rows], return_inverse=True)[1]
@@ -98,7 +99,10 @@ def _alike(batches):
             if crossed:
                 ok &= block[j] != block[i]
             j = j[ok]
-            for k in j[(sig[j] == sig[i]).sum(axis=1) >= ALIKE]:
+            same = sig[j] == sig[i]
+            near = same.sum(axis=1) >= ALIKE
+            first = same[near].reshape(-1, BINS // ROWS, ROWS).all(axis=2).argmax(axis=1)
+            for k in j[near][first == band]:
                 yield min(rows[i][0], rows[k][0]), max(rows[i][0], rows[k][0])
 
     def pack(found: set):
@@ -107,15 +111,15 @@ def _alike(batches):
 
     key, rows, found = None, [], set()
     for batch in batches:
-        for bucket, low, high, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-            if (bucket, low, high) != key:
-                found.update(pairs(rows, key[1] != key[2]) if rows else ())
+        for bucket, low, high, band, *row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            if (bucket, low, high, band) != key:
+                found.update(pairs(rows, key[1] != key[2], key[3]) if rows else ())
                 if len(found) > 50_000:
                     yield pack(found)
                     found = set()
-                key, rows = (bucket, low, high), []
+                key, rows = (bucket, low, high, band), []
             rows.append(tuple(row))
-    found.update(pairs(rows, key[1] != key[2]) if rows else ())
+    found.update(pairs(rows, key[1] != key[2], key[3]) if rows else ())
     yield pack(found)
 
 
@@ -179,12 +183,12 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     hashes = F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))
     bands = nodes.select("node", "n", F.explode(hashes).alias("bucket"))
     full = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    multi = durable(bands.join(full, "bucket"))
+    multi = stored(bands.join(full, "bucket"))
     if multi.isEmpty():
         return signed, None
     # a star in each bucket, around the member with most company
     company = multi.groupBy("node").agg(F.sum("members").alias("company"))
-    ranked = durable(multi.join(company, "node"))
+    ranked = stored(multi.join(company, "node"))
     centres = ranked.groupBy("bucket").agg(F.max(F.struct("company", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("an"))
     star = ranked.join(centres, "bucket").where((F.col("a") != F.col("node")) & _like("an", "n")).select("a", F.col("node").alias("b"))
     links = durable(confirm(star, base, reps))
@@ -195,13 +199,13 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     else:
         spread = multi.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = spread.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
-    rest = durable(spread.join(apart, "bucket").select("bucket", "node", "n", "label"))
+    rest = stored(spread.join(apart, "bucket").select("bucket", "node", "n", "label"))
     if not rest.isEmpty():
         size = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = rest.join(size, "bucket").join(nodes.select("node", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "n", "label", "sig", "block")
-        dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
+        dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.array_position(hashes, F.col("bucket")) - 1).cast("int").alias("band"), "node", "n", "label", "sig", "block")
+        dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "band", "node")
         pairs = dealt.mapInArrow(_alike, "a binary, b binary").distinct()
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = durable(confirm(pairs.join(tried, ["a", "b"], "left_anti"), base, reps))
