@@ -1,11 +1,21 @@
-"""Registry of the graph engine's queries and their SQL oracles."""
+"""The graph engine's queries by name, and their SQL oracles."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from provena import registry
+from provena.operators import templates
+from provena.plans.fixture import Graph, oracle
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.common_needs(Graph(spark, sf_dir), min_domains=2)
+
 
 def queries() -> dict:
-    return {}
+    return {n: (lambda spark, sf_dir, f=f: f(Graph(spark, sf_dir))) for n, f in registry.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: oracle(s) for n, s in registry.ORACLES.items()}
