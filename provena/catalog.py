@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from provena import registry
-from provena.operators import patterns, templates  # noqa: F401
+from provena.operators import patterns, templates, texts  # noqa: F401
 from provena.plans.fixture import Graph, oracle
 
 
