@@ -22,6 +22,8 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from provena.session import stored
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS, ROWS = 32, 2
@@ -98,22 +100,25 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, l
     known = {k: [r.x for r in tab.where(F.col("k") == k).select(F.explode("items").alias("x")).distinct().collect()] for k in by_k}
     keys = tab.select("k", "m", "license", "template", F.explode(_bands(F.col("items"))).alias("band")).distinct()
 
-    low = docs.select("doc_id", "text").where(F.lower("text").rlike(r"(?<![a-z0-9])(" + "|".join(anchors) + r")(?![a-z0-9])"))
     # each array goes through a generator of one row, so that the optimizer can't copy its
     # expression into the functions that run for every item
-    d = low.select("doc_id", F.xxhash64("text").alias("row"), F.explode(F.array(words(F.col("text")))).alias("ws"))
-    d = d.select("doc_id", "row", F.explode(F.array(F.struct(*[shingles(F.col("ws"), k).alias(f"s{k}") for k in by_k]))).alias("s"))
+    once = lambda c: F.explode(F.array(c))
+    split = F.split(F.lower("text"), "[^a-z0-9]+")
+    d = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("row"), once(split).alias("ws"))
+    d = d.where(F.arrays_overlap("ws", F.lit(anchors))).select("doc_id", "row", once(F.filter("ws", lambda w: w != "")).alias("ws"))
+    d = d.select("doc_id", "row", once(F.struct(*[shingles(F.col("ws"), k).alias(f"s{k}") for k in by_k])).alias("s"))
+    hits = lambda k: F.filter(F.transform(F.col(f"s.s{k}"), lambda x, i: F.when(x.isin(known[k]), i)), lambda i: i.isNotNull())
+    d = d.select("doc_id", "row", "s", once(F.struct(*[hits(k).alias(f"s{k}") for k in by_k])).alias("hits"))
+    d = stored(d.where(" OR ".join(f"size(hits.s{k}) > 0" for k in by_k)))
     parts = []
     for k in by_k:
-        hits = F.filter(F.transform(F.col(f"s.s{k}"), lambda x, i: F.when(x.isin(known[k]), i)), lambda i: i.isNotNull())
-        h = d.select("doc_id", "row", F.col(f"s.s{k}").alias("s"), F.explode(F.array(hits)).alias("hits")).where(F.size("hits") > 0)
-        for m in sorted(m for kk, m in classes if kk == k):
-            stride = max(1, m // 4)
-            width = m + stride - 1 - k + 1  # in shingles
-            first = lambda i: F.ceil(F.greatest(i - (width - 1), F.lit(0)) / stride).cast("int")
-            starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(first(i), F.floor(i / stride).cast("int")))))
-            w = h.select("doc_id", "row", F.lit(k).alias("k"), F.lit(m).alias("m"), "s", F.explode(starts).alias("n"))
-            parts.append(w.select("doc_id", "row", "k", "m", (F.col("n") * stride).alias("start"), F.array_distinct(F.slice("s", F.col("n") * stride + 1, width)).alias("set")))
+        sizes = [F.struct(F.lit(m).alias("m"), F.lit(max(1, m // 4)).alias("stride"), F.lit(m + max(1, m // 4) - k).alias("width")) for m in sorted(m for kk, m in classes if kk == k)]
+        h = d.select("doc_id", "row", F.lit(k).alias("k"), F.col(f"s.s{k}").alias("s"), F.col(f"hits.s{k}").alias("hits"), F.explode(F.array(*sizes)).alias("c"))
+        first = lambda i: F.ceil(F.greatest(i - (F.col("c.width") - 1), F.lit(0)) / F.col("c.stride")).cast("int")
+        last = lambda i: F.floor(i / F.col("c.stride")).cast("int")
+        starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(first(i), last(i)))))
+        w = h.select("doc_id", "row", "k", "c", "s", F.explode(starts).alias("n"))
+        parts.append(w.select("doc_id", "row", "k", F.col("c.m").alias("m"), (F.col("n") * F.col("c.stride")).alias("start"), F.array_distinct(F.slice("s", F.col("n") * F.col("c.stride") + 1, F.col("c.width"))).alias("set")))
     windows = parts[0]
     for p in parts[1:]:
         windows = windows.unionByName(p)
