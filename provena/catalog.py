@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from provena import registry
-from provena.operators import patterns, templates, texts  # noqa: F401
+from provena.operators import greedy, patterns, rules, selection, templates, texts  # noqa: F401
 from provena.plans.fixture import Graph, oracle
+from provena.sources import records  # noqa: F401
+from provena.streaming import flows  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
