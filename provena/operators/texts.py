@@ -264,3 +264,51 @@ def _n29(g):
 def _n30(g):
     checks = [(~F.col("p_size").between(1, 45), "size out of range"), (~F.col("p_type").isin("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY"), "unknown type")]
     return g.part.select(F.col("p_partkey").alias("id"), F.coalesce(*[F.when(c, m) for c, m in checks]).alias("error")).where("error IS NOT NULL")
+
+
+@query("N10_need_mapping", "WITH t AS (SELECT DISTINCT lower(p_name) AS k, min(p_partkey) AS need_id FROM part WHERE p_size <= 25 GROUP BY 1), b AS (SELECT need, row_number() OVER (PARTITION BY custkey ORDER BY orderkey, need) AS pos, custkey FROM need_row) SELECT b.custkey, arg_min(t.need_id, b.pos) AS need_id, count(*) FILTER (t.need_id IS NULL) AS unmapped FROM b LEFT JOIN t ON t.k = lower(b.need) GROUP BY 1")
+def _n10(g):
+    """Bullets map to a taxonomy by exact key; the first mapped one wins, misses are counted, never created."""
+    t = g.part.where("p_size <= 25").groupBy(X.text_key(F.col("p_name")).alias("k")).agg(F.min("p_partkey").alias("need_id"))
+    b = g.need_row.withColumn("pos", F.row_number().over(Window.partitionBy("custkey").orderBy("orderkey", "need"))).withColumn("k", X.text_key(F.col("need")))
+    x = b.join(t, "k", "left")
+    return x.groupBy("custkey").agg(F.min_by("need_id", F.when(F.col("need_id").isNotNull(), F.col("pos"))).alias("need_id"), F.count_if(F.col("need_id").isNull()).alias("unmapped"))
+
+
+@query("N12_domain_split_rules", "SELECT d.domain, unnest(CASE WHEN d.bd_status = 'candidate' THEN [d.domain || ' A', d.domain || ' B'] ELSE [d.domain] END) AS mapped FROM domain d WHERE d.bd_status <> 'excluded'")
+def _n12(g):
+    parts = F.when(F.col("bd_status") == "candidate", F.array(F.concat("domain", F.lit(" A")), F.concat("domain", F.lit(" B")))).otherwise(F.array("domain"))
+    return g.domain.where("bd_status <> 'excluded'").select("domain", F.explode(parts).alias("mapped"))
+
+
+@query("N14_target_industries", "SELECT DISTINCT * FROM (SELECT p_name, unnest(list_filter(list_transform(string_split(replace(p_name || ', ' || p_type || '/' || p_brand || ', etc', '/', ','), ','), lambda x: trim(x)), lambda x: x <> 'etc')) AS industry FROM part WHERE p_partkey <= 500)")
+def _n14(g, generic=("etc",)):
+    cell = F.concat(F.col("p_name"), F.lit(", "), F.col("p_type"), F.lit("/"), F.col("p_brand"), F.lit(", etc"))
+    xs = F.array_distinct(F.filter(F.transform(F.split(cell, "[,/]"), F.trim), lambda x: ~x.isin(*generic)))
+    return g.part.where("p_partkey <= 500").select("p_name", F.explode(xs).alias("industry")).distinct()
+
+
+@query("N24_deal_amount_pool", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '\d') AND (contains(text, 'token') OR contains(text, 'Licensed'))")
+def _n24(g, named=("token", "Licensed")):
+    hit = F.exists(F.array(*map(F.lit, named)), lambda n: F.contains("text", n))
+    return g.documents.where(F.col("text").rlike(r"\d") & hit).select("doc_id")
+
+
+@query("N21_claim_emission", "SELECT claim_id, sha256(custkey || '|' || status) AS key, 'SUPPORTS' AS edge, claim_id AS evidence FROM claim UNION ALL SELECT claim_id, sha256(custkey || '|' || status), 'ABOUT', custkey FROM claim")
+def _n21(g):
+    key = X.hash_id(F.col("custkey"), F.col("status"))
+    both = F.inline(F.array(F.struct(F.lit("SUPPORTS").alias("edge"), F.col("claim_id").alias("evidence")), F.struct(F.lit("ABOUT").alias("edge"), F.col("custkey").alias("evidence"))))
+    return g.claim.select("claim_id", key.alias("key"), both)
+
+
+@query("F9_question_subject", r"SELECT conv_id, turn, substr(regexp_replace(rtrim(trim(regexp_replace(text, '\s+', ' ', 'g')), '?.!'), ' (is|are|of|and|the)$', ''), 1, 120) AS subject FROM conversations WHERE role = 'user'")
+def _f9(g):
+    """The question's own words without its closing marks and a trailing function word, at most 120 characters."""
+    s = F.regexp_replace(F.rtrim(X.squeeze(F.col("text")), F.lit("?.!")), " (is|are|of|and|the)$", "")
+    return g.conversations.where("role = 'user'").select("conv_id", "turn", F.substring(s, 1, 120).alias("subject"))
+
+
+@query("F18_array_functions", "SELECT doc_id, list_contains(string_split(text, ' '), 'the') AS has, len(string_split(text, ' ')) AS n, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS first_three FROM documents")
+def _f18(g):
+    ws = F.split("text", " ")
+    return g.documents.select("doc_id", F.array_contains(ws, "the").alias("has"), F.size(ws).cast("long").alias("n"), F.array_join(F.slice(ws, 1, 3), " ").alias("first_three"))
