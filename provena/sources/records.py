@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from provena.registry import query
 
@@ -62,7 +62,7 @@ def html_units(html: str | None) -> list[dict]:
     return [{"path": k, "text": t} for k, v in p.units if (t := " ".join(" ".join(v).split()))]
 
 
-@F.pandas_udf("array<struct<path: string, text: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("path", T.StringType()).add("text", T.StringType())))
 def _units(s: pd.Series) -> pd.Series:
     return s.map(html_units)
 
