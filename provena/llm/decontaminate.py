@@ -22,6 +22,8 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from provena.session import small_batches
+
 WINDOW = 13
 BLOCK = 2
 #: A document is contaminated from this share of hit words on: SHARE * n_hit >= n_words.
@@ -103,6 +105,7 @@ def _blocks(benchmark: DataFrame, limit: int):
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """`docs` with a struct column `found`: n_words, spans (word ranges) and item ids that occur."""
     spark = docs.sparkSession
+    small_batches(spark)
     found = T.StructType([
         T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),

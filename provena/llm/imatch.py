@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from provena.llm import vec
+from provena.session import small_batches
 
 LOW, HIGH = 0.0005, 0.1
 SUBSETS, LEVELS = 16, 6
@@ -63,6 +64,7 @@ def _count(batches):
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
     """Sorted hashes of the terms in the band."""
+    small_batches(docs.sparkSession)
     total = docs.count()
     df = docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     # two documents at least, or a term says nothing about likeness

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from provena.llm import vec
 from provena.llm.components import components
-from provena.session import durable, stored
+from provena.session import durable, small_batches, stored
 
 SHINGLE = 5
 BINS, ROWS = 384, 8
@@ -174,6 +174,7 @@ def _like(n: str, m: str):
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, n_shingles, set_key) of every row, and (node, label) of nodes with links."""
+    small_batches(docs.sparkSession)
     base = docs.select("doc_id", "text")
     signed = durable(base.mapInArrow(_sign, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, sig binary"))
     some = signed.where("set_key is not null")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from provena.llm import vec
-from provena.session import stored
+from provena.session import small_batches, stored
 
 LENGTH = 400
 GRAM = 64
@@ -347,6 +347,7 @@ _RECORD = "sha binary, key long, pos int, lo int, hi int, chunk binary"
 
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Of rows (sha, text as binary): texts with spans (sha, text, spans as byte ranges), and the spans' table."""
+    small_batches(texts.sparkSession)
     long = texts.where(F.octet_length("text") >= length)
     found = long.mapInArrow(_find(length, gram), "sha binary, key long, pos int, lo int, hi int").repartition("key")
     place = F.xxhash64("sha", "pos")

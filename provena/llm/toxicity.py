@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from provena.llm import vec
+from provena.session import small_batches
 
 BITS = 20
 #: Bound of the training sample, in labelled rows: those of the lowest hash of id and text.
@@ -102,6 +103,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS, rounds: int = ROUNDS) -> Model:
     """Fit on the bounded sample: a task for each `shard_rows` rows, weights averaged after each round."""
     spark = docs.sparkSession
+    small_batches(spark)
     shards = max(1, -(-min(sample_rows, labels.count()) // shard_rows))
     rows = labelled(docs, labels, sample_rows).withColumn("shard", F.pmod("k", F.lit(shards)).cast("int"))
     rows = rows.repartition(shards, "shard").cache()
@@ -117,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
             for s, g in sorted(groups.items()):
                 g.sort(key=lambda x: (x[0], x[1], len(x[2])))
                 at, w, seen, b = state.value
-                w0, n0 = np.zeros(1 << BITS), np.zeros(1 << BITS)
+                w0, n0 = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
                 w0[at], n0[at] = w, seen
                 order = np.random.default_rng(1000 * r + s).permutation(len(g))
                 w1, n1, b1 = ftrl([x[2] for x in g], np.array([x[1] for x in g], float), (w0, n0, b), order)
@@ -141,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with `score` (0 to 1, of whole texts) and `predicted`."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     docs = docs.select([F.col(f"`{c}`") for c in keep])
