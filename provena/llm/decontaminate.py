@@ -22,6 +22,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from provena.llm.columns import neutral, restored
 from provena.session import small_batches
 
 WINDOW = 13
@@ -138,11 +139,11 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_byt
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """`docs` with n_words, n_hit, items (sorted ids) and contaminated; every row and column stays."""
     hit = F.udf(lambda s: covered(s), "long")
-    s = search(docs, benchmark, window, pass_bytes)
+    s = search(neutral(docs), benchmark, window, pass_bytes)
     # spans are few: only rows with some reach the Python function
     n_hit = F.when(F.size("found.spans") > 0, hit("found.spans")).otherwise(F.lit(0).cast("long"))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
-    s = s.select(*keep, F.col("found.n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("found.items").alias("items"))
+    s = s.select(*s.columns[:-1], F.col("found.n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("found.items").alias("items"))
+    s = restored(s, docs, ("n_words", "n_hit", "items", "contaminated"))
     return s.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -155,10 +156,10 @@ def digest(judged: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their own columns."""
-    s = search(docs, benchmark)
+    s = search(neutral(docs), benchmark)
     hit = F.udf(lambda x: covered(x), "long")
     n_hit = F.when(F.size("found.spans") > 0, hit("found.spans")).otherwise(F.lit(0).cast("long"))
-    return s.where(~((n_hit > 0) & (SHARE * n_hit >= F.col("found.n_words")))).drop("found")
+    return restored(s.where(~((n_hit > 0) & (SHARE * n_hit >= F.col("found.n_words")))).drop("found"), docs)
 
 
 def brute_force(text: str | None, items: list[tuple[str, str | None]]) -> tuple[int, int, int, str, bool]:

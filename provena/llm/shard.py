@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from provena.llm.columns import neutral, restored
 from provena.session import durable
 
 SHARDS = 40
@@ -150,10 +151,12 @@ def assign(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | Non
 
     Give a number of shards, or None and the bytes that a shard shall have.
     """
-    narrow = durable(docs.select("doc_id", *coordinates(docs)))
-    tree = build(narrow, shards or leaves_for(docs, target_bytes))
-    out = _numbered(docs.select("*", *coordinates(docs)), narrow, tree)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")], F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    plain = neutral(docs)
+    narrow = durable(plain.select("doc_id", *coordinates(plain)))
+    tree = build(narrow, shards or leaves_for(plain, target_bytes))
+    out = _numbered(plain.select("*", *coordinates(plain)), narrow, tree)
+    out = out.select(*plain.columns, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    return restored(out, docs, ("shard", "slot"))
 
 
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
