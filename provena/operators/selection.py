@@ -167,7 +167,7 @@ def merge_first(df: DataFrame, key: list[str], seq: str, lists: tuple[str, ...]
         if c in key or c == seq:
             continue
         pairs = F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(seq, c))))
-        out.append(F.array_distinct(F.flatten(F.transform(pairs, lambda x, c=c: x[c]))).alias(c) if c in lists else F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c))
+        out.append(F.array_distinct(F.flatten(pairs.getField(c))).alias(c) if c in lists else F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c))
     return df.groupBy(*key).agg(*out)
 
 
