@@ -349,7 +349,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     """Of rows (sha, text as binary): texts with spans (sha, text, spans as byte ranges), and the spans' table."""
     small_batches(texts.sparkSession)
     long = texts.where(F.octet_length("text") >= length)
-    found = long.mapInArrow(_find(length, gram), "sha binary, key long, pos int, lo int, hi int").repartition("key")
+    found = stored(long.mapInArrow(_find(length, gram), "sha binary, key long, pos int, lo int, hi int"))
+    # sums combine before the shuffle and the join splits skewed keys: a line of a third of all texts is one gram
     place = F.xxhash64("sha", "pos")
     twice = found.groupBy("key").agg(F.min(place).alias("l"), F.max(place).alias("h"), F.count("*").alias("n")).where("l <> h")
     cand = found.join(twice.select("key", "n"), "key")
