@@ -22,9 +22,9 @@ def _u3(g):
     return first.groupBy("user_id").agg(F.array_join(ordered_list("k", "event_type"), "|").alias("kinds"))
 
 
-@query("U8_capped_merge", "SELECT key FROM (SELECT account AS key, 0 AS p FROM account WHERE custkey <= 20 UNION SELECT account, 0 FROM account WHERE custkey BETWEEN 10 AND 60) ORDER BY key LIMIT 40")
+@query("U8_capped_merge", "SELECT key FROM (SELECT account AS key, 0 AS p FROM account WHERE nationkey = 1 UNION SELECT account, 0 FROM account WHERE nationkey IN (1, 2)) ORDER BY key LIMIT 40")
 def _u8(g, cap=40):
-    now, more = g.account.where("custkey <= 20").select(F.col("account").alias("key")), g.account.where("custkey BETWEEN 10 AND 60").select(F.col("account").alias("key"))
+    now, more = g.account.where("nationkey = 1").select(F.col("account").alias("key")), g.account.where("nationkey IN (1, 2)").select(F.col("account").alias("key"))
     return now.unionByName(more).distinct().orderBy("key").limit(cap)
 
 
@@ -178,10 +178,10 @@ def _h7(g):
     return g.evidence.where(~F.col("snippet").rlike(X.DETECTORS[0][1])).select("doc_id")
 
 
-@query("H9_citation_markers", r"SELECT doc_id, array_to_string(list_distinct(regexp_extract_all('see [1] and [12]', '\[\d{1,3}\]')), '') <> '' AS marked FROM evidence WHERE doc_id < 50")
+@query("H9_citation_markers", r"SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(snippet || ' [1]', '\[\d{1,3}\]')), '') <> '' AS marked FROM evidence")
 def _h9(g):
-    m = F.regexp_extract_all(F.lit("see [1] and [12]"), F.lit(r"\[\d{1,3}\]"), F.lit(0))
-    return g.evidence.where("doc_id < 50").select("doc_id", (F.size(m) > 0).alias("marked"))
+    m = F.regexp_extract_all(F.concat("snippet", F.lit(" [1]")), F.lit(r"\[\d{1,3}\]"), F.lit(0))
+    return g.evidence.select("doc_id", (F.size(m) > 0).alias("marked"))
 
 
 @query("H12_payload_labels", "SELECT claim_id, CASE status WHEN 'VERIFIED' THEN 'verified' WHEN 'CRITICAL' THEN 'critical' WHEN 'CANDIDATE' THEN 'candidate' ELSE 'unverified' END AS label, replace(lanes, '|', ' · ') AS lanes FROM claim")
@@ -202,11 +202,11 @@ def _g7(g):
     return n.unionByName(c).distinct()
 
 
-@query("G3_citation_nodes", "SELECT v.source, count(*) AS citations FROM evidence v WHERE v.doc_id < 300 AND v.doc_id NOT IN (SELECT doc_id FROM observation WHERE custkey <= 20) GROUP BY 1")
+@query("G3_citation_nodes", "SELECT v.source, count(*) AS citations FROM evidence v WHERE v.doc_id NOT IN (SELECT o.doc_id FROM observation o JOIN account a USING (custkey) WHERE a.kind = 'customer') GROUP BY 1")
 def _g3(g):
     """Citations that no entity of the subgraph carries get their source as a node."""
-    placed = g.observation.where("custkey <= 20").select("doc_id")
-    return g.evidence.where("doc_id < 300").join(placed, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("citations"))
+    placed = g.observation.join(g.account.where("kind = 'customer'"), "custkey", "left_semi").select("doc_id")
+    return g.evidence.join(placed, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("citations"))
 
 
 def lead_fields(c: Column) -> Column:

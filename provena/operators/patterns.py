@@ -51,9 +51,9 @@ def _j1(g, ids=(30, 5, 11, 2, 999999)):
 
 @query("J2_observations_of_entity", """
 SELECT * FROM (SELECT a.account, o.obs_id, o.statement, CAST(CAST(o.ts AS DATE) AS VARCHAR) AS day, row_number() OVER (PARTITION BY a.account ORDER BY o.ts DESC, o.obs_id) AS rn
- FROM account a JOIN observation o USING (custkey) WHERE a.custkey <= 20) WHERE rn <= 40""")
+ FROM account a JOIN observation o USING (custkey)) WHERE rn <= 40""")
 def _j2(g):
-    o = g.account.where("custkey <= 20").join(g.observation, "custkey")
+    o = g.account.join(g.observation, "custkey")
     return top_per_group(o, ["account"], [F.desc("ts"), F.col("obs_id")], 40).select("account", "obs_id", "statement", F.to_date("ts").cast("string").alias("day"), "rn")
 
 
@@ -134,16 +134,17 @@ def _j12(g):
 
 
 @query("J13_evidence_to_entities", """
-WITH l AS (SELECT DISTINCT o.doc_id, a.account FROM observation o JOIN account a USING (custkey) WHERE o.doc_id < 200), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY account) AS i FROM l)
+WITH l AS (SELECT DISTINCT o.doc_id, a.account FROM observation o JOIN account a USING (custkey)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY account) AS i FROM l)
 SELECT doc_id, string_agg(account, '|' ORDER BY account) AS entities FROM r WHERE i <= 12 GROUP BY 1""")
 def _j13(g):
-    l = g.observation.where("doc_id < 200").select("doc_id", "custkey").distinct().join(g.account.select("custkey", "account"), "custkey")  # noqa: E741
+    l = g.observation.select("doc_id", "custkey").distinct().join(g.account.select("custkey", "account"), "custkey")  # noqa: E741
     return l.groupBy("doc_id").agg(F.array_join(F.slice(F.sort_array(F.collect_set("account")), 1, 12), "|").alias("entities"))
 
 
-@query("J14_claims_over_evidence", f"SELECT claim_id, status, row_number() OVER (ORDER BY {_rank_sql(SUPPORT_RANK)}, claim_id) AS rn FROM claim WHERE claim_id < 200 ORDER BY rn LIMIT 10")
+@query("J14_claims_over_evidence", f"SELECT claim_id, status, row_number() OVER (ORDER BY {_rank_sql(SUPPORT_RANK)}, claim_id) AS rn FROM claim WHERE claim_id IN (SELECT doc_id FROM evidence WHERE source = 'src1') ORDER BY rn LIMIT 10")
 def _j14(g):
-    c = g.claim.where("claim_id < 200").withColumn("r", status_rank(SUPPORT_RANK)).orderBy("r", "claim_id").limit(10)
+    ids = g.evidence.where("source = 'src1'").select(F.col("doc_id").alias("claim_id"))
+    c = g.claim.join(ids, "claim_id", "left_semi").withColumn("r", status_rank(SUPPORT_RANK)).orderBy("r", "claim_id").limit(10)
     return c.select("claim_id", "status", F.row_number().over(Window.orderBy("r", "claim_id")).alias("rn"))
 
 
@@ -257,10 +258,9 @@ def _p11(g):
     return k.select("key", F.col("key").rlike("^[A-Za-z0-9#_ -]{1,64}$").alias("ok"))
 
 
-@query("P12_property_table", "SELECT p_partkey AS id, unnest(['name', 'brand', 'type', 'size']) AS prop, unnest([p_name, p_brand, p_type, CAST(p_size AS VARCHAR)]) AS value FROM part WHERE p_partkey <= 100")
+@query("P12_property_table", "SELECT p_partkey AS id, unnest(['name', 'brand', 'type', 'size']) AS prop, unnest([p_name, p_brand, p_type, CAST(p_size AS VARCHAR)]) AS value FROM part")
 def _p12(g):
-    p = g.part.where("p_partkey <= 100")
-    return p.selectExpr("p_partkey AS id", "stack(4, 'name', p_name, 'brand', p_brand, 'type', p_type, 'size', string(p_size)) AS (prop, value)")
+    return g.part.selectExpr("p_partkey AS id", "stack(4, 'name', p_name, 'brand', p_brand, 'type', p_type, 'size', string(p_size)) AS (prop, value)")
 
 
 @query("P13_source_title", "SELECT page_id, url, list_last(string_split(rtrim(url, '/'), '/')) AS title FROM pages")

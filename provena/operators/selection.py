@@ -108,9 +108,9 @@ def _w1(g):
     return top_per_group(g.edge, ["type"], [F.col("from_key"), F.col("to_key")], 40).select("type", "from_key", "to_key")
 
 
-@query("W2_source_quota", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM evidence WHERE doc_id % 3 = 0) WHERE rn <= CASE WHEN n <= 12 THEN n WHEN n <= 500 THEN 12 ELSE 3 END")
+@query("W2_source_quota", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM evidence) WHERE rn <= CASE WHEN n <= 12 THEN n WHEN n <= 500 THEN 12 ELSE 3 END")
 def _w2(g):
-    v = g.evidence.where("doc_id % 3 = 0")
+    v = g.evidence
     n = v.groupBy("source").agg(F.count("*").alias("n"))
     # no source gives more than 12, so the window keeps 12 candidates and needs no count of its own
     top = top_per_group(v, ["source"], [F.col("doc_id")], 12).join(n, "source")
@@ -135,11 +135,11 @@ def _w5(g):
     return top_per_group(n, ["rare"], [F.col("source"), F.col("lang")], 8).where("rn <= CASE WHEN rare THEN 8 ELSE 6 END").select("source", "lang", "n")
 
 
-@query("W8_natural_order", "SELECT doc_id, row_number() OVER (ORDER BY CAST(substr(source, 4) AS INT), doc_id) AS pos FROM evidence WHERE doc_id < 500")
+@query("W8_natural_order", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM evidence")
 def _w8(g):
     chunk = F.transform(F.regexp_extract_all("locator", F.lit(r"\d+|\D+"), F.lit(0)), lambda x: F.struct(x.rlike(r"^\d").alias("is_num"), x.try_cast("long").alias("num"), x.alias("text")))
-    v = g.evidence.where("doc_id < 500").select("doc_id", chunk.alias("k"))
-    return v.select("doc_id", F.row_number().over(Window.orderBy("k")).alias("pos"))
+    v = g.evidence.select("doc_id", "source", chunk.alias("k"))
+    return v.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("k")).alias("pos"))
 
 
 @query("W9_occurrence_suffix", "SELECT p_partkey AS id, CASE WHEN rn = 1 THEN p_name ELSE p_name || ' (' || rn || ')' END AS locator FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part)")
@@ -177,10 +177,10 @@ def _u1(g):
     return merge_first(t, ["name"], "seq")
 
 
-@query("U2_patch_and_replace", "WITH old AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS seg FROM customer WHERE c_custkey <= 1000), new AS (SELECT c_custkey AS id, lower(c_mktsegment) AS seg FROM customer WHERE c_custkey > 500) SELECT coalesce(o.id, n.id) AS id, coalesce(o.seg, n.seg) AS patched, coalesce(n.seg, o.seg) AS replaced FROM old o FULL JOIN new n ON o.id = n.id")
+@query("U2_patch_and_replace", "WITH old AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS seg FROM customer WHERE c_acctbal >= 0), new AS (SELECT c_custkey AS id, lower(c_mktsegment) AS seg FROM customer WHERE c_acctbal < 5000) SELECT coalesce(o.id, n.id) AS id, coalesce(o.seg, n.seg) AS patched, coalesce(n.seg, o.seg) AS replaced FROM old o FULL JOIN new n ON o.id = n.id")
 def _u2(g):
-    old = g.customer.where("c_custkey <= 1000").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("old"))
-    new = g.customer.where("c_custkey > 500").select(F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("new"))
+    old = g.customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("old"))
+    new = g.customer.where("c_acctbal < 5000").select(F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("new"))
     return old.join(new, "id", "full").select("id", F.coalesce("old", "new").alias("patched"), F.coalesce("new", "old").alias("replaced"))
 
 
@@ -213,10 +213,10 @@ def _u7(g):
     return g.claim.select("claim_id", F.arrays_overlap(F.split("lanes", r"\|"), F.array(F.lit("critical"), F.lit("conflict"))).alias("flagged"))
 
 
-@query("A26_pool_idf", "WITH p AS (SELECT lower(snippet) AS s FROM evidence WHERE doc_id < 300), t AS (SELECT unnest(['the', 'token', 'ción', 'idiot']) AS term) SELECT term, count(*) FILTER (contains(s, term)) AS df, round(ln((count(*) + 1.0) / (count(*) FILTER (contains(s, term)) + 1.0)), 6) AS idf FROM p, t GROUP BY 1")
+@query("A26_pool_idf", "WITH p AS (SELECT lower(snippet) AS s FROM evidence), t AS (SELECT unnest(['the', 'token', 'ción', 'idiot']) AS term) SELECT term, count(*) FILTER (contains(s, term)) AS df, round(ln((count(*) + 1.0) / (count(*) FILTER (contains(s, term)) + 1.0)), 6) AS idf FROM p, t GROUP BY 1")
 def _a26(g, ts=("the", "token", "ción", "idiot")):
     # one pass over the pool: a conditional count for each term
-    p = g.evidence.where("doc_id < 300").select(F.lower("snippet").alias("s"))
+    p = g.evidence.select(F.lower("snippet").alias("s"))
     row = p.agg(F.count("*").alias("n"), F.array(*[F.struct(F.lit(t).alias("term"), F.count_if(F.contains("s", F.lit(t))).alias("df")) for t in ts]).alias("x"))
     return row.select("n", F.inline("x")).select("term", "df", F.round(F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)), 6).alias("idf"))
 
@@ -234,9 +234,9 @@ def _a28(g):
     return g.evidence.join(g.source, "source").groupBy("sensitivity").agg(F.count_if(has).alias("marked"), F.countDistinct(F.when(has, F.col("source"))).alias("sources"))
 
 
-@query("X5_evidence_score", "WITH p AS (SELECT doc_id, source, lower(snippet) AS s FROM evidence WHERE doc_id < 300), t AS (SELECT term, ln((count(*) + 1.0) / (count(*) FILTER (contains(s, term)) + 1.0)) AS idf FROM p, (SELECT unnest(['the', 'token', 'reing']) AS term) GROUP BY 1) SELECT p.doc_id, round(3 * coalesce(sum(t.idf + 0.3), 0) + CASE WHEN p.doc_id % 7 = 0 THEN 4 * power(0.85, p.doc_id / 7) ELSE 0 END + CASE WHEN contains(p.source, 'src1') THEN 0.5 ELSE 0 END, 6) AS score FROM p LEFT JOIN t ON contains(p.s, t.term) GROUP BY p.doc_id, p.source".replace("p.doc_id / 7", "p.doc_id // 7"))
+@query("X5_evidence_score", "WITH p AS (SELECT doc_id, source, lower(snippet) AS s FROM evidence), t AS (SELECT term, ln((count(*) + 1.0) / (count(*) FILTER (contains(s, term)) + 1.0)) AS idf FROM p, (SELECT unnest(['the', 'token', 'reing']) AS term) GROUP BY 1) SELECT p.doc_id, round(3 * coalesce(sum(t.idf + 0.3), 0) + CASE WHEN p.doc_id % 7 = 0 THEN 4 * power(0.85, p.doc_id / 7) ELSE 0 END + CASE WHEN contains(p.source, 'src1') THEN 0.5 ELSE 0 END, 6) AS score FROM p LEFT JOIN t ON contains(p.s, t.term) GROUP BY p.doc_id, p.source".replace("p.doc_id / 7", "p.doc_id // 7"))
 def _x5(g, ts=("the", "token", "reing")):
-    p = g.evidence.where("doc_id < 300").select("doc_id", "source", F.lower("snippet").alias("s"))
+    p = g.evidence.select("doc_id", "source", F.lower("snippet").alias("s"))
     n = p.agg(F.count("*").alias("n"), *[F.count_if(F.contains("s", F.lit(t))).alias(f"d{i}") for i, t in enumerate(ts)])
     hits = sum((F.when(F.contains("s", F.lit(t)), F.log((F.col("n") + 1.0) / (F.col(f"d{i}") + 1.0)) + 0.3).otherwise(0.0) for i, t in enumerate(ts)), F.lit(0.0))
     ranked = F.when(F.col("doc_id") % 7 == 0, 4 * F.pow(F.lit(0.85), F.floor(F.col("doc_id") / 7))).otherwise(0.0)

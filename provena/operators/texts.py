@@ -281,11 +281,11 @@ def _n12(g):
     return g.domain.where("bd_status <> 'excluded'").select("domain", F.explode(parts).alias("mapped"))
 
 
-@query("N14_target_industries", "SELECT DISTINCT * FROM (SELECT p_name, unnest([p_name, p_type, p_brand]) AS industry FROM part WHERE p_partkey <= 500)")
+@query("N14_target_industries", "SELECT DISTINCT * FROM (SELECT p_name, unnest([p_name, p_type, p_brand]) AS industry FROM part)")
 def _n14(g, generic=("etc",)):
     cell = F.concat(F.col("p_name"), F.lit(", "), F.col("p_type"), F.lit("/"), F.col("p_brand"), F.lit(", etc"))
     xs = F.array_distinct(F.filter(F.transform(F.split(cell, "[,/]"), lambda x: F.trim(x)), lambda x: ~x.isin(*generic)))
-    return g.part.where("p_partkey <= 500").select("p_name", F.explode(xs).alias("industry")).distinct()
+    return g.part.select("p_name", F.explode(xs).alias("industry")).distinct()
 
 
 @query("N24_deal_amount_pool", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '\d') AND (contains(text, 'token') OR contains(text, 'Licensed'))")
