@@ -59,6 +59,7 @@ def _turn(i: int, role: str, text: str) -> str:
 
 
 _SAY = "transform({a}, (m, i) -> named_struct('turn', cast(i AS bigint), 'role', m.{r}, 'text', m.{t}))"
+_ASKED = r"concat_ws('\n', r.instruction, nullif(r.input, ''))"
 #: The layouts that are understood, with their mappings.
 LAYOUTS = [
     Layout("turn rows", "conv_id bigint, turn bigint, role string, text string", "array(named_struct('turn', r.turn, 'role', r.role, 'text', r.text))"),
@@ -67,7 +68,7 @@ LAYOUTS = [
            "transform(r.conversations, (m, i) -> named_struct('turn', cast(i AS bigint), 'role', CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END, 'text', m.value))"),
     Layout("prompt", "conv_id bigint, prompt string, response string", f"array({_turn(0, 'user', 'r.prompt')}, {_turn(1, 'assistant', 'r.response')})"),
     Layout("instruction", "conv_id bigint, instruction string, input string, output string",
-           f"array({_turn(0, 'user', chr(39).join(['concat_ws(', '\\n', ', r.instruction, nullif(r.input, ', '', '))']))}, {_turn(1, 'assistant', 'r.output')})"),
+           f"array({_turn(0, 'user', _ASKED)}, {_turn(1, 'assistant', 'r.output')})"),
     Layout("system prompt", "conv_id bigint, system string, prompt string, response string",
            f"array({_turn(0, 'system', 'r.system')}, {_turn(1, 'user', 'r.prompt')}, {_turn(2, 'assistant', 'r.response')})"),
 ]
