@@ -29,6 +29,8 @@ PARTS = 4096
 SEED = 20240611
 GRID = 64
 JOBS = 4
+#: A plan of at most this many sources is broadcast; a larger one is joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def tokens(c: str = "text") -> Column:
@@ -105,6 +107,8 @@ def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, entropy: float |
     Reading by (epoch, order_key) gives a source's blocks in their permuted order.
     """
     p = durable(plan(docs, max_epochs, entropy, budget))
+    if p.count() <= BROADCAST_SOURCES:  # then texts stay where they are
+        p = F.broadcast(p)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     x = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], _key().alias("k"), tokens().alias("t"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h")).join(p, "k", "left")
     block = F.pmod(F.pmod("h", F.lit(MAX_BLOCKS)), F.coalesce("blocks", F.lit(1)))
