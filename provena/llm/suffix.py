@@ -352,8 +352,9 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     found = stored(long.mapInArrow(_find(length, gram), "sha binary, key long, pos int, lo int, hi int"))
     # sums combine before the shuffle and the join splits skewed keys: a line of a third of all texts is one gram
     place = F.xxhash64("sha", "pos")
-    twice = found.groupBy("key").agg(F.min(place).alias("l"), F.max(place).alias("h"), F.count("*").alias("n")).where("l <> h")
-    cand = found.join(twice.select("key", "n"), "key")
+    # stored, so that both sides of the join come straight from a shuffle, which is when skewed keys are split
+    twice = stored(found.groupBy("key").agg(F.min(place).alias("l"), F.max(place).alias("h"), F.count("*").alias("n")).where("l <> h").select("key", "n"))
+    cand = found.join(twice, "key")
     cand = cand.groupBy("sha").agg(F.collect_set(F.struct("key", "pos", "lo", "hi", (F.col("n") > hot).alias("hot"))).alias("cand"))
     some = stored(long.join(cand, "sha").select("sha", "text", "cand"))
     pick = lambda on: F.filter("cand", lambda c: c.hot if on else ~c.hot)
