@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from provena import catalog
 from provena.functions import text as X
-from provena.operators import greedy, patterns, rules, selection
+from provena.operators import greedy, notes, patterns, rules, selection
 from provena.sources import records
 from tests.compare import connect, rows
 
@@ -135,3 +135,17 @@ def test_greedy_helpers():
     assert len(big) == 24
     assert {0, 1, 2} <= set(big)
     assert greedy.grow({"a": 0, "b": 2, "c": 2, "d": 2, "e": 2}, [("a", "b"), ("c", "d")]) == ["a", "b", "c", "d"]
+
+
+def test_notes_guards_and_logs(spark, tmp_path):
+    assert one(spark, "no structure here", notes.meeting_note) is None
+    n = one(spark, "# T\nDate: 2024-01-02\nAttendees: a, b,\n- x\n* y", notes.meeting_note)
+    assert (n.title, n.day, n.attendees, n.actions) == ("T", "2024-01-02", ["a", "b"], ["x", "y"])
+    df = spark.createDataFrame([(1, "a")], "id int, status string")
+    assert notes.forbidden(df) == ["status"]
+    notes.append_log(df, str(tmp_path / "log"))
+    notes.append_log(df, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    assert not hasattr(notes.Reader({"t": df}), "replace")
+    notes.Writer({"t": df}).replace("t", str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
