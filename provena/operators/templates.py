@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from provena.operators.common import capped, names
+from provena.operators.common import capped, degrees, names, ordered_list, top_per_group
 from provena.plans.fixture import Graph
 from provena.registry import query
 
@@ -95,8 +95,6 @@ d AS (SELECT a.nationkey, count(*) AS deals FROM deal x JOIN account a USING (cu
 SELECT m.domain, m.bd_status, coalesce(any_value(d.deals), 0) AS deals, string_agg(CAST(o.doc_id AS VARCHAR), '|' ORDER BY o.rn) AS evidence
 FROM domain m LEFT JOIN d USING (nationkey) LEFT JOIN o ON o.nationkey = m.nationkey AND o.rn <= 6 GROUP BY 1, 2""")
 def _a10(g):
-    from provena.operators.common import ordered_list, top_per_group
-
     o = top_per_group(g.observation.join(g.account, "custkey"), ["nationkey"], [F.col("obs_id")], 6)
     ev = o.groupBy("nationkey").agg(F.array_join(ordered_list("rn", "doc_id"), "|").alias("evidence"))
     deals = g.deal.join(g.account, "custkey").groupBy("nationkey").agg(F.count("*").alias("deals"))
@@ -232,8 +230,6 @@ def _a22(g):
 @query("A23_degree", """
 SELECT label, key, count(*) AS degree FROM (SELECT from_label AS label, from_key AS key FROM edge UNION ALL SELECT to_label, to_key FROM edge) GROUP BY 1, 2""")
 def _a23(g):
-    from provena.operators.common import degrees
-
     return degrees(g.edge)
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.operators.common import degrees, names, top_per_group
-from provena.operators.patterns import status_rank
+from provena.operators.common import degrees, names, ordered_list, top_per_group
+from provena.operators.patterns import permitted, status_rank
 from provena.registry import query
 
 _DEG = "deg AS (SELECT label, key, count(*) AS degree FROM (SELECT from_label AS label, from_key AS key FROM edge UNION ALL SELECT to_label, to_key FROM edge) GROUP BY 1, 2)"
@@ -99,9 +99,6 @@ WITH k AS (SELECT custkey, account FROM account), e AS (SELECT k.account, v.doc_
 r AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY o) AS rn FROM e) SELECT account, count(*) AS cited, string_agg(locator, '|' ORDER BY rn) AS evidence FROM r WHERE rn <= 24 GROUP BY 1""")
 def _q1(g):
     """Link, collect, filter by access, select: one row of evidence a question about an entity."""
-    from provena.operators.common import ordered_list
-    from provena.operators.patterns import permitted
-
     seen = g.observation.groupBy("custkey", "doc_id").agg(F.min("obs_id").alias("o"))
     e = seen.join(g.account, "custkey").join(g.evidence.select("doc_id", "source", "locator"), "doc_id").join(permitted(g.source), "source", "left_semi")
     top = top_per_group(e, ["account"], [F.col("o")], 24)
