@@ -308,7 +308,7 @@ def _sort(length: int):
 
 
 def _windows(length: int):
-    """Every window of hot records by digest, and spans that are known already."""
+    """Every window of the records of hot grams, by digest."""
 
     def run(batches):
         for batch in batches:
