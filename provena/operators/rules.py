@@ -189,14 +189,27 @@ def _q11(g):
     return g.documents.select("doc_id", F.regexp_replace("text", X.DETECTORS[0][1], "***").alias("text"))
 
 
+def hard_gate(df: DataFrame) -> DataFrame:
+    """`df` (doc_id, support, sentences): sentences with personal data or with a number that `support` doesn't hold are removed.
+
+    The numbers of the whole support are read once a row: exploding the one-item array keeps Spark from
+    moving that work into the step for each sentence.
+    """
+    held = F.regexp_extract_all(F.regexp_replace("support", ",", ""), F.lit(r"\d+(?:\.\d+)*"), F.lit(0))
+    none = F.array().cast("array<string>")
+    said = F.flatten(F.transform("sentences", X.numbers))
+    x = df.select("doc_id", F.coalesce("sentences", none).alias("sentences"), "support")
+    x = x.select("doc_id", F.explode(F.array(F.struct("sentences", F.array_except(said, F.coalesce(held, none)).alias("unsupported")))).alias("x"))
+    bad = lambda t: F.arrays_overlap(X.numbers(t), F.col("x.unsupported")) | t.rlike(X.DETECTORS[0][1])
+    x = x.select("doc_id", F.size("x.sentences").alias("n"), F.explode(F.array(F.filter("x.sentences", lambda t: ~bad(t)))).alias("kept"))
+    return x.select("doc_id", F.array_join("kept", " ").alias("answer"), (F.col("n") - F.size("kept")).cast("long").alias("removed"))
+
+
 @query("Q10_hard_gate")
 def _q10(g):
-    """Sentences with personal data or with a number that the first excerpt doesn't support are removed."""
-    s = g.documents.select("doc_id", F.substring("text", 1, 500).alias("support"), F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
-    bad = F.exists(X.numbers(F.col("sentence")), lambda n: ~X.has_number(F.col("support"), n)) | F.col("sentence").rlike(X.DETECTORS[0][1])
-    s = s.withColumn("bad", bad)
-    keep = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("bad"), F.struct("pos", "sentence")))), lambda x: x.sentence), " ")
-    return s.groupBy("doc_id").agg(keep.alias("answer"), F.count_if("bad").alias("removed"))
+    """Answers are a document's sentences and one with its id, a number that the evidence seldom holds."""
+    said = F.concat(F.coalesce(X.sentences(F.col("snippet")), F.array().cast("array<string>")), F.array(F.concat(F.lit("Case "), F.col("doc_id").cast("string"), F.lit(" is closed."))))
+    return hard_gate(g.evidence.select("doc_id", F.col("snippet").alias("support"), said.alias("sentences")))
 
 
 @query("Q14_unknowns", "SELECT item_id, CASE WHEN found = 0 THEN 'no evidence' ELSE 'evidence' END AS state FROM (SELECT b.item_id, count(d.doc_id) AS found FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1)")

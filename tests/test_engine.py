@@ -149,3 +149,11 @@ def test_notes_guards_and_logs(spark, tmp_path):
     assert not hasattr(notes.Reader({"t": df}), "replace")
     notes.Writer({"t": df}).replace("t", str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_hard_gate_takes_support_from_the_whole_text(spark):
+    support = "word " * 120 + "Late 4,200 and 3.77 stand here."
+    said = ["Late 4200.", "Only 3.7 of it.", "Write to a.b@c.org.", "No number."]
+    df = spark.createDataFrame([(1, support, said), (2, None, said)], "doc_id long, support string, sentences array<string>")
+    got = {r.doc_id: (r.answer, r.removed) for r in rules.hard_gate(df).collect()}
+    assert got == {1: ("Late 4200. No number.", 2), 2: ("No number.", 3)}
