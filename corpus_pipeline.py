@@ -13,6 +13,8 @@ from provena.llm import decontaminate, mixing, neardup, shard, toxicity
 from provena.session import stored, table
 
 SHARDS = 40
+#: Likeness in percent from which documents are near copies; `op8_neardup` has its own.
+NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return neardup.clean(docs)
+    return neardup.clean(docs, NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A document's set holds its distinct 5-word shingles.  One hash of each shingle fills `BINS` bins
 with minima; an empty bin copies the first filled bin in a random order of its own (optimal
-densification); bins are kept as 16 bits.  Bands of `ROWS` bins are bucket keys: at a likeness of 0.85 a pair shares none of
-`BINS // ROWS` buckets with a chance of about 2e-7.
+densification); bins are kept as 16 bits.  Bands of `band_rows` bins are bucket keys: a pair at the least likeness that links
+shares no bucket with a chance of at most `MISS` (about 2e-7 with 48 bands at 0.85, 4e-9 with 64 at 0.8).
 
 Equal sets are one node from the start, so copies cost nothing.  In each bucket candidate edges
 form a star around the member that shares most bucket places with others, usually the original
@@ -31,20 +31,31 @@ from provena.llm.components import components
 from provena.session import durable, small_batches, stored
 
 SHINGLE = 5
-BINS, ROWS = 384, 8
-#: Link when 100 * shared >= PERCENT * union.
+BINS = 384
+#: Link when 100 * shared >= PERCENT * union, unless another threshold is given.
 PERCENT = 85
+#: Chance that a pair at the threshold shares no bucket, at most.
+MISS = 3e-7
 #: Members of one centre that a task verifies in one go.
 STAR_ROWS = 512
-#: Bins that two signatures must share before full sets are compared: five standard deviations below
-#: what a likeness of 0.85 gives, so a link is passed over with a chance of about 3e-7.
-ALIKE = int(BINS * (PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / BINS) ** 0.5))
 #: Members of a bucket that a task compares with each other; larger buckets are dealt by pairs of blocks.
 BLOCK = 2048
 
 _RANK = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1).argsort(axis=1).astype(np.uint16)
 
 
+def band_rows(percent: int) -> int:
+    """Bins of a band: as many as `MISS` allows."""
+    return max(k for k in range(1, BINS + 1) if BINS % k == 0 and (1 - (percent / 100) ** k) ** (BINS // k) <= MISS)
+
+
+def alike(percent: int) -> int:
+    """Bins that two signatures must share before full sets are compared: five standard deviations below
+    what the threshold gives, so a link is passed over with a chance of about 3e-7."""
+    p = percent / 100
+    return int(BINS * (p - 5 * (p * (1 - p) / BINS) ** 0.5))
+
+
 def shingle_sets(column: pa.Array):
     """The sorted distinct shingle hashes of each text, in order."""
     for lo, hi, data, off in vec.runs(column):
@@ -84,8 +95,9 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
 
 
-def _alike(batches):
+def _alike(batches, percent: int):
     """Pairs of one bucket (or of two of its blocks) in different components, with like sizes and signatures."""
+    size, least = band_rows(percent), alike(percent)
 
     def pairs(rows: list[tuple], crossed: bool, band: int):
         """A pair that shares several buckets is given in the first of them only."""
@@ -95,13 +107,13 @@ def _alike(batches):
         block = np.array([r[4] for r in rows])
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
-            ok = (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))
+            ok = (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
             if crossed:
                 ok &= block[j] != block[i]
             j = j[ok]
             same = sig[j] == sig[i]
-            near = same.sum(axis=1) >= ALIKE
-            first = same[near].reshape(-1, BINS // ROWS, ROWS).all(axis=2).argmax(axis=1)
+            near = same.sum(axis=1) >= least
+            first = same[near].reshape(-1, BINS // size, size).all(axis=2).argmax(axis=1)
             for k in j[near][first == band]:
                 yield min(rows[i][0], rows[k][0]), max(rows[i][0], rows[k][0])
 
@@ -133,7 +145,7 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["node", "items"])
 
 
-def _confirm(batches):
+def _confirm(batches, percent: int):
     """Rows sorted by centre and part, the centre's own row first: the pairs that are links."""
     centre, here = None, None
     for batch in batches:
@@ -146,13 +158,13 @@ def _confirm(batches):
                 at = np.searchsorted(here, s)
                 at[at == len(here)] = 0
                 shared = int((here[at] == s).sum())
-                if 100 * shared >= PERCENT * (len(here) + len(s) - shared):
+                if 100 * shared >= percent * (len(here) + len(s) - shared):
                     a.append(c)
                     b.append(m)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def confirm(edges: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def confirm(edges: DataFrame, docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The candidate edges (a: centre, b: member) whose full sets are like enough."""
     edges = durable(edges.select("a", "b").distinct())
     nodes = edges.select(F.col("a").alias("set_key")).union(edges.select("b")).distinct()
@@ -165,14 +177,14 @@ def confirm(edges: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("member"))
     own = own.join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", "member", "items")
     rows = members.unionByName(own).repartition("a", "part").sortWithinPartitions("a", "part", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(_confirm, "a binary, b binary")
+    return rows.mapInArrow(lambda batches: _confirm(batches, percent), "a binary, b binary")
 
 
-def _like(n: str, m: str):
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
+def _like(n: str, m: str, percent: int):
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, n_shingles, set_key) of every row, and (node, label) of nodes with links."""
     small_batches(docs.sparkSession)
     base = docs.select("doc_id", "text")
@@ -180,8 +192,9 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     some = signed.where("set_key is not null")
     reps = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     nodes = some.dropDuplicates(["set_key"]).select(F.col("set_key").alias("node"), F.col("n_shingles").alias("n"), "sig")
-    width = 2 * ROWS
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))
+    size = band_rows(percent)
+    width = 2 * size
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(BINS // size - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))
     bands = nodes.select("node", "n", F.explode(hashes).alias("bucket"))
     full = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     multi = stored(bands.join(full, "bucket"))
@@ -191,8 +204,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     company = multi.groupBy("node").agg(F.sum("members").alias("company"))
     ranked = stored(multi.join(company, "node"))
     centres = ranked.groupBy("bucket").agg(F.max(F.struct("company", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("an"))
-    star = ranked.join(centres, "bucket").where((F.col("a") != F.col("node")) & _like("an", "n")).select("a", F.col("node").alias("b"))
-    links = durable(confirm(star, base, reps))
+    star = ranked.join(centres, "bucket").where((F.col("a") != F.col("node")) & _like("an", "n", percent)).select("a", F.col("node").alias("b"))
+    links = durable(confirm(star, base, reps, percent))
     label = components(links) if not links.isEmpty() else None
     # buckets that still span components: compare their members across components
     if label is None:
@@ -202,22 +215,22 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     apart = spread.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
     rest = stored(spread.join(apart, "bucket").select("bucket", "node", "n", "label"))
     if not rest.isEmpty():
-        size = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        dealt = rest.join(size, "bucket").join(nodes.select("node", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = rest.join(blocks, "bucket").join(nodes.select("node", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.array_position(hashes, F.col("bucket")) - 1).cast("int").alias("band"), "node", "n", "label", "sig", "block")
         dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "band", "node")
-        pairs = dealt.mapInArrow(_alike, "a binary, b binary").distinct()
+        pairs = dealt.mapInArrow(lambda batches: _alike(batches, percent), "a binary, b binary").distinct()
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = durable(confirm(pairs.join(tried, ["a", "b"], "left_anti"), base, reps))
+        more = durable(confirm(pairs.join(tried, ["a", "b"], "left_anti"), base, reps, percent))
         if not more.isEmpty():
             label = components(links.unionByName(more))
     return signed, label
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each document."""
-    signed, label = link(docs)
+    signed, label = link(docs, percent)
     s = signed.select("doc_id", "n_shingles", "set_key")
     s = s.join(label.withColumnRenamed("node", "set_key"), "set_key", "left") if label is not None else s.withColumn("label", F.lit(None).cast("binary"))
     s = s.withColumn("group", F.coalesce("label", "set_key"))
@@ -227,9 +240,9 @@ def groups(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, with the columns of `docs`; of rows that repeat an id, one stays."""
-    g = groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    g = groups(docs, percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
     out = docs.join(g, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
@@ -238,7 +251,7 @@ def clean(docs: DataFrame) -> DataFrame:
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def brute_force(rows: list[tuple]) -> dict:
+def brute_force(rows: list[tuple], percent: int = PERCENT) -> dict:
     """What `groups` must give for (doc_id, text) rows, by comparing all pairs."""
     def of(t):
         w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
@@ -259,7 +272,7 @@ def brute_force(rows: list[tuple]) -> dict:
     for i, s in sets.items():
         for j in {j for x in s for j in by[x] if j > i}:
             shared = len(s & sets[j])
-            if 100 * shared >= PERCENT * len(s | sets[j]):
+            if 100 * shared >= percent * len(s | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}

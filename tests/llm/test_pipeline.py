@@ -31,3 +31,17 @@ def test_run_keeps_what_the_stages_keep(spark, smoke, docs):
     assert not any(decontaminate.brute_force(t, items)[4] for t in kept.values())
     slots = out.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect()
     assert all(r.n == r.d == r.m + 1 for r in slots)
+
+
+def test_near_copies_from_four_fifths_on_go(spark, smoke):
+    """Texts of 104 words have 100 shingles; `cut` new words at the end leave 100 - cut of 100 + cut."""
+    word = [f"w{i}" for i in range(104)]
+    data = []
+    for k, cut in enumerate((8, 9, 10, 11, 12, 14)):
+        a = [f"{k}_{w}" for w in word]
+        data += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[:-cut] + [f"x{k}_{i}" for i in range(cut)]))]
+    assert [neardup.band_rows(p) for p in (80, 85)] == [6, 8]
+    want = {i for i, (_, _, kept) in neardup.brute_force(data, 80).items() if kept}
+    assert want == {0, 2, 4, 6, 8, 9, 10, 11} < {i for i, (_, _, kept) in neardup.brute_force(data).items() if kept}
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), smoke)
+    assert {r.doc_id for r in out.collect()} == want
