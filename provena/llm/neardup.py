@@ -92,7 +92,7 @@ def _sign(batches):
             n.append(len(s))
             keys.append(set_key(s))
             sigs.append(signature(s).astype(np.uint16).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
 
 
 def _alike(batches, percent: int):
@@ -184,11 +184,15 @@ def _like(n: str, m: str, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
+def _text_key():
+    return F.unhex(F.md5("text"))
+
+
 def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, n_shingles, set_key) of every row, and (node, label) of nodes with links."""
+    """(doc_id, text_key, n_shingles, set_key) of every row, and (node, label) of nodes with links."""
     small_batches(docs.sparkSession)
     base = docs.select("doc_id", "text")
-    signed = durable(base.mapInArrow(_sign, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, sig binary"))
+    signed = durable(base.withColumn("text_key", _text_key()).mapInArrow(_sign, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, text_key binary, n_shingles long, set_key binary, sig binary"))
     some = signed.where("set_key is not null")
     reps = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     nodes = some.dropDuplicates(["set_key"]).select(F.col("set_key").alias("node"), F.col("n_shingles").alias("n"), "sig")
@@ -228,12 +232,17 @@ def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     return signed, label
 
 
-def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row for each document."""
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_key and group, which is null for an empty set, of every row."""
     signed, label = link(docs, percent)
-    s = signed.select("doc_id", "n_shingles", "set_key")
+    s = signed.select("doc_id", "text_key", "n_shingles", "set_key")
     s = s.join(label.withColumnRenamed("node", "set_key"), "set_key", "left") if label is not None else s.withColumn("label", F.lit(None).cast("binary"))
-    s = s.withColumn("group", F.coalesce("label", "set_key"))
+    return s.withColumn("group", F.coalesce("label", "set_key"))
+
+
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row for each document."""
+    s = _grouped(docs, percent)
     least = s.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = s.where("group is not null").join(least, "group").select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(s.where("group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -241,14 +250,21 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def clean(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with the columns of `docs`; of rows that repeat an id, one stays."""
-    g = groups(docs, percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(g, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    """One document of each group, with the columns of `docs`: that of the least id (nulls last), set and text.
+
+    Rows with an empty set all stay; of rows that repeat an id and its text, one stays.
+    """
+    s = _grouped(docs, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_key", "text_key")).alias("f")
+    keep = s.where("group is not null").groupBy("group").agg(first).select(F.col("f.doc_id").alias("_keep"), F.col("f.text_key").alias("_key"))
+    keep = keep.unionByName(s.where("group is null").select(F.col("doc_id").alias("_keep"), F.col("text_key").alias("_key")))
+    d = docs.withColumn("_text_key", _text_key())
+    out = d.join(keep, d["doc_id"].eqNullSafe(F.col("_keep")) & d["_text_key"].eqNullSafe(F.col("_key")), "left_semi")
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
-        return out
-    w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")])
-    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        return out.drop("_text_key")
+    w = Window.partitionBy("doc_id", "_text_key").orderBy("_text_key", *[F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")])
+    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_text_key")
 
 
 def brute_force(rows: list[tuple], percent: int = PERCENT) -> dict:

@@ -271,6 +271,15 @@ def test_neardup_odd_and_empty(odd, none):
     assert neardup.clean(none).count() == 0
 
 
+def test_neardup_clean_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    data = [(None, a), (None, a + " tail"), (None, a + " tail"), (None, ""), (None, None), (2, b), (3, b + " tail"), (3, c), (5, c + " tail"), (5, ""), (6, None), (None, c + " more")]
+    got = Counter((r.doc_id, r.text) for r in neardup.clean(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect())
+    ours = [x for x in got.elements() if x[0] is None and (x[1] or "").startswith("a")]
+    assert len(ours) == 1 and ours[0] in data
+    assert got - Counter(ours) == Counter([(None, ""), (None, None), (2, b), (3, c), (5, ""), (6, None)])
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r.node: r.label for r in components.components(e).collect()}
