@@ -77,14 +77,15 @@ LAYOUTS = [
 def from_table(df: DataFrame) -> DataFrame:
     """Canonical turns (conv_id, turn, role, text) of a typed table; its schema picks the mapping.
 
-    Columns that no layout names are left out of the fingerprint.
+    Columns that no layout names are left out of the fingerprint; a mixture of layouts is refused.
     """
+    known = {f.name for lay in LAYOUTS for f in T._parse_datatype_string(lay.like)}
+    key = fingerprint(df.select(*[f"`{c}`" for c in df.columns if c in known]).schema)
     for lay in LAYOUTS:
-        names = [f.name for f in T._parse_datatype_string(lay.like)]
-        if set(names) <= set(df.columns) and fingerprint(df.select(*names).schema) == lay.key:
+        if key == lay.key:
             if lay.name == "turn rows":  # one turn a row: no array to build
                 return df.select("conv_id", "turn", "role", "text")
-            r = df.select("conv_id", F.struct(*names).alias("r"))
+            r = df.select("conv_id", F.struct(*[f.name for f in T._parse_datatype_string(lay.like)]).alias("r"))
             return r.select("conv_id", F.explode(F.expr(lay.turns)).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
     raise ValueError("no layout has these field paths: " + ", ".join(df.columns))
 

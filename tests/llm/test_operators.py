@@ -343,3 +343,25 @@ def test_word_hashes_depend_on_words_alone():
     assert [len(x) for x in got] == [2, 0, 0, 4, 1]
     assert got[0] == got[3][1:3]
     assert len({x for y in got for x in y}) == 5
+
+
+@pytest.mark.parametrize("name", [lay.name for lay in chat.LAYOUTS])
+def test_chat_typed_table_of_each_layout(spark, name):
+    said = [("user", "q"), ("assistant", "a")]
+    record, want = {
+        "turn rows": ((1, 0, "user", "q"), said[:1]),
+        "messages": ((1, said), said),
+        "conversations": ((1, [("human", "q"), ("gpt", "a")]), said),
+        "prompt": ((1, "q", "a"), said),
+        "instruction": ((1, "q", "", "a"), said),
+        "system prompt": ((1, "s", "q", "a"), [("system", "s"), *said]),
+    }[name]
+    lay = next(x for x in chat.LAYOUTS if x.name == name)
+    df = spark.createDataFrame([record], lay.like).withColumn("other", F.lit(1))
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.from_table(df).collect()) == [(1, i, *x) for i, x in enumerate(want)]
+
+
+def test_chat_refuses_a_mixture_of_layouts(spark):
+    both = spark.createDataFrame([(1, "q", "a", "i", "", "o")], "conv_id long, prompt string, response string, instruction string, input string, output string")
+    with pytest.raises(ValueError, match="no layout"):
+        chat.from_table(both)
