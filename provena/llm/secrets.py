@@ -1,23 +1,31 @@
 """Secret scans: fixed kinds by pattern, and random strings by character Markov models.
 
-Two first-order chains over character classes, one of random strings and one of ordinary
-identifiers, are compared by the log-likelihood ratio of a token's transitions.  Labelled samples
-train them: hex, base-64 and base-36 digests are the random strings, the words of a bounded sample
-of documents the ordinary ones.  The model is a literal array of a few thousand numbers, so scoring
-is a lookup inside the plan; nothing here runs Python on an executor.
+Two first-order chains over single characters, one of random strings and one of ordinary identifiers,
+are compared by the mean log-likelihood ratio of a token's transitions.  Labelled samples train them:
+digests in several alphabets are the random strings; identifiers in the usual spellings (camel, snake,
+kebab, paths, ...) are the ordinary ones, and the words of all documents are counted with them at the
+same weight, so that a corpus' own languages pass for ordinary.  A part of the sample that trains
+nothing sets, for each band of lengths, the ratio that only FALSE_RATE of its identifiers reach; another
+part measures `rates`.  The model is a literal array of a few thousand numbers, so scoring is a look-up
+inside the plan; nothing here runs Python on an executor.
 
 Spans are (kind, start, end) in code points, end exclusive, in order of start and then of kinds as in
-`KINDS`.  A chain's span is left out where it overlaps a span of a fixed kind.
+`KINDS`.  A chain's span is left out where a span of a fixed kind has the same borders; inside a longer
+one it tells which part is random.
 
 Defined cases: null and empty texts have no spans; a long text is scanned whole; equal rows give equal
-spans; without any words to learn from, the identifier chain is uniform; extra columns are kept by `scan`.
+spans; without any words in the corpus the labelled identifiers train alone; an empty table gives no
+rows; extra columns are kept by `scan`, but for one named `found`, which it replaces.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from provena.llm.columns import neutral, restored
 
 KINDS = ("assign", "access", "hex", "markov")
 #: Fixed patterns of the first three kinds, and the least length of what they must catch.
@@ -25,34 +33,86 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
-#: Tokens that the chains judge.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: Mean log-likelihood ratio of a transition from which on a token counts as random.
-THRESHOLD = 0.35
-#: Documents whose words train the identifier chain: those with the lowest hash of their id.
-SAMPLE_DOCS = 2000
-SAMPLE_RANDOM = 4000
+#: Tokens that the chains judge: runs of these characters with a letter.
+TOKEN_MIN = 12
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_MIN},}}"
+#: Lengths at which a band of thresholds starts; longer tokens tell more per transition.
+BANDS = (12, 16, 20, 28, 40)
+#: Share of ordinary identifiers that a threshold lets through as random.
+FALSE_RATE = 0.001
+#: Labelled strings of each class.
+SAMPLE = 40_000
+#: Words of documents: letters only, between characters that no token has.
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,24}(?![A-Za-z0-9+/_=-])"
 
 _CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 N = len(_CHARS)
+#: Parts of ordinary identifiers.
+PARTS = """abstract access account action adapter add address admin agent alias all api app archive array async attribute audit auth
+backup base base64 batch bean binary bind block body boot bridge buffer build bundle button byte cache call cancel card cart catalog
+cell chain channel char check child class clean client clone close cloud code collection color column command comment commit common
+config connection console consumer container content context control convert cookie copy core count create current cursor custom data
+database date debug decode default delete deploy depth detail device dir disk dispatch document domain double download draft driver
+edge edit element email empty enable encode engine entity entry env error event exception execute export factory feature field file
+filter final find first flag flow font format forward frame function gateway generator get global graph grid group handle handler hash
+head header health helper hidden history home hook host html http icon id image impl import index info init inner input insert install
+instance integer interface internal invoice ip item iterator java job join json kernel key keyword label language last layer layout lib
+line link linux list listener load local location lock log login logger long loop mail main manager map mask master match matrix max
+memory menu merge message metadata meta method metric min mode model module monitor mutex name native network next node notification
+null number object offset open operation option order origin output package page param parent parse parser partition password patch
+path payload payment peer pending permission phone pipeline plugin pointer policy pool port prefix preview price print priority private
+process producer product profile project prompt property protocol provider proxy public python queue quick random range read receiver
+record redirect reference refresh region register release remote remove render repeat replace report request required reset resolve
+resource response rest result retry return role root route row rule run runtime sample save scan schedule schema scope score script
+search secret section security select selector send sequence server service servlet session set setting setup shape share shell shift
+signal simple singleton site size slot snapshot socket sort source spec split stack stage start state static station status step storage
+store stream string style submit success summary support switch symbol sync system table tag target task team temp template term test
+text theme thread threshold time timeout timer title token tool topic total trace track traffic transaction transform tree trigger type
+unit update upload url user util utf8 valid validate value variable vector verify version view virtual visible warning watch web weight
+widget width window word worker workflow wrapper write xml yield zone""".split()
+SEPARATORS = ("", "_", "-", "/")
+_SPLITS = {"train": (0, 1), "threshold": (2,), "test": (3,)}
+
+
+@dataclass(frozen=True)
+class Model:
+    """Ratios of transitions (N * N of them) and the threshold of each band of lengths."""
+
+    table: list[float]
+    cuts: list[float]
+
+
+def _let(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _literal(values: list, kind: str) -> Column:
+    """One folded literal for a list; an array of many literals would slow every rule of the optimizer."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<s, start, end>> of the pattern's matches, leftmost and not overlapping.
 
-    Positions come from the lengths of matches and of the pieces between them.
+    Positions come from the lengths of matches and of the pieces between them, summed up in chunks, so
+    that a text of very many matches takes no quadratic time.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
-    return F.aggregate(
-        both,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<struct<s: string, start: int, end: int>>)").alias("out")),
+    both = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(
+        found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n"))))
+    chunks = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / CHUNK).cast("int")), lambda i: F.slice(b, i * CHUNK + 1, CHUNK))
+    fold = lambda c: F.aggregate(
+        c,
+        F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out")),
         lambda a, x: F.struct((a.at + x.g + x.n).alias("at"), F.concat(a.out, F.array(F.struct(x.m.alias("s"), (a.at + x.g).alias("start"), (a.at + x.g + x.n).alias("end")))).alias("out")),
-        lambda a: a.out,
     )
+    starts = lambda cs: F.aggregate(cs, F.array(F.lit(0)), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + c.at)))
+    moved = lambda cs: F.zip_with(cs, F.slice(starts(cs), 1, F.size(cs)), lambda c, at: F.transform(c.out, lambda x: F.struct(x.s.alias("s"), (x.start + at).alias("start"), (x.end + at).alias("end"))))
+    return F.flatten(_let(F.transform(_let(both, chunks), fold), moved))
 
 
+CHUNK = 256
 _NONE = "cast(array() AS array<struct<s: string, start: int, end: int>>)"
 
 
@@ -73,14 +133,15 @@ def base(text: Column) -> dict[str, Column]:
     }
 
 
-def _pairs(df: DataFrame, token: str) -> dict[tuple[int, int], int]:
-    """Counts of neighbouring characters' places in `_CHARS`, at most N * N rows."""
-    cs = df.select(F.filter(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(_CHARS), c)), lambda i: i > 0).alias("p"))
-    two = cs.where(F.size("p") > 1).select(F.explode(F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: a * 100 + b)).alias("k"))
-    return {divmod(r.k, 100): r.n for r in two.groupBy("k").agg(F.count("*").alias("n")).collect()}
+def _pairs(df: DataFrame, token: str, n: str | None = None) -> dict[tuple[int, int], float]:
+    """Counts of neighbouring characters' places in `_CHARS`, at most N * N rows; `n` weighs tokens."""
+    w = F.col(n) if n else F.lit(1)
+    cs = df.select(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(_CHARS), c)).alias("p"), w.alias("n"))
+    two = cs.select("n", F.explode(F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: a * 100 + b)).alias("k"))
+    return {divmod(r.k, 100): float(r.n) for r in two.groupBy("k").agg(F.sum("n").alias("n")).collect()}
 
 
-def _chain(counts: dict[tuple[int, int], int]) -> list[list[float]]:
+def _chain(counts: dict[tuple[int, int], float]) -> list[list[float]]:
     """Log probabilities of transitions, with one more of each counted."""
     out = []
     for i in range(1, N + 1):
@@ -90,52 +151,116 @@ def _chain(counts: dict[tuple[int, int], int]) -> list[list[float]]:
     return out
 
 
-def samples(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labelled samples: random strings, and words of at most SAMPLE_DOCS documents outside fixed kinds."""
-    h = F.sha2(F.col("id").cast("string").cast("binary"), 256)
-    b64 = F.substring(F.base64(F.unhex(h)), 1, 40)
-    alnum = F.upper(F.concat(F.conv(F.substring(h, 1, 12), 16, 36), F.conv(F.substring(h, 13, 12), 16, 36), F.conv(F.substring(h, 25, 12), 16, 36)))
-    rand = docs.sparkSession.range(SAMPLE_RANDOM).select(F.explode(F.array(F.substring(h, 1, 40), b64, alnum)).alias("w"))
-    # ids are picked from the narrow column before any text moves
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().withColumn("k", F.xxhash64("doc_id")).orderBy("k").limit(SAMPLE_DOCS)
-    few = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(ids.select("doc_id")), "doc_id")
-    plain = F.regexp_replace(F.regexp_replace(F.col("t"), ASSIGN, " "), f"[0-9a-f]{{{HEX_MIN},}}|{ACCESS}|[A-Za-z0-9+/_=-]{{30,}}", " ")
-    words = few.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9_]{4,}"), F.lit(0))).alias("w"))
-    return rand, words
+def random_strings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
+    """(id, w): labelled random strings of 12 to 48 characters: hex, base-64, base-62, base-36 and UUIDs."""
+    h = F.concat(*[F.sha2(F.concat(F.lit(f"random{k}:"), F.col("id").cast("string")).cast("binary"), 256) for k in range(3)])
+    b64 = F.base64(F.unhex(h))
+    plain = F.regexp_replace(b64, "[+/=]", "")
+    uuid = F.concat_ws("-", *[F.substring(h, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    kinds = [h, F.upper(h), b64, F.translate(b64, "+/", "-_"), plain, plain, F.lower(plain), F.upper(plain)]
+    length = F.lit(TOKEN_MIN) + F.pmod(F.xxhash64(F.lit("length"), "id"), F.lit(37))
+    kind = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(len(kinds) + 1)).cast("int")
+    pick = F.when(kind == len(kinds), uuid).otherwise(F.substr(F.element_at(F.array(*kinds, uuid), kind + 1), F.lit(1), length))
+    return spark.range(n).select("id", pick.alias("w"))
+
+
+def identifiers(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
+    """(id, w): labelled ordinary identifiers of two to six parts in the usual spellings."""
+    draw = lambda *x: F.xxhash64(F.lit("identifier"), F.col("id"), *map(F.lit, x))
+    voc = _literal(PARTS, "string")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(1) + F.pmod(draw("parts"), F.lit(5)).cast("int")), lambda j: F.element_at(voc, F.pmod(F.xxhash64(F.lit("part"), F.col("id"), j), F.lit(len(PARTS))).cast("int") + 1))
+    d = spark.range(n).select("id", F.explode(F.array(parts)).alias("p"))
+    title = F.transform("p", F.initcap)
+    digit = F.pmod(draw("digit"), F.lit(100)).cast("string")
+    camel = F.concat(F.element_at("p", 1), F.array_join(F.slice(title, 2, 9), ""))
+    join = lambda s: F.array_join("p", s)
+    styles = [
+        camel, F.array_join(title, ""), join("_"), F.upper(join("_")), join("-"), join(""), F.upper(join("")), F.concat(F.lit("/"), join("/")), join("/"),
+        F.concat(join("_"), F.lit("_"), digit), F.concat(camel, digit), F.concat(join("-"), F.lit("-v"), digit), F.concat(F.lit("/"), F.element_at("p", 1), F.lit("/"), F.array_join(F.slice("p", 2, 9), "-")),
+        F.concat(F.lit("--"), F.element_at("p", 1), F.lit("="), F.array_join(F.slice("p", 2, 9), "-")), F.concat(F.lit("/"), F.element_at("p", 1), digit, F.lit("/"), F.array_join(F.slice("p", 2, 9), "_")),
+    ]
+    w = F.element_at(F.array(*styles), F.pmod(draw("style"), F.lit(len(styles))).cast("int") + 1)
+    return d.select("id", w.alias("w")).where(F.length("w") >= TOKEN_MIN)
 
 
-def train(docs: DataFrame) -> list[float]:
-    """The flat table of log-likelihood ratios, N * N of them."""
-    rand, words = samples(docs)
-    r, w = _chain(_pairs(rand, "w")), _chain(_pairs(words, "w"))
-    return [r[i][j] - w[i][j] for i in range(N) for j in range(N)]
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """(w, n): the letters-only words of all documents with their counts, as written, lower, capital and upper."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    forms = F.array("w", F.lower("w"), F.initcap("w"), F.upper("w"))
+    return words.select(F.explode(forms).alias("w"), "n")
+
+
+def split(sample: DataFrame, part: str) -> DataFrame:
+    """One of the parts "train" (half), "threshold" and "test" (a fourth each) of a labelled sample."""
+    return sample.where(F.pmod("id", F.lit(4)).isin(*_SPLITS[part]))
+
+
+def _band(token: Column) -> Column:
+    return sum((F.length(token) >= b).cast("int") for b in BANDS) - 1
+
+
+def train(docs: DataFrame, false_rate: float = FALSE_RATE) -> Model:
+    """The chains of the labelled sample and all documents' words, and their thresholds."""
+    spark = docs.sparkSession
+    ordinary = _pairs(split(identifiers(spark), "train"), "w")
+    corpus = _pairs(corpus_words(docs), "w", "n")
+    scale = sum(ordinary.values()) / max(1.0, sum(corpus.values()))
+    for k, n in corpus.items():
+        ordinary[k] = ordinary.get(k, 0) + n * scale
+    r, o = _chain(_pairs(split(random_strings(spark), "train"), "w")), _chain(ordinary)
+    table = [r[i][j] - o[i][j] for i in range(N) for j in range(N)]
+    held = split(identifiers(spark), "threshold").select(_band(F.col("w")).alias("b"), ratio(F.col("w"), table).alias("s"))
+    got = {x.b: x.c for x in held.groupBy("b").agg(F.percentile("s", 1 - false_rate).alias("c")).collect()}
+    cuts, most = [], math.inf
+    for b in range(len(BANDS)):  # a longer token never needs a higher ratio, and no ratio below 0 counts as random
+        most = min(most, got.get(b, most))
+        cuts.append(max(0.0, most))
+    return Model(table, cuts)
 
 
 def ratio(token: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's transitions."""
-    t = F.lit(table)
-    p = F.filter(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(_CHARS), c)), lambda i: i > 0)
+    t = _literal(table, "double")
+    p = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(_CHARS), c))
     s = F.aggregate(
         p, F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")),
-        lambda a, i: F.struct(i.alias("last"), (a["sum"] + F.when(a["last"] > 0, F.element_at(t, (a["last"] - 1) * N + i)).otherwise(0.0)).alias("sum")),
+        lambda a, i: F.struct(i.alias("last"), (a["sum"] + F.when((a["last"] > 0) & (i > 0), F.element_at(t, (a["last"] - 1) * N + i)).otherwise(0.0)).alias("sum")),
         lambda a: a["sum"],
     )
     return s / F.greatest(F.lit(1), F.size(p) - 1)
 
 
-def scan(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
-    """`docs` with `found`: array<struct<start, kind_no, kind, end>> in order."""
-    table = table or train(docs)
+def is_random(token: Column, model: Model) -> Column:
+    """Whether a token of TOKEN_MIN characters or more reaches the threshold of its length; digits alone don't count."""
+    cut = F.element_at(_literal(model.cuts, "double"), _band(token) + 1)
+    return token.rlike("[A-Za-z]") & (ratio(token, model.table) > cut)
+
+
+def rates(spark: SparkSession, model: Model) -> tuple[float, float]:
+    """Precision and recall on the part of the labelled sample that set neither chains nor thresholds."""
+    both = split(random_strings(spark), "test").select("w", F.lit(True).alias("y")).unionByName(split(identifiers(spark), "test").select("w", F.lit(False).alias("y")))
+    n = {(r.y, r.p): r["n"] for r in both.groupBy("y", is_random(F.col("w"), model).alias("p")).agg(F.count("*").alias("n")).collect()}
+    hit = n.get((True, True), 0)
+    return hit / max(1, hit + n.get((False, True), 0)), hit / max(1, hit + n.get((True, False), 0))
+
+
+def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """`docs` with `found`: array<struct<start, no, kind, end>> in order."""
+    model = model or train(docs)
     text = F.coalesce("text", F.lit(""))
-    d = docs.withColumns({f"_{k}": v for k, v in base(text).items()})
-    fixed = F.concat("_assign", "_access", "_hex")
-    tokens = _if(text.rlike(TOKEN), _matches(text, TOKEN))
-    free = F.filter(tokens, lambda x: ~F.exists(F.col("_fixed"), lambda y: (y.start < x.end) & (x.start < y.end)))
-    d = d.withColumn("_fixed", fixed).withColumn("_free", free)
-    d = d.withColumn("_markov", F.when(F.size("_free") > 0, F.filter("_free", lambda x: ratio(x.s, table) >= THRESHOLD)).otherwise(F.col("_free")))
+    d = neutral(docs)
+    plain = d.columns
+    d = d.withColumns({f"_{k}": v for k, v in base(text).items()} | {"_some": F.exists(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: is_random(w, model))})
+    # only texts with such a token need the places of their tokens
+    d = d.withColumn("_markov", _if(F.col("_some"), F.filter(_matches(text, TOKEN), lambda x: is_random(x.s, model))))
+    place = lambda x: x.start.cast("long") * (1 << 32) + x.end
+    fixed = F.transform(F.concat("_assign", "_access", "_hex"), place)
+    # array_except hashes whole numbers, so it stays linear
+    own = F.array_except(F.transform("_markov", place), fixed)
+    d = d.withColumn("_markov", F.transform(own, lambda x: F.struct(F.lit("").alias("s"), F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"))))
     out = lambda k: F.transform(f"_{k}", lambda x: F.struct(x.start.alias("start"), F.lit(KINDS.index(k)).alias("no"), F.lit(k).alias("kind"), x.end.alias("end")))
     d = d.withColumn("found", F.sort_array(F.concat(*[out(k) for k in KINDS])))
-    return d.drop(*[f"_{k}" for k in KINDS], "_fixed", "_free")
+    return restored(d.select(*plain, "found"), docs, ("found",))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -191,20 +191,59 @@ def spans_of(text):
 CASES = ["é token=token: abcdefgh", "secret=token: abcdefgh", 'API_KEY = "x.y-z/12"', "PassWord:short, passwd:longer1", "AKIAAKIA" + "A" * 14, "AKIA" + "B" * 15, "f" * 24 + "g" + "0" * 23, "token=" + "a" * 40]
 
 
-def test_secrets_brute_force(spark, docs, odd):
-    df = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string").unionByName(docs.select("doc_id", "text")).unionByName(odd.select("doc_id", "text"))
-    table = secrets.train(docs)
-    got = secrets.scan(df, table).select("text", "found").collect()
-    for r in got:
-        assert ",".join(f"{x.kind}:{x.start}:{x.end}" for x in r.found if x.kind != "markov") == spans_of(r.text or "")
-
-
-def test_secrets_chains_tell_random_strings(spark, docs):
-    table = secrets.train(docs)
-    raw = [("random", hashlib.sha1(bytes([i])).hexdigest().upper()) for i in range(20)] + [("plain", w) for w in ("thingandtheotherwordsinhere", "ationsreingthatheandonthere", "estionsandthingsoverthehere")]
-    df = spark.createDataFrame(raw, "kind string, text string").withColumn("doc_id", F.lit(1))
-    got = {(r.kind, any(x.kind == "markov" for x in r.found)) for r in secrets.scan(df, table).collect()}
-    assert got == {("random", True), ("plain", False)}
+@pytest.fixture(scope="module")
+def chains(docs):
+    return secrets.train(docs)
+
+
+def random_spans(text, model):
+    """Spans of tokens over their band's threshold, from the definition of the ratio."""
+    at = {c: i for i, c in enumerate(secrets._CHARS)}
+    for m in re.finditer(secrets.TOKEN, text):
+        w = m[0]
+        mean = sum(model.table[at[a] * secrets.N + at[b]] for a, b in zip(w, w[1:], strict=False)) / (len(w) - 1)
+        if re.search("[A-Za-z]", w) and mean > model.cuts[sum(len(w) >= b for b in secrets.BANDS) - 1]:
+            yield m.start(), m.end()
+
+
+def test_secrets_brute_force(spark, docs, odd, chains):
+    cases = [*CASES, "x " + "Zk8Qp2Lw9Xc4Vb7N" + " thing_and_other_name é " + "q7xw9zk2jv5m " * 700, "KEY = " + "A1" * 20]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").unionByName(docs.select("doc_id", "text")).unionByName(odd.select("doc_id", "text"))
+    n = 0
+    for r in secrets.scan(df, chains).select("text", "found").collect():
+        text, got = r.text or "", [(x.kind, x.start, x.end) for x in r.found]
+        fixed = [x for x in got if x[0] != "markov"]
+        assert ",".join(f"{k}:{s}:{e}" for k, s, e in fixed) == spans_of(text)
+        want = set(random_spans(text, chains)) - {x[1:] for x in fixed}
+        assert {x[1:] for x in got if x[0] == "markov"} == want
+        assert got == sorted(got, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+        n += len(want)
+    assert n > 700
+
+
+ORDINARY = """HttpServletRequestWrapperFactory AbstractSingletonProxyFactoryBean /usr/local/lib/python3/site-packages getElementsByClassName org_apache_commons_lang3
+ThreadPoolTaskExecutor content-security-policy MAX_RETRY_COUNT_EXCEEDED node_modules/react-dom internationalization kubernetes-dashboard-v2 shouldComponentUpdate
+--max-old-space-size=4096 DEFAULT_CHARACTER_SET misunderstandings BufferedInputStreamReader""".split()
+
+
+def test_secrets_chains_tell_random_strings_from_identifiers(spark, chains):
+    precision, recall = secrets.rates(spark, chains)
+    assert precision > 0.99
+    assert recall > 0.98
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    secret = ["".join(rng.choice(letters[:k], n)) for k, least in ((62, 12), (36, 16)) for n in range(least, 40)]
+    df = spark.createDataFrame([(w, w in ORDINARY) for w in ORDINARY + secret], "w string, ordinary boolean")
+    wrong = [r.w for r in df.where(secrets.is_random(F.col("w"), chains) == F.col("ordinary")).collect()]
+    assert len(wrong) <= 2
+    assert not set(wrong) & set(ORDINARY)
+
+
+def test_secrets_keep_extra_columns(spark, odd, chains):
+    out = secrets.scan(odd, chains)
+    assert sorted(out.columns) == sorted(odd.columns)
+    assert dict(out.dtypes)["found"].startswith("array")
+    assert secrets.train(odd.limit(0)).cuts[0] > 0
 
 
 def test_secrets_empty(none):
