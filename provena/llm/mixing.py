@@ -9,6 +9,9 @@ A source's budget is realised by whole epochs and a part of one more.  Documents
 hash; a seeded hash of the block's number permutes blocks in each epoch, and the part takes blocks in
 that order, then small parts of the block on the border, until the budget is reached.
 
+A repetition limit that no exponent keeps (a budget of more tokens than all sources hold at that
+many epochs) and an entropy above that of equal shares are refused with an error.
+
 Defined cases: a null source is a source of its own; texts without tokens weigh nothing and are read
 once; a null text has no tokens; repeated rows fall into the same block; an empty table gives no rows;
 extra columns are kept.
@@ -20,7 +23,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from provena.session import durable
+from provena.session import durable, stored
 
 MAX_EPOCHS = 2.0
 BLOCK_TOKENS = 1 << 20
@@ -41,27 +44,32 @@ def _key() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit("\u0000"))
 
 
-def _measure(sources: DataFrame, exponents: list[float], budget: float | None) -> list[tuple[float, float, float]]:
+def _measure(sources: DataFrame, total: int, exponents: list[float], budget: float | None) -> list[tuple[float, float, float]]:
     """(exponent, entropy, most epochs of any source) for each exponent, in one job."""
-    total, most = sources.agg(F.sum("tokens"), F.max("tokens")).first()
     p = F.col("tokens") / F.lit(float(total))
     x = sources.select("tokens", F.explode(F.array(*map(F.lit, exponents))).alias("a")).withColumn("u", F.pow(p, F.col("a")))
     rows = x.groupBy("a").agg(F.sum("u").alias("z"), F.sum(F.col("u") * F.log(p)).alias("l"), F.max(F.col("u") / F.col("tokens")).alias("fast"), F.min(F.col("u") / F.col("tokens")).alias("slow")).collect()
     return sorted((r.a, math.log(r.z) - r.a * r.l / r.z, r.fast / r.slow if budget is None else budget * r.fast / r.z) for r in rows)
 
 
-def exponent(sources: DataFrame, max_epochs: float | None, entropy: float | None, budget: float | None = None) -> float:
-    """The largest exponent in [0, 1] with at least the target entropy, or the least within the repetition limit."""
+def exponent(sources: DataFrame, total: int, max_epochs: float | None, entropy: float | None, budget: float | None = None) -> float:
+    """The largest exponent in [0, 1] with at least the target entropy, or the least within the repetition limit.
+
+    Entropy falls and, with the largest source read least often, repetition falls too as the exponent grows.
+    """
     lo, hi = 0.0, 1.0
     for _ in range(JOBS):
         grid = [lo + (hi - lo) * i / (GRID - 1) for i in range(GRID)]
-        got = _measure(sources, grid, budget)
+        got = _measure(sources, total, grid, budget)
+        good = [a for a, h, e in got if (h >= entropy - 1e-9 if entropy is not None else e <= max_epochs + 1e-9)]
+        if not good and entropy is not None:
+            raise ValueError(f"no weights over these sources have an entropy of {entropy}; equal ones have {got[0][1]:.6f}")
+        if not good:
+            raise ValueError(f"some source is read {min(e for _, _, e in got):.2f} times at least, over the limit of {max_epochs} (budget: {budget})")
         if entropy is not None:
-            good = [a for a, h, _ in got if h >= entropy - 1e-12]
-            lo, hi = (max(good), min([a for a, _, _ in got if a > max(good)], default=max(good))) if good else (0.0, 0.0)
+            lo, hi = max(good), min([a for a, _, _ in got if a > max(good)], default=max(good))
         else:
-            good = [a for a, _, e in got if e <= max_epochs + 1e-9]
-            lo, hi = (max([a for a, _, _ in got if a < min(good)], default=min(good)), min(good)) if good else (1.0, 1.0)
+            lo, hi = max([a for a, _, _ in got if a < min(good)], default=min(good)), min(good)
         if hi - lo < 1e-9:
             break
     return lo if entropy is not None else hi
@@ -71,13 +79,15 @@ def plan(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, entropy: float
     """One row a source: tokens, weight, whole epochs, and the borders of the part of one more."""
     if (max_epochs is None) == (entropy is None):
         raise ValueError("give a repetition limit or a target entropy")
-    d = docs.select(_key().alias("k"), tokens().alias("t"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h")).where("t > 0")
+    # texts are read once; every later pass reads these three numbers
+    d = stored(docs.select(_key().alias("k"), tokens().alias("t"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"))).where("t > 0")
     fine = durable(d.groupBy("k", F.pmod("h", F.lit(MAX_BLOCKS)).alias("b")).agg(F.sum("t").alias("tokens")))
     sources = durable(fine.groupBy("k").agg(F.sum("tokens").alias("tokens")))
     if sources.isEmpty():
         return sources.select("k", "tokens", F.lit(0.0).alias("weight"), F.lit(0).alias("whole"), F.lit(1).alias("blocks"), F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("part"))
-    a = exponent(sources, max_epochs, entropy, budget)
-    u = F.pow(F.col("tokens") / F.lit(float(sources.agg(F.sum("tokens")).first()[0])), F.lit(a))
+    whole = sources.agg(F.sum("tokens")).first()[0]
+    a = exponent(sources, whole, max_epochs, entropy, budget)
+    u = F.pow(F.col("tokens") / F.lit(float(whole)), F.lit(a))
     z, slow = sources.agg(F.sum(u), F.min(u / F.col("tokens"))).first()
     total = budget if budget is not None else z / slow
     s = sources.select("k", "tokens", (u / z).alias("weight"))

@@ -147,6 +147,64 @@ def test_mixing_by_entropy_and_budget(docs):
         mixing.plan(docs, max_epochs=None)
 
 
+def weights_by_bisection(tokens, max_epochs, entropy, budget):
+    total = sum(tokens.values())
+
+    def weigh(a):
+        u = {k: (t / total) ** a for k, t in tokens.items()}
+        w = {k: x / sum(u.values()) for k, x in u.items()}
+        reads = {k: w[k] / tokens[k] for k in w}
+        b = budget or 1 / min(reads.values())
+        return w, b, -sum(x * np.log(x) for x in w.values()), max(reads.values()) * b
+
+    lo, hi = 0.0, 1.0
+    good = (lambda a: weigh(a)[2] < entropy) if entropy else (lambda a: weigh(a)[3] <= max_epochs)
+    if good(lo):
+        hi = lo
+    for _ in range(60):
+        lo, hi = (lo, (lo + hi) / 2) if good((lo + hi) / 2) else ((lo + hi) / 2, hi)
+    return weigh(hi)[:2]
+
+
+@pytest.mark.parametrize(("max_epochs", "entropy", "budget"), [(2.0, None, None), (1.3, None, None), (4.0, None, 30_000.0), (None, 2.9, None), (3.0, None, 300_000.0)])
+def test_mixing_brute_force(spark, docs, monkeypatch, max_epochs, entropy, budget):
+    """Weights by plain bisection; in the last epoch of a source its rows are a prefix by (order, part) that just reaches the budget."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 256)
+    tokens = {r.source: r.t for r in docs.groupBy("source").agg(F.sum(mixing.tokens()).alias("t")).collect()}
+    if budget:
+        budget = min(budget, max_epochs * sum(tokens.values()) * 0.99)
+    w, total = weights_by_bisection(tokens, max_epochs, entropy, budget)
+    got = mixing.mix(docs, max_epochs, entropy, budget).toPandas()
+    order = F.xxhash64(F.lit(mixing.SEED), "k", "whole", "block")
+    every = docs.withColumn("k", F.col("source")).withColumn("t", mixing.tokens()).withColumn("h", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text")).where("t > 0")
+    blocks = spark.createDataFrame([(r.k, r.blocks, r.whole) for r in mixing.plan(docs, max_epochs, entropy, budget).collect()], "k string, blocks int, whole int")
+    every = every.join(blocks, "k").withColumn("block", F.pmod(F.pmod("h", F.lit(mixing.MAX_BLOCKS)), F.col("blocks"))).withColumn("o", order).withColumn("q", mixing._part()).toPandas()
+    for k, own in every.groupby("k"):
+        want = round(w[k] * total)
+        reads = Counter(got[(got.source == k) & (got.n_tokens > 0)].doc_id)
+        whole = own.whole.iloc[0]
+        assert abs(whole * tokens[k] - want) <= tokens[k]
+        steps, upto, inside = own.groupby(["o", "q"]).agg(t=("t", "sum"), ids=("doc_id", list)).sort_index(), whole * tokens[k], set()
+        for t, ids in steps.itertuples(index=False):
+            if upto >= want - 1e-6 * want - 1:
+                break
+            upto, inside = upto + t, inside | set(ids)
+        assert {i for i, n in reads.items() if n == whole + 1} == inside
+        assert {n for i, n in reads.items() if i not in inside} <= {whole}
+        assert got[got.source == k].weight.iloc[0] == pytest.approx(w[k], rel=1e-5)
+    # blocks of an epoch lie in the order of their keys
+    assert got.groupby(["source", "epoch", "order_key"]).block.nunique().max() == 1
+
+
+def test_mixing_refuses_what_no_weights_can_reach(docs):
+    with pytest.raises(ValueError, match="over the limit"):
+        mixing.plan(docs, max_epochs=1.0, budget=1e9)
+    with pytest.raises(ValueError, match="over the limit"):
+        mixing.plan(docs, max_epochs=0.5)
+    with pytest.raises(ValueError, match="entropy"):
+        mixing.plan(docs, max_epochs=None, entropy=9.0)
+
+
 def test_mixing_odd_and_empty(odd, none):
     out = mixing.apply(odd)
     assert out.columns == odd.columns
@@ -168,6 +226,69 @@ def test_sharding_is_even_and_gapless(docs, n):
     assert dict(zip(s.doc_id, s.text_crc32, strict=True)) == {i: zlib.crc32(t.encode()) for i, t in plain(docs)}
 
 
+def tree_by_sorting(rows, leaves):
+    """Shard of each row of (group, bytes, q0, q1, q2, row hash), by sorting the atoms of every node."""
+    total, groups = sum(r[1] for r in rows), {}
+    for r in rows:
+        groups.setdefault(r[:2], []).append(r)
+    atoms, shard_of = {}, {}
+    for (g, w), rs in groups.items():
+        low = (rs[0][2], min(r[3] for r in rs), min(r[4] for r in rs))
+        for r in rs:
+            tie = g % (1 << shard.TEXT_BITS) << shard.ROW_BITS
+            tie += r[5] % (1 << shard.ROW_BITS) if len(rs) * w * leaves > total else 0
+            c = tuple((q << shard.TIE) + tie for q in low)
+            atoms.setdefault(c, [0, []])
+            atoms[c][0] += w
+            atoms[c][1].append(r)
+    level = [(0, leaves, list(atoms))]
+    while level:
+        range_of = [max((c[d] >> shard.TIE for _, _, cs in level for c in cs if len(cs)), default=0) - min((c[d] >> shard.TIE for _, n, cs in level for c in cs), default=0) for d in range(3)]
+        below = []
+        for first, n, cs in level:
+            spread = [(max(c[d] >> shard.TIE for c in cs) - min(c[d] >> shard.TIE for c in cs)) / max(1, range_of[d]) for d in range(3)] if cs else [0]
+            d = spread.index(max(spread))
+            cs = sorted(cs, key=lambda c: c[d])
+            goal, upto, cut = sum(atoms[c][0] for c in cs) * (n // 2) / n, 0, 0
+            for cut, c in enumerate(cs, 1):
+                upto += atoms[c][0]
+                if upto >= goal:
+                    cut -= goal - (upto - atoms[c][0]) < upto - goal
+                    break
+            for f, k, part in ((first, n // 2, cs[:cut]), (first + n // 2, n - n // 2, cs[cut:])):
+                if k > 1:
+                    below.append((f, k, part))
+                else:
+                    shard_of |= {c: f for c in part}
+        level = below
+    return Counter((r, shard_of[c]) for c, (_, rs) in atoms.items() for r in rs)
+
+
+@pytest.mark.parametrize(("leaves", "odd_rows_too"), [(7, False), (40, False), (5, True)])
+def test_sharding_brute_force(docs, odd, monkeypatch, leaves, odd_rows_too):
+    monkeypatch.setattr(shard, "FINE", 0.0)
+    monkeypatch.setattr(shard, "BROADCAST_GROUPS", 0 if leaves == 7 else 1000)
+    d = odd if odd_rows_too else docs.unionByName(docs.where("doc_id < 20").withColumn("source", F.lit("other")))
+    rows = d.select("doc_id", shard.crc().alias("text_crc32"), *shard.coordinates(d)).cache()
+    got = Counter(((r._g, r._w, r._q0, q1, q2, r._row), r._shard) for r, q1, q2 in ((r, r.p1, r.p2) for r in shard._numbered(rows.selectExpr("*", "_q1 p1", "_q2 p2"), rows, leaves).collect() for r in [r]))
+    assert got == tree_by_sorting([(r._g, r._w, r._q0, r._q1, r._q2, r._row) for r in rows.collect()], leaves)
+
+
+def test_sharding_keeps_groups_whole_and_copies_apart(spark, docs):
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    text = "equal words of a group " * 20
+    big = spark.createDataFrame([(10_000 + i, text, "en", f"src{i % 4}") for i in range(2000)], "doc_id long, text string, lang string, source string")
+    for d in (shard.assign(twice, 8), shard.digest(docs, 8).withColumnRenamed("text_crc32", "text"), shard.assign(docs.unionByName(big, allowMissingColumns=True), 8)):
+        p = d.toPandas()
+        p["size"] = p["size"] if "size" in p else [len((t or "").encode()) + 16 for t in p.text]
+        groups = p.groupby("text").agg(n=("shard", "nunique"), b=("size", "sum"))
+        assert set(groups[groups.n > 1].b > p["size"].sum() / 8) <= {True}
+        assert p.groupby("shard")["size"].sum().max() <= p["size"].sum() / 8 + 3 * p["size"].max()
+    p = shard.assign(twice, 8).toPandas().sort_values(["shard", "slot"])
+    again = (p.doc_id == p.doc_id.shift()) & (p.shard == p.shard.shift())
+    assert again.sum() <= 1
+
+
 def test_sharding_odd_and_empty(odd, none):
     out = shard.assign(odd, 4)
     assert out.count() == odd.count()
