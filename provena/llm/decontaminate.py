@@ -2,28 +2,34 @@
 
 Patterns are windows of `WINDOW` consecutive words of a benchmark item (an item with
 fewer words, but not none, is one window).  For each distinct pattern length the search
-keeps a shift table over blocks of two words, that says how far the scan may jump, and
-buckets by the suffix block that name the patterns to compare word by word.
+keeps a shift table over hashes of blocks of two words, that says how far the scan may jump,
+and buckets by the hash of the suffix block, in which the hash of the words before it finds the
+windows to compare; the comparison of the words themselves confirms an occurrence.
 
-The benchmark is read in blocks of bounded bytes; every block is one pass of the same
-rows, so neither the driver nor a task holds more than one block of patterns.
+The tables are flat arrays of numbers over the items' bytes, some eight times the size of the texts.
+The benchmark is read in blocks of bounded bytes (no less than one item); every block is one pass over
+the rows, stored before the next one starts, so neither the driver nor a task holds more than one
+block of patterns.  A scan moves one cursor for every SEGMENT words of a batch, all at once.
 
 Defined cases: null or empty texts have no words, no hits, and are not contaminated; null or
 empty items have no windows; items with a null id count under the id "null"; equal items of
-different ids both count; repeated documents are judged each; extra columns are kept.
+different ids both count; repeated documents are judged each; an empty table gives no rows; extra
+columns are kept, but for those of the names that `judge` adds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from provena.llm import vec
 from provena.llm.columns import neutral, restored
-from provena.session import small_batches
+from provena.session import small_batches, stored
 
 WINDOW = 13
 BLOCK = 2
@@ -31,120 +37,174 @@ BLOCK = 2
 SHARE = 20
 #: Benchmark text of one pass.
 PASS_BYTES = 32 << 20
+#: Words between two cursors of a scan.
+SEGMENT = 256
+_FIRST = np.uint64(0x9FB21C651E98DF25)
 
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(_FOLD).split() if text else []
+def words_of(column: pa.Array):
+    """Runs of texts as (first row, end row, lower-cased bytes, starts and ends of words, their hashes, first word of each text)."""
+    for lo, hi, data, off in vec.runs(column):
+        low = vec.LOWER[data]
+        starts, ends, at = vec.words(low, off, vec.ALNUM)
+        yield lo, hi, low, starts, ends, vec.span_hash(vec.prefix_hash(low), starts, ends), at
 
 
 class WuManber:
-    """Search tables of word patterns of one length."""
-
-    def __init__(self, m: int, patterns: dict[tuple, list]):
-        self.m, self.default = m, max(1, m - min(BLOCK, m) + 1)
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, list] = defaultdict(list)
-        b = min(BLOCK, m)
-        for p, owners in patterns.items():
-            for end in range(b, m + 1):
-                key, s = p[end - b : end], m - end
-                if s < self.shift.get(key, self.default):
-                    self.shift[key] = s
-            self.bucket[p[m - b :]].append((p, owners))
-
-    def scan(self, words: list[bytes], spans: list, items: set) -> None:
-        n, m, shift, default = len(words), self.m, self.shift, self.default
-        b = min(BLOCK, m)
-        pos = m
-        while pos <= n:
-            key = (words[pos - 2], words[pos - 1]) if b == 2 else (words[pos - 1],)
-            s = shift.get(key, default)
-            if s:
-                pos += s
-                continue
-            here = None
-            for p, owners in self.bucket[key]:
-                if p[0] == words[pos - m]:
-                    here = here or tuple(words[pos - m : pos])
-                    if p == here:
-                        spans.append((pos - m, pos))
-                        items.update(owners)
-            pos += 1
-
-
-def tables(items: list[tuple[str, bytes | None]], window: int = WINDOW) -> list[WuManber]:
-    by_length: dict[int, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        w = words_of(text)
-        if w:
-            k = min(window, len(w))
-            for i in range(len(w) - k + 1):
-                by_length[k][tuple(w[i : i + k])].append(item)
-    return [WuManber(m, p) for m, p in sorted(by_length.items())]
-
-
-def covered(spans: list) -> int:
-    total, reach = 0, 0
+    """Search tables of the windows of one length m, over the words of all items of a block."""
+
+    def __init__(self, m: int, first: np.ndarray, owner: np.ndarray, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """`first`: place of each window's first word; `owner`: number of its item; the rest describes the words."""
+        self.m, self.b = m, min(BLOCK, m)
+        self.default = max(1, m - self.b + 1)
+        self.data, self.starts, self.ends = data, starts, ends
+        bits = int(min(26, max(8, 3 + int(len(first)).bit_length())))
+        self.down = np.uint64(64 - bits)
+        self.shift = np.full(1 << bits, self.default, np.uint8 if self.default < 256 else np.int32)
+        for end in range(self.b, m + 1):  # far blocks first, so that the smallest shift stays
+            self.shift[self._block(h, first + end) >> self.down] = np.minimum(self.shift[self._block(h, first + end) >> self.down], m - end)
+        key = self._key(h, first + m)
+        order = np.argsort(key, kind="stable")
+        self.key, self.first, self.owner = key[order], first[order], owner[order]
+
+    def _block(self, h: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the block of words that ends before `end`."""
+        return vec.mix(h[end - 2] * _FIRST + h[end - 1]) if self.b == 2 else vec.mix(h[end - 1])
+
+    def _key(self, h: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The bucket of the suffix block in the high half, the hash of the words before it in the low half."""
+        rest = np.zeros(len(end), np.uint64)
+        for i in range(self.m - self.b):
+            rest = vec.mix(rest * _FIRST + h[end - self.m + i] + np.uint64(1))
+        return (self._block(h, end) >> np.uint64(32) << np.uint64(32)) | (rest >> np.uint64(32))
+
+    def candidates(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ends of the runs of m words within a text at which the shift table finds no reason to jump."""
+        m, n = self.m, np.diff(at)
+        pieces = np.where(n >= m, -(-(n - m + 1) // SEGMENT), 0)
+        text = np.repeat(np.arange(len(n)), pieces)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        pos = at[text] + m + nth * SEGMENT
+        stop = np.minimum(pos + SEGMENT, at[text + 1] + 1)
+        out = []
+        while len(pos):
+            jump = self.shift[self._block(h, pos) >> self.down].astype(np.int64)
+            out.append(pos[jump == 0])
+            pos = pos + np.maximum(jump, 1)
+            on = pos < stop
+            pos, stop = pos[on], stop[on]
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def scan(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, at: np.ndarray):
+        """(end of the occurrence, numbers of the items) of every window that occurs."""
+        end = self.candidates(h, at)
+        key = self._key(h, end)
+        lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+        for e, a, b in zip(*(x[lo < hi].tolist() for x in (end, lo, hi)), strict=True):
+            said = [low[starts[i] : ends[i]].tobytes() for i in range(e - self.m, e)]
+            same = [k for k in range(a, b) if self._words(k) == said]
+            if same:
+                yield e, self.owner[same]
+
+    def _words(self, k: int) -> list[bytes]:
+        f = self.first[k]
+        return [self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(f, f + self.m)]
+
+
+def tables(items: pa.Array, window: int = WINDOW) -> list[WuManber]:
+    """The search tables of items' texts; an item is known by its number."""
+    out: list[WuManber] = []
+    data, off = vec.buffers(items)
+    low = vec.LOWER[data[off[0] : off[-1]]] if len(off) else np.zeros(0, np.uint8)
+    off = off - off[0]
+    starts, ends, at = vec.words(low, off, vec.ALNUM)
+    h = vec.span_hash(vec.prefix_hash(low), starts, ends) if len(low) else np.zeros(0, np.uint64)
+    n = np.diff(at)
+    for m in np.unique(np.minimum(n[n > 0], window)).tolist():
+        mine = np.flatnonzero(np.minimum(n, window) == m)
+        windows = n[mine] - m + 1
+        first = np.repeat(at[mine], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        out.append(WuManber(m, first, np.repeat(mine, windows).astype(np.int32), h, low, starts, ends))
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
     for s, e in sorted(spans):
-        total += max(0, e - max(s, reach))
-        reach = max(reach, e)
-    return total
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
 
 
 def _blocks(benchmark: DataFrame, limit: int):
-    """The benchmark's items in blocks of about `limit` bytes, one on the driver at a time."""
+    """The benchmark's items (id, text) in Arrow tables of about `limit` bytes, one on the driver at a time."""
     b = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), F.col("text").cast("binary").alias("t"))
     size = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // limit) or 1
     for k in range(n):
         part = b if n == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, bytes(r.t) if r.t is not None else None) for r in part.collect()]
+        yield part.toArrow().combine_chunks(), n
+
+
+#: Search tables of the block that this Python worker used last.
+_LAST: dict = {}
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """`docs` with a struct column `found`: n_words, spans (word ranges) and item ids that occur."""
+    """`docs` with a struct column `found`: n_words, n_hit, spans (word ranges, apart from each other) and item ids that occur."""
     spark = docs.sparkSession
     small_batches(spark)
     found = T.StructType([
         T.StructField("n_words", T.LongType()),
+        T.StructField("n_hit", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
         T.StructField("items", T.ArrayType(T.StringType())),
     ])
     out = docs.withColumn("found", F.lit(None).cast(found))
     schema = out.schema
     at = docs.columns.index("text")
-    for block in _blocks(benchmark, pass_bytes):
+    for k, (block, n) in enumerate(_blocks(benchmark, pass_bytes)):
         shared = spark.sparkContext.broadcast(block)
 
-        def scan(batches, shared=shared):
-            engines = tables(shared.value, window)
+        def scan(batches, shared=shared, name=uuid.uuid4().hex):
+            ids = shared.value.column("i")
+            if name not in _LAST:
+                _LAST.clear()
+                _LAST[name] = tables(shared.value.column("t"), window)
+            engines = _LAST[name]
             for batch in batches:
-                rows = []
-                for text, old in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(batch.columns) - 1).to_pylist(), strict=True):
-                    w = words_of(text)
-                    spans = [tuple(x) for x in old["spans"]] if old else []
-                    items = set(old["items"]) if old else set()
-                    for e in engines:
-                        if len(w) >= e.m:
-                            e.scan(w, spans, items)
-                    rows.append({"n_words": len(w), "spans": spans, "items": sorted(items)})
+                column = batch.columns[at]
+                old = batch.column(len(batch.columns) - 1).to_pylist()
+                rows = [None] * batch.num_rows
+                for lo, hi, low, starts, ends, h, first in words_of(column):
+                    spans, items = {}, {}
+                    for engine in engines:
+                        for e, owners in engine.scan(low, starts, ends, h, first):
+                            i = int(np.searchsorted(first, e, "left")) - 1
+                            spans.setdefault(i, []).append((e - engine.m - int(first[i]), e - int(first[i])))
+                            items.setdefault(i, []).append(owners)
+                    for i in range(hi - lo):
+                        before = old[lo + i] or {"spans": [], "items": []}
+                        s, x = before["spans"], before["items"]
+                        if i in spans:
+                            s = merged([*map(tuple, s), *spans[i]])
+                            x = sorted({*x, *(ids[j].as_py() for j in np.unique(np.concatenate(items[i])).tolist())})
+                        rows[lo + i] = {"n_words": int(first[i + 1] - first[i]), "n_hit": sum(b - a for a, b in s), "spans": s, "items": x}
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, batch.schema.field(len(batch.columns) - 1).type)], schema=batch.schema)
 
         out = out.mapInArrow(scan, schema)
+        if k + 1 < n:  # a pass of its own, so that no task holds two blocks
+            out = stored(out)
     return out
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """`docs` with n_words, n_hit, items (sorted ids) and contaminated; every row and column stays."""
-    hit = F.udf(lambda s: covered(s), "long")
     s = search(neutral(docs), benchmark, window, pass_bytes)
-    # spans are few: only rows with some reach the Python function
-    n_hit = F.when(F.size("found.spans") > 0, hit("found.spans")).otherwise(F.lit(0).cast("long"))
-    s = s.select(*s.columns[:-1], F.col("found.n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("found.items").alias("items"))
-    s = restored(s, docs, ("n_words", "n_hit", "items", "contaminated"))
-    return s.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    s = s.select(*s.columns[:-1], "found.n_words", "found.n_hit", "found.items", ((F.col("found.n_hit") > 0) & (share * F.col("found.n_hit") >= F.col("found.n_words"))).alias("contaminated"))
+    return restored(s, docs, ("n_words", "n_hit", "items", "contaminated"))
 
 
 def digest(judged: DataFrame) -> DataFrame:
@@ -157,9 +217,7 @@ def digest(judged: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their own columns."""
     s = search(neutral(docs), benchmark)
-    hit = F.udf(lambda x: covered(x), "long")
-    n_hit = F.when(F.size("found.spans") > 0, hit("found.spans")).otherwise(F.lit(0).cast("long"))
-    return restored(s.where(~((n_hit > 0) & (SHARE * n_hit >= F.col("found.n_words")))).drop("found"), docs)
+    return restored(s.where(~((F.col("found.n_hit") > 0) & (SHARE * F.col("found.n_hit") >= F.col("found.n_words")))).drop("found"), docs)
 
 
 def brute_force(text: str | None, items: list[tuple[str, str | None]]) -> tuple[int, int, int, str, bool]:

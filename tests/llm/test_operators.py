@@ -56,10 +56,35 @@ def test_decontamination_keeps_columns_and_bears_empty_tables(spark, odd, none):
 
 
 def test_wu_manber_finds_overlapping_patterns():
-    t = decontaminate.WuManber(3, {(b"a", b"b", b"a"): ["x"], (b"b", b"a", b"b"): ["y"]})
-    spans, items = [], set()
-    t.scan([b"a", b"b", b"a", b"b", b"z"], spans, items)
-    assert (spans, items) == ([(0, 3), (1, 4)], {"x", "y"})
+    engine = decontaminate.tables(pa.array([b"a b a", None, b"B, a b"]))[0]
+    (_, _, *words), = decontaminate.words_of(pa.array(["a b a b z", ""]))
+    low, starts, ends, h, at = words
+    assert sorted((e, o.tolist()) for e, o in engine.scan(low, starts, ends, h, at)) == [(3, [0]), (4, [2])]
+
+
+def test_wu_manber_jumps_over_positions_and_misses_none():
+    rng = np.random.default_rng(1)
+    say = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 2000, n))
+    items = [say(n) for n in (40, 13, 7, 3, 1, 300)]
+    texts = [say(3000) + " " + x + " " + say(700) for x in items for _ in range(3)] + [items[0] * 2, "", "w1"]
+    engines = decontaminate.tables(pa.array(items))
+    got, looked = [[0, set()] for _ in texts], 0
+    for lo, _, low, starts, ends, h, at in decontaminate.words_of(pa.array(texts)):
+        for engine in engines:
+            looked += len(engine.candidates(h, at)) if engine.m == 13 else 0
+            for e, owners in engine.scan(low, starts, ends, h, at):
+                got[lo + int(np.searchsorted(at, e, "left")) - 1][1] |= set(owners.tolist())
+    for t, (_, found) in zip(texts, got, strict=True):
+        assert found == {i for i, x in enumerate(items) if any(f" {' '.join(x.split()[k : k + 13])} " in f" {t} " for k in range(max(1, len(x.split()) - 12)))}
+    assert looked < 3000  # of 67,000 places
+
+
+def test_decontamination_tables_are_small():
+    text = pa.array([" ".join(f"word{(i * j) % 9973}" for j in range(2000)) for i in range(1, 120)])
+    size = sum(len(x) for x in text.to_pylist())
+    (t,) = decontaminate.tables(text)
+    held = sum(x.nbytes for x in (t.shift, t.key, t.first, t.owner, t.data, t.starts, t.ends))
+    assert held < 12 * size
 
 
 # chat
