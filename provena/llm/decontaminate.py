@@ -36,7 +36,7 @@ BLOCK = 2
 #: A document is contaminated from this share of hit words on: SHARE * n_hit >= n_words.
 SHARE = 20
 #: Benchmark text of one pass.
-PASS_BYTES = 32 << 20
+PASS_BYTES = 16 << 20
 #: Words between two cursors of a scan.
 SEGMENT = 256
 _FIRST = np.uint64(0x9FB21C651E98DF25)
@@ -61,8 +61,10 @@ class WuManber:
         bits = int(min(26, max(8, 3 + int(len(first)).bit_length())))
         self.down = np.uint64(64 - bits)
         self.shift = np.full(1 << bits, self.default, np.uint8 if self.default < 256 else np.int32)
-        for end in range(self.b, m + 1):  # far blocks first, so that the smallest shift stays
-            self.shift[self._block(h, first + end) >> self.down] = np.minimum(self.shift[self._block(h, first + end) >> self.down], m - end)
+        place = (self._block(h, np.arange(self.b, len(h) + 1)) >> self.down).astype(np.int32)
+        for end in range(self.b, m + 1):
+            at = place[first + (end - self.b)]
+            self.shift[at] = np.minimum(self.shift[at], m - end)
         key = self._key(h, first + m)
         order = np.argsort(key, kind="stable")
         self.key, self.first, self.owner = key[order], first[order], owner[order]
@@ -114,16 +116,19 @@ class WuManber:
 def tables(items: pa.Array, window: int = WINDOW) -> list[WuManber]:
     """The search tables of items' texts; an item is known by its number."""
     out: list[WuManber] = []
-    data, off = vec.buffers(items)
-    low = vec.LOWER[data[off[0] : off[-1]]] if len(off) else np.zeros(0, np.uint8)
-    off = off - off[0]
-    starts, ends, at = vec.words(low, off, vec.ALNUM)
-    h = vec.span_hash(vec.prefix_hash(low), starts, ends) if len(low) else np.zeros(0, np.uint64)
+    # words are hashed run by run, so that the whole block is never held in wide numbers
+    parts = list(words_of(items))
+    base = np.cumsum([0, *(len(p[2]) for p in parts)])
+    low = np.concatenate([p[2] for p in parts] or [np.zeros(0, np.uint8)])
+    starts, ends = (np.concatenate([p[i] + b for p, b in zip(parts, base, strict=False)] or [np.zeros(0, np.int64)]).astype(np.int32) for i in (3, 4))
+    h = np.concatenate([p[5] for p in parts] or [np.zeros(0, np.uint64)])
+    at = np.cumsum(np.concatenate([[0], *(np.diff(p[6]) for p in parts)])).astype(np.int64)
+    del parts
     n = np.diff(at)
     for m in np.unique(np.minimum(n[n > 0], window)).tolist():
         mine = np.flatnonzero(np.minimum(n, window) == m)
         windows = n[mine] - m + 1
-        first = np.repeat(at[mine], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        first = (np.repeat(at[mine], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
         out.append(WuManber(m, first, np.repeat(mine, windows).astype(np.int32), h, low, starts, ends))
     return out
 
