@@ -1,23 +1,29 @@
 """Chat formatting with schema fingerprints; DataFrame functions only.
 
-A record's layout is known by a hash of its nested field paths.  `LAYOUTS` maps such hashes to
-declarative mappings, SQL expressions that turn the record into canonical turns
-(turn, role, text).  Typed tables are fingerprinted once by their schema, JSON records one by
-one through `schema_of_variant`; both give the same hash for the same paths.
+A record's layout is known by a hash of its nested field paths.  Of a record's paths those count that
+some layout names; sorted, joined and hashed they are its fingerprint, whether they come from the
+schema of a typed table (once for the table) or from a JSON record (one by one).  One table, `mappings`,
+leads from the fingerprint to a declarative mapping, an SQL expression that turns the record into
+canonical turns (turn, role, text).  A layout has one fingerprint for each set of its optional paths
+that may be absent, so fields that no layout knows, empty lists and missing optional fields do no harm.
 
 The template writes a turn as `[INST]role[/INST]text</s>` after one `<s>`.  A control string inside
 a text gets a backslash after its first character (one more when it has some already), which
 is undone exactly when the output is read back.  The loss mask marks assistant texts.
 
 Defined cases: null roles and texts are empty; turns are in order of (turn, role, text), nulls
-first; repeated turns stay; a null conversation id is one conversation; records of an unknown layout
-are returned by `unknown`, never dropped; extra columns are ignored; an empty table gives no rows.
+first; repeated turns stay; a null conversation id is one conversation; records of an unknown layout,
+of a mixture of layouts, or that aren't JSON, are returned by `unknown`, never dropped; a typed table of
+an unknown layout is refused; extra columns and fields are ignored; a record without turns gives none;
+an empty table gives no rows; long texts are formatted whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -27,103 +33,135 @@ CONTROL_ESCAPED = r"([<\[])\\(\\*)(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])"
 START, TURN, MID, END = "<s>", "[INST]", "[/INST]", "</s>"
 
 
-def paths(schema: T.DataType, prefix: str = "") -> list[str]:
-    """Nested field paths; array items are `[]`."""
-    if isinstance(schema, T.StructType):
-        return [p for f in schema for p in [f"{prefix}.{f.name}", *paths(f.dataType, f"{prefix}.{f.name}")]]
-    if isinstance(schema, T.ArrayType):
-        return paths(schema.elementType, prefix + "[]")
-    return []
-
-
-def fingerprint(schema: T.DataType) -> str:
-    """Hash of the sorted field paths of a typed layout."""
-    return hashlib.sha256(";".join(sorted(paths(schema))).encode()).hexdigest()
-
-
 @dataclass(frozen=True)
 class Layout:
-    """`like`: a DDL with the layout's field paths; `turns`: array<struct<turn, role, text>> over `r`."""
+    """`like`: a DDL with the layout's fields; `turns`: array<struct<turn, role, text>> over `r`; `optional`: paths that may be absent."""
 
     name: str
     like: str
     turns: str
+    optional: tuple[str, ...] = ()
 
     @property
-    def key(self) -> str:
-        return fingerprint(T._parse_datatype_string(self.like))
+    def fields(self) -> T.StructType:
+        return T._parse_datatype_string(self.like)
 
 
 def _turn(i: int, role: str, text: str) -> str:
     return f"named_struct('turn', {i}L, 'role', '{role}', 'text', {text})"
 
 
-_SAY = "transform({a}, (m, i) -> named_struct('turn', cast(i AS bigint), 'role', m.{r}, 'text', m.{t}))"
+_SAY = "transform({a}, (m, i) -> named_struct('turn', cast(i AS bigint), 'role', {r}, 'text', m.{t}))"
 _ASKED = r"concat_ws('\n', r.instruction, nullif(r.input, ''))"
+_NAMES = "CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END"
+_SYSTEM = f"filter(array({_turn(0, 'system', 'r.system')}), t -> t.text IS NOT NULL)"
 #: The layouts that are understood, with their mappings.
 LAYOUTS = [
     Layout("turn rows", "conv_id bigint, turn bigint, role string, text string", "array(named_struct('turn', r.turn, 'role', r.role, 'text', r.text))"),
-    Layout("messages", "conv_id bigint, messages array<struct<role: string, content: string>>", _SAY.format(a="r.messages", r="role", t="content")),
-    Layout("conversations", "conv_id bigint, conversations array<struct<from: string, value: string>>",
-           "transform(r.conversations, (m, i) -> named_struct('turn', cast(i AS bigint), 'role', CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END, 'text', m.value))"),
-    Layout("prompt", "conv_id bigint, prompt string, response string", f"array({_turn(0, 'user', 'r.prompt')}, {_turn(1, 'assistant', 'r.response')})"),
-    Layout("instruction", "conv_id bigint, instruction string, input string, output string",
-           f"array({_turn(0, 'user', _ASKED)}, {_turn(1, 'assistant', 'r.output')})"),
-    Layout("system prompt", "conv_id bigint, system string, prompt string, response string",
-           f"array({_turn(0, 'system', 'r.system')}, {_turn(1, 'user', 'r.prompt')}, {_turn(2, 'assistant', 'r.response')})"),
+    Layout("messages", "conv_id bigint, messages array<struct<role: string, content: string>>", _SAY.format(a="r.messages", r="m.role", t="content"),
+           (".messages[].role", ".messages[].content")),
+    Layout("conversations", "conv_id bigint, conversations array<struct<from: string, value: string>>", _SAY.format(a="r.conversations", r=_NAMES, t="value"),
+           (".conversations[].from", ".conversations[].value")),
+    Layout("dialog", "conv_id bigint, data struct<turns: array<struct<speaker: string, text: string>>>", _SAY.format(a="r.data.turns", r="m.speaker", t="text"),
+           (".data.turns[].speaker", ".data.turns[].text")),
+    Layout("prompt", "conv_id bigint, system string, prompt string, response string",
+           f"concat({_SYSTEM}, array({_turn(1, 'user', 'r.prompt')}, {_turn(2, 'assistant', 'r.response')}))", (".system",)),
+    Layout("instruction", "conv_id bigint, system string, instruction string, input string, output string",
+           f"concat({_SYSTEM}, array({_turn(1, 'user', _ASKED)}, {_turn(2, 'assistant', 'r.output')}))", (".system", ".input")),
 ]
 
 
-def from_table(df: DataFrame) -> DataFrame:
-    """Canonical turns (conv_id, turn, role, text) of a typed table; its schema picks the mapping.
-
-    Columns that no layout names are left out of the fingerprint; a mixture of layouts is refused.
-    """
-    known = {f.name for lay in LAYOUTS for f in T._parse_datatype_string(lay.like)}
-    key = fingerprint(df.select(*[f"`{c}`" for c in df.columns if c in known]).schema)
-    for lay in LAYOUTS:
-        if key == lay.key:
-            if lay.name == "turn rows":  # one turn a row: no array to build
-                return df.select("conv_id", "turn", "role", "text")
-            r = df.select("conv_id", F.struct(*[f.name for f in T._parse_datatype_string(lay.like)]).alias("r"))
-            return r.select("conv_id", F.explode(F.expr(lay.turns)).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
-    raise ValueError("no layout has these field paths: " + ", ".join(df.columns))
-
-
-def record_key(record: str = "record") -> Column:
-    """The fingerprint of a JSON record, from the schema of its variant."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    # OBJECT<a: STRING, b: ARRAY<OBJECT<c: STRING>>> to a sorted list of paths
-    text = F.regexp_replace(shape, r"\b(STRING|BIGINT|VOID|BOOLEAN|DOUBLE|DECIMAL\(\d+,\d+\)|VARIANT)\b", "")
-    return F.sha2(F.regexp_replace(text, r"\s", ""), 256)
-
-
-def _shape(schema: T.DataType) -> str:
+def paths(schema: T.DataType, prefix: str = "") -> list[str]:
+    """Nested field paths; array items are `[]`."""
     if isinstance(schema, T.StructType):
-        return "OBJECT<" + ",".join(f"{f.name}:{_shape(f.dataType)}" for f in sorted(schema, key=lambda f: f.name)) + ">"
+        return [p for f in schema for p in [f"{prefix}.{f.name}", *paths(f.dataType, f"{prefix}.{f.name}")]]
     if isinstance(schema, T.ArrayType):
-        return f"ARRAY<{_shape(schema.elementType)}>"
-    return ""
+        return paths(schema.elementType, prefix + "[]")
+    return []
+
+
+@cache  # a DDL is parsed by the session
+def known_paths() -> list[str]:
+    """All paths that some layout names."""
+    return sorted({p for lay in LAYOUTS for p in paths(lay.fields)})
+
+
+def fingerprint(found: list[str]) -> str:
+    """Hash of those of the paths that some layout names, sorted."""
+    return hashlib.sha256(";".join(sorted(set(found) & set(known_paths()))).encode()).hexdigest()
+
+
+@cache
+def mappings() -> dict[str, int]:
+    """Number of the layout for each fingerprint that it can have; two layouts never share one."""
+    out: dict[str, int] = {}
+    for i, lay in enumerate(LAYOUTS):
+        for k in range(len(lay.optional) + 1):
+            for gone in combinations(lay.optional, k):
+                if out.setdefault(fingerprint([p for p in paths(lay.fields) if p not in gone]), i) != i:
+                    raise ValueError(f"{lay.name} and {LAYOUTS[i].name} can't be told apart")
+    return out
+
+
+def _turns_of(number: Column | None, layout: int | None = None) -> Column:
+    """The turns of the record `r` by its layout's mapping."""
+    if layout is not None:
+        return F.expr(LAYOUTS[layout].turns)
+    out = F.when(number == 0, F.expr(LAYOUTS[0].turns))
+    for i, lay in enumerate(LAYOUTS[1:], 1):
+        out = out.when(number == i, F.expr(lay.turns))
+    return out
+
+
+def from_table(df: DataFrame) -> DataFrame:
+    """Canonical turns (conv_id, turn, role, text) of a typed table; the fingerprint of its schema picks the mapping."""
+    layout = mappings().get(fingerprint(paths(df.schema)))
+    if layout is None:
+        raise ValueError("no layout has these field paths: " + ", ".join(df.columns))
+    if layout == 0:  # one turn a row: no array to build
+        return df.select("conv_id", "turn", "role", "text")
+    names = set(df.columns)
+    r = df.select("conv_id", F.struct(*[F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in LAYOUTS[layout].fields]).alias("r"))
+    return r.select("conv_id", F.explode(_turns_of(None, layout)).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+
+
+def record_paths(record: str | Column = "record") -> Column:
+    """Those field paths of a JSON record that some layout names; a list's are those of any of its items."""
+    record = F.col(record) if isinstance(record, str) else record
+    keys = lambda at: F.coalesce(F.json_object_keys(at), F.array().cast("array<string>"))
+    below = lambda found, up: F.transform(found, lambda k: F.concat(F.lit(up + "."), k))
+    parts = [below(keys(record), "")]
+    for up in sorted({p.rpartition(".")[0] for p in known_paths()} - {""}):
+        inside = F.get_json_object(record, "$" + up.removesuffix("[]"))
+        if up.endswith("[]"):
+            items = F.from_json(inside, "array<map<string, string>>")
+            found = F.coalesce(F.flatten(F.transform(F.filter(items, lambda m: m.isNotNull()), lambda m: F.map_keys(m))), F.array().cast("array<string>"))
+        else:
+            found = keys(inside)
+        parts.append(below(found, up))
+    return F.array_sort(F.array_intersect(F.concat(*parts), F.array(*map(F.lit, known_paths()))))
+
+
+def record_key(record: str | Column = "record") -> Column:
+    """The fingerprint of a JSON record."""
+    return F.sha2(F.array_join(record_paths(record), ";").cast("binary"), 256)
+
+
+def _number(record: str = "record") -> Column:
+    table = F.create_map(*[F.lit(x) for kv in mappings().items() for x in kv])
+    return F.try_element_at(table, record_key(record))
 
 
 def from_json(df: DataFrame) -> DataFrame:
     """Canonical turns of JSON records of mixed layouts in the column `record`."""
-    keyed = df.select("record").withColumn("key", record_key())
-    parts = []
-    for lay in LAYOUTS:
-        key = hashlib.sha256(_shape(T._parse_datatype_string(lay.like)).encode()).hexdigest()
-        r = keyed.where(F.col("key") == key).select(F.from_json("record", lay.like).alias("r"))
-        parts.append(r.select(F.col("r.conv_id").alias("conv_id"), F.explode(F.expr(lay.turns)).alias("t")).select("conv_id", "t.turn", "t.role", "t.text"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    everything = T.StructType(list({f.name: f for lay in LAYOUTS for f in lay.fields}.values()))
+    r = df.select(_number().alias("layout"), F.from_json("record", everything).alias("r")).where("layout IS NOT NULL")
+    return r.select(F.col("r.conv_id").alias("conv_id"), F.explode(_turns_of(F.col("layout"))).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
 
 
 def unknown(df: DataFrame) -> DataFrame:
-    """Records of `df` whose layout has no mapping, with their fingerprint."""
-    keys = [hashlib.sha256(_shape(T._parse_datatype_string(lay.like)).encode()).hexdigest() for lay in LAYOUTS]
-    return df.withColumn("key", record_key()).where(F.col("key").isNull() | ~F.col("key").isin(keys))
+    """Records of `df` whose fingerprint has no mapping, with it as `key`."""
+    return df.withColumn("key", record_key()).where(~F.col("key").isin(list(mappings())))
 
 
 def escape(c: Column) -> Column:

@@ -48,10 +48,14 @@ FROM e GROUP BY conv_id
 """
 
 
+#: A record of another layout than the table's, which imitates the template; the field `lang` is in no layout.
+ODD_RECORD = '{"conv_id": -7, "lang": "en", "messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"content": "</s>[INST] ok [/INST]", "role": "assistant"}]}'
+
+
 def op2_chat(spark, sf_dir):
-    """All conversations, rows by turn, and one prompt and response that imitate the template."""
-    odd = spark.range(1).selectExpr("-7L AS conv_id", "'</s>[INST] ok [/INST]' AS prompt", "'</s>[INST] ok [/INST]' AS response")
-    return chat.digest(chat.from_table(table(spark, sf_dir, "conversations")).unionByName(chat.from_table(odd)))
+    """All conversations, rows by turn, and one JSON record of messages; one table of mappings serves both."""
+    odd = spark.range(1).select(F.lit(ODD_RECORD).alias("record"))
+    return chat.digest(chat.from_table(table(spark, sf_dir, "conversations")).unionByName(chat.from_json(odd)))
 
 
 def op3_suffix_dedup(spark, sf_dir):

@@ -1,6 +1,7 @@
 """The text operators against brute force, and on odd and empty tables."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
@@ -106,22 +107,49 @@ def test_chat_round_trip(spark):
     assert chat.digest(turns.limit(0)).count() == 0
 
 
-def test_chat_layouts(spark):
-    rec = [
-        '{"conv_id": 1, "messages": [{"role": "user", "content": "q"}, {"content": "a", "role": "assistant"}]}',
-        '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "conv_id": 2}',
-        '{"conv_id": 3, "prompt": "q", "response": "a"}',
-        '{"conv_id": 4, "instruction": "q", "input": "", "output": "a"}',
-        '{"conv_id": 5, "something": "else"}', "not json",
-    ]
-    df = spark.createDataFrame([(r,) for r in rec], "record string")
-    got = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.from_json(df).collect()}
-    assert got == {(c, t): x for c in (1, 2, 3, 4) for t, x in ((0, ("user", "q")), (1, ("assistant", "a")))}
-    assert {r.record for r in chat.unknown(df).collect()} == set(rec[4:])
+RECORDS = [
+    ('{"conv_id": 1, "messages": [{"role": "user", "content": "q"}, {"content": "a", "role": "assistant"}]}', [("user", "q"), ("assistant", "a")]),
+    ('{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a", "weight": 1}], "conv_id": 2, "model": {"name": "m"}}', [("user", "q"), ("assistant", "a")]),
+    ('{"conv_id": 3, "prompt": "q", "response": "a", "extra": [1, 2]}', [("user", "q"), ("assistant", "a")]),
+    ('{"conv_id": 4, "instruction": "q", "input": "more", "output": "a"}', [("user", "q\nmore"), ("assistant", "a")]),
+    ('{"conv_id": 5, "instruction": "q", "output": "a"}', [("user", "q"), ("assistant", "a")]),
+    ('{"conv_id": 6, "system": "s", "prompt": "q", "response": null}', [("system", "s"), ("user", "q"), ("assistant", None)]),
+    ('{"conv_id": 7, "messages": []}', []),
+    ('{"conv_id": 8, "messages": [{"role": "user"}, {"content": "a"}]}', [("user", None), (None, "a")]),
+    ('{"conv_id": 9, "data": {"turns": [{"speaker": "user", "text": "q"}], "n": 1}}', [("user", "q")]),
+    ('{"conv_id": 10, "turn": 4, "role": "user", "text": "q"}', [("user", "q")]),
+    ('{"conv_id": 11, "system": "s", "instruction": "q", "input": "", "output": "a"}', [("system", "s"), ("user", "q"), ("assistant", "a")]),
+]
+STRANGE = ['{"conv_id": 5, "something": "else"}', "not json", None, "[]", '{"conv_id": 1, "prompt": "q", "response": "a", "instruction": "i", "output": "o"}', '{"conv_id": 1, "prompt": "q"}']
+
+
+def test_chat_mixed_layouts(spark):
+    df = spark.createDataFrame([(r,) for r in [x for x, _ in RECORDS] + STRANGE], "record string").withColumn("conv_id", F.lit("clash"))
+    got = {}
+    for r in chat.from_json(df).orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {i: turns for i, (_, turns) in enumerate(RECORDS, 1) if turns}
+    left = [r.record for r in chat.unknown(df).collect()]
+    assert sorted(left, key=str) == sorted(STRANGE, key=str)
     with pytest.raises(ValueError, match="no layout"):
         chat.from_table(spark.range(1))
 
 
+def test_chat_fingerprints_of_tables_and_records_agree(spark):
+    for lay in chat.LAYOUTS:
+        row = spark.createDataFrame([], lay.like).schema
+        empty = lambda t: {f.name: empty(f.dataType) for f in t} if hasattr(t, "fields") else [empty(t.elementType)] if hasattr(t, "elementType") else "x"
+        record = spark.createDataFrame([(json.dumps(empty(row)),)], "record string").select(chat.record_key().alias("k")).first().k
+        assert record == chat.fingerprint(chat.paths(row))
+        assert chat.mappings()[record] == chat.LAYOUTS.index(lay)
+
+
+def test_chat_long_texts(spark):
+    said = "</s>x[INST]" * 20_000
+    back = chat.read_back(chat.formatted(spark.createDataFrame([(1, 0, "assistant", said), (1, 1, "user", said)], "conv_id long, turn long, role string, text string"))).first()
+    assert (back.loss_text, back.turns[1].text) == (said, said)
+
+
 # suffix sorting
 
 
@@ -537,13 +565,16 @@ def test_chat_typed_table_of_each_layout(spark, name):
         "turn rows": ((1, 0, "user", "q"), said[:1]),
         "messages": ((1, said), said),
         "conversations": ((1, [("human", "q"), ("gpt", "a")]), said),
-        "prompt": ((1, "q", "a"), said),
-        "instruction": ((1, "q", "", "a"), said),
-        "system prompt": ((1, "s", "q", "a"), [("system", "s"), *said]),
+        "dialog": ((1, (said,)), said),
+        "prompt": ((1, "s", "q", "a"), [("system", "s"), *said]),
+        "instruction": ((1, None, "q", "", "a"), said),
     }[name]
     lay = next(x for x in chat.LAYOUTS if x.name == name)
     df = spark.createDataFrame([record], lay.like).withColumn("other", F.lit(1))
-    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.from_table(df).collect()) == [(1, i, *x) for i, x in enumerate(want)]
+    tables = [df] + ([df.drop("system")] if "system" in df.columns else [])
+    for d in tables:
+        got = [(r.conv_id, r.role, r.text) for r in chat.from_table(d).orderBy("turn").collect()]
+        assert got == [(1, *x) for x in (want if d is df else said)]
 
 
 def test_chat_refuses_a_mixture_of_layouts(spark):
