@@ -1,16 +1,18 @@
 """A corpus from raw documents to shards, in stages that each read what the one before wrote.
 
 A stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their own columns; the last
-adds `shard` and `slot`.  Nulls, empty texts, repeated rows and empty tables have the results that the
+adds `shard` and `slot`, by which a shard's repeated readings of a document lie apart.  Nulls, empty texts, repeated rows and empty tables have the results that the
 operators state.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from provena.llm import decontaminate, mixing, neardup, shard, toxicity
-from provena.session import stored, table
+from provena.session import discard, run_folder, scratch, stored, table
 
 SHARDS = 40
 #: Likeness in percent from which documents are near copies; `op8_neardup` has its own.
@@ -55,10 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+    """All stages over the documents, each written as Parquet and read again by the next.
+
+    What a stage stores for itself goes when its output is written, its input when the next output is;
+    what the last stage stores stays until the application ends.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = f"{run_folder(spark)}/stage-{k}-{uuid.uuid4().hex[:12]}"
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), outside=path)
+        discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,7 @@ def build(master: str | None = None, app: str = "provena", **conf: str) -> Spark
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
@@ -31,16 +34,64 @@ def build(master: str | None = None, app: str = "provena", **conf: str) -> Spark
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`.
+
+    Only a local session, as in tests, may leave it unset; a cluster's executors don't see the driver's disk.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return place or f"{tempfile.gettempdir()}/provena-checkpoints"
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder, or that of the innermost `scratch`; it goes when the application ends."""
+    if _scratch:
+        return _scratch[-1]
+    path = f"{shared_folder(spark)}/provena-{spark.sparkContext.applicationId}"
+    fs, where = _files(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables stored inside go at the end; what is returned from inside must be stored `outside`."""
+    path = f"{run_folder(spark)}/scratch-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    try:
+        yield path
+    finally:
+        _scratch.remove(path)
+        discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Remove a stored table or folder."""
+    if path:
+        fs, where = _files(spark, path)
+        fs.delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder the cluster names.
+    """Cut lineage through a reliable checkpoint in the shared folder; it survives lost executors.
 
-    `spark.checkpoint.dir` is read from the session; only when it is unset (tests,
-    laptops) is a fresh folder chosen.  The result survives lost executors.
+    A checkpoint folder that the application has set is left as it is.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(place or f"{tempfile.gettempdir()}/provena-checkpoints-{uuid.uuid4().hex[:8]}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or f"{run_folder(df.sparkSession)}/checkpoints")
     return df.checkpoint(eager=True)
 
 
@@ -49,18 +100,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; `spark.checkpoint.dir` where the cluster names one."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return place or f"{tempfile.gettempdir()}/provena-checkpoints"
+def stored(df: DataFrame, outside: str | None = None) -> DataFrame:
+    """Cut lineage by a compressed table in the run's folder; smaller than a checkpoint for wide rows.
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage by a compressed table in the shared folder; smaller than a checkpoint for wide rows."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/provena-{uuid.uuid4().hex}"
+    `outside` names a path that is not the scratch folder's.
+    """
+    path = outside or f"{run_folder(df.sparkSession)}/table-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows and bytes of one Arrow batch, so that a Python worker holds little at a time.
