@@ -18,7 +18,8 @@ with partial sums.
 
 Defined cases: null and empty texts have no bytes and hash as nothing; texts under LENGTH bytes are kept
 whole; equal texts of LENGTH bytes or more are removed whole; repeated rows count as other places;
-a null doc_id is kept as it is; an empty table gives no rows.
+a null doc_id is kept as it is; long texts are judged whole; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -365,7 +366,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     heated = some.select("sha", "text", pick(True).alias("cand")).where(F.size("cand") > 0)
     if not heated.isEmpty():
         rec = stored(heated.mapInArrow(_cut(length), _RECORD))
-        win = rec.where("chunk is not null").mapInArrow(_windows(length), "d binary, sha binary, s int")
+        win = stored(rec.where("chunk is not null").mapInArrow(_windows(length), "d binary, sha binary, s int"))
         here = F.xxhash64("sha", "s")
         many = win.groupBy("d").agg(F.min(here).alias("l"), F.max(here).alias("h")).where("l <> h").select("d")
         spans = spans.unionByName(win.join(many, "d").select("sha", "s", (F.col("s") + length).alias("e")))
