@@ -12,8 +12,10 @@ from the sparsest level on at which half the sub-lexicons are in use.
 
 Defined cases: null and empty texts have a fingerprint of empty sets and are fully like each other;
 a text without terms of the band is fingerprinted by all its terms; equal texts have equal
-fingerprints; documents follow by descending doc_id, repeated ids by text, null ids come last; one document
-alone is its own next; an empty table gives no rows.
+fingerprints; documents follow by descending doc_id, repeated ids by text; null ids come last, by the
+CRC of the text, then the text, in ranges of their own; one document alone is its own next; a long text
+is fingerprinted whole; extra columns are kept by `fingerprints`, but for one of that name, and ignored
+by `edited`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -121,7 +123,8 @@ def fingerprints(docs: DataFrame, lex: np.ndarray | None = None) -> DataFrame:
     return docs.mapInArrow(run, docs.withColumn("fingerprint", F.lit("")).schema)
 
 
-#: Text bytes of one range of ids, and the most ranges.
+#: Text bytes of one range of ids, and the most ranges.  A range is a sorted stream of rows, never held whole,
+#: so beyond MAX_RANGES * RANGE_BYTES tasks grow longer, not larger.
 RANGE_BYTES, MAX_RANGES = 4 << 20, 20_000
 
 
@@ -132,24 +135,27 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     first text of the following range, and the last range with the first text of all.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(MAX_RANGES, total // RANGE_BYTES + 1))
+    size = F.octet_length("text")
+    total, loose = d.agg(F.sum(size), F.sum(F.when(F.col("doc_id").isNull(), size))).first()
+    n, m = (int(min(MAX_RANGES, (x or 0) // RANGE_BYTES + 1)) for x in (total, loose))
     cuts = d.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], max(10_000, 10 * n))).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64)) if n > 1 else np.zeros(0, np.int64)
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
-        # ascending numbers follow descending ids; null ids come last
-        at = len(bounds) - np.searchsorted(bounds, ids.fillna(0).astype("int64"), "left")
-        return pd.Series(np.where(ids.isna(), len(bounds) + 1, at).astype(np.int32))
-
-    d = d.select(place("doc_id").alias("range"), "doc_id", "text")
-    heads = sorted((r.range, r.head) for r in d.groupBy("range").agg(F.max("doc_id").alias("head")).collect())
-    follow = docs.sparkSession.createDataFrame([(a[0], b[1]) for a, b in zip(heads, heads[1:] + heads[:1], strict=True)], "to int, head long")
-    firsts = d.join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("to").agg(F.min("text").alias("text"))
-    rows = d.withColumn("last", F.lit(0)).unionByName(firsts.select(F.col("to").alias("range"), F.lit(1).alias("last"), F.lit(None).cast("long").alias("doc_id"), "text"))
-    rows = rows.select("range", "last", "doc_id", "text").repartition("range")
-    return rows.sortWithinPartitions("range", "last", F.col("doc_id").desc_nulls_last(), "text")
+        # ascending numbers follow descending ids
+        return pd.Series((len(bounds) - np.searchsorted(bounds, ids.fillna(0).astype("int64"), "left")).astype(np.int32))
+
+    # rows without an id are in order of their text's CRC, and dealt by it
+    mark = F.when(F.col("doc_id").isNull(), F.crc32(F.col("text").cast("binary"))).otherwise(F.lit(0).cast("long"))
+    at = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1) + F.shiftright(F.col("mark") * m, 32).cast("int")).otherwise(place("doc_id"))
+    d = d.withColumn("mark", mark).select(at.alias("range"), "doc_id", "mark", "text")
+    heads = sorted((r.range, r.head, r.mark) for r in d.groupBy("range").agg(F.max("doc_id").alias("head"), F.min("mark").alias("mark")).collect())
+    follow = docs.sparkSession.createDataFrame([(a[0], *b[1:]) for a, b in zip(heads, heads[1:] + heads[:1], strict=True)], "to int, head long, first long")
+    firsts = d.join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("mark") == F.col("first"))).groupBy("to").agg(F.min("text").alias("text"))
+    rows = d.withColumn("last", F.lit(0)).unionByName(firsts.select(F.col("to").alias("range"), F.lit(1).alias("last"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), "text"))
+    rows = rows.repartition("range").sortWithinPartitions("range", "last", F.col("doc_id").desc_nulls_last(), "mark", "text")
+    return rows.select("range", "last", "doc_id", "text")
 
 
 def edited(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ on full sets, so a pair of linked documents is not lost to the choice of a centr
 
 Defined cases: null, empty and white-space texts have an empty set and no links; fewer than five
 words are one shingle; a null doc_id takes part and gets the least id of its component (null when
-there is none); repeated rows are judged alike; an empty table gives no rows.
+there is none); repeated rows are judged alike; long texts are compared whole; extra columns are kept by
+`clean` and ignored by `groups`; an empty table gives no rows.
 """
 
 from __future__ import annotations
