@@ -8,8 +8,9 @@ that are not zero, so the model is a small array that is shipped with the scorin
 
 Only `text` is read for a score.  Defined cases: null and empty texts get the score of the bias
 alone; rows without a label, or with a null one, don't train; a document labelled twice trains
-twice; a training set without both classes gives the score 0.5 less a margin everywhere; extra
-columns of the documents are kept.
+twice; without any training row every score is 0.5; a long text is scored whole; equal texts have
+equal scores; an empty table gives no rows; extra columns of the documents are kept, but for those
+named score and predicted, which `score` replaces and `clean` keeps.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from provena.llm import vec
-from provena.session import small_batches
+from provena.session import small_batches, stored
 
 BITS = 20
 #: Bound of the training sample, in labelled rows: those of the lowest hash of id and text.
@@ -105,8 +106,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
     spark = docs.sparkSession
     small_batches(spark)
     shards = max(1, -(-min(sample_rows, labels.count()) // shard_rows))
+
+    def places(batches):
+        for batch in batches:
+            f = distinct(batch.column(0))
+            at = np.cumsum([0, *map(len, f)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(at, np.concatenate(f) if f else np.zeros(0, np.int32))], names=["y", "k", "shard", "f"])
+
     rows = labelled(docs, labels, sample_rows).withColumn("shard", F.pmod("k", F.lit(shards)).cast("int"))
-    rows = rows.repartition(shards, "shard").cache()
+    # features are hashed once; a shard is the partition of its number
+    rows = stored(rows.mapInArrow(places, "y int, k long, shard int, f array<int>")).repartitionById(shards, "shard").cache()
     index, weight, seen, bias = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0.0
     for r in range(rounds):
         state = spark.sparkContext.broadcast((index, weight, seen, bias))
@@ -114,8 +123,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
         def fit(batches, state=state, r=r):
             groups: dict[int, list] = {}
             for batch in batches:
-                for s, k, y, f in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist(), distinct(batch.column(0)), strict=True):
-                    groups.setdefault(s, []).append((k, y, f))
+                lists = batch.column(3)
+                at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+                for s, k, y, lo, hi in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                    groups.setdefault(s, []).append((k, y, flat[lo:hi].copy()))
             for s, g in sorted(groups.items()):
                 g.sort(key=lambda x: (x[0], x[1], len(x[2])))
                 at, w, seen, b = state.value

@@ -439,6 +439,77 @@ def test_imatch_edits(spark, docs, monkeypatch):
     assert got.near_edited.between(0, 1).all()
 
 
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def test_imatch_brute_force(spark, docs, odd):
+    """Terms, band, sub-lexicons and likeness from their definitions, text by text, and the order of documents."""
+    d = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).where("doc_id is null or doc_id > 11")
+    rows = [(i, t or "") for i, t in plain(d)]
+    texts = {t for _, t in rows}
+    terms = {t: set(re.findall("[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))) for t in texts}
+    shares = Counter(w for _, t in rows for w in terms[t])
+    lex = {w for w, n in shares.items() if max(2, imatch.LOW * len(rows)) <= n <= max(2, imatch.HIGH * len(rows))}
+    number = {w: int(vec.word_hashes(*vec.buffers(pa.array([w])), vec.ALNUM)[0][0]) for w in shares}
+    seeds = [plain_mix(s * 0x9E3779B97F4A7C15 % 2**64) for s in range(1, imatch.SUBSETS + 1)]
+
+    def subsets(ws):
+        out, used = [[0] * imatch.SUBSETS for _ in range(imatch.LEVELS)], False
+        for v in range(imatch.LEVELS):
+            for k, seed in enumerate(seeds):
+                draws = [plain_mix(number[w] ^ seed) for w in ws]
+                inside = [plain_mix((x + 1) % 2**64) for x in draws if x % 4**v == 0]
+                if inside:
+                    out[v][k] = plain_mix(sum(inside) % 2**64) >> 48 | 1
+            used = any(out[v])
+            if not used:
+                break
+        return out
+
+    def mark(t):
+        if t not in terms:
+            terms[t] = set(re.findall("[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+            for w in terms[t] - set(number):
+                number[w] = int(vec.word_hashes(*vec.buffers(pa.array([w])), vec.ALNUM)[0][0])
+        return subsets(terms[t] & lex or terms[t])
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        used = [[x or y for x, y in zip(p, q, strict=True)] for p, q in zip(a, b, strict=True)]
+        from_ = max((v for v in range(imatch.LEVELS) if 2 * sum(map(bool, used[v])) >= imatch.SUBSETS), default=0)
+        both = [(x, y) for p, q in zip(a[from_:], b[from_:], strict=True) for x, y in zip(p, q, strict=True) if x or y]
+        return sum(x == y for x, y in both) / max(1, len(both))
+
+    say = lambda m: "".join(f"{x & 255:02x}{x >> 8:02x}" for row in m for x in row)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), zlib.crc32(r[1].encode()) if r[0] is None else 0, r[1]))
+    want, known = [], {}
+    small = [(x, y) for x, y in zip(order, order[1:] + order[:1], strict=True) if len(x[1]) < 1500 and len(y[1]) < 4000]
+    for (i, t), (_, nxt) in small:
+        k = len(t) // 3
+        new = t[: len(t) - k] + nxt[:k]
+        a, b, c = (known.setdefault(x, mark(x)) if x not in known else known[x] for x in (t, new, nxt))
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), say(a), say(b), round(like(a, b), 9), round(like(a, c), 9)))
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in imatch.edited(d).collect())
+    assert len(want) > 80
+    assert not Counter(want) - got
+
+
+def test_imatch_rows_without_ids_in_many_ranges(spark, docs, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_BYTES", 1 << 14)
+    d = docs.select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("doc_id"), "text")
+    got = [(r.doc_id, r.edited_sha256) for r in imatch.edited(d).collect()]
+    assert imatch.in_ranges(d).where("doc_id is null").select("range").distinct().count() > 3
+    order = sorted(plain(d), key=lambda r: (r[0] is None, -(r[0] or 0), zlib.crc32(r[1].encode()) if r[0] is None else 0, r[1]))
+    want = [(i, hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest()) for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True)]
+    assert Counter(got) == Counter(want)
+
+
 def test_imatch_equal_texts_and_odd_rows(odd, none):
     got = imatch.edited(odd).toPandas()
     assert len(got) == odd.count()
@@ -534,6 +605,53 @@ def test_toxicity_learns_and_holds_out(spark, docs, smoke):
     assert sorted((r.doc_id, r.score) for r in toxicity.scored(df, flipped).collect()) == sorted((r.doc_id, r.score) for r in s)
 
 
+def test_ftrl_brute_force():
+    """One epoch of the update rule, coordinate by coordinate, from a start with weights."""
+    rng = np.random.default_rng(8)
+    size, n = 40, 60
+    texts = [np.unique(rng.integers(0, size, rng.integers(0, 12))) for _ in range(n)]
+    y, order = rng.integers(0, 2, n).astype(float), rng.permutation(n)
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    w0, n0 = np.where(rng.random(size) < 0.3, rng.normal(size=size), 0.0), rng.random(size)
+    z = [-w * ((b + m**0.5) / a + l2) - np.sign(w) * l1 for w, m in zip(w0, n0, strict=True)]
+    seen, zb, nb = list(n0), -0.25 * (b / a), 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((b + seen[i] ** 0.5) / a + l2)
+
+    for t in order:
+        bias = -zb / ((b + nb**0.5) / a)
+        p = 1 / (1 + np.exp(-(sum(weight(i) for i in texts[t]) + bias)))
+        g = p - y[t]
+        if abs(g) < 1e-4:
+            continue
+        for i in texts[t]:
+            w = weight(i)
+            z[i] += g - ((seen[i] + g * g) ** 0.5 - seen[i] ** 0.5) / a * w
+            seen[i] += g * g
+        zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / a * bias
+        nb += g * g
+    w1, n1, b1 = toxicity.ftrl(texts, y, (w0, n0, 0.25), order)
+    assert w1 == pytest.approx([weight(i) for i in range(size)])
+    assert n1 == pytest.approx(seen)
+    assert b1 == pytest.approx(-zb / ((b + nb**0.5) / a))
+    assert (w1 == 0).any()
+
+
+def test_toxicity_scores_are_those_of_the_weights(spark, odd, smoke, docs):
+    """Each score by summing the model's weights over the distinct features of the whole text."""
+    model = toxicity.train(docs, spark.read.parquet(f"{smoke}/labels.parquet"))
+    weights = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    for r in toxicity.score(docs.unionByName(odd.select(docs.columns)), model).collect():
+        h = vec.word_hashes(*vec.buffers(pa.array([r.text or ""])), vec.ALNUM)[0].tolist()
+        f = {x >> (64 - toxicity.BITS) for x in h}
+        for gap in (1, 2, 3):
+            f |= {plain_mix((a * 0x9FB21C651E98DF25 + b + (1 if gap == 1 else 2)) % 2**64) >> (64 - toxicity.BITS) for a, b in zip(h, h[gap:], strict=False)}
+        s = sum(weights.get(x, 0.0) for x in f) + model.bias
+        assert r.score == pytest.approx(1 / (1 + np.exp(-max(-35, min(35, s)))))
+        assert r.predicted == (r.score >= 0.5)
+
+
 def test_toxicity_odd_and_empty(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (7, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.scored(odd, labels)
