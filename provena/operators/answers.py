@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.functions import text as X
 from provena.operators.common import names, ordered_list, top_per_group
@@ -22,19 +21,23 @@ def _u3(g):
     return first.groupBy("user_id").agg(F.array_join(ordered_list("k", "event_type"), "|").alias("kinds"))
 
 
-@query("U8_capped_merge", "SELECT key FROM (SELECT account AS key, 0 AS p FROM account WHERE nationkey = 1 UNION SELECT account, 0 FROM account WHERE nationkey IN (1, 2)) ORDER BY key LIMIT 40")
+@query("U8_capped_merge", "SELECT key FROM (SELECT account AS key, CASE WHEN kind = 'prospect' THEN 0 ELSE 1 END AS p FROM account) ORDER BY p, key LIMIT 40")
 def _u8(g, cap=40):
-    now, more = g.account.where("nationkey = 1").select(F.col("account").alias("key")), g.account.where("nationkey IN (1, 2)").select(F.col("account").alias("key"))
-    return now.unionByName(more).distinct().orderBy("key").limit(cap)
+    """What is there already comes first; new keys fill up to the cap."""
+    now, more = (g.account.where(F.col("kind") == k).select(F.col("account").alias("key"), F.lit(i).alias("p")) for i, k in enumerate(("prospect", "customer")))
+    return now.unionByName(more).groupBy("key").agg(F.min("p").alias("p")).orderBy("p", "key").limit(cap).select("key")
 
 
-@query("N9_do_not_merge", "WITH k AS (SELECT DISTINCT p_name, lower(regexp_replace(p_name, '\\s+', '', 'g')) AS key FROM part) SELECT a.p_name AS a, b.p_name AS b FROM k a JOIN k b ON a.key = b.key AND a.p_name < b.p_name")
+_KEY_SQL = r"lower(regexp_replace(regexp_replace(regexp_replace({}, '[\(（][^)）]*[\)）]', ' ', 'g'), '(?i)(Inc\.?|Co\.?|Ltd\.?)', ' ', 'g'), '\s+', '', 'g'))"
+
+
+@query("N9_do_not_merge", f"""WITH l AS (SELECT DISTINCT p_name AS a, CASE WHEN length(p_name) % 2 = 0 THEN upper(p_name) || ' (main) Ltd.' ELSE p_name || ' two' END AS b FROM part)
+SELECT a, b FROM l WHERE {_KEY_SQL.format('a')} = {_KEY_SQL.format('b')}""")
 def _n9(g):
-    """Pairs that a key would merge; empty when no listed pair collapses. Counted by key, not by comparing all pairs."""
-    k = g.part.select("p_name").distinct().withColumn("key", X.fold(F.col("p_name"), False))
-    many = k.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    x = k.join(many, "key")
-    return x.select("key", F.col("p_name").alias("a")).join(x.select("key", F.col("p_name").alias("b")), "key").where("a < b").select("a", "b")
+    """Of a list of pairs that must stay apart, those that the key would merge."""
+    name = F.col("p_name")
+    listed = g.part.select(name.alias("a"), F.when(F.length(name) % 2 == 0, F.concat(F.upper(name), F.lit(" (main) Ltd."))).otherwise(F.concat(name, F.lit(" two"))).alias("b")).distinct()
+    return listed.where(X.match_key(F.col("a")) == X.match_key(F.col("b")))
 
 
 @query("N18_record_handlers", """
@@ -108,29 +111,12 @@ def _q8(g):
     return v.select("doc_id", label.alias("label"))
 
 
-def anchored(sentences: list[str], snippets: list[str], least: int = 2) -> list[int | None]:
-    """For each sentence, the earliest snippet that shares most words with it, `least` at any rate."""
-    words = [set(s.lower().split()) for s in snippets]
-    out = []
-    for s in sentences:
-        w = set(s.lower().split())
-        hits = [len(w & x) for x in words]
-        best = max(hits, default=0)
-        out.append(hits.index(best) if best >= least else None)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _anchor(said: pd.Series, shown: pd.Series) -> pd.Series:
-    return pd.Series([anchored(list(a), list(b)) for a, b in zip(said, shown, strict=True)])
-
-
 @query("Q12_citation_anchoring")
 def _q12(g):
     """Sentences of a turn are anchored to the sentences of the turn before."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = g.conversations.withColumn("before", F.lag("text").over(w)).where("before IS NOT NULL")
-    return c.select("conv_id", "turn", F.to_json(_anchor(X.sentences(F.col("text")), X.sentences(F.col("before")))).alias("anchors"))
+    return c.select("conv_id", "turn", F.to_json(X.anchors(X.sentences(F.col("text")), X.sentences(F.col("before"))), {"ignoreNullFields": "false"}).alias("anchors"))
 
 
 @query("Q13_answer_assembly", "SELECT source, count(*) AS cited, to_json({'n': count(*), 'first': min(doc_id)}) AS answer FROM evidence GROUP BY 1")
@@ -150,16 +136,12 @@ def _m3(g, banned=("idiot", "scum", "moron")):
     return g.documents.groupBy("lang").agg(F.count_if(F.lower("text").rlike("|".join(banned))).alias("failing"))
 
 
-@query("M5_number_traceability", r"WITH t AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)*'))) AS n FROM documents) SELECT doc_id, count(*) AS numbers, count(*) FILTER (NOT contains(substr(text, 1, 500), n)) AS untraced FROM t GROUP BY 1")
+@query("M5_number_traceability", r"WITH e AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)*'), lambda x: replace(x, ',', ''))) AS ns FROM documents), a AS (SELECT doc_id, list_distinct(list_concat(list_slice(ns, 1, 2), [CAST(doc_id AS VARCHAR)])) AS said, ns FROM e) SELECT doc_id, CAST(len(said) AS BIGINT) AS numbers, CAST(len(list_filter(said, lambda n: NOT list_contains(ns, n))) AS BIGINT) AS untraced FROM a")
 def _m5(g):
-    raw = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d[\d,]*(?:\.\d+)*"), F.lit(0)))
-    d = g.documents.select("doc_id", F.substring("text", 1, 500).alias("head"), raw.alias("ns")).where("size(ns) > 0")
-    return d.select("doc_id", F.size("ns").cast("long").alias("numbers"), F.size(F.filter("ns", lambda n: ~F.contains("head", n))).cast("long").alias("untraced"))
-
-
-@query("M6_gap_check", "SELECT status, count(*) FILTER ((status = 'UNVERIFIED') = (quality = 0 AND toxic = 1)) AS passed, count(*) AS n FROM claim GROUP BY 1")
-def _m6(g):
-    return g.claim.groupBy("status").agg(F.count_if((F.col("status") == "UNVERIFIED") == ((F.col("quality") == 0) & (F.col("toxic") == 1))).alias("passed"), F.count("*").alias("n"))
+    """Numbers of an answer (two of the text's and the document's own id) against those of the whole text."""
+    d = g.documents.select("doc_id", F.explode(F.array(F.array_distinct(F.coalesce(X.numbers(F.col("text")), F.array().cast("array<string>"))))).alias("ns"))
+    said = F.array_distinct(F.concat(F.slice("ns", 1, 2), F.array(F.col("doc_id").cast("string"))))
+    return d.select("doc_id", F.size(said).cast("long").alias("numbers"), F.size(F.array_except(said, "ns")).cast("long").alias("untraced"))
 
 
 @query("H4_name_to_key", "SELECT p_name AS name, arg_min(p_partkey, p_partkey) AS key FROM part GROUP BY 1")
@@ -175,13 +157,18 @@ def _h5(g):
 
 @query("H7_drop_personal_data", r"SELECT doc_id FROM evidence WHERE NOT regexp_matches(snippet, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')")
 def _h7(g):
-    return g.evidence.where(~F.col("snippet").rlike(X.DETECTORS[0][1])).select("doc_id")
+    return g.evidence.where(~F.col("snippet").rlike(X.EMAIL)).select("doc_id")
 
 
-@query("H9_citation_markers", r"SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(snippet || ' [1]', '\[\d{1,3}\]')), '') <> '' AS marked FROM evidence")
-def _h9(g):
-    m = F.regexp_extract_all(F.concat("snippet", F.lit(" [1]")), F.lit(r"\[\d{1,3}\]"), F.lit(0))
-    return g.evidence.select("doc_id", (F.size(m) > 0).alias("marked"))
+@query("H9_citation_markers", r"""WITH t AS (SELECT conv_id, turn, text || CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN ' so [1].' WHEN 2 THEN ' and [2] then [12], [2].' ELSE ' [x] [1234]' END AS s FROM conversations)
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(s, '\[(\d{1,3})\]', 1), lambda x: CAST(x AS INT)))), ',') AS markers, trim(regexp_replace(regexp_replace(s, '\s*\[(1|2)\]', '', 'g'), '\s+([.,!?])', '\1', 'g')) AS without FROM t""")
+def _h9(g, drop=(1, 2)):
+    """The markers of an answer, and its text without those that no citation backs."""
+    tail = F.element_at(F.array(*map(F.lit, ("", " so [1].", " and [2] then [12], [2].", " [x] [1234]"))), (F.col("turn") % 4 + 1).cast("int"))
+    c = g.conversations.select("conv_id", "turn", F.concat("text", tail).alias("s"))
+    m = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit(r"\[(\d{1,3})\]"), F.lit(1)), lambda x: x.cast("int"))))
+    gone = F.regexp_replace("s", rf"\s*\[({'|'.join(map(str, drop))})\]", "")
+    return c.select("conv_id", "turn", F.array_join(F.transform(m, lambda x: x.cast("string")), ",").alias("markers"), F.trim(F.regexp_replace(gone, r"\s+([.,!?])", "$1")).alias("without"))
 
 
 @query("H12_payload_labels", "SELECT claim_id, CASE status WHEN 'VERIFIED' THEN 'verified' WHEN 'CRITICAL' THEN 'critical' WHEN 'CANDIDATE' THEN 'candidate' ELSE 'unverified' END AS label, replace(lanes, '|', ' · ') AS lanes FROM claim")
@@ -202,11 +189,38 @@ def _g7(g):
     return n.unionByName(c).distinct()
 
 
-@query("G3_citation_nodes", "SELECT v.source, count(*) AS citations FROM evidence v WHERE v.doc_id NOT IN (SELECT o.doc_id FROM observation o JOIN account a USING (custkey) WHERE a.kind = 'customer') GROUP BY 1")
+_G3_SQL = """
+WITH cited AS (SELECT doc_id, source FROM evidence WHERE contains(snippet, 'token') OR contains(snippet, 'Licensed')),
+deg AS (SELECT a.account AS key, a.custkey, count(d.deal_id) AS degree FROM account a LEFT JOIN deal d USING (custkey) GROUP BY 1, 2),
+carried AS (SELECT DISTINCT a.account AS key, o.doc_id FROM observation o JOIN account a USING (custkey) JOIN cited USING (doc_id) WHERE o.statement = 'purchase'),
+r AS (SELECT key, CASE WHEN rn <= 5 THEN 0 WHEN key IN (SELECT key FROM carried) THEN 1 ELSE 2 END AS rank, degree FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, key) AS rn FROM deg)),
+kept AS (SELECT key, rank FROM (SELECT *, row_number() OVER (ORDER BY rank, degree DESC, key) AS rn FROM r) WHERE rn <= 30),
+loose AS (SELECT DISTINCT source FROM cited WHERE doc_id NOT IN (SELECT doc_id FROM carried WHERE key IN (SELECT key FROM kept)))
+SELECT 'Account' AS label, key, rank FROM kept UNION ALL SELECT 'Source', source, 3 FROM loose"""
+
+
+def citation_nodes(nodes: DataFrame, carried: DataFrame, cited: DataFrame, cap: int = 30, focal: int = 5) -> DataFrame:
+    """(label, key, rank): the nodes that an answer's subgraph keeps.
+
+    nodes (key, degree); carried (key, doc_id): citations that a node carries; cited (doc_id, source).  The
+    `focal` best-connected nodes stay (rank 0), then nodes that carry a citation (1), then others (2), by
+    degree, up to `cap`.  A citation that no kept node carries gets its source as a node (3), so that each marker has one.
+    """
+    first = nodes.orderBy(F.desc("degree"), "key").limit(focal).select("key", F.lit(0).alias("r0"))
+    has = carried.select("key").distinct().withColumn("r1", F.lit(1))
+    rank = F.coalesce("r0", "r1", F.lit(2))
+    kept = nodes.join(first, "key", "left").join(has, "key", "left").select("key", rank.alias("rank"), "degree").orderBy("rank", F.desc("degree"), "key").limit(cap)
+    placed = carried.join(kept, "key", "left_semi").select("doc_id")
+    loose = cited.join(placed, "doc_id", "left_anti").select("source").distinct()
+    return kept.select(F.lit("Account").alias("label"), "key", "rank").unionByName(loose.select(F.lit("Source").alias("label"), F.col("source").alias("key"), F.lit(3).alias("rank")))
+
+
+@query("G3_citation_nodes", _G3_SQL)
 def _g3(g):
-    """Citations that no entity of the subgraph carries get their source as a node."""
-    placed = g.observation.join(g.account.where("kind = 'customer'"), "custkey", "left_semi").select("doc_id")
-    return g.evidence.join(placed, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("citations"))
+    cited = g.evidence.where(F.contains("snippet", F.lit("token")) | F.contains("snippet", F.lit("Licensed"))).select("doc_id", "source")
+    nodes = g.account.join(g.deal.groupBy("custkey").agg(F.count("*").alias("n")), "custkey", "left").select(F.col("account").alias("key"), "custkey", F.coalesce("n", F.lit(0)).alias("degree"))
+    carried = g.observation.where("statement = 'purchase'").join(cited, "doc_id", "left_semi").join(nodes, "custkey").select("key", "doc_id").distinct()
+    return citation_nodes(nodes.drop("custkey"), carried, cited)
 
 
 def lead_fields(c: Column) -> Column:

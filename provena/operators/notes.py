@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from provena.functions import text as X
+from provena.operators.common import top_per_group
 from provena.registry import query
+from provena.session import run_folder
 
 #: Fields that an extraction may never carry.
 FORBIDDEN = ("status", "edges", "cypher", "lane")
@@ -50,15 +54,42 @@ def _h3(g):
     return g.source.select("source", "sensitivity", "doc_status")
 
 
-@query("H10_guard_log", r"SELECT lang, least(12, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS removed FROM documents GROUP BY 1")
+_SENTENCES_SQL = r"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace({}, '([.!])(\s|$)', '\1' || chr(1) || '\2', 'g'), '([。?])', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+_EMAIL_SQL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+@query("H10_guard_log", f"""WITH s AS (SELECT doc_id, source, lang, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS s FROM (SELECT doc_id, source, lang, {_SENTENCES_SQL.format('text')} AS x FROM documents)),
+r AS (SELECT source, lang, doc_id, pos, regexp_replace(s, '{_EMAIL_SQL}', '***', 'g') AS entry, count(*) OVER (PARTITION BY source, lang) AS removed, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id, pos) AS rn FROM s WHERE regexp_matches(s, '{_EMAIL_SQL}'))
+SELECT source, lang, removed, rn, doc_id, entry FROM r WHERE rn <= 12""")
 def _h10(g, most=12):
-    return g.documents.groupBy("lang").agg(F.least(F.lit(most).cast("long"), F.count_if(F.col("text").rlike(X.DETECTORS[0][1]))).alias("removed"))
+    """Sentences that the gate removes: how many for each source and language, and the first of them, redacted."""
+    s = g.documents.where(F.col("text").rlike(X.EMAIL)).select("doc_id", "source", "lang", F.posexplode(X.sentences(F.col("text"))).alias("pos", "s")).where(F.col("s").rlike(X.EMAIL))
+    n = s.groupBy("source", "lang").agg(F.count("*").alias("removed"))
+    top = top_per_group(s.withColumn("entry", F.regexp_replace("s", X.EMAIL, "***")), ["source", "lang"], [F.col("doc_id"), F.col("pos")], most)
+    return top.join(n, ["source", "lang"]).select("source", "lang", "removed", "rn", "doc_id", "entry")
+
 
+def version_claims(texts: DataFrame, features: DataFrame) -> DataFrame:
+    """(id, name, said, introduced_in): sentences of `texts` (id, text) that give a feature another version than `features` (name, introduced_in).
 
-@query("H18_version_misattribution", "SELECT a.feature_id, a.introduced_in, b.v AS said FROM feature a CROSS JOIN (SELECT 'v1' AS v) b WHERE a.introduced_in <> b.v AND a.capability = 'PROMO'")
-def _h18(g, said="v1"):
-    """Features of which a text claims another version than the graph has."""
-    return g.feature.where((F.col("capability") == "PROMO") & (F.col("introduced_in") != said)).select("feature_id", "introduced_in", F.lit(said).alias("said"))
+    A sentence counts where it holds one version, `v` with a number; it meets features by the first word of their names.
+    """
+    s = texts.select("id", F.explode(X.sentences(F.col("text"))).alias("s"))
+    s = s.withColumn("vs", F.array_distinct(F.regexp_extract_all("s", F.lit(r"\bv\d+\b"), F.lit(0)))).where("size(vs) = 1")
+    f = features.withColumn("w", F.substring_index("name", " ", 1))
+    met = s.withColumn("w", F.explode(F.array_distinct(F.split("s", r"[^\w]+")))).join(f, "w")
+    whole = F.contains(F.concat(F.lit(" "), F.regexp_replace("s", r"[^\w]+", " "), F.lit(" ")), F.concat(F.lit(" "), "name", F.lit(" ")))
+    return met.where(whole & (F.col("vs")[0] != F.col("introduced_in"))).select("id", "name", F.col("vs")[0].alias("said"), "introduced_in").distinct()
+
+
+@query("H18_version_misattribution", """WITH f AS (SELECT name, min(introduced_in) AS introduced_in FROM feature GROUP BY 1), t AS (SELECT feature_id AS id, name, 'v' || (1 + feature_id % 4) AS said FROM feature WHERE feature_id % 5 <> 0)
+SELECT t.id, t.name, t.said, f.introduced_in FROM t JOIN f USING (name) WHERE t.said <> f.introduced_in""")
+def _h18(g):
+    """Prose says of each feature when it came; sentences with two versions aren't judged."""
+    v = F.concat(F.lit("v"), (1 + F.col("feature_id") % 4).cast("string"))
+    prose = F.concat(F.lit("No version is said here. We added "), "name", F.lit(" in "), v, F.when(F.col("feature_id") % 5 == 0, " or v9").otherwise(""), F.lit(". It works!"))
+    f = g.feature.groupBy("name").agg(F.min("introduced_in").alias("introduced_in"))
+    return version_claims(g.feature.select(F.col("feature_id").alias("id"), prose.alias("text")), f)
 
 
 @query("H2_side_scope", "SELECT need FROM (SELECT DISTINCT need FROM has_need WHERE contains(lower(need), 'gear')) ORDER BY need LIMIT 10")
@@ -91,3 +122,64 @@ class Writer(Reader):
 
     def replace(self, name: str, path: str) -> None:
         self._tables[name].write.mode("overwrite").parquet(path)
+
+
+@query("S25_read_only_tables", "SELECT kind, count(*) AS n, false AS writable FROM account GROUP BY 1")
+def _s25(g):
+    """Query code gets a reader, which has no way to write."""
+    r = Reader({"account": g.account})
+    return r.table("account").groupBy("kind").agg(F.count("*").alias("n"), F.lit(hasattr(r, "replace")).alias("writable"))
+
+
+@query("S26_log_and_cache", "SELECT event_type, count(*) AS logged, count(*) FILTER (event_id % 3 = 0) AS from_cache FROM events WHERE event_id % 2 = 0 GROUP BY 1")
+def _s26(g):
+    """Two batches are appended to a log; on the way, what a cache knows by the hash of its content isn't worked out again."""
+    path = f"{run_folder(g.spark)}/log-{uuid.uuid4().hex[:12]}"
+    key = F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type").cast("binary"), 256)
+    asked = g.events.where("event_id % 2 = 0").select("event_id", "event_type", key.alias("key"))
+    cache = g.events.where("event_id % 3 = 0").select(key.alias("key"), F.upper("event_type").alias("answer"))
+    done = asked.join(cache, "key", "left").select("event_id", "event_type", F.coalesce("answer", F.upper("event_type")).alias("answer"), F.col("answer").isNotNull().alias("cached"))
+    for rest in (0, 1):
+        append_log(done.where(F.pmod(F.floor(F.col("event_id") / 2), F.lit(2)) == rest), path)
+    log = g.spark.read.schema("event_id long, event_type string, answer string, cached boolean").json(path)
+    return log.groupBy("event_type").agg(F.count("*").alias("logged"), F.count_if("cached").alias("from_cache"))
+
+
+def candidate_faults(c: Column, required: tuple[str, ...]) -> Column:
+    """What keeps a candidate (JSON) out: fields that an extraction may never carry, and required ones that are missing."""
+    keys = F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    lit = lambda xs: F.array(*map(F.lit, xs))
+    return F.concat(F.transform(F.array_intersect(lit(FORBIDDEN), keys), lambda k: F.concat(F.lit("forbidden "), k)), F.transform(F.array_except(lit(required), keys), lambda k: F.concat(F.lit("missing "), k)))
+
+
+@query("X9_extraction_schema", "SELECT p_partkey AS id, concat_ws(',', CASE WHEN p_partkey % 5 = 0 THEN 'forbidden status' END, CASE WHEN p_partkey % 7 = 0 THEN 'forbidden edges' END, CASE WHEN p_partkey % 11 = 0 THEN 'missing quote' END) AS faults FROM part")
+def _x9(g):
+    key = F.col("p_partkey")
+    record = F.to_json(F.struct(F.col("p_name").alias("name"), F.when(key % 11 != 0, F.col("p_brand")).alias("quote"), F.when(key % 5 == 0, "VERIFIED").alias("status"), F.when(key % 7 == 0, F.array(F.lit("x"))).alias("edges")))
+    return g.part.select(key.alias("id"), F.array_join(candidate_faults(record, ("name", "quote")), ",").alias("faults"))
+
+
+def brief(sentences: Column, refs: Column, limit: int) -> Column:
+    """The text of a brief: a sentence whose numbers no marker backs gets the marker of the first cited excerpt that
+    holds them all; markers of no citation go; `limit` sentences stay.  refs: array<struct<marker, snippet>>.
+    """
+    numbers = lambda s: X.numbers(F.regexp_replace(s, r"\[\d{1,3}\]", ""))
+    backs = lambda s: F.filter(refs, lambda r: F.size(F.array_except(numbers(s), X.numbers(r.snippet))) == 0)
+    mark = lambda s: F.regexp_replace(s, r"(?s)^(.*?)([.!?]?)$", F.concat(F.lit("$1 ["), F.get(backs(s), F.lit(0))["marker"].cast("string"), F.lit("]$2")))
+    bare = lambda s: ~s.rlike(r"\[\d{1,3}\]") & (F.size(numbers(s)) > 0) & (F.size(backs(s)) > 0)
+    known = F.transform(refs, lambda r: F.concat(F.lit("["), r.marker.cast("string"), F.lit("]")))
+    odd = lambda s: F.array_except(F.regexp_extract_all(s, F.lit(r"\[\d{1,3}\]"), F.lit(0)), known)
+    valid = lambda s: F.aggregate(odd(s), s, lambda a, m: F.replace(a, m, F.lit("")))
+    tidy = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"[ \t]{2,}", " "), r"\s+([.,!?)\]}])", "$1"))
+    out = F.transform(sentences, lambda s: tidy(valid(F.when(bare(s), mark(s)).otherwise(s))))
+    return F.array_join(F.slice(out, 1, limit), " ")
+
+
+@query("H19_brief_support", """SELECT p_partkey AS id, 'Size is ' || p_size || CASE WHEN p_size > 9 THEN ' [2].' ELSE '.' END || ' Made well.' || ' Seen.' AS text FROM part""")
+def _h19(g, limit=3):
+    """A brief of four sentences: one number to anchor, one marker that no citation has, one sentence too many."""
+    size = F.col("p_size").cast("string")
+    said = F.array(F.concat(F.lit("Size is "), size, F.lit(".")), F.lit("Made well [9]."), F.lit("Seen."), F.lit("Too long."))
+    refs = F.array(F.struct(F.lit(1).alias("marker"), F.lit("no number").alias("snippet")), F.struct(F.lit(2).alias("marker"), F.when(F.col("p_size") > 9, F.concat(F.lit("size "), size)).otherwise("small").alias("snippet")))
+    b = g.part.select(F.col("p_partkey").alias("id"), said.alias("said"), refs.alias("refs"))
+    return b.select("id", brief(F.col("said"), F.col("refs"), limit).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.operators.common import degrees, expand, names, ordered_list, top_per_group
 from provena.registry import query
@@ -81,10 +81,14 @@ def _j5(g):
     return _neighbours(g)
 
 
-@query("J6_critical_about_neighbourhood", f"""WITH {SEED}, k AS (SELECT from_key AS key FROM hop WHERE from_label = 'Account' UNION SELECT to_key FROM hop WHERE to_label = 'Account' UNION SELECT key FROM seed WHERE label = 'Account')
+@query("J6_critical_about_neighbourhood", """WITH s AS (SELECT industry AS key FROM industry ORDER BY 1 LIMIT 2), k AS (SELECT from_key AS key FROM edge WHERE type = 'BELONGS_TO' AND to_key IN (SELECT key FROM s))
 SELECT c.claim_id, c.status, string_agg(DISTINCT a.account, '|' ORDER BY a.account) AS about FROM claim c JOIN account a USING (custkey) JOIN k ON k.key = a.account WHERE list_contains(string_split(c.lanes, '|'), 'critical') GROUP BY 1, 2""")
 def _j6(g):
-    keys = _neighbours(g).unionByName(seed(g)).where("label = 'Account'").select(F.col("key").alias("account")).distinct()
+    """Critical claims about the neighbourhood of two industries."""
+    s = g.industry.orderBy("industry").limit(2).select(F.lit("Industry").alias("label"), F.col("industry").alias("key"))
+    e = expand(g.edge, s)
+    ends = e.select(F.col("from_label").alias("label"), F.col("from_key").alias("key")).unionAll(e.select("to_label", "to_key"))
+    keys = ends.where("label = 'Account'").select(F.col("key").alias("account")).distinct()
     c = g.claim.where(F.array_contains(F.split("lanes", r"\|"), "critical")).join(g.account.select("custkey", "account"), "custkey").join(keys, "account", "left_semi")
     return c.groupBy("claim_id", "status").agg(names("account").alias("about"))
 
@@ -160,9 +164,13 @@ def _j16(g):
     return g.has_need.join(g.domain.where("bd_status = 'managed'"), "nationkey", "left_semi").select("need").distinct()
 
 
-@query("J17_anti_joins", "SELECT account FROM account WHERE custkey NOT IN (SELECT custkey FROM deal)")
-def _j17(g):
-    return g.account.join(g.deal, "custkey", "left_anti").select("account")
+@query("J17_anti_joins", """SELECT 'account without evidence' AS gap, account AS key FROM account WHERE custkey NOT IN (SELECT custkey FROM observation)
+UNION ALL SELECT 'need without capability', name FROM (SELECT DISTINCT name FROM feature) WHERE name NOT IN (SELECT need FROM addressed_by WHERE capability IN ('PROMO', 'SMALL'))""")
+def _j17(g, capabilities=("PROMO", "SMALL")):
+    """Entities without evidence, and needs that none of the named capabilities addresses."""
+    a = g.account.join(g.observation, "custkey", "left_anti").select(F.lit("account without evidence").alias("gap"), F.col("account").alias("key"))
+    met = g.addressed_by.where(F.col("capability").isin(*capabilities)).select(F.col("need").alias("name"))
+    return a.unionByName(g.feature.select("name").distinct().join(met, "name", "left_anti").select(F.lit("need without capability").alias("gap"), F.col("name").alias("key")))
 
 
 @query("J18_name_prefix_pairs", "WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name AND length(a.name) >= 3 AND starts_with(b.name, a.name)")
@@ -204,11 +212,20 @@ def _p3(g, terms=("00012", "99")):
     return g.account.where((F.size(ts) == 0) | F.exists(ts, lambda t: F.contains(F.lower("account"), t))).select("account")
 
 
-@query("P4_requires_any", "SELECT need, account FROM has_need WHERE false")
-def _p4(g, terms=(), keys=()):
-    """A template none of whose required parameters is given returns no rows, with its schema."""
-    df = g.has_need.select("need", "account")
-    return df if terms or keys else df.limit(0)
+def requires_any(df: DataFrame, **given: Column | None) -> DataFrame:
+    """`df` under the conditions that are given; no rows, with the same schema, where none is."""
+    on = [c for c in given.values() if c is not None]
+    for c in on:
+        df = df.where(c)
+    return df if on else df.limit(0)
+
+
+@query("P4_requires_any", "SELECT 'terms' AS run, need, account FROM has_need WHERE contains(need, 'a') UNION ALL SELECT 'both', need, account FROM has_need WHERE contains(need, 'a') AND nationkey < 9")
+def _p4(g):
+    """A template is run with one parameter, with two, and with none; the last run gives nothing."""
+    rows = lambda run, **given: requires_any(g.has_need, **given).select(F.lit(run).alias("run"), "need", "account")
+    term, nation = F.contains("need", F.lit("a")), F.col("nationkey") < 9
+    return rows("terms", term=term, nation=None).unionByName(rows("both", term=term, nation=nation)).unionByName(rows("none", term=None, nation=None))
 
 
 def permitted(df, levels=("public", "internal"), dead=("superseded", "retired", "obsolete", "deprecated")):
@@ -295,11 +312,13 @@ def _g5(g):
 
 
 @query("G6_top_entities_with_induced_edges", """
-WITH n AS (SELECT label, key, count(*) AS degree FROM (SELECT from_label AS label, from_key AS key FROM edge UNION ALL SELECT to_label, to_key FROM edge) GROUP BY 1, 2), t AS (SELECT * FROM n ORDER BY degree DESC, label, key LIMIT 20)
-SELECT e.* FROM edge e JOIN t a ON e.from_label = a.label AND e.from_key = a.key JOIN t b ON e.to_label = b.label AND e.to_key = b.key""")
-def _g6(g):
-    t = degrees(g.edge).orderBy(F.desc("degree"), "label", "key").limit(20).select("label", "key")
-    e = g.edge.join(t.toDF("from_label", "from_key"), ["from_label", "from_key"], "left_semi").join(t.toDF("to_label", "to_key"), ["to_label", "to_key"], "left_semi")
+WITH b AS (SELECT * FROM edge WHERE type NOT IN ('WITH_ACCOUNT', 'IN_DOMAIN')), n AS (SELECT label, key, count(*) AS degree FROM (SELECT from_label AS label, from_key AS key FROM b UNION ALL SELECT to_label, to_key FROM b) GROUP BY 1, 2), t AS (SELECT * FROM n ORDER BY degree DESC, label, key LIMIT 20)
+SELECT e.* FROM b e JOIN t a ON e.from_label = a.label AND e.from_key = a.key JOIN t b ON e.to_label = b.label AND e.to_key = b.key""")
+def _g6(g, n=20):
+    """The n best-connected entities of the business graph, without deals, and the edges among them."""
+    e = g.edge.where(~F.col("type").isin("WITH_ACCOUNT", "IN_DOMAIN"))
+    t = F.broadcast(degrees(e).orderBy(F.desc("degree"), "label", "key").limit(n).select("label", "key"))  # n rows
+    e = e.join(t.toDF("from_label", "from_key"), ["from_label", "from_key"], "left_semi").join(t.toDF("to_label", "to_key"), ["to_label", "to_key"], "left_semi")
     return e.select("type", "from_label", "from_key", "to_label", "to_key")
 
 

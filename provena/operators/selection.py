@@ -2,38 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from provena.functions import text as X
 from provena.operators.common import top_per_group
+from provena.operators.quotes import holding
 from provena.registry import query
+from provena.session import stored
 
 K1, B = 1.2, 0.75
-_QUERIES_SQL = "q AS (SELECT item_id, unnest(list_distinct(list_slice(regexp_split_to_array(lower(text), '[^0-9a-zà-ÿ]+'), 1, 3))) AS term FROM benchmark)"
-_TOKENS_SQL = """tok AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^0-9a-zà-ÿ]+')) AS term FROM documents) WHERE term <> '' GROUP BY 1, 2),
-len AS (SELECT doc_id, CAST(sum(tf) AS DOUBLE) AS dl FROM tok GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS av FROM len), df AS (SELECT term, count(*) AS df FROM tok GROUP BY 1)"""
-_HITS_SQL = f"""{_QUERIES_SQL}, {_TOKENS_SQL},
-hit AS (SELECT q.item_id, t.doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * t.tf * {K1 + 1} / (t.tf + {K1} * ({1 - B} + {B} * len.dl / st.av))), 6) AS score
-  FROM q JOIN tok t USING (term) JOIN df USING (term) JOIN len ON len.doc_id = t.doc_id CROSS JOIN st WHERE q.term <> '' GROUP BY 1, 2)"""
+#: Asked words up to this number are a set in the plan that filters tokens before they become rows; beyond it they are joined.
+WORDS_IN_PLAN = 5_000
 
 
-def terms(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), "[^0-9a-zà-ÿ]+"), lambda w: w != "")
+def _tokens_sql(c: str) -> str:
+    """DuckDB's list of search tokens."""
+    words = rf"list_filter(regexp_split_to_array(regexp_replace(lower({c}), '([{X.CJK}]+)', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    return f"flatten(list_transform({words}, lambda w: CASE WHEN regexp_matches(w, '^[{X.CJK}]') AND length(w) > 1 THEN list_transform(range(1, length(w)), lambda i: substr(w, CAST(i AS INT), 2)) ELSE [w] END))"
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, dl): the inverted index; counts combine before the shuffle."""
-    t = docs.select("doc_id", terms(F.col("text")).alias("ts"))
-    return t.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+_HITS_SQL = f"""q AS (SELECT item_id, unnest(list_distinct(list_slice({_tokens_sql('text')}, 1, 3))) AS term FROM ask),
+tok AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens_sql('text')}) AS term FROM passage) GROUP BY 1, 2),
+len AS (SELECT doc_id, CAST(sum(tf) AS DOUBLE) AS dl FROM tok GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS av FROM len), df AS (SELECT term, count(*) AS df FROM tok GROUP BY 1),
+hit AS (SELECT q.item_id, t.doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * t.tf * {K1 + 1} / (t.tf + {K1} * ({1 - B} + {B} * len.dl / st.av))), 6) AS score
+  FROM q JOIN tok t USING (term) JOIN df USING (term) JOIN len ON len.doc_id = t.doc_id CROSS JOIN st GROUP BY 1, 2)"""
 
 
 def search(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(item_id, doc_id, score): BM25 of every document with a query term; asked has (item_id, term).
 
-    Only postings of asked terms are built; document frequencies come from the same pass.
+    One pass reads the texts and keeps lengths and asked words only; counts, document frequencies and
+    hits come from that narrow table.
     """
     wanted = asked.select("term").distinct()
-    stats = docs.select(F.size(terms(F.col("text"))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("av"))
-    post = postings(docs).join(wanted, "term", "left_semi")
+    few = [r.term for r in wanted.limit(WORDS_IN_PLAN + 1).collect()]
+    d = docs.select("doc_id", F.explode(F.array(X.search_tokens(F.col("text")))).alias("ts"))  # worked out once a row
+    kept = F.filter("ts", lambda w: w.isin(*few)) if len(few) <= WORDS_IN_PLAN else F.col("ts")
+    d = stored(d.select("doc_id", F.size("ts").alias("dl"), kept.alias("ts")).where("dl > 0"))
+    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("av"))
+    post = d.select("doc_id", "dl", F.explode("ts").alias("term"))
+    if len(few) > WORDS_IN_PLAN:
+        post = post.join(wanted, "term", "left_semi")
+    post = post.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     s = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("av")))
     x = asked.join(post, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
@@ -41,42 +51,46 @@ def search(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def asked(g) -> DataFrame:
-    first = F.array_distinct(F.slice(F.split(F.lower("text"), "[^0-9a-zà-ÿ]+"), 1, 3))
-    return g.benchmark.select("item_id", F.explode(first).alias("term")).where("term <> ''")
+    first = F.array_distinct(F.slice(X.search_tokens(F.col("text")), 1, 3))
+    return g.ask.select("item_id", F.explode(first).alias("term"))
+
+
+def _ranked(g, n: int) -> DataFrame:
+    return top_per_group(search(g.passage, asked(g)), ["item_id"], [F.desc("score"), F.col("doc_id")], n)
 
 
-@query("L1_full_text_topk", f"WITH {_HITS_SQL} SELECT item_id, doc_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM hit) WHERE rn <= 8")
+def _cut_sql(n: int) -> str:
+    return f"cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM hit) WHERE rn <= {n})"
+
+
+@query("L1_full_text_topk", f"WITH {_HITS_SQL}, {_cut_sql(8)} SELECT item_id, doc_id, rn FROM cut")
 def _l1(g):
-    return top_per_group(search(g.documents, asked(g)), ["item_id"], [F.desc("score"), F.col("doc_id")], 8).select("item_id", "doc_id", "rn")
+    return _ranked(g, 8).select("item_id", "doc_id", "rn")
 
 
-@query("L2_search_within_sources", f"""WITH {_HITS_SQL}, cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM hit) WHERE rn <= 1200)
-SELECT item_id, doc_id, k FROM (SELECT c.item_id, c.doc_id, row_number() OVER (PARTITION BY c.item_id ORDER BY c.rn) AS k FROM cut c JOIN evidence v USING (doc_id) WHERE v.source IN ('src1', 'src2')) WHERE k <= 5""")
+@query("L2_search_within_sources", f"""WITH {_HITS_SQL}, {_cut_sql(1200)}
+SELECT item_id, doc_id, k FROM (SELECT c.item_id, c.doc_id, row_number() OVER (PARTITION BY c.item_id ORDER BY c.rn) AS k FROM cut c JOIN passage v USING (doc_id) WHERE v.source IN ('src1', 'src2')) WHERE k <= 5""")
 def _l2(g, sources=("src1", "src2")):
     # the cut comes before the filter: what lies below the first 1200 is out, whatever its source
-    cut = top_per_group(search(g.documents, asked(g)), ["item_id"], [F.desc("score"), F.col("doc_id")], 1200)
-    inside = cut.join(g.evidence.where(F.col("source").isin(*sources)).select("doc_id"), "doc_id", "left_semi")
+    inside = _ranked(g, 1200).join(g.passage.where(F.col("source").isin(*sources)).select("doc_id"), "doc_id", "left_semi")
     return top_per_group(inside, ["item_id"], [F.col("rn")], 5, "k").select("item_id", "doc_id", "k")
 
 
-@query("L3_source_discovery", f"""WITH {_HITS_SQL}, cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM hit) WHERE rn <= 300)
-SELECT c.item_id, v.source, min(c.rn) AS best FROM cut c JOIN evidence v USING (doc_id) GROUP BY 1, 2""")
+@query("L3_source_discovery", f"WITH {_HITS_SQL}, {_cut_sql(300)} SELECT c.item_id, v.source, min(c.rn) AS best FROM cut c JOIN passage v USING (doc_id) GROUP BY 1, 2")
 def _l3(g):
-    cut = top_per_group(search(g.documents, asked(g)), ["item_id"], [F.desc("score"), F.col("doc_id")], 300)
-    return cut.join(g.evidence.select("doc_id", "source"), "doc_id").groupBy("item_id", "source").agg(F.min("rn").alias("best"))
+    return _ranked(g, 300).join(g.passage.select("doc_id", "source"), "doc_id").groupBy("item_id", "source").agg(F.min("rn").alias("best"))
 
 
-@query("A15_max_score_per_source", f"WITH {_HITS_SQL} SELECT v.source, max(h.score) AS score, count(*) AS hits FROM hit h JOIN evidence v USING (doc_id) GROUP BY 1")
+@query("A15_max_score_per_source", f"WITH {_HITS_SQL} SELECT v.source, max(h.score) AS score, count(*) AS hits FROM hit h JOIN passage v USING (doc_id) GROUP BY 1")
 def _a15(g):
-    return search(g.documents, asked(g)).join(g.evidence.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("score").alias("score"), F.count("*").alias("hits"))
+    return search(g.passage, asked(g)).join(g.passage.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("score").alias("score"), F.count("*").alias("hits"))
 
 
-@query("J21_full_text_linking", f"""WITH {_HITS_SQL}, cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM hit) WHERE rn <= 8),
+@query("J21_full_text_linking", f"""WITH {_HITS_SQL}, {_cut_sql(8)},
 l AS (SELECT c.item_id, a.account, count(DISTINCT o.obs_id) AS hits FROM cut c JOIN observation o USING (doc_id) JOIN account a USING (custkey) GROUP BY 1, 2)
 SELECT item_id, account, hits FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, account) AS r FROM l) WHERE r <= 4""")
 def _j21(g):
-    cut = top_per_group(search(g.documents, asked(g)), ["item_id"], [F.desc("score"), F.col("doc_id")], 8)
-    l = cut.join(g.observation, "doc_id").join(g.account, "custkey").groupBy("item_id", "account").agg(F.countDistinct("obs_id").alias("hits"))  # noqa: E741
+    l = _ranked(g, 8).join(g.observation, "doc_id").join(g.account, "custkey").groupBy("item_id", "account").agg(F.countDistinct("obs_id").alias("hits"))  # noqa: E741
     return top_per_group(l, ["item_id"], [F.desc("hits"), F.col("account")], 4).select("item_id", "account", "hits")
 
 
@@ -184,13 +198,25 @@ def _u2(g):
     return old.join(new, "id", "full").select("id", F.coalesce("old", "new").alias("patched"), F.coalesce("new", "old").alias("replaced"))
 
 
-@query("U4_scope_or_global", "WITH s AS (SELECT need FROM has_need WHERE nationkey = 3 GROUP BY 1 ORDER BY 1 LIMIT 2), a AS (SELECT need, false AS relaxed FROM s UNION ALL SELECT DISTINCT need, true FROM has_need WHERE need NOT IN (SELECT need FROM s)) SELECT * FROM a")
+def scope_or_global(scoped: DataFrame, everything: DataFrame, least: int = 3) -> DataFrame:
+    """(need, relaxed): the scoped rows; where they are fewer than `least`, all others too, marked as relaxed."""
+    n = scoped.agg(F.count("*").alias("n"))
+    rest = everything.join(scoped, "need", "left_anti").crossJoin(F.broadcast(n)).where(F.col("n") < least)  # one row
+    return scoped.withColumn("relaxed", F.lit(False)).unionByName(rest.select("need", F.lit(True).alias("relaxed")))
+
+
+@query("U4_scope_or_global", """
+WITH sc AS (SELECT DISTINCT 'nation' AS scope, need FROM has_need WHERE nationkey = (SELECT max(nationkey) FROM (SELECT nationkey FROM has_need GROUP BY 1 HAVING count(DISTINCT need) >= 3))
+  UNION SELECT 'account', need FROM has_need WHERE custkey = (SELECT min(custkey) FROM (SELECT custkey FROM has_need GROUP BY 1 HAVING count(*) < 3))), n AS (SELECT scope, count(*) AS n FROM sc GROUP BY 1)
+SELECT scope, need, false AS relaxed FROM sc UNION ALL SELECT n.scope, h.need, true FROM n, (SELECT DISTINCT need FROM has_need) h WHERE n.n < 3 AND NOT EXISTS (SELECT 1 FROM sc WHERE sc.scope = n.scope AND sc.need = h.need)""")
 def _u4(g):
-    scoped = g.has_need.where("nationkey = 3").select("need").distinct().orderBy("need").limit(2)
-    if scoped.count() >= 3:
-        return scoped.withColumn("relaxed", F.lit(False))
-    rest = g.has_need.select("need").distinct().join(scoped, "need", "left_anti")
-    return scoped.withColumn("relaxed", F.lit(False)).unionByName(rest.withColumn("relaxed", F.lit(True)))
+    """A nation with three needs or more keeps its own; an account with fewer gets the others too."""
+    everything = g.has_need.select("need").distinct()
+    nation = g.has_need.groupBy("nationkey").agg(F.countDistinct("need").alias("n")).where("n >= 3").agg(F.max("nationkey").alias("nationkey"))
+    account = g.has_need.groupBy("custkey").agg(F.count("*").alias("n")).where("n < 3").agg(F.min("custkey").alias("custkey"))
+    parts = [(name, g.has_need.join(F.broadcast(one), key, "left_semi").select("need").distinct()) for name, one, key in (("nation", nation, "nationkey"), ("account", account, "custkey"))]
+    a, b = (scope_or_global(s, everything).select(F.lit(name).alias("scope"), "need", "relaxed") for name, s in parts)
+    return a.unionByName(b)
 
 
 @query("U5_priority_union", "SELECT source, min(p) AS priority FROM (SELECT source, 0 AS p FROM source WHERE sensitivity = 'restricted' UNION ALL SELECT DISTINCT source, 1 FROM evidence WHERE lang = 'en' UNION ALL SELECT source, 2 FROM source) GROUP BY 1")
@@ -223,8 +249,10 @@ def _a26(g, ts=("the", "token", "ción", "idiot")):
 
 @query("A27_aggregate_rank", "WITH r AS (SELECT need, dense_rank() OVER (ORDER BY need) - 1 AS i, orderkey FROM need_row), x AS (SELECT i, orderkey, row_number() OVER (PARTITION BY i ORDER BY orderkey) - 1 AS pos FROM r) SELECT orderkey, round(min(i + 0.06 * pos), 4) AS rank FROM x GROUP BY 1")
 def _a27(g):
-    lists = g.need_row.groupBy("need").agg(F.sort_array(F.collect_list("orderkey")).alias("ids"))
-    ranked = lists.withColumn("i", F.row_number().over(Window.orderBy("need")) - 1).select("i", F.posexplode("ids").alias("pos", "orderkey"))
+    # only the distinct needs are numbered in one task; positions are counted need by need
+    number = g.need_row.select("need").distinct().withColumn("i", F.row_number().over(Window.orderBy("need")) - 1)
+    pos = F.row_number().over(Window.partitionBy("need").orderBy("orderkey")) - 1
+    ranked = g.need_row.select("need", "orderkey").withColumn("pos", pos).join(number, "need")
     return ranked.groupBy("orderkey").agg(F.round(F.min(F.col("i") + 0.06 * F.col("pos")), 4).alias("rank"))
 
 
@@ -246,12 +274,6 @@ def _x5(g, ts=("the", "token", "reing")):
 
 @query("H21_golden_quotes", "SELECT b.item_id, count(d.doc_id) AS documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def _h21(g):
-    """How many documents hold each quote; quotes are a stated set, shipped in bounded blocks."""
-    quotes = [(r.item_id, r.text) for r in g.benchmark.collect()]
-    found = None
-    for i in range(0, len(quotes), 500):
-        block = F.array(*[F.struct(F.lit(k).cast("long").alias("item_id"), F.lit(t).alias("q")) for k, t in quotes[i : i + 500]])
-        hit = g.documents.select(F.explode(F.filter(block, lambda x: F.contains("text", x.q))).alias("x")).select("x.item_id")
-        found = hit if found is None else found.unionByName(hit)
-    n = found.groupBy("item_id").agg(F.count("*").alias("documents"))
+    """How many documents hold each quote."""
+    n = holding(g.documents, g.benchmark).groupBy("item_id").agg(F.count("*").alias("documents"))
     return g.benchmark.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"))

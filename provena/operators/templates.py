@@ -130,18 +130,19 @@ def _a1(g):
 WITH r AS (SELECT need, custkey, orderkey, row_number() OVER (PARTITION BY need, custkey ORDER BY orderkey) AS i FROM need_row)
 SELECT need, string_agg(CAST(orderkey AS VARCHAR), '|' ORDER BY i, custkey) AS ids FROM r WHERE i <= 6 GROUP BY 1""")
 def _a2(g):
-    per = g.need_row.groupBy("need", "custkey").agg(F.sort_array(F.collect_list("orderkey")).alias("ids"))
-    lists = per.groupBy("need").agg(F.transform(F.sort_array(F.collect_list(F.struct("custkey", "ids"))), lambda x: x.ids).alias("ls"))
-    turn = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.flatten(F.transform("ls", lambda x: F.slice(x, i + 1, 1)))))
-    return lists.select("need", F.array_join(turn, "|").alias("ids"))
+    # six rows of a customer at most, before any list is made
+    per = top_per_group(g.need_row.select("need", "custkey", "orderkey"), ["need", "custkey"], [F.col("orderkey")], 6, "i")
+    turn = F.transform(F.sort_array(F.collect_list(F.struct("i", "custkey", "orderkey"))), lambda x: x.orderkey)
+    return per.groupBy("need").agg(F.array_join(turn, "|").alias("ids"))
 
 
 @query("A3_ordered_distinct_cap", """
 WITH f AS (SELECT need, custkey, min(orderkey) AS o FROM need_row GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY need ORDER BY o, custkey) AS i FROM f)
 SELECT need, string_agg(CAST(custkey AS VARCHAR), '|' ORDER BY i) AS ids FROM r WHERE i <= 6 GROUP BY 1""")
 def _a3(g):
-    x = F.transform(F.sort_array(F.collect_list(F.struct("orderkey", "custkey"))), lambda v: v.custkey)
-    return g.need_row.groupBy("need").agg(F.array_join(capped(x, 6), "|").alias("ids"))
+    first = g.need_row.groupBy("need", "custkey").agg(F.min("orderkey").alias("o"))
+    six = top_per_group(first, ["need"], [F.col("o"), F.col("custkey")], 6, "i")
+    return six.groupBy("need").agg(F.array_join(ordered_list("i", "custkey"), "|").alias("ids"))
 
 
 @query("A13_evidence_by_source_section", "SELECT source, lang AS section, count(*) AS n FROM evidence GROUP BY 1, 2")

@@ -15,9 +15,10 @@ def _f2(g):
     return g.documents.select("doc_id", X.fold(F.col("text"), False).alias("folded"))
 
 
-@query("F1_normalize")
+@query("F1_normalize", r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS text FROM passage")
 def _f1(g):
-    return g.documents.select("doc_id", X.normalize(F.col("text")).alias("text"))
+    """No text of the tables holds a character that composition changes; a unit test has such."""
+    return g.passage.select("doc_id", X.normalize(F.col("text")).alias("text"))
 
 
 @query("F3_match_key", r"SELECT DISTINCT p_name, lower(regexp_replace(regexp_replace(regexp_replace(p_name, '[\(（][^)）]*[\)）]', ' ', 'g'), '(?i)(Inc\.?|Co\.?|Ltd\.?)', ' ', 'g'), '\s+', '', 'g')) AS key FROM part")
@@ -35,18 +36,23 @@ def _f5(g):
     return g.documents.select("doc_id", X.squeeze(F.col("text")).alias("flat"))
 
 
-@query("F6_content_terms", """
-WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^0-9a-z]+')) AS w FROM documents WHERE lang = 'en')
-SELECT doc_id, count(DISTINCT w) AS terms, min(w) AS first_term FROM t WHERE length(w) >= 2 AND w NOT IN ('the', 'and', 'of', 'to', 'in', 'is', 'that', 'it', 'on', 'for', 'with', 'as', 'was', 'are', 'by') GROUP BY 1""")
-def _f6(g, stop=("the", "and", "of", "to", "in", "is", "that", "it", "on", "for", "with", "as", "was", "are", "by")):
-    t = F.array_distinct(F.filter(F.split(F.lower("text"), "[^0-9a-z]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*stop)))
-    return g.documents.where("lang = 'en'").select("doc_id", t.alias("t")).where(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("terms"), F.array_min("t").alias("first_term"))
+def _terms_sql(text: str) -> str:
+    """DuckDB's list of content terms."""
+    cut = lambda w, ends: f"regexp_replace({w}, '^(.{{2,}}?)(?:{'|'.join(sorted(ends, key=len, reverse=True))})$', '\\1')"
+    stem = f"lower({cut(cut(cut('w', X.PARTICLES), X.PARTICLES), X.ENDINGS)})"
+    drop = ", ".join(f"'{w}'" for w in X.GENERIC + X.ENGLISH)
+    return f"list_filter(list_distinct(list_transform(list_filter(regexp_split_to_array({text}, '[^0-9A-Za-z가-힣]+'), lambda w: w <> ''), lambda w: {stem})), lambda w: length(w) >= 2 AND w NOT IN ({drop}))"
 
 
-@query("F7_search_terms", "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^0-9a-z]+'), lambda w: length(w) > 3 AND w NOT IN ('that', 'with')))), ' ') AS terms FROM benchmark")
+@query("F6_content_terms", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS terms, list_min(t) AS first_term FROM (SELECT doc_id, {_terms_sql('text')} AS t FROM passage) WHERE len(t) > 0")
+def _f6(g):
+    t = g.passage.select("doc_id", X.content_terms(F.col("text")).alias("t")).where(F.size("t") > 0)
+    return t.select("doc_id", F.size("t").cast("long").alias("terms"), F.array_min("t").alias("first_term"))
+
+
+@query("F7_search_terms", "SELECT item_id, array_to_string(list_sort(list_filter(" + _terms_sql("text") + ", lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in X.ONTOLOGY) + "))), ' ') AS terms FROM ask")
 def _f7(g):
-    ws = F.array_distinct(F.filter(F.split(F.lower("text"), "[^0-9a-z]+"), lambda w: F.length(w) > 3))
-    return g.benchmark.select("item_id", F.array_join(F.sort_array(F.array_except(ws, F.array(F.lit("that"), F.lit("with")))), " ").alias("terms"))
+    return g.ask.select("item_id", F.array_join(F.sort_array(X.search_terms(F.col("text"))), " ").alias("terms"))
 
 
 @query("F8_term_overlap", r"""
@@ -73,14 +79,18 @@ def _f12(g):
     return g.documents.select("doc_id", F.size(F.array_distinct(X.proper_nouns(F.col("text")))).cast("long").alias("n"))
 
 
-@query("F13_amounts", "WITH t AS (SELECT p_partkey AS id, p_size || 'M USD and ' || p_partkey || ' USD' AS s FROM part) SELECT id, array_to_string(regexp_extract_all(s, '(\\d[\\d,]*(?:\\.\\d+)?)\\s*(M)?\\s*(USD)', 1), '|') AS raw, CAST((id + 1000000 * CAST(split_part(s, 'M', 1) AS BIGINT)) AS DOUBLE) AS total FROM t")
+_F13_SQL = """
+WITH t AS (SELECT p_partkey AS id, p_size AS z, p_size || ['조 원', '억 달러', '만 엔', '천 유로', 'B USD', 'M USD', 'K USD'][1 + p_partkey % 7] || ' 대비 1,' || (100 + p_size) || '.5 원, ' || p_size || ' 개' AS s FROM part)
+SELECT id, array_to_string(regexp_extract_all(s, '(\\d[\\d,]*(?:\\.\\d+)?)\\s*(조|억|만|천|B|M|K)?\\s*(달러|USD|원|엔|유로)', 1), '|') AS raw,
+  ['원', '달러', '엔', '유로', 'USD', 'USD', 'USD'][1 + id % 7] || '|원' AS currencies, z * [1e12, 1e8, 1e4, 1e3, 1e9, 1e6, 1e3][1 + id % 7] + 1100.5 + z AS total FROM t"""
+
+
+@query("F13_amounts", _F13_SQL)
 def _f13(g):
-    s = F.concat(F.col("p_size").cast("string"), F.lit("M USD and "), F.col("p_partkey").cast("string"), F.lit(" USD"))
-    rx = F.lit(r"(\d[\d,]*(?:\.\d+)?)\s*(조|억|만|천|B|M|K)?\s*(달러|USD|원|엔|유로)")
-    t = g.part.select(F.col("p_partkey").alias("id"), s.alias("s"))
-    v, u = F.regexp_extract_all("s", rx, F.lit(1)), F.regexp_extract_all("s", rx, F.lit(2))
-    scaled = F.zip_with(v, u, lambda x, y: F.regexp_replace(x, ",", "").cast("double") * F.when(y == "M", 1e6).when(y == "K", 1e3).when(y == "B", 1e9).otherwise(1.0))
-    return t.select("id", F.array_join(v, "|").alias("raw"), F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    unit = F.element_at(F.array(*map(F.lit, ("조 원", "억 달러", "만 엔", "천 유로", "B USD", "M USD", "K USD"))), (1 + F.col("p_partkey") % 7).cast("int"))
+    size = F.col("p_size").cast("string")
+    t = g.part.select(F.col("p_partkey").alias("id"), X.amounts(F.concat(size, unit, F.lit(" 대비 1,"), (100 + F.col("p_size")).cast("string"), F.lit(".5 원, "), size, F.lit(" 개"))).alias("a"))
+    return t.select("id", F.array_join("a.number", "|").alias("raw"), F.array_join("a.currency", "|").alias("currencies"), F.aggregate("a.value", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query("F14_date_parse", "WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y%m%d') ELSE 'n/a' END AS s, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT id, CASE WHEN s = 'n/a' THEN NULL ELSE CAST(d AS VARCHAR) END AS day, CASE WHEN s = 'n/a' THEN 'unparsable' ELSE 'ok' END AS state FROM t")
@@ -134,7 +144,7 @@ def _f23(g):
 @query("N1_packed_excerpts")
 def _n1(g):
     """Line-preserving excerpts of at most 500 characters."""
-    return g.documents.select("doc_id", F.posexplode(X.packed("text")).alias("part", "excerpt"))
+    return g.documents.select("doc_id", F.posexplode(X.packed(F.col("text"))).alias("part", "excerpt"))
 
 
 @query("N2_fixed_width_excerpts", "SELECT doc_id, i AS part, substr(text, 500 * i + 1, 500) AS excerpt FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 500.0) AS INT))) AS i FROM documents)")
@@ -160,14 +170,36 @@ def _n5(g):
 
 @query("N6_mask")
 def _n6(g):
-    m = g.documents.select("doc_id", X.mask("text").alias("m"))
-    return m.select("doc_id", "m.text", F.map_values("m.hits").alias("counts"))
+    m = g.documents.select("doc_id", X.masked(F.col("text")).alias("m"))
+    return m.select("doc_id", "m.text", F.array_join(F.sort_array(F.transform(F.map_entries("m.hits"), lambda e: F.concat(e.key, F.lit(":"), e.value.cast("string")))), ",").alias("counts"))
+
+
+@query("H15_row_evidence", r"""SELECT c_custkey AS id, 'name: ' || c_name || ' | contact: ' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '[담당자]' END || ' | phone: 010-****-**** | limit: ' || CASE WHEN c_custkey % 2 = 0 THEN 6000000000 + c_custkey ELSE c_custkey END AS excerpt,
+  CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS hits, c_name AS raw_name FROM customer""")
+def _h15(g):
+    """Each cell of a row is masked as it is read; numeric cells aren't searched for numbers of businesses; raw cells keep what isn't personal."""
+    key = F.col("c_custkey")
+    cells = g.customer.select(
+        key.alias("id"), F.col("c_name").alias("raw_name"), X.masked(F.col("c_name")).alias("name"),
+        X.masked(F.when(key % 3 == 0, "").otherwise("Kim Lee"), column="담당자").alias("contact"),
+        X.masked(F.concat(F.lit("010-"), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit("-5678"))).alias("phone"),
+        X.masked(F.when(key % 2 == 0, 6000000000 + key).otherwise(key).cast("string"), number=True).alias("limit"))
+    names = ("name", "contact", "phone", "limit")
+    hits = sum((F.aggregate(F.map_values(f"{c}.hits"), F.lit(0), lambda a, x: a + x) for c in names), F.lit(0))
+    return cells.select("id", F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), F.col(f"{c}.text")) for c in names]).alias("excerpt"), hits.alias("hits"), "raw_name")
+
+
+@query("H17_email_allow_list", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'write to help@corp.example' ELSE 'write to ***@***.***' END AS text FROM customer")
+def _h17(g, allow=("help@corp.example",)):
+    """Addresses of public desks stay readable; all others go."""
+    said = F.concat(F.lit("write to "), F.when(F.col("c_custkey") % 2 == 0, "help").otherwise(F.concat(F.lit("user"), F.col("c_custkey").cast("string"))), F.lit("@corp.example"))
+    return g.customer.select(F.col("c_custkey").alias("id"), X.masked(said, allow)["text"].alias("text"))
 
 
 @query("N7_mask_scan", r"SELECT lang, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS BIGINT) AS emails, CAST(sum(len(regexp_extract_all(text, '\(\d{3}\) \d{3}-\d{4}'))) AS BIGINT) AS phones FROM documents GROUP BY 1")
 def _n7(g):
     n = lambda rx: F.sum(F.regexp_count("text", F.lit(rx))).cast("long")
-    return g.documents.groupBy("lang").agg(n(X.DETECTORS[0][1]).alias("emails"), n(r"\(\d{3}\) \d{3}-\d{4}").alias("phones"))
+    return g.documents.groupBy("lang").agg(n(X.EMAIL).alias("emails"), n(r"\(\d{3}\) \d{3}-\d{4}").alias("phones"))
 
 
 @query("N8_account_resolution", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE coalesce(alias, lower(regexp_replace(c_name, '\\s+', '', 'g'))) END AS account FROM customer LEFT JOIN (SELECT c_custkey, 'group ' || c_nationkey AS alias FROM customer WHERE c_custkey % 10 = 0) USING (c_custkey)")
