@@ -588,6 +588,28 @@ def test_licenses_altered_text(spark):
     assert got == {(1, "MIT"), (3, "proprietary")}
 
 
+def altered_licenses():
+    """For every template, copies inside other words with every 30th, 40th or no word replaced, from several positions on."""
+    rng = np.random.default_rng(5)
+    out = []
+    for _, _, t in licenses.TEMPLATES:
+        for every in (30, 40, 10**6):
+            ws = licenses._words(t)
+            ws[every // 2 :: every] = ["changed"] * len(ws[every // 2 :: every])
+            before = [f"w{k}" for k in rng.integers(0, 99, int(rng.integers(0, 200)))]
+            out.append((len(out), " ".join(before + ws + ["after"] * 50)))
+    return out
+
+
+def test_licenses_recall_of_altered_copies(spark):
+    data = altered_licenses()
+    got = {(r.doc_id, r.license, r.template): r.containment for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()}
+    want = licenses.brute_force(data)
+    assert {len(licenses._words(t)) > 100 for _, _, t in licenses.TEMPLATES} == {True, False}
+    assert len(want) > len(data)  # whole licenses hold grants and conditions too
+    assert got == pytest.approx(want)
+
+
 # toxicity
 
 
