@@ -7,8 +7,10 @@ start every stride = max(1, m // 4) words, so each run of m words lies inside on
 template's run has a likeness of 0.8 or more to it, and with four fifths of the run 0.5 or more; with
 BANDS bands of ROWS minima they meet with a chance of 1 - (1 - 0.5**2)**32 > 0.9998.
 
-Before that, two tests that lose nothing leave out what cannot match: a text must hold some template
-shingle's longest word, and a window some template shingle.
+Before that, two tests that lose nothing leave out what cannot match.  A match lacks at most a known number
+of a template's shingles, so a text must hold one of the anchors: long words that stand in more of the
+template's shingles than that.  And a window must hold as many known shingles as the least match of its
+length needs.
 
 Defined cases: null and empty texts have no matches; a long text is scanned whole; equal rows (id and
 text) give one set of matches; a null doc_id is a group like any; extra columns are ignored; templates
@@ -92,8 +94,8 @@ def shingles(ws: Column, k: int) -> Column:
 
 def _bands(items: Column) -> Column:
     """BANDS hashes of ROWS minima of a non-empty set of hashes."""
-    low = lambda p: F.array_min(F.transform(items, lambda x: F.xxhash64(x, F.lit(p))))
-    return F.array(*[F.xxhash64(F.lit(b), *[low(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+    low = lambda p: F.array_min(F.transform(items, lambda x: F.xxhash64(x, p)))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[low(b * ROWS + r) for r in range(ROWS)]))
 
 
 def _classes(templates: list[tuple[str, str, str]]) -> dict[tuple[int, int], list[tuple[str, str, str]]]:
@@ -108,11 +110,39 @@ def _classes(templates: list[tuple[str, str, str]]) -> dict[tuple[int, int], lis
     return dict(out)
 
 
+def _need(n: int, least: float) -> int:
+    """How many of a template's n different shingles a match holds at least."""
+    return next(h for h in range(n + 1) if h / n >= least)
+
+
+def _anchors(texts: list[list[str]], least: float) -> list[str]:
+    """Words of which every text that holds the share `least` of a template's shingles has one.
+
+    A match lacks at most n - need of n different shingles; the anchors stand in more than those.
+    """
+    out: set[str] = set()
+    for ws in texts:
+        k = min(SHINGLE, len(ws))
+        left = {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
+        n = len(left)
+        may_lack = n - _need(n, least)
+        left = {g for g in left if not out & set(g)}
+        for w in sorted(set(ws), key=lambda w: (-len(w), w)):
+            if n - len(left) > may_lack:
+                break
+            if any(w in g for g in left):
+                out.add(w)
+                left = {g for g in left if w not in g}
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, least: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, template, containment, start (word of the best window) and windows (how many match)."""
+    if not 0 < least <= 1:
+        raise ValueError("the least containment is above 0 and at most 1")
     spark = docs.sparkSession
     classes = _classes(TEMPLATES if templates is None else templates)
-    anchors = sorted({max(_words(t[2])[i : i + k], key=len) for (k, m), ts in classes.items() for t in ts for i in range(m - k + 1)})
+    anchors = _anchors([_words(t[2]) for ts in classes.values() for t in ts], least)
     schema = "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", license string, template string, containment double, start int, windows long"
     if not anchors:
         return spark.createDataFrame([], schema)
@@ -120,8 +150,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, l
     tab = spark.createDataFrame(rows, "k int, m int, license string, template string, t string")
     by_k = {k: F.array_distinct(shingles(words(F.col("t")), k)) for k, _ in classes}
     pick = F.coalesce(*[F.when(F.col("k") == k, c) for k, c in by_k.items()])
-    tab = tab.select("k", "m", "license", "template", pick.alias("items")).cache()
-    known = {k: [r.x for r in tab.where(F.col("k") == k).select(F.explode("items").alias("x")).distinct().collect()] for k in by_k}
+    got = tab.select("k", "m", "license", "template", pick.alias("items")).collect()  # at most MAX_SHINGLES hashes
+    tab = spark.createDataFrame(got, "k int, m int, license string, template string, items array<bigint>")
+    known = {k: sorted({x for r in got if r.k == k for x in r["items"]}) for k in by_k}
+    need = {(r.k, r.m): min(_need(len(x["items"]), least) for x in got if (x.k, x.m) == (r.k, r.m)) for r in got}
     keys = tab.select("k", "m", "license", "template", F.explode(_bands(F.col("items"))).alias("band")).distinct()
 
     # each array goes through a generator of one row, so that the optimizer can't copy its
@@ -136,17 +168,17 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, l
     d = stored(d.where(" OR ".join(f"size(hits.s{k}) > 0" for k in by_k)))
     parts = []
     for k in by_k:
-        sizes = [F.struct(F.lit(m).alias("m"), F.lit(max(1, m // 4)).alias("stride"), F.lit(m + max(1, m // 4) - k).alias("width")) for m in sorted(m for kk, m in classes if kk == k)]
+        sizes = [F.struct(F.lit(m).alias("m"), F.lit(max(1, m // 4)).alias("stride"), F.lit(m + max(1, m // 4) - k).alias("width"), F.lit(need[k, m]).alias("need")) for m in sorted(m for kk, m in classes if kk == k)]
         h = d.select("doc_id", "row", F.lit(k).alias("k"), F.col(f"s.s{k}").alias("s"), F.col(f"hits.s{k}").alias("hits"), F.explode(F.array(*sizes)).alias("c"))
         first = lambda i: F.ceil(F.greatest(i - (F.col("c.width") - 1), F.lit(0)) / F.col("c.stride")).cast("int")
         last = lambda i: F.floor(i / F.col("c.stride")).cast("int")
         starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(first(i), last(i)))))
         w = h.select("doc_id", "row", "k", "c", "s", F.explode(starts).alias("n"))
-        parts.append(w.select("doc_id", "row", "k", F.col("c.m").alias("m"), (F.col("n") * F.col("c.stride")).alias("start"), F.array_distinct(F.slice("s", F.col("n") * F.col("c.stride") + 1, F.col("c.width"))).alias("set")))
+        w = w.select("doc_id", "row", "k", F.col("c.m").alias("m"), F.col("c.need").alias("need"), (F.col("n") * F.col("c.stride")).alias("start"), F.array_distinct(F.slice("s", F.col("n") * F.col("c.stride") + 1, F.col("c.width"))).alias("set"))
+        parts.append(w.where(F.size(F.filter("set", lambda x: x.isin(known[k]))) >= F.col("need")).drop("need"))
     windows = parts[0]
     for p in parts[1:]:
         windows = windows.unionByName(p)
-    windows = windows.where(F.size("set") > 0)
     met = windows.withColumn("band", F.explode(_bands(F.col("set")))).join(F.broadcast(keys), ["k", "m", "band"])
     met = met.groupBy("doc_id", "row", "k", "m", "start", "license", "template").agg(F.first("set").alias("set"))
     both = met.join(F.broadcast(tab), ["k", "m", "license", "template"])

@@ -610,6 +610,24 @@ def test_licenses_recall_of_altered_copies(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8, 1.0])
+def test_licenses_anchors_lose_nothing(least):
+    for _, _, t in licenses.TEMPLATES:
+        ws = licenses._words(t)
+        k = min(licenses.SHINGLE, len(ws))
+        grams = {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
+        known = set(licenses._anchors([ws], least))
+        free = sum(not known & set(g) for g in grams)
+        assert free / len(grams) < least
+        assert set(licenses._anchors([ws, ws[::-1]], least)) >= known
+
+
+def test_licenses_bounds(odd):
+    for least in (0, 1.1):
+        with pytest.raises(ValueError):
+            licenses.scan(odd, least=least)
+
+
 # toxicity
 
 
