@@ -32,7 +32,7 @@ BANDS, ROWS = 32, 2
 #: Bound of the templates, in shingles; their tables are literals of the plan or are broadcast.
 MAX_SHINGLES = 50_000
 
-#: Texts by which licenses announce themselves, and whole short licenses.
+#: Texts by which licenses announce themselves, and short licenses (BSL-1.0 and Unlicense without disclaimers).
 TEMPLATES = [
     ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
