@@ -8,7 +8,7 @@ from provena import registry
 from provena.operators import answers, greedy, notes, patterns, rules, selection, templates, texts  # noqa: F401
 from provena.plans import browse  # noqa: F401
 from provena.plans.fixture import Graph, oracle
-from provena.sources import records  # noqa: F401
+from provena.sources import office, records  # noqa: F401
 from provena.streaming import flows  # noqa: F401
 
 
