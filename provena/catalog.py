@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from provena import registry
-from provena.operators import answers, greedy, notes, patterns, rules, selection, templates, texts  # noqa: F401
+from provena.operators import answers, greedy, notes, patterns, policy, rules, selection, templates, texts  # noqa: F401
 from provena.plans import browse  # noqa: F401
 from provena.plans.fixture import Graph, oracle
 from provena.sources import office, records  # noqa: F401
