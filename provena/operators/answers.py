@@ -111,7 +111,13 @@ def _q8(g):
     return v.select("doc_id", label.alias("label"))
 
 
-@query("Q12_citation_anchoring")
+_WORD_SETS_SQL = r"list_transform({}, lambda s: list_distinct(list_filter(regexp_split_to_array(lower(s), '\s+'), lambda w: w <> '')))"
+
+
+@query("Q12_citation_anchoring", f"""WITH b AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+w AS (SELECT conv_id, turn, {_WORD_SETS_SQL.format(X.SENTENCES_SQL.format('text'))} AS a, {_WORD_SETS_SQL.format(X.SENTENCES_SQL.format('before'))} AS c FROM b WHERE before IS NOT NULL),
+h AS (SELECT conv_id, turn, list_transform(a, lambda x: list_transform(c, lambda y: len(list_intersect(x, y)))) AS h FROM w)
+SELECT conv_id, turn, '[' || array_to_string(list_transform(h, lambda v: CASE WHEN list_max(v) >= 2 THEN CAST(list_position(v, list_max(v)) - 1 AS VARCHAR) ELSE 'null' END), ',') || ']' AS anchors FROM h""")
 def _q12(g):
     """Sentences of a turn are anchored to the sentences of the turn before."""
     w = Window.partitionBy("conv_id").orderBy("turn")

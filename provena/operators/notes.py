@@ -54,11 +54,10 @@ def _h3(g):
     return g.source.select("source", "sensitivity", "doc_status")
 
 
-_SENTENCES_SQL = r"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace({}, '([.!])(\s|$)', '\1' || chr(1) || '\2', 'g'), '([。?])', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 _EMAIL_SQL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
-@query("H10_guard_log", f"""WITH s AS (SELECT doc_id, source, lang, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS s FROM (SELECT doc_id, source, lang, {_SENTENCES_SQL.format('text')} AS x FROM documents)),
+@query("H10_guard_log", f"""WITH s AS (SELECT doc_id, source, lang, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS s FROM (SELECT doc_id, source, lang, {X.SENTENCES_SQL.format('text')} AS x FROM documents)),
 r AS (SELECT source, lang, doc_id, pos, regexp_replace(s, '{_EMAIL_SQL}', '***', 'g') AS entry, count(*) OVER (PARTITION BY source, lang) AS removed, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id, pos) AS rn FROM s WHERE regexp_matches(s, '{_EMAIL_SQL}'))
 SELECT source, lang, removed, rn, doc_id, entry FROM r WHERE rn <= 12""")
 def _h10(g, most=12):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.functions import text as X
-from provena.operators.notes import _SENTENCES_SQL
 from provena.registry import query
 
 #: What each account may read.
@@ -130,7 +129,7 @@ def checked_brief(sections: Column, rearranged: Column, sentences: int = 2) -> C
     return F.struct(F.when(good, F.array_join(new, " ")).otherwise(raw).alias("text"), (~good).alias("raw"))
 
 
-@query("Q15_checked_brief", f"""WITH d AS (SELECT doc_id, {_SENTENCES_SQL.format('text')} AS s FROM documents), e AS (SELECT *, list_reverse(list_filter(s, lambda t: regexp_matches(t, '[.!?。]$'))) AS back FROM d)
+@query("Q15_checked_brief", f"""WITH d AS (SELECT doc_id, {X.SENTENCES_SQL.format('text')} AS s FROM documents), e AS (SELECT *, list_reverse(list_filter(s, lambda t: regexp_matches(t, '[.!?。]$'))) AS back FROM d)
 SELECT doc_id, CASE WHEN len(back) > 0 AND doc_id % 2 = 0 THEN array_to_string(back, ' ') ELSE array_to_string(list_filter([array_to_string(s[1:2], ' '), 'One. Two.'], lambda t: t <> ''), chr(10)) END AS text, NOT (len(back) > 0 AND doc_id % 2 = 0) AS raw FROM e""")
 def _q15(g):
     """The whole sentences of even documents are told backwards, which is allowed; odd ones with a sentence of the teller's own."""

@@ -237,7 +237,9 @@ def hard_gate(df: DataFrame) -> DataFrame:
     return x.select("doc_id", F.array_join("kept", " ").alias("answer"), (F.col("n") - F.size("kept")).cast("long").alias("removed"))
 
 
-@query("Q10_hard_gate")
+@query("Q10_hard_gate", rf"""WITH d AS (SELECT doc_id, regexp_extract_all(replace(snippet, ',', ''), '\d+(?:\.\d+)*') AS held, list_concat(coalesce({X.SENTENCES_SQL.format('snippet')}, []), ['Case ' || doc_id || ' is closed.']) AS said FROM evidence),
+k AS (SELECT doc_id, len(said) AS n, list_filter(said, lambda t: NOT regexp_matches(t, '{X.EMAIL}') AND len(list_filter(regexp_extract_all(t, '\d[\d,]*(?:\.\d+)*'), lambda x: NOT coalesce(list_contains(held, replace(x, ',', '')), false))) = 0) AS kept FROM d)
+SELECT doc_id, array_to_string(kept, ' ') AS answer, CAST(n - len(kept) AS BIGINT) AS removed FROM k""")
 def _q10(g):
     """Answers are a document's sentences and one with its id, a number that the evidence seldom holds."""
     said = F.concat(F.coalesce(X.sentences(F.col("snippet")), F.array().cast("array<string>")), F.array(F.concat(F.lit("Case "), F.col("doc_id").cast("string"), F.lit(" is closed."))))
