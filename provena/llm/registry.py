@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from provena.llm import chat, decontaminate, imatch, licenses, mixing, neardup, secrets, shard, suffix, toxicity
+from provena.llm import chat, decontaminate, fim, imatch, langid, licenses, mixing, neardup, repair, secrets, shard, suffix, toxicity
 from provena.session import table
 
 OP1_SQL = r"""
@@ -100,11 +100,100 @@ def op10_toxicity(spark, sf_dir):
     return s.select("doc_id", held, "score", "predicted")
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS us, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (
+  SELECT *, len(us) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (
+  SELECT *, coalesce(array_to_string(us[1:a], ''), '') AS pre, coalesce(array_to_string(us[a + 1:b], ''), '') AS mid, coalesce(array_to_string(us[b + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op11_fim(spark, sf_dir):
+    """All documents cut into prefix, middle and suffix at lines."""
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _op12_sql() -> str:
+    """A recursion over rows; a state is its cost in nine digits and its audit, so the least string is the cheapest and then the least."""
+
+    def more(x: str, cost: str, letter: str) -> str:
+        return f"(lpad(CAST(CAST(substr({x}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10) || '{letter}')"
+
+    def stay(x: str, kind: str, now: str) -> str:
+        role = "" if now == "s" else f" ELSE {more(x, '2 + cut', 'R')}"
+        return f"CASE WHEN must THEN NULL WHEN kind = '{kind}' THEN {more(x, 'cut', 'K')}{role} END"
+
+    def into(was: list[str], now: str) -> str:
+        return f"least({', '.join([more(now, '3', 'D'), *[stay(x, now, now) for x in was]])})"
+
+    ins = lambda x: more(x, "2", "I")
+    return f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+d AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: xor(x >> 1, (x & 1) * 3988292384) + z))) % 20 AS d FROM c),
+w AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d, (VALUES (0), (1)) v(k) WHERE d <> 0 AND (k = 0 OR d = 3)),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 32), sha256(text)) AS i,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS kind FROM w),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'ok' END AS fault,
+    lag(kind) OVER (PARTITION BY conv_id ORDER BY i) || kind AS pair FROM o),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS b, CAST(NULL AS VARCHAR) AS s, '000000002I' AS u, '000000004II' AS a FROM g
+  UNION ALL
+  SELECT conv_id, i, b, s, u, least(a, {ins("u")}) AS a FROM (
+    SELECT conv_id, i, b, s, least(u, {ins("b")}, {ins("s")}, {ins("a")}) AS u, a FROM (
+      SELECT f.conv_id, f.i, {more("b", "3", "D")} AS b, {into(["b"], "s")} AS s, {into(["b", "s", "a"], "u")} AS u, {into(["u"], "a")} AS a
+      FROM dp JOIN (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM f) f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1))),
+e AS (SELECT g.*, CAST(substr(least(b, a), 1, 9) AS BIGINT) AS cost, substr(least(b, a), 10) AS audit FROM g JOIN dp ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND g.n = dp.i),
+l AS (
+  SELECT *, sum(CASE WHEN l = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) AS i, sum(CASE WHEN l = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) AS q
+  FROM (SELECT conv_id, p, substr(audit, p, 1) AS l FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM e))),
+k AS (SELECT l.*, f.role, f.text, coalesce(max(CASE WHEN q = 1 AND l = 'K' AND kind = 's' THEN 1 END) OVER (PARTITION BY l.conv_id), 0) AS first
+  FROM l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i AND l.l <> 'I' WHERE l.l <> 'D'),
+t AS (
+  SELECT conv_id, string_agg(CASE l WHEN 'K' THEN role ELSE CASE WHEN (q - first) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE l WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS said FROM k GROUP BY conv_id)
+SELECT y.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) y LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM y.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM y.conv_id
+"""
+
+
+def op12_repair(spark, sf_dir):
+    """All conversations, damaged and repaired."""
+    return repair.digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_langid(spark, sf_dir):
+    """Languages of all documents; the models never see the fifth that is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", held, "lang_pred", "score", "accepted")
+
+
 def queries() -> dict:
-    ops = {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_suffix_dedup, op4_mixing, op5_sharding, op6_secrets, op7_imatch, op8_neardup, op9_licenses, op10_toxicity)}
+    ops = {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_suffix_dedup, op4_mixing, op5_sharding, op6_secrets, op7_imatch, op8_neardup, op9_licenses, op10_toxicity, op11_fim, op12_repair, op13_langid)}
     return ops | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_decontaminate": OP1_SQL, "op2_chat": OP2_SQL}
+    sql = {"op1_decontaminate": OP1_SQL, "op2_chat": OP2_SQL, "op11_fim": OP11_SQL, "op12_repair": _op12_sql()}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
