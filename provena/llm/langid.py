@@ -40,6 +40,8 @@ ORDER, BITS = 5, 12
 MAX_KEYS = 4_000_000
 #: Bound of the texts that calibrate, expected; at most a tenth of the training texts.
 CALIBRATION_ROWS = 4_000
+#: Lengths of the excerpts that calibrate besides whole texts.
+EXCERPTS = (12, 24, 48, 96, 192)
 #: Share of right texts that stay accepted.
 ACCEPT = 0.99
 #: Characters read at once.
@@ -277,7 +279,7 @@ def train(docs: DataFrame, max_keys: int = MAX_KEYS, calibration_rows: int = CAL
         models.append(_language(mine, discount, alphabet))
     model = Model(languages, tuple(models))
     names = {x: i for i, x in enumerate(languages)}
-    known = entropy_rows(rows.where(F.col("u") < part), model).where(F.col("n") > 0).toArrow()
+    known = entropy_rows(excerpts(rows.where(F.col("u") < part)), model).where(F.col("n") > 0).toArrow()
     if known.num_rows:
         y = np.array([names.get(x, -1) for x in known.column("lang").to_pylist()])
         h = np.array(known.column("h").to_pylist()).reshape(len(y), -1)
@@ -287,6 +289,13 @@ def train(docs: DataFrame, max_keys: int = MAX_KEYS, calibration_rows: int = CAL
     return model
 
 
+def excerpts(rows: DataFrame) -> DataFrame:
+    """The texts, and of each one excerpt of each length, so that short texts are calibrated too."""
+    start = F.lit(1) + F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - F.col("size"), F.lit(1))).cast("int")
+    sized = rows.select("lang", "text", F.explode(F.array(*map(F.lit, (0, *EXCERPTS)))).alias("size"))
+    return sized.select("lang", F.when(F.col("size") == 0, F.col("text")).otherwise(F.substr("text", start, F.col("size"))).alias("text"))
+
+
 def entropy_rows(rows: DataFrame, model: Model) -> DataFrame:
     """(lang, n, h) of rows (lang, text): what calibration reads."""
     shared = rows.sparkSession.sparkContext.broadcast(model.models)
