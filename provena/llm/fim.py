@@ -128,7 +128,8 @@ def transform(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     small_batches(docs.sparkSession)
     new = [x.split()[0] for x in NEW.split(", ")]
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in new])
-    at, key = docs.columns.index("text"), docs.columns.index("doc_id")
+    names, at, key = docs.columns, docs.columns.index("text"), docs.columns.index("doc_id")
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots can't be sent as they are
     schema = docs.selectExpr("*", *[f"cast(null AS {x.split()[1]}) AS {x.split()[0]}" for x in NEW.split(", ")]).schema
 
     def run(batches):
@@ -140,7 +141,7 @@ def transform(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 [*batch.columns, pa.array(n, pa.int64()), pa.array(form, pa.string()), pa.array(pre, pa.int64()), pa.array(mid, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())],
                 names=[*batch.schema.names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, *new)
 
 
 def restored(output: Column | str = "output", form: Column | str = "form") -> Column:

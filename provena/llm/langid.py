@@ -313,8 +313,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(docs.sparkSession)
     new = ("lang_pred", "score", "accepted", "entropy")
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in new])
+    kept, at = docs.columns, docs.columns.index("text")
+    docs = docs.toDF(*[f"c{i}" for i in range(len(kept))])  # names with dots can't be sent as they are
     schema = docs.selectExpr("*", "'' AS lang_pred", "0D AS score", "true AS accepted", "cast(null AS double) AS entropy").schema
-    at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -334,7 +335,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(ok), pa.array(least, mask=np.isnan(least))], names=[*batch.schema.names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*kept, *new)
 
 
 def identified(docs: DataFrame) -> DataFrame:
