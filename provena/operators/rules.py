@@ -61,56 +61,6 @@ def fired(checks: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
 
 
-@query("X2_criticality", """
-SELECT deal_id, concat_ws('|', CASE WHEN outcome = 'lost' THEN 'CR-LOST' END, CASE WHEN amount >= 300000 THEN 'CR-LARGE' END, CASE WHEN stage IN ('1-URGENT', '2-HIGH') AND outcome = 'open' THEN 'CR-URGENT-OPEN' END, CASE WHEN regexp_matches(stage, '[0-9]') AND amount < 1000 THEN 'CR-SMALL' END) AS fired FROM deal""")
-def _x2(g):
-    checks = {
-        "CR-LOST": F.col("outcome") == "lost",
-        "CR-LARGE": F.col("amount") >= 300000,
-        "CR-URGENT-OPEN": F.col("stage").isin("1-URGENT", "2-HIGH") & (F.col("outcome") == "open"),
-        "CR-SMALL": F.col("stage").rlike("[0-9]") & (F.col("amount") < 1000),
-    }
-    return g.deal.select("deal_id", F.array_join(fired(checks), "|").alias("fired"))
-
-
-_WORDS_SQL = r"regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+')"
-_GAP_SQL = f"""b AS (SELECT item_id, list_distinct(list_slice(list_filter({_WORDS_SQL.format('text')}, lambda w: w <> ''), 1, 2)) AS need FROM benchmark),
-ev AS (SELECT doc_id, contains(snippet, 'Licensed') AND lang = 'en' AS says, {_WORDS_SQL.format('snippet')} AS ws FROM evidence),
-gap AS (SELECT b.item_id, CASE WHEN count(*) FILTER (ev.says) > 0 THEN 'CONFIRMED' WHEN count(ev.doc_id) > 0 THEN 'POSSIBLE' ELSE 'UNKNOWN' END AS verdict
-  FROM b LEFT JOIN ev ON len(b.need) > 0 AND list_has_all(ev.ws, b.need) GROUP BY 1)"""
-
-
-def gap_verdicts(questions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(item_id, verdict): whether any evidence holds both subject words, and any of that says that something is absent.
-
-    Absence needs its phrase and an authorised source in one excerpt; questions that no excerpt matches are
-    UNKNOWN.  Words meet by an equi join; every question is tested against all evidence.
-    """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    b = questions.select("item_id", F.array_distinct(F.slice(words(F.col("text")), 1, 2)).alias("need"))
-    b = b.select("item_id", F.size("need").alias("k"), F.explode("need").alias("w"))
-    e = evidence.select("doc_id", (F.contains("snippet", F.lit("Licensed")) & (F.col("lang") == "en")).alias("says"), F.explode(F.array_distinct(words(F.col("snippet")))).alias("w"))
-    both = e.join(b, "w").groupBy("item_id", "k", "doc_id", "says").agg(F.count("*").alias("n")).where("n = k")
-    seen = both.groupBy("item_id").agg(F.max(F.col("says").cast("int")).alias("says"))
-    verdict = F.when(F.col("says") == 1, "CONFIRMED").when(F.col("says") == 0, "POSSIBLE").otherwise("UNKNOWN")
-    return questions.select("item_id").join(seen, "item_id", "left").select("item_id", verdict.alias("verdict"))
-
-
-@query("X3_gap_verdicts", f"WITH {_GAP_SQL} SELECT item_id, verdict FROM gap")
-def _x3(g):
-    return gap_verdicts(g.benchmark, g.evidence)
-
-
-@query("M6_gap_check", f"""WITH {_GAP_SQL}, want AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'POSSIBLE' END AS expected FROM benchmark)
-SELECT coalesce(expected, 'any') AS expected, count(*) FILTER (expected IS NULL AND verdict <> 'UNKNOWN' OR verdict = expected) AS passed, count(*) AS n FROM gap JOIN want USING (item_id) GROUP BY 1""")
-def _m6(g):
-    """Verdicts against a golden list: an expected one, or none but a forbidden one."""
-    want = F.when(F.col("item_id") % 3 == 0, "CONFIRMED").when(F.col("item_id") % 3 == 1, "POSSIBLE")
-    v = gap_verdicts(g.benchmark, g.evidence).withColumn("expected", want)
-    ok = F.when(F.col("expected").isNull(), F.col("verdict") != "UNKNOWN").otherwise(F.col("verdict") == F.col("expected"))
-    return v.groupBy(F.coalesce("expected", F.lit("any")).alias("expected")).agg(F.count_if(ok).alias("passed"), F.count("*").alias("n"))
-
-
 #: Source types that are the record for a domain of claims, and outward-facing ones.
 OF_RECORD = {"product": ("spec", "code"), "deal": ("log",)}
 OUTWARD = ("brochure",)
@@ -146,13 +96,6 @@ def _x6(g, today="2025-01-15"):
     return a.select("custkey", "independent", F.when(F.col("top") >= 3, "LOW").when((F.col("top") == 0) & (F.col("age") <= 730), "HIGH").otherwise("MEDIUM").alias("band"))
 
 
-@query("X7_contradictions", """
-SELECT custkey, min(amount) AS low, max(amount) AS high FROM deal GROUP BY 1 HAVING count(*) >= 2 AND min(amount) > 0 AND max(amount) >= 2 * min(amount) AND arg_min(deal_id, amount) <> arg_max(deal_id, amount)""")
-def _x7(g):
-    d = g.deal.groupBy("custkey").agg(F.count("*").alias("n"), F.min("amount").alias("low"), F.max("amount").alias("high"), F.min_by("deal_id", "amount").alias("a"), F.max_by("deal_id", "amount").alias("b"))
-    return d.where("n >= 2 AND low > 0 AND high >= 2 * low AND a <> b").select("custkey", "low", "high")
-
-
 @query("X8_extraction_gate", r"""
 WITH c AS (SELECT p_partkey AS id, p_name AS quote, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand END AS field, CAST(p_size AS VARCHAR) AS num FROM part)
 SELECT id, concat_ws('|', CASE WHEN NOT contains(quote, field) THEN 'field' END, CASE WHEN NOT regexp_matches(quote, '(^|[^0-9])' || num || '($|[^0-9])') AND id % 2 = 0 THEN 'number' END) AS reasons FROM c""")

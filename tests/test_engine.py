@@ -175,12 +175,6 @@ def test_quotes_are_found_whole_or_within_words(spark):
     assert got == {(i, k) for i, x in quotes for k, t in texts if x is not None and t is not None and flat(x) in flat(t)}
 
 
-def test_gap_verdicts(spark):
-    q = spark.createDataFrame([(1, "Red car now"), (2, "blue sky"), (3, "red bus"), (4, None)], "item_id int, text string")
-    e = spark.createDataFrame([(1, "the red, car is Licensed", "en"), (2, "a car in red", "de"), (3, "blue SKY", "en"), (4, "bus", "en")], "doc_id int, snippet string, lang string")
-    assert {r.item_id: r.verdict for r in rules.gap_verdicts(q, e).collect()} == {1: "CONFIRMED", 2: "POSSIBLE", 3: "UNKNOWN", 4: "UNKNOWN"}
-
-
 def test_html_units():
     html = "<h1>A</h1><p>x <b>y</b></p><script>no()</script><h2>B</h2>z<h2>B</h2>w"
     assert records.html_units(html) == [{"path": "A", "text": "x y"}, {"path": "A > B", "text": "z"}, {"path": "A > B", "text": "w"}]
