@@ -242,9 +242,3 @@ def _s19(g):
     f = g.part.select("p_partkey", lead_fields(form).alias("f"))
     return f.select(F.col("p_partkey").alias("id"), F.col("f")["name"].alias("name"), F.col("f")["brand"].alias("brand"))
 
-
-@query("S21_upsert_snapshot", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) ELSE c_name END AS name, c_custkey % 4 = 0 AS updated FROM customer")
-def _s21(g):
-    """A new snapshot of a keyed table: incoming rows replace, the others stay."""
-    old, new = g.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("old")), g.customer.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("new"))
-    return old.join(new, "id", "full").select("id", F.coalesce("new", "old").alias("name"), F.col("new").isNotNull().alias("updated"))

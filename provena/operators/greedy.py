@@ -75,9 +75,9 @@ def grow(nodes: dict, edges: list[tuple], most: int = 50) -> list:
 
 def _candidates(g) -> DataFrame:
     """(question, doc_id, source, score): evidence for each benchmark item by its first words, at most POOL each."""
-    from provena.operators.selection import asked, search
+    from provena.operators.selection import found
 
-    hit = search(g.documents, asked(g)).join(g.evidence.select("doc_id", "source", "lang"), "doc_id")
+    hit = found(g).join(g.evidence.select("doc_id", "source", "lang"), "doc_id")
     return top_per_group(hit, ["item_id"], [F.desc("score"), F.col("doc_id")], POOL)
 
 

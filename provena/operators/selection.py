@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from provena.functions import text as X
+from provena.operators import postings
 from provena.operators.common import top_per_group
+from provena.operators.postings import B, K1
 from provena.operators.quotes import holding
 from provena.registry import query
-from provena.session import stored
-
-K1, B = 1.2, 0.75
-#: Asked words up to this number are a set in the plan that filters tokens before they become rows; beyond it they are joined.
-WORDS_IN_PLAN = 5_000
-
+from provena.session import run_folder
 
 def _tokens_sql(c: str) -> str:
     """DuckDB's list of search tokens."""
@@ -28,41 +27,48 @@ hit AS (SELECT q.item_id, t.doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.
   FROM q JOIN tok t USING (term) JOIN df USING (term) JOIN len ON len.doc_id = t.doc_id CROSS JOIN st GROUP BY 1, 2)"""
 
 
-def search(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score): BM25 of every document with a query term; asked has (item_id, term).
-
-    One pass reads the texts and keeps lengths and asked words only; counts, document frequencies and
-    hits come from that narrow table.
-    """
-    wanted = asked.select("term").distinct()
-    few = [r.term for r in wanted.limit(WORDS_IN_PLAN + 1).collect()]
-    d = docs.select("doc_id", F.explode(F.array(X.search_tokens(F.col("text")))).alias("ts"))  # worked out once a row
-    kept = F.filter("ts", lambda w: w.isin(*few)) if len(few) <= WORDS_IN_PLAN else F.col("ts")
-    d = stored(d.select("doc_id", F.size("ts").alias("dl"), kept.alias("ts")).where("dl > 0"))
-    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("av"))
-    post = d.select("doc_id", "dl", F.explode("ts").alias("term"))
-    if len(few) > WORDS_IN_PLAN:
-        post = post.join(wanted, "term", "left_semi")
-    post = post.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    s = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("av")))
-    x = asked.join(post, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
-    return x.groupBy("item_id", "doc_id").agg(F.round(F.sum(s), 6).alias("score"))
-
-
 def asked(g) -> DataFrame:
     first = F.array_distinct(F.slice(X.search_tokens(F.col("text")), 1, 3))
     return g.ask.select("item_id", F.explode(first).alias("term"))
 
 
+def found(g) -> DataFrame:
+    """(item_id, doc_id, score) of the asked terms, from the postings of all passages."""
+    return postings.search(g.spark, postings.of(g), asked(g))
+
+
 def _ranked(g, n: int) -> DataFrame:
-    return top_per_group(search(g.passage, asked(g)), ["item_id"], [F.desc("score"), F.col("doc_id")], n)
+    return top_per_group(found(g), ["item_id"], [F.desc("score"), F.col("doc_id")], n)
 
 
 def _cut_sql(n: int) -> str:
     return f"cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM hit) WHERE rn <= {n})"
 
 
+_STATUS_SQL = f"""tok AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens_sql('text')}) AS term FROM passage) GROUP BY 1, 2)"""
+
+
+@query("S24_postings_status", f"WITH {_STATUS_SQL} SELECT 'cjk' AS analyzer, 1 AS segments, count(DISTINCT doc_id) AS docs, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS terms, count(*) AS postings FROM tok")
+def _s24_status(g):
+    return postings.status(g.spark, postings.of(g))
+
+
+@query("S24_postings_refresh", f"""WITH {_STATUS_SQL}, t AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM tok GROUP BY 1) SELECT term, df, tf, 2 AS segments FROM t""")
+def _s24_refresh(g):
+    """Document frequencies after an update: an older state of the passages is indexed first, then what differs from it.
+
+    In the older state a tenth of the passages is missing, a tenth reads otherwise, and some are there that go.
+    """
+    path = f"{run_folder(g.spark)}/postings-{uuid.uuid4().hex[:12]}"
+    p = g.passage.select("doc_id", "text")
+    old = p.where("pmod(doc_id, 10) <> 1").select("doc_id", F.when(F.expr("pmod(doc_id, 10) = 2"), F.reverse("text")).otherwise(F.col("text")).alias("text"))
+    gone = p.where("pmod(doc_id, 7) = 0").select((-1000 - F.col("doc_id")).alias("doc_id"), "text")
+    postings.apply(old.unionByName(gone), path)
+    index = postings.apply(p, path)
+    v = postings._valid(g.spark, index, postings._read(g.spark, index))
+    return v.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).withColumn("segments", F.lit(len(index.segments)))
+
+
 @query("L1_full_text_topk", f"WITH {_HITS_SQL}, {_cut_sql(8)} SELECT item_id, doc_id, rn FROM cut")
 def _l1(g):
     return _ranked(g, 8).select("item_id", "doc_id", "rn")
@@ -83,7 +89,7 @@ def _l3(g):
 
 @query("A15_max_score_per_source", f"WITH {_HITS_SQL} SELECT v.source, max(h.score) AS score, count(*) AS hits FROM hit h JOIN passage v USING (doc_id) GROUP BY 1")
 def _a15(g):
-    return search(g.passage, asked(g)).join(g.passage.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("score").alias("score"), F.count("*").alias("hits"))
+    return found(g).join(g.passage.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("score").alias("score"), F.count("*").alias("hits"))
 
 
 @query("J21_full_text_linking", f"""WITH {_HITS_SQL}, {_cut_sql(8)},

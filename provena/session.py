@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,10 +51,8 @@ def _files(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def run_folder(spark: SparkSession) -> str:
-    """The application's own part of the shared folder, or that of the innermost `scratch`; it goes when the application ends."""
-    if _scratch:
-        return _scratch[-1]
+def app_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder; it goes when the application ends."""
     path = f"{shared_folder(spark)}/provena-{spark.sparkContext.applicationId}"
     fs, where = _files(spark, path)
     fs.mkdirs(where)
@@ -61,21 +60,38 @@ def run_folder(spark: SparkSession) -> str:
     return path
 
 
-_scratch: list[str] = []
+def run_folder(spark: SparkSession) -> str:
+    """The folder of the innermost `scratch` of this thread or task, or the application's."""
+    return _scratch.get() or app_folder(spark)
+
+
+#: Each thread has its own, so runs side by side don't store into each other's folders.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Tables stored inside go at the end; what is returned from inside must be stored `outside`."""
     path = f"{run_folder(spark)}/scratch-{uuid.uuid4().hex[:12]}"
-    _scratch.append(path)
+    before = _scratch.set(path)
     try:
         yield path
     finally:
-        _scratch.remove(path)
+        _scratch.reset(before)
         discard(spark, path)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Files, bytes and the newest change of a table's folder or file, to see whether it has changed."""
+    fs, where = _files(spark, path)
+    files, size, newest = 0, 0, 0
+    todo = fs.listFiles(where, True)
+    while todo.hasNext():
+        f = todo.next()
+        files, size, newest = files + 1, size + f.getLen(), max(newest, f.getModificationTime())
+    return files, size, newest
+
+
 def discard(spark: SparkSession, path: str | None) -> None:
     """Remove a stored table or folder."""
     if path:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 from html import unescape
 from html.parser import HTMLParser
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from provena.operators.quotes import holding
 from provena.registry import query
 from provena.session import run_folder
+from provena.sources import snapshots
 
 EVIDENCE = "evidence_id string, source_id string, locator string, excerpt string, unit string, authored_at string, raw_len int, structured map<string,string>"
 
@@ -344,10 +346,48 @@ def _s23(g, prefix="Customer#00000000"):
     return e.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("S24_uniqueness_checks", "SELECT 'account' AS label, count(*) - count(DISTINCT account) AS repeats FROM account UNION ALL SELECT 'domain', count(*) - count(DISTINCT domain) FROM domain UNION ALL SELECT 'deal', count(*) - count(DISTINCT deal_id) FROM deal")
+@query("S21_upsert_snapshot", """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 6 <> 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 4 = 0 THEN 'run-2' ELSE 'run-1' END AS run_id,
+  '2024-01-01' AS created, CASE WHEN c_custkey % 4 = 0 THEN '2024-02-01' ELSE '2024-01-01' END AS updated, 2 AS version FROM customer""")
+def _s21(g):
+    """Three runs into a keyed snapshot: all rows, a batch in which every fourth differs, and the same batch again, which changes nothing."""
+    root, day = f"{run_folder(g.spark)}/nodes-{uuid.uuid4().hex[:12]}", lambda d: F.lit(d).cast("timestamp")
+    first = g.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_acctbal")).alias("balance"))
+    again = first.select("id", F.when(F.col("id") % 4 == 0, F.upper("name")).otherwise(F.col("name")).alias("name"), F.lit(None).cast("double").alias("balance"))
+    snapshots.merge(first, root, ["id"], "run-1", day("2024-01-01"), buckets=16)
+    snapshots.merge(again, root, ["id"], "run-2", day("2024-02-01"))
+    version = snapshots.merge(again, root, ["id"], "run-3", day("2024-03-01"))
+    days = [F.date_format(c, "yyyy-MM-dd").alias(c.removesuffix("_at")) for c in ("created_at", "updated_at")]
+    return snapshots.read(g.spark, root).select("id", "name", "balance", "run_id", *days, F.lit(version).alias("version"))
+
+
+@query("S23_reset_run", """
+WITH n AS (SELECT account AS key FROM account UNION SELECT need FROM has_need WHERE length(need) % 2 = 1), e AS (SELECT DISTINCT account, need FROM has_need)
+SELECT 'node' AS kind, count(*) AS n FROM n UNION ALL SELECT 'edge', count(*) FROM e WHERE need IN (SELECT key FROM n)""")
+def _s23_reset(g):
+    """What is left when the nodes of one run go, with the edges that end in them."""
+    nodes, edges = (f"{run_folder(g.spark)}/{kind}-{uuid.uuid4().hex[:12]}" for kind in ("nodes", "edges"))
+    need = g.has_need.select(F.col("need").alias("key")).distinct()
+    hand = g.account.select(F.col("account").alias("key")).unionByName(need.where("length(key) % 2 = 1"))
+    snapshots.merge(hand, nodes, ["key"], "by hand", buckets=8)
+    snapshots.merge(need.where("length(key) % 2 = 0"), nodes, ["key"], "pipeline")
+    snapshots.merge(g.has_need.select(F.col("account").alias("from_key"), F.col("need").alias("to_key")), edges, ["from_key", "to_key"], "pipeline", buckets=8)
+    snapshots.reset_run(g.spark, nodes, "pipeline", edges)
+    count = lambda kind, root: snapshots.read(g.spark, root).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return count("node", nodes).unionByName(count("edge", edges))
+
+
+#: The key that is unique for each label.
+UNIQUE = {"Account": ("account", "account"), "BusinessDomain": ("domain", "domain"), "Deal": ("deal", "deal_id"), "Feature": ("feature", "feature_id"), "Source": ("source", "source"), "Evidence": ("evidence", "locator"), "Claim": ("claim", "claim_id"), "Observation": ("observation", "obs_id"), "Need": ("need_row", "need")}
+_UNIQUE_SQL = " UNION ALL ".join(f"SELECT '{label}' AS label, count(*) AS n, count(*) - count(DISTINCT {key}) AS repeats, count(*) FILTER ({key} IS NULL) AS nulls FROM {view}" for label, (view, key) in UNIQUE.items())
+
+
+@query("S24_uniqueness_checks", f"SELECT label, n, repeats, nulls, CASE WHEN repeats + nulls = 0 THEN 'online' ELSE 'failed' END AS state FROM ({_UNIQUE_SQL})")
 def _s24(g):
-    c = lambda df, label, key: df.agg(F.lit(label).alias("label"), (F.count("*") - F.countDistinct(key)).alias("repeats"))
-    return c(g.account, "account", "account").unionByName(c(g.domain, "domain", "domain")).unionByName(c(g.deal, "deal", "deal_id"))
+    """State of the uniqueness constraints; needs as they stand in order lines repeat, so that one fails."""
+    c = [getattr(g, view).agg(F.lit(label).alias("label"), F.count("*").alias("n"), (F.count("*") - F.countDistinct(key)).alias("repeats"), F.count_if(F.col(key).isNull()).alias("nulls")) for label, (view, key) in UNIQUE.items()]
+    state = F.when(F.col("repeats") + F.col("nulls") == 0, "online").otherwise("failed")
+    return reduce(DataFrame.unionByName, c).withColumn("state", state)
 
 
 def upsert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame, types: tuple[str, ...]) -> DataFrame:
