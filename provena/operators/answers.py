@@ -40,14 +40,6 @@ def _n9(g):
     return listed.where(X.match_key(F.col("a")) == X.match_key(F.col("b")))
 
 
-@query("N18_record_handlers", """
-SELECT 'Account' AS label, account AS key FROM account UNION ALL SELECT 'Deal', lower(replace(a.account, ' ', '')) || '|' || x.deal_id FROM deal x JOIN account a USING (custkey) UNION ALL SELECT 'Need', need FROM (SELECT DISTINCT need FROM has_need)""")
-def _n18(g):
-    """Each record kind selects its nodes; kinds are put together by union."""
-    deals = g.deal.join(g.account, "custkey").select(F.lit("Deal").alias("label"), F.concat(F.lower(F.regexp_replace("account", " ", "")), F.lit("|"), F.col("deal_id").cast("string")).alias("key"))
-    return g.account.select(F.lit("Account").alias("label"), F.col("account").alias("key")).unionByName(deals).unionByName(g.has_need.select(F.lit("Need").alias("label"), F.col("need").alias("key")).distinct())
-
-
 @query("N25_bound_amounts", r"SELECT p_partkey AS id, regexp_matches(s, '\d[^0-9]{0,12}(이하|이상|한도|≤|≥)') AS bound FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size || '억 이하' WHEN 1 THEN p_size || '억 수준' ELSE '한도 ' || p_size END AS s FROM part)")
 def _n25(g):
     n = F.col("p_size").cast("string")
