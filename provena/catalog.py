@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from provena import registry
-from provena.operators import answers, criticality, disputes, gaps, greedy, handlers, notes, patterns, policy, rules, selection, templates, texts  # noqa: F401
+from provena.operators import answers, criticality, disputes, expansion, gaps, greedy, handlers, notes, patterns, policy, rules, selection, templates, texts  # noqa: F401
 from provena.plans import browse  # noqa: F401
 from provena.plans.fixture import Graph, oracle
-from provena.sources import office, records  # noqa: F401
+from provena.sources import bundles, office, records, tables  # noqa: F401
 from provena.streaming import flows  # noqa: F401
 
 

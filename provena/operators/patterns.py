@@ -302,15 +302,6 @@ def _g2(g):
     return degrees(g.edge).where("label <> 'Deal'").select("label", "key", F.when(rn == 1, "focal").otherwise("supporting").alias("rank"))
 
 
-@query("G5_two_hop_neighbourhood", f"""WITH {SEED}, one AS (SELECT label, key FROM (SELECT from_label AS label, from_key AS key FROM hop UNION SELECT to_label, to_key FROM hop)),
-hop2 AS (SELECT DISTINCT e.* FROM edge e JOIN one s ON (e.from_label = s.label AND e.from_key = s.key) OR (e.to_label = s.label AND e.to_key = s.key))
-SELECT label, count(*) AS n FROM (SELECT from_label AS label, from_key AS key FROM hop2 UNION SELECT to_label, to_key FROM hop2) GROUP BY 1""")
-def _g5(g):
-    one = expand(g.edge, seed(g))
-    ends = lambda e: e.select(F.col("from_label").alias("label"), F.col("from_key").alias("key")).unionAll(e.select("to_label", "to_key")).distinct()
-    return ends(expand(g.edge, ends(one))).groupBy("label").agg(F.count("*").alias("n"))
-
-
 @query("G6_top_entities_with_induced_edges", """
 WITH b AS (SELECT * FROM edge WHERE type NOT IN ('WITH_ACCOUNT', 'IN_DOMAIN')), n AS (SELECT label, key, count(*) AS degree FROM (SELECT from_label AS label, from_key AS key FROM b UNION ALL SELECT to_label, to_key FROM b) GROUP BY 1, 2), t AS (SELECT * FROM n ORDER BY degree DESC, label, key LIMIT 20)
 SELECT e.* FROM b e JOIN t a ON e.from_label = a.label AND e.from_key = a.key JOIN t b ON e.to_label = b.label AND e.to_key = b.key""")

@@ -236,12 +236,6 @@ def _m9(g):
     return d.groupBy("check_name").agg(F.count_if("ok").alias("passed"), F.count("*").alias("n"))
 
 
-@query("M12_cell_coverage", "SELECT count(*) FILTER (NOT contains('name: ' || p_name || ' | brand: ' || p_brand, p_type)) AS uncovered, count(*) AS cells FROM part")
-def _m12(g):
-    ex = F.concat_ws(" | ", F.concat(F.lit("name: "), "p_name"), F.concat(F.lit("brand: "), "p_brand"))
-    return g.part.agg(F.count_if(~F.contains(ex, "p_type")).alias("uncovered"), F.count("*").alias("cells"))
-
-
 @query("H6_status_words", "SELECT conv_id, turn, len(list_filter(['the', 'and', 'of'], lambda w: contains(lower(text), w))) AS n FROM conversations")
 def _h6(g):
     return g.conversations.select("conv_id", "turn", F.size(F.filter(F.array(*map(F.lit, ("the", "and", "of"))), lambda w: F.contains(F.lower("text"), w))).cast("long").alias("n"))

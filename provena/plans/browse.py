@@ -86,14 +86,6 @@ def _b8(g):
     return top.groupBy("issue").agg(F.count("*").alias("shown"), F.min("item").alias("first_item"))
 
 
-@query("G4_capped_expand", """
-WITH n AS (SELECT to_label AS label, to_key AS key FROM edge WHERE from_label = 'BusinessDomain' UNION SELECT from_label, from_key FROM edge WHERE to_label = 'BusinessDomain') SELECT label, key FROM n ORDER BY label, key LIMIT 30""")
-def _g4(g, cap=30):
-    out = g.edge.where("from_label = 'BusinessDomain'").select(F.col("to_label").alias("label"), F.col("to_key").alias("key"))
-    back = g.edge.where("to_label = 'BusinessDomain'").select("from_label", "from_key")
-    return out.union(back).distinct().orderBy("label", "key").limit(cap)
-
-
 @query("Q1_ask_entity", """
 WITH k AS (SELECT custkey, account FROM account), e AS (SELECT k.account, v.doc_id, v.locator, min(o.obs_id) AS o FROM k JOIN observation o USING (custkey) JOIN evidence v USING (doc_id) JOIN source s USING (source) WHERE s.sensitivity <> 'restricted' AND s.doc_status <> 'deprecated' GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY o) AS rn FROM e) SELECT account, count(*) AS cited, string_agg(locator, '|' ORDER BY rn) AS evidence FROM r WHERE rn <= 24 GROUP BY 1""")

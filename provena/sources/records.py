@@ -303,20 +303,6 @@ def _s2(g):
     return g.source.where(F.coalesce("sensitivity", F.lit("")) != "").select("source", "sensitivity", status.alias("doc_status"))
 
 
-@query("S3_bundle_slugs", r"SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM pages WHERE url NOT LIKE '%/1%'")
-def _s3(g):
-    slug = F.regexp_replace(F.regexp_replace(F.lower("url"), "[^a-z0-9]+", "-"), "^-|-$", "")
-    return g.pages.where(~F.contains("url", F.lit("/1"))).select("page_id", slug.alias("slug"))
-
-
-@query("S10_table_row_dedup", r"SELECT min(p_partkey) AS id, p_name || ' | ' || p_type AS row_text FROM part GROUP BY 2")
-def _s10(g):
-    """Rows that differ in white space only are kept once, the first one."""
-    t = F.concat_ws(" | ", "p_name", "p_type")
-    p = g.part.select("p_partkey", t.alias("row_text"), F.sha2(F.regexp_replace(t, r"\s+", "").cast("binary"), 256).alias("k"))
-    return p.groupBy("k").agg(F.min("p_partkey").alias("id"), F.min_by("row_text", "p_partkey").alias("row_text")).drop("k")
-
-
 #: Marks by which a transcript says that it could not be read for certain.
 UNCERTAIN = ("[판독불가]", "[판독주의]")
 
