@@ -74,16 +74,6 @@ def _q4(g, term="no such need", limit=25):
     return rows.select("need", "account", F.lit(relaxed).alias("relaxed")).orderBy("need", "account").limit(limit)
 
 
-@query("Q5_strategic_stages", """
-SELECT 'domains' AS stage, count(*) AS n FROM domain WHERE bd_status = 'managed' UNION ALL SELECT 'needs', count(DISTINCT need) FROM has_need WHERE nationkey IN (SELECT nationkey FROM domain WHERE bd_status = 'managed')
-UNION ALL SELECT 'capabilities', count(DISTINCT b.capability) FROM has_need h JOIN addressed_by b USING (need) WHERE h.nationkey IN (SELECT nationkey FROM domain WHERE bd_status = 'managed')""")
-def _q5(g):
-    m = g.domain.where("bd_status = 'managed'")
-    h = g.has_need.join(m, "nationkey", "left_semi")
-    n = lambda df, stage, c: df.agg(F.lit(stage).alias("stage"), F.countDistinct(c).alias("n"))
-    return n(m, "domains", "domain").unionByName(n(h, "needs", "need")).unionByName(n(h.join(g.addressed_by, "need"), "capabilities", "capability"))
-
-
 @query("Q6_raw_signals", "SELECT v.doc_id, v.source FROM evidence v JOIN source s USING (source) WHERE contains(v.snippet, 'token') AND s.sensitivity <> 'restricted' AND s.doc_status <> 'deprecated' AND v.doc_id NOT IN (SELECT claim_id FROM claim)")
 def _q6(g):
     v = g.evidence.where(F.contains("snippet", F.lit("token"))).join(permitted(g.source), "source", "left_semi")
