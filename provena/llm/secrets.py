@@ -2,12 +2,17 @@
 
 Two first-order chains over single characters, one of random strings and one of ordinary identifiers,
 are compared by the mean log-likelihood ratio of a token's transitions.  Labelled samples train them:
-digests in several alphabets are the random strings; identifiers in the usual spellings (camel, snake,
-kebab, paths, ...) are the ordinary ones, and the words of all documents are counted with them at the
-same weight, so that a corpus' own languages pass for ordinary.  A part of the sample that trains
-nothing sets, for each band of lengths, the ratio that only FALSE_RATE of its identifiers reach; another
-part measures `rates`.  The model is a literal array of a few thousand numbers, so scoring is a look-up
-inside the plan; nothing here runs Python on an executor.
+digests in several alphabets are the random strings; names that the source files of Python's own library define, and
+identifiers made of their words in the usual spellings (camel, snake, kebab, paths, ...), are the ordinary
+ones, and the words of all documents are counted with them at the same weight, so that a corpus' own
+languages pass for ordinary.  Of the ordinary chain's probability SPREAD is dealt out evenly within the class of the next character, so
+that one rare pair in a name nobody has seen doesn't make it random.
+
+Names are split by a hash, and words of the other parts that the training part has are left out of what is made from them, so
+thresholds and rates are those of unseen vocabulary.  For each band of lengths the threshold is the ratio that only FALSE_RATE of the
+ordinary strings reach, or the one that MISS of the random strings don't, if that is higher: where the classes lie
+apart, the room between them goes to names unlike any in the sample.  The model is a literal array of a few thousand
+numbers, so scoring is a look-up inside the plan; nothing here runs Python on an executor.
 
 Spans are (kind, start, end) in code points, end exclusive, in order of start and then of kinds as in
 `KINDS`.  A chain's span is left out where a span of a fixed kind has the same borders; inside a longer
@@ -20,8 +25,13 @@ rows; extra columns are kept by `scan`, but for one named `found`, which it repl
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+import sysconfig
 from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,8 +50,12 @@ TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_MIN},}}"
 BANDS = (12, 16, 20, 28, 40)
 #: Share of ordinary identifiers that a threshold lets through as random.
 FALSE_RATE = 0.001
-#: Labelled strings of each class.
-SAMPLE = 40_000
+#: Share of random strings that a threshold may give up to keep ordinary ones out.
+MISS = 0.006
+#: Share of an ordinary transition's probability that is even within the class of the next character.
+SPREAD = 0.1
+#: Labelled strings of each class, and names from source files among the ordinary ones.
+SAMPLE, CODE_NAMES = 40_000, 24_000
 #: Words of documents: letters only, between characters that no token has.
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,24}(?![A-Za-z0-9+/_=-])"
 
@@ -72,6 +86,33 @@ unit update upload url user util utf8 valid validate value variable vector verif
 widget width window word worker workflow wrapper write xml yield zone""".split()
 SEPARATORS = ("", "_", "-", "/")
 _SPLITS = {"train": (0, 1), "threshold": (2,), "test": (3,)}
+#: What a source file defines: functions, classes, attributes, variables, parameters with a value.
+_DEFINED = r"(?:\bdef |\bclass |\bself\.|\bimport |^|\n[ ]*)([A-Za-z_][A-Za-z0-9_]*)(?=\s*(?:=[^=]|[(:.]|$|\n))"
+_HUMP = r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"
+
+
+@cache
+def code_names() -> dict[str, tuple[list[str], list[str]]]:
+    """(names, words) of each part of the sample, from the source files of the Python that runs the driver.
+
+    A bounded number of names, those of the lowest hash; words of other parts than "train" are those that the training part hasn't.
+    """
+    top, names = Path(sysconfig.get_path("stdlib")), set()
+    for path in top.rglob("*.py"):
+        if not {"site-packages", "test", "tests", "idlelib", "__pycache__"} & set(path.relative_to(top).parts):
+            names |= set(re.findall(_DEFINED, path.read_text(encoding="utf-8", errors="ignore")))
+    place = lambda s: int(hashlib.sha256(s.encode()).hexdigest()[:12], 16)
+    some = sorted(names, key=place)[:CODE_NAMES]
+    out, known = {}, set()
+    for part, numbers in _SPLITS.items():
+        mine = [n for n in some if place(n) % 4 in numbers]
+        words = {w.lower() for n in mine for w in re.findall(_HUMP, n) if 3 <= len(w) <= 12}
+        if part == "train":
+            known = words = words | set(PARTS)
+        else:
+            words -= known
+        out[part] = (mine, sorted(words))
+    return out
 
 
 @dataclass(frozen=True)
@@ -141,13 +182,21 @@ def _pairs(df: DataFrame, token: str, n: str | None = None) -> dict[tuple[int, i
     return {divmod(r.k, 100): float(r.n) for r in two.groupBy("k").agg(F.sum("n").alias("n")).collect()}
 
 
-def _chain(counts: dict[tuple[int, int], float]) -> list[list[float]]:
-    """Log probabilities of transitions, with one more of each counted."""
+#: Where the classes of characters begin and end in `_CHARS`: small letters, capitals, digits, the rest.
+_CLASSES = ((0, 26), (26, 52), (52, 62), (62, N))
+
+
+def _chain(counts: dict[tuple[int, int], float], spread: float = 0.0) -> list[list[float]]:
+    """Log probabilities of transitions, with one more of each counted; `spread` of them even within each class."""
     out = []
     for i in range(1, N + 1):
         row = [counts.get((i, j), 0) + 1.0 for j in range(1, N + 1)]
         s = sum(row)
-        out.append([math.log(x / s) for x in row])
+        row = [x / s for x in row]
+        for lo, hi in _CLASSES:
+            even = sum(row[lo:hi]) / (hi - lo)
+            row[lo:hi] = [(1 - spread) * x + spread * even for x in row[lo:hi]]
+        out.append([math.log(x) for x in row])
     return out
 
 
@@ -164,11 +213,18 @@ def random_strings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
     return spark.range(n).select("id", pick.alias("w"))
 
 
-def identifiers(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
-    """(id, w): labelled ordinary identifiers of two to six parts in the usual spellings."""
-    draw = lambda *x: F.xxhash64(F.lit("identifier"), F.col("id"), *map(F.lit, x))
-    voc = _literal(PARTS, "string")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(1) + F.pmod(draw("parts"), F.lit(5)).cast("int")), lambda j: F.element_at(voc, F.pmod(F.xxhash64(F.lit("part"), F.col("id"), j), F.lit(len(PARTS))).cast("int") + 1))
+def named(spark: SparkSession, part: str) -> DataFrame:
+    """(w): names of one part of the sample that are long enough to be judged."""
+    names = [n for n in code_names()[part][0] if len(n) >= TOKEN_MIN or part == "train"]
+    return spark.range(1).select(F.explode(_literal(names or [PARTS[0]], "string")).alias("w"))
+
+
+def identifiers(spark: SparkSession, part: str = "train", n: int = SAMPLE) -> DataFrame:
+    """(id, w): ordinary identifiers of two to six words of one part of the sample, in the usual spellings."""
+    words = code_names()[part][1] or PARTS
+    draw = lambda *x: F.xxhash64(F.lit(f"identifier {part}"), F.col("id"), *map(F.lit, x))
+    voc = _literal(words, "string")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(1) + F.pmod(draw("parts"), F.lit(5)).cast("int")), lambda j: F.element_at(voc, F.pmod(F.xxhash64(F.lit("part"), F.col("id"), j), F.lit(len(words))).cast("int") + 1))
     d = spark.range(n).select("id", F.explode(F.array(parts)).alias("p"))
     title = F.transform("p", F.initcap)
     digit = F.pmod(draw("digit"), F.lit(100)).cast("string")
@@ -199,22 +255,29 @@ def _band(token: Column) -> Column:
     return sum((F.length(token) >= b).cast("int") for b in BANDS) - 1
 
 
-def train(docs: DataFrame, false_rate: float = FALSE_RATE) -> Model:
+def ordinary_strings(spark: SparkSession, part: str) -> DataFrame:
+    """(w): all ordinary strings of one part of the sample."""
+    return named(spark, part).unionByName(identifiers(spark, part).select("w"))
+
+
+def train(docs: DataFrame, false_rate: float = FALSE_RATE, miss: float = MISS) -> Model:
     """The chains of the labelled sample and all documents' words, and their thresholds."""
     spark = docs.sparkSession
-    ordinary = _pairs(split(identifiers(spark), "train"), "w")
+    ordinary = _pairs(ordinary_strings(spark, "train"), "w")
     corpus = _pairs(corpus_words(docs), "w", "n")
     scale = sum(ordinary.values()) / max(1.0, sum(corpus.values()))
     for k, n in corpus.items():
         ordinary[k] = ordinary.get(k, 0) + n * scale
-    r, o = _chain(_pairs(split(random_strings(spark), "train"), "w")), _chain(ordinary)
+    r, o = _chain(_pairs(split(random_strings(spark), "train"), "w")), _chain(ordinary, SPREAD)
     table = [r[i][j] - o[i][j] for i in range(N) for j in range(N)]
-    held = split(identifiers(spark), "threshold").select(_band(F.col("w")).alias("b"), ratio(F.col("w"), table).alias("s"))
-    got = {x.b: x.c for x in held.groupBy("b").agg(F.percentile("s", 1 - false_rate).alias("c")).collect()}
+    both = ordinary_strings(spark, "threshold").withColumn("y", F.lit(False)).unionByName(split(random_strings(spark), "threshold").select("w", F.lit(True).alias("y")))
+    held = both.select("y", _band(F.col("w")).alias("b"), ratio(F.col("w"), table).alias("s"))
+    got = {(x.y, x.b): x for x in held.groupBy("y", "b").agg(F.percentile("s", 1 - false_rate).alias("top"), F.percentile("s", miss).alias("low")).collect()}
     cuts, most = [], math.inf
-    for b in range(len(BANDS)):  # a longer token never needs a higher ratio, and no ratio below 0 counts as random
-        most = min(most, got.get(b, most))
-        cuts.append(max(0.0, most))
+    for b in range(len(BANDS)):
+        # a longer token never needs a higher ratio to keep ordinary strings out
+        most = min(most, got[False, b].top if (False, b) in got else most)
+        cuts.append(max(0.0, most, got[True, b].low if (True, b) in got else 0.0))
     return Model(table, cuts)
 
 
@@ -236,12 +299,18 @@ def is_random(token: Column, model: Model) -> Column:
     return token.rlike("[A-Za-z]") & (ratio(token, model.table) > cut)
 
 
-def rates(spark: SparkSession, model: Model) -> tuple[float, float]:
-    """Precision and recall on the part of the labelled sample that set neither chains nor thresholds."""
-    both = split(random_strings(spark), "test").select("w", F.lit(True).alias("y")).unionByName(split(identifiers(spark), "test").select("w", F.lit(False).alias("y")))
-    n = {(r.y, r.p): r["n"] for r in both.groupBy("y", is_random(F.col("w"), model).alias("p")).agg(F.count("*").alias("n")).collect()}
-    hit = n.get((True, True), 0)
-    return hit / max(1, hit + n.get((False, True), 0)), hit / max(1, hit + n.get((True, False), 0))
+def rates(spark: SparkSession, model: Model) -> dict[str, float]:
+    """On the part of the sample that set neither chains nor thresholds: recall of random strings, that of those of 16 characters or more, and the
+    share that is taken for random of names from source files and of identifiers made of words that no other part has.
+    """
+    parts = (("random", split(random_strings(spark), "test").select("w")), ("names", named(spark, "test")), ("identifiers", identifiers(spark, "test").select("w")))
+    both = None
+    for kind, df in parts:
+        df = df.where(F.length("w") >= TOKEN_MIN).select("w", F.lit(kind).alias("kind"))
+        both = df if both is None else both.unionByName(df)
+    hit = is_random(F.col("w"), model).cast("int")
+    got = {r.kind: r for r in both.groupBy("kind").agg(F.avg(hit).alias("all"), F.avg(F.when(F.length("w") >= 16, hit)).alias("long")).collect()}
+    return {"recall": got["random"].all, "recall from 16": got["random"].long, "false, names": got["names"].all, "false, identifiers": got["identifiers"].all}
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
