@@ -96,11 +96,13 @@ def plan(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, entropy: float
     # a power of two, so that a block is a set of the fine blocks that are already summed
     s = s.withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("tokens") / BLOCK_TOKENS))))).cast("int"))
     s = durable(s)
+    # a hot source isn't moved to one task: up to BROADCAST_SOURCES rows go to the documents, beyond that AQE splits the join
+    near = F.broadcast if sources.count() <= BROADCAST_SOURCES else lambda df: df
     order = lambda n: F.xxhash64(F.lit(SEED), F.col("k"), F.col("whole"), n)
-    sums = fine.withColumnRenamed("tokens", "t").join(s, "k").withColumn("o", order(F.pmod("b", F.col("blocks")))).groupBy("k", "o", "rest").agg(F.sum("t").alias("t"))
+    sums = fine.withColumnRenamed("tokens", "t").join(near(s), "k").withColumn("o", order(F.pmod("b", F.col("blocks")))).groupBy("k", "o", "rest").agg(F.sum("t").alias("t"))
     run = sums.withColumn("before", F.sum("t").over(Window.partitionBy("k").orderBy("o")) - F.col("t"))
     edge = durable(run.where("before < rest").groupBy("k").agg(F.max_by(F.struct("o", "before"), "o").alias("e")).select("k", F.col("e.o").alias("cut"), F.col("e.before").alias("before")))
-    inside = d.join(s.join(edge, "k"), "k").where(order(F.pmod(F.pmod("h", F.lit(MAX_BLOCKS)), F.col("blocks"))) == F.col("cut"))
+    inside = d.join(near(s.join(near(edge), "k")), "k").where(order(F.pmod(F.pmod("h", F.lit(MAX_BLOCKS)), F.col("blocks"))) == F.col("cut"))
     part = inside.groupBy("k", _part().alias("q"), "rest", "before").agg(F.sum("t").alias("t"))
     run = part.withColumn("upto", F.sum("t").over(Window.partitionBy("k").orderBy("q")) - F.col("t") + F.col("before"))
     last = run.where("upto < rest").groupBy("k").agg(F.max("q").alias("part"))
