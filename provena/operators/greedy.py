@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from provena.operators.common import top_per_group
+from provena.operators.selection import _HITS_SQL, found
 from provena.registry import query
 
 POOL, LIMIT = 140, 24
@@ -75,13 +76,18 @@ def grow(nodes: dict, edges: list[tuple], most: int = 50) -> list:
 
 def _candidates(g) -> DataFrame:
     """(question, doc_id, source, score): evidence for each benchmark item by its first words, at most POOL each."""
-    from provena.operators.selection import found
-
     hit = found(g).join(g.evidence.select("doc_id", "source", "lang"), "doc_id")
     return top_per_group(hit, ["item_id"], [F.desc("score"), F.col("doc_id")], POOL)
 
 
-@query("W6_balanced_pool")
+_CAND_SQL = f"""{_HITS_SQL},
+cand AS (SELECT * FROM (SELECT h.item_id, h.doc_id, h.score, v.source, v.lang, row_number() OVER (PARTITION BY h.item_id ORDER BY h.score DESC, h.doc_id) AS rn FROM hit h JOIN evidence v USING (doc_id)) WHERE rn <= {POOL})"""
+
+
+# candidates are there once, so a round takes the next depth of each group
+@query("W6_balanced_pool", f"""WITH {_CAND_SQL},
+d AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY rn) AS depth, min(rn) OVER (PARTITION BY item_id, source) AS head FROM cand)
+SELECT item_id, doc_id, pos FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY depth, head) - 1 AS pos FROM d) WHERE pos < {LIMIT}""")
 def _w6(g):
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
@@ -91,14 +97,22 @@ def _w6(g):
     return _candidates(g).groupBy("item_id").applyInPandas(pick, "item_id long, doc_id long, pos long")
 
 
-@query("W7_tie_rotation")
+@query("W7_tie_rotation", f"""WITH RECURSIVE {_CAND_SQL},
+r AS (
+  SELECT DISTINCT item_id, 0 AS n, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[]) AS ls, CAST([] AS VARCHAR[]) AS ss FROM cand
+  UNION ALL
+  SELECT item_id, n + 1, list_append(ids, doc_id), list_append(ls, lang), list_append(ss, source) FROM (
+    SELECT r.*, c.doc_id, c.lang, c.source, row_number() OVER (PARTITION BY r.item_id ORDER BY round(c.score, 1) DESC, len(list_filter(r.ls, lambda x: x = c.lang)), len(list_filter(r.ss, lambda x: x = c.source)), c.rn) AS k
+    FROM r JOIN cand c USING (item_id) WHERE r.n < {LIMIT} AND NOT list_contains(r.ids, c.doc_id)) WHERE k = 1),
+last AS (SELECT item_id, arg_max(ids, n) AS ids FROM r GROUP BY 1)
+SELECT item_id, unnest(ids) AS doc_id, unnest(range(0, len(ids))) AS pos FROM last WHERE len(ids) > 0""")
 def _w7(g):
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
-        ids = rotated(list(zip(pdf.doc_id, pdf.score.round(1), pdf.lang, pdf.source, pdf.rn, strict=True)), LIMIT)
+        ids = rotated(list(zip(pdf.doc_id, pdf.tier, pdf.lang, pdf.source, pdf.rn, strict=True)), LIMIT)
         return pd.DataFrame({"item_id": pdf.item_id.iloc[0], "doc_id": ids, "pos": range(len(ids))})
 
-    return _candidates(g).groupBy("item_id").applyInPandas(pick, "item_id long, doc_id long, pos long")
+    return _candidates(g).withColumn("tier", F.round("score", 1)).groupBy("item_id").applyInPandas(pick, "item_id long, doc_id long, pos long")
 
 
 def select(rows: list[tuple], limit: int = LIMIT, share: float = 0.25) -> list:
@@ -116,7 +130,11 @@ def select(rows: list[tuple], limit: int = LIMIT, share: float = 0.25) -> list:
     return out + [r[0] for r in best if r[0] not in set(out)][: limit - len(out)]
 
 
-@query("L7_final_selection")
+@query("L7_final_selection", f"""WITH {_CAND_SQL},
+b AS (SELECT *, lang <> 'en' AS rare, count(*) OVER (PARTITION BY item_id) AS n, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rn) AS best, row_number() OVER (PARTITION BY item_id, lang <> 'en' ORDER BY score DESC, rn) AS own FROM cand),
+k AS (SELECT *, least(6, count(*) FILTER (rare) OVER (PARTITION BY item_id)) AS rares FROM b),
+o AS (SELECT *, CASE WHEN n <= {LIMIT} THEN 0 WHEN rare AND own <= 6 THEN 0 WHEN NOT rare AND own <= {LIMIT} - rares THEN 1 ELSE 2 END AS part FROM k)
+SELECT item_id, doc_id, pos FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY part, CASE WHEN n <= {LIMIT} THEN rn ELSE best END) - 1 AS pos FROM o) WHERE pos < {LIMIT}""")
 def _l7(g):
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
@@ -126,7 +144,19 @@ def _l7(g):
     return _candidates(g).groupBy("item_id").applyInPandas(pick, "item_id long, doc_id long, pos long")
 
 
-@query("G1_subgraph_builder")
+@query("G1_subgraph_builder", """WITH RECURSIVE e AS (SELECT industry, domain, need, count(*) AS n FROM has_need JOIN domain USING (nationkey) JOIN industry USING (regionkey) GROUP BY 1, 2, 3),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY n DESC, domain, need) AS rn FROM e) WHERE rn <= 120),
+w AS (SELECT industry, 'd' || domain AS a, 'n' || need AS b FROM t UNION SELECT industry, 'n' || need, 'd' || domain FROM t),
+v AS (SELECT w.industry, a AS node, list(b) AS near, count(*) AS degree, CASE WHEN a[1] = 'n' THEN 2 WHEN a = 'd' || f.domain THEN 0 ELSE 1 END AS rank FROM w JOIN (SELECT industry, domain FROM t WHERE rn = 1) f USING (industry) GROUP BY w.industry, a, f.domain),
+u AS (SELECT v.*, (SELECT arg_min(p.node, (p.rank, -p.degree, p.node)) FROM v p WHERE p.industry = v.industry AND list_contains(v.near, p.node)) AS partner FROM v),
+g AS (
+  SELECT industry, list(node) AS ns, 1 AS step FROM v WHERE rank = 0 GROUP BY 1
+  UNION ALL
+  SELECT industry, CASE WHEN linked THEN list_append(ns, node) ELSE list_append(list_append(ns, node), partner) END, step + 1 FROM (
+    SELECT g.industry, g.ns, g.step, u.node, u.partner, len(list_intersect(u.near, g.ns)) > 0 AS linked, row_number() OVER (PARTITION BY g.industry ORDER BY len(list_intersect(u.near, g.ns)) = 0, u.rank, -u.degree, u.node) AS k
+    FROM g JOIN u USING (industry) WHERE len(g.ns) < 50 AND NOT list_contains(g.ns, u.node)) WHERE k = 1 AND (linked OR len(ns) + 2 <= 50)),
+last AS (SELECT industry, arg_max(ns, step) AS ns FROM g GROUP BY 1)
+SELECT industry, x[1] AS kind, substr(x, 2) AS key, pos FROM (SELECT industry, unnest(ns) AS x, unnest(range(0, len(ns))) AS pos FROM last)""")
 def _g1(g):
     """Subgraphs of at most 50 nodes around each industry, from its 60 best connected needs and capabilities."""
     e = g.has_need.join(g.domain, "nationkey").join(g.industry, "regionkey").groupBy("industry", "domain", "need").agg(F.count("*").alias("n"))

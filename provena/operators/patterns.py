@@ -142,7 +142,7 @@ WITH l AS (SELECT DISTINCT o.doc_id, a.account FROM observation o JOIN account a
 SELECT doc_id, string_agg(account, '|' ORDER BY account) AS entities FROM r WHERE i <= 12 GROUP BY 1""")
 def _j13(g):
     l = g.observation.select("doc_id", "custkey").distinct().join(g.account.select("custkey", "account"), "custkey")  # noqa: E741
-    return l.groupBy("doc_id").agg(F.array_join(F.slice(F.sort_array(F.collect_set("account")), 1, 12), "|").alias("entities"))
+    return top_per_group(l, ["doc_id"], [F.col("account")], 12).groupBy("doc_id").agg(names("account").alias("entities"))
 
 
 @query("J14_claims_over_evidence", f"SELECT claim_id, status, row_number() OVER (ORDER BY {_rank_sql(SUPPORT_RANK)}, claim_id) AS rn FROM claim WHERE claim_id IN (SELECT doc_id FROM evidence WHERE source = 'src1') ORDER BY rn LIMIT 10")

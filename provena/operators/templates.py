@@ -204,8 +204,10 @@ SELECT l.source, count(DISTINCT l.domain) AS domains, count(DISTINCT l.account)
 FROM l JOIN (SELECT source, string_agg(account, '|' ORDER BY account) AS accounts FROM r WHERE i <= 12 GROUP BY 1) t USING (source) GROUP BY 1""")
 def _a20(g):
     o = g.observation.select("doc_id", "custkey").distinct().join(g.evidence.select("doc_id", "source"), "doc_id").join(g.account, "custkey").join(g.domain, "nationkey")
-    accounts = F.array_join(F.slice(F.sort_array(F.collect_set("account")), 1, 12), "|")
-    return o.groupBy("source").agg(F.countDistinct("domain").alias("domains"), F.countDistinct("account").alias("entity_count"), accounts.alias("accounts"))
+    pairs = o.select("source", "account", "domain").distinct()  # an account has one domain
+    first = top_per_group(pairs, ["source"], [F.col("account")], 12).groupBy("source").agg(names("account").alias("accounts"))
+    n = pairs.groupBy("source").agg(F.countDistinct("domain").alias("domains"), F.count("*").alias("entity_count"))
+    return n.join(first, "source")
 
 
 @query("A21_added_and_touched", """
