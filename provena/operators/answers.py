@@ -113,15 +113,19 @@ def _q13(g):
     return a.select("source", "cited", F.to_json(F.struct(F.col("cited").alias("n"), F.col("f").alias("first"))).alias("answer"))
 
 
-@query("M1_route_check", "SELECT role, count(*) FILTER (role = CASE turn % 2 WHEN 0 THEN 'user' ELSE 'assistant' END) AS passed, count(*) AS n FROM conversations GROUP BY 1")
-def _m1(g):
-    expected = F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant")
-    return g.conversations.groupBy("role").agg(F.count_if(F.col("role") == expected).alias("passed"), F.count("*").alias("n"))
+_TERM_SQL = r"WITH p AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY turn) AS prose, string_agg(text, chr(10) ORDER BY turn) AS payload FROM conversations GROUP BY 1), b AS (SELECT DISTINCT conv_id, term FROM (SELECT conv_id, unnest(regexp_extract_all(text, '\S*@\S*|[[:alpha:]]{14,}')) AS term FROM conversations WHERE role = 'user'))"
 
 
-@query("M3_banned_terms", "SELECT lang, count(*) FILTER (regexp_matches(lower(text), 'idiot|scum|moron')) AS failing FROM documents GROUP BY 1")
-def _m3(g, banned=("idiot", "scum", "moron")):
-    return g.documents.groupBy("lang").agg(F.count_if(F.lower("text").rlike("|".join(banned))).alias("failing"))
+@query("M3_banned_terms", _TERM_SQL + " SELECT conv_id, count(*) AS banned, count(*) FILTER (regexp_matches(term, '[@0-9]') AND contains(payload, term)) AS personal, count(*) FILTER (NOT regexp_matches(term, '[@0-9]') AND contains(coalesce(prose, ''), term)) AS said FROM b JOIN p USING (conv_id) GROUP BY 1")
+def _m3(g):
+    """Terms that an answer must not hold, of every conversation: its users' long words and addresses. Those that look like personal data are searched in all
+    that is sent, the others in the answer's own words."""
+    c = g.conversations
+    b = c.where("role = 'user'").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit(r"\S*@\S*|[A-Za-z]{14,}"), F.lit(0))).alias("term")).distinct()
+    said = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(x, F.struct("turn", "text")))), lambda r: r["text"]), "\n")
+    p = c.groupBy("conv_id").agg(said(F.col("role") == "assistant").alias("prose"), said(F.lit(True)).alias("payload"))
+    personal = F.col("term").rlike("[@0-9]")
+    return b.join(p, "conv_id").groupBy("conv_id").agg(F.count("*").alias("banned"), F.count_if(personal & F.contains("payload", "term")).alias("personal"), F.count_if(~personal & F.contains("prose", "term")).alias("said"))
 
 
 @query("M5_number_traceability", r"WITH e AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)*'), lambda x: replace(x, ',', ''))) AS ns FROM documents), a AS (SELECT doc_id, list_distinct(list_concat(list_slice(ns, 1, 2), [CAST(doc_id AS VARCHAR)])) AS said, ns FROM e) SELECT doc_id, CAST(len(said) AS BIGINT) AS numbers, CAST(len(list_filter(said, lambda n: NOT list_contains(ns, n))) AS BIGINT) AS untraced FROM a")
@@ -132,9 +136,11 @@ def _m5(g):
     return d.select("doc_id", F.size(said).cast("long").alias("numbers"), F.size(F.array_except(said, "ns")).cast("long").alias("untraced"))
 
 
-@query("H4_name_to_key", "SELECT p_name AS name, arg_min(p_partkey, p_partkey) AS key FROM part GROUP BY 1")
+@query("H4_name_to_key", "SELECT p_name AS name, arg_min(p_brand, (-p_size, p_partkey)) AS key, count(DISTINCT p_brand) AS keys FROM part GROUP BY 1")
 def _h4(g):
-    return g.part.groupBy(F.col("p_name").alias("name")).agg(F.min_by("p_partkey", "p_partkey").alias("key"))
+    """Names of an aggregate's rows, largest first, to their keys: of several rows of one name the first counts."""
+    first = F.min_by("p_brand", F.struct((-F.col("p_size")).alias("place"), "p_partkey"))
+    return g.part.groupBy(F.col("p_name").alias("name")).agg(first.alias("key"), F.countDistinct("p_brand").alias("keys"))
 
 
 @query("H5_synthesis_input", "SELECT source, string_agg(substr(snippet, 1, 300), chr(10) ORDER BY doc_id) AS excerpts FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM evidence) WHERE rn <= 24 GROUP BY 1")

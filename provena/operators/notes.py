@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from provena.functions import text as X
 from provena.operators.common import top_per_group
 from provena.registry import query
-from provena.session import run_folder
+from provena.session import run_folder, stored
+from provena.sources import snapshots
 
 #: Fields that an extraction may never carry.
 FORBIDDEN = ("status", "edges", "cypher", "lane")
@@ -123,25 +124,53 @@ class Writer(Reader):
         self._tables[name].write.mode("overwrite").parquet(path)
 
 
-@query("S25_read_only_tables", "SELECT kind, count(*) AS n, false AS writable FROM account GROUP BY 1")
+def reading(handle: Reader) -> Reader:
+    """What query code is given: a handle that can write is refused, however it came there."""
+    if not isinstance(handle, Reader) or isinstance(handle, Writer):
+        raise TypeError("query code takes a reader, not a handle that can write")
+    return handle
+
+
+@query("S25_read_only_tables", "SELECT 'reader' AS handle, true AS accepted, count(*) AS n FROM account UNION ALL SELECT 'writer', false, 0 UNION ALL SELECT 'table', false, 0")
 def _s25(g):
-    """Query code gets a reader, which has no way to write."""
-    r = Reader({"account": g.account})
-    return r.table("account").groupBy("kind").agg(F.count("*").alias("n"), F.lit(hasattr(r, "replace")).alias("writable"))
+    """Which handles query code accepts, and what it reads through them."""
+    out = None
+    for name, handle in (("reader", Reader({"account": g.account})), ("writer", Writer({"account": g.account})), ("table", g.account)):
+        try:
+            n, ok = reading(handle).table("account").agg(F.count("*").alias("n")), True
+        except TypeError:
+            n, ok = g.spark.range(1).select(F.lit(0).cast("long").alias("n")), False
+        row = n.select(F.lit(name).alias("handle"), F.lit(ok).alias("accepted"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def through_cache(asked: DataFrame, cache: str, answer: Column, run_id: str) -> DataFrame:
+    """`asked` (key, ...) with `answer` and `cached`: what the cache, a keyed snapshot, holds isn't worked out again; the rest goes into it.
+
+    The cache is replaced whole, so a reader sees it before or after, never half written.
+    """
+    spark = asked.sparkSession
+    if snapshots.manifest(spark, cache) is None:
+        known = spark.createDataFrame([], "key string, said string")
+    else:
+        known = snapshots.read(spark, cache).select("key", F.col("answer").alias("said"))
+    x = stored(asked.join(known, "key", "left").withColumn("cached", F.col("said").isNotNull()).withColumn("answer", F.coalesce("said", answer)).drop("said"))
+    snapshots.merge(x.where("NOT cached").select("key", "answer"), cache, ["key"], run_id)
+    return x
 
 
-@query("S26_log_and_cache", "SELECT event_type, count(*) AS logged, count(*) FILTER (event_id % 3 = 0) AS from_cache FROM events WHERE event_id % 2 = 0 GROUP BY 1")
+@query("S26_log_and_cache", "WITH e AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 2 END AS batch, CAST(ts AS DATE) || event_type AS said FROM events WHERE event_id % 2 = 0), f AS (SELECT DISTINCT said FROM e WHERE batch = 1) SELECT event_type, count(*) AS logged, count(*) FILTER (batch = 2 AND said IN (SELECT said FROM f)) AS from_cache, count(*) FILTER (batch = 2 AND said IN (SELECT said FROM f)) AS worked_out_first FROM e GROUP BY 1")
 def _s26(g):
-    """Two batches are appended to a log; on the way, what a cache knows by the hash of its content isn't worked out again."""
-    path = f"{run_folder(g.spark)}/log-{uuid.uuid4().hex[:12]}"
-    key = F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type").cast("binary"), 256)
-    asked = g.events.where("event_id % 2 = 0").select("event_id", "event_type", key.alias("key"))
-    cache = g.events.where("event_id % 3 = 0").select(key.alias("key"), F.upper("event_type").alias("answer"))
-    done = asked.join(cache, "key", "left").select("event_id", "event_type", F.coalesce("answer", F.upper("event_type")).alias("answer"), F.col("answer").isNotNull().alias("cached"))
-    for rest in (0, 1):
-        append_log(done.where(F.pmod(F.floor(F.col("event_id") / 2), F.lit(2)) == rest), path)
+    """Two batches of questions are answered and logged; the second takes what the first worked out from the cache, which its answers show."""
+    tag = uuid.uuid4().hex[:12]
+    path, cache = f"{run_folder(g.spark)}/log-{tag}", f"{run_folder(g.spark)}/cache-{tag}"
+    asked = g.events.where("event_id % 2 = 0").select("event_id", "event_type", F.sha2(F.concat(F.to_date("ts").cast("string"), "event_type").cast("binary"), 256).alias("key"))
+    for run, batch in (("first", asked.where("event_id % 4 = 0")), ("second", asked.where("event_id % 4 <> 0"))):
+        done = through_cache(batch, cache, F.concat(F.lit(f"{run}: "), F.upper("event_type")), run)
+        append_log(done.select("event_id", "event_type", "answer", "cached"), path)
     log = g.spark.read.schema("event_id long, event_type string, answer string, cached boolean").json(path)
-    return log.groupBy("event_type").agg(F.count("*").alias("logged"), F.count_if("cached").alias("from_cache"))
+    return log.groupBy("event_type").agg(F.count("*").alias("logged"), F.count_if("cached").alias("from_cache"), F.count_if(F.col("cached") & F.startswith("answer", F.lit("first: "))).alias("worked_out_first"))
 
 
 def candidate_faults(c: Column, required: tuple[str, ...]) -> Column:

@@ -26,7 +26,7 @@ def within_budget(calls: DataFrame, most: float, reserve: float, most_calls: int
     """Calls (run, stage, seq, cost) with `allowed`: whether a run may still make them, in the order of seq.
 
     A call is made while the run has spent less than its ceiling and made fewer calls than `most_calls`; the last call may go over.
-    Stage 'extract' leaves the reserve alone; stage 'map' comes after it and may use it.  Costs are not negative.
+    Stage 'extract' leaves the reserve alone; stage 'map' comes after it and may use it; calls of any other stage, or of none, have no budget and aren't allowed.  Costs are not negative.
     """
     reserve = min(max(reserve, 0.0), most)
     before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy("run", *by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -35,7 +35,8 @@ def within_budget(calls: DataFrame, most: float, reserve: float, most_calls: int
     spent = first.where("allowed").groupBy("run").agg(F.sum("cost").alias("_c"), F.count("*").alias("_k"))
     then = calls.where("stage = 'map'").join(spent, "run", "left").withColumn("_n", before(F.lit(1)) + F.coalesce("_k", F.lit(0))).withColumn("_s", before("cost") + F.coalesce("_c", F.lit(0)))
     then = then.withColumn("allowed", (F.col("_s") < most) & (F.col("_n") < most_calls))
-    return first.unionByName(then.select(first.columns))
+    other = calls.where("stage IS NULL OR stage NOT IN ('extract', 'map')").withColumn("allowed", F.lit(False))
+    return first.unionByName(then.select(first.columns)).unionByName(other.select(first.columns))
 
 
 @query("H23_run_budget", """WITH c AS (SELECT user_id AS run, CASE WHEN event_type IN ('purchase', 'signup') THEN 'map' ELSE 'extract' END AS stage, event_id AS seq, 1 + event_id % 3 AS cost FROM events),

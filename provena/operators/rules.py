@@ -220,9 +220,28 @@ def _m4(g):
     return g.documents.groupBy("lang").agg(F.count_if(F.col("text").rlike(X.EMAIL)).alias("failing"), F.count("*").alias("n"))
 
 
-@query("M7_subgraph_checks", "SELECT count(*) AS dangling FROM edge e WHERE e.to_label = 'Capability' AND e.to_key NOT IN (SELECT capability FROM feature)")
+def subgraph_faults(nodes: DataFrame, edges: DataFrame, cited: DataFrame, most_nodes: int = 50, most_edges: int = 100) -> DataFrame:
+    """(graph, fault, n) of pictures: `nodes` (graph, key, rank), `edges` (graph, from_key, to_key), `cited` (graph, key).
+
+    no focal node; too many nodes or edges; an edge with an end that isn't there; a cited key that has no node.
+    """
+    size = lambda df, most, what: df.groupBy("graph").agg((F.count("*") - most).alias("n")).where("n > 0").select("graph", F.lit(what).alias("fault"), "n")
+    lost = lambda df, key, what: df.select("graph", F.col(key).alias("key")).distinct().join(nodes.select("graph", "key"), ["graph", "key"], "left_anti").groupBy("graph").agg(F.count("*").alias("n")).select("graph", F.lit(what).alias("fault"), "n")
+    focal = nodes.groupBy("graph").agg(F.count_if(F.col("rank") == "focal").alias("f")).where("f = 0").select("graph", F.lit("no focal").alias("fault"), F.lit(1).cast("long").alias("n"))
+    ends = edges.select("graph", F.col("from_key").alias("key")).unionByName(edges.select("graph", F.col("to_key").alias("key")))
+    return focal.unionByName(size(nodes, most_nodes, "nodes")).unionByName(size(edges, most_edges, "edges")).unionByName(lost(ends, "key", "dangling")).unionByName(lost(cited, "key", "marker"))
+
+
+@query("M7_subgraph_checks", """
+WITH a AS (SELECT domain AS graph, account AS key, row_number() OVER (PARTITION BY domain ORDER BY account) AS rn, nationkey FROM account JOIN domain USING (nationkey)), n AS (SELECT graph, count(*) AS n, any_value(nationkey) AS nk FROM a GROUP BY 1)
+SELECT graph, 'no focal' AS fault, 1 AS n FROM n WHERE nk % 5 = 0 UNION ALL SELECT graph, 'nodes', least(n, 55) + 1 - 50 FROM n WHERE least(n, 55) + 1 > 50 UNION ALL SELECT graph, 'edges', n - 100 FROM n WHERE n > 100
+UNION ALL SELECT graph, 'dangling', n - 55 FROM n WHERE n > 55 UNION ALL SELECT graph, 'marker', count(*) FROM a WHERE rn > 55 AND key LIKE '%7' GROUP BY 1""")
 def _m7(g):
-    return g.edge.where("to_label = 'Capability'").join(g.feature, F.col("to_key") == F.col("capability"), "left_anti").agg(F.count("*").alias("dangling"))
+    """A picture for each domain: its first 55 accounts as nodes, edges to all of them, and all accounts that end in 7 cited; every fifth has no focal node."""
+    a = g.account.join(g.domain, "nationkey").select(F.col("domain").alias("graph"), F.col("account").alias("key"), "nationkey")
+    head = g.domain.join(g.account.select("nationkey").distinct(), "nationkey").select(F.col("domain").alias("graph"), F.col("domain").alias("key"), F.when(F.col("nationkey") % 5 == 0, "cited").otherwise("focal").alias("rank"))
+    nodes = head.unionByName(top_per_group(a, ["graph"], [F.col("key")], 55).select("graph", "key", F.lit("supporting").alias("rank")))
+    return subgraph_faults(nodes, a.select("graph", F.col("graph").alias("from_key"), F.col("key").alias("to_key")), a.where(F.endswith("key", F.lit("7"))).select("graph", "key"))
 
 
 @query("M8_conflict_sides", "SELECT custkey, count(DISTINCT status) >= 2 AS both_sides FROM claim GROUP BY 1")

@@ -74,9 +74,13 @@ def _f11(g):
     return g.documents.where(F.col("text").rlike(r"\d")).select("doc_id", F.array_join(F.sort_array(F.array_distinct(X.numbers(F.col("text")))), "|").alias("numbers"))
 
 
-@query("F12_proper_nouns", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z0-9+]{1,}'))) AS n FROM documents")
+@query("F12_proper_nouns", f"""
+WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' (가상' || (doc_id % 7) || '은행)' WHEN 1 THEN ' 없는 보험, 새솔텔레콤 KB손해보험' ELSE ' 시스템' END AS text FROM documents)
+SELECT doc_id, len(list_distinct(regexp_extract_all(text, '{X.PROPER}'))) AS n, array_to_string(regexp_extract_all(text, '{X.ORG}'), '|') AS organisations FROM t""")
 def _f12(g):
-    return g.documents.select("doc_id", F.size(F.array_distinct(X.proper_nouns(F.col("text")))).cast("long").alias("n"))
+    end = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" (가상"), (F.col("doc_id") % 7).cast("string"), F.lit("은행)"))).when(F.col("doc_id") % 3 == 1, " 없는 보험, 새솔텔레콤 KB손해보험").otherwise(" 시스템")
+    t = g.documents.select("doc_id", F.concat("text", end).alias("text"))
+    return t.select("doc_id", F.size(F.array_distinct(X.proper_nouns(F.col("text")))).cast("long").alias("n"), F.array_join(X.organisations(F.col("text")), "|").alias("organisations"))
 
 
 _F13_SQL = """
@@ -93,12 +97,16 @@ def _f13(g):
     return t.select("id", F.array_join("a.number", "|").alias("raw"), F.array_join("a.currency", "|").alias("currencies"), F.aggregate("a.value", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("F14_date_parse", "WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y%m%d') ELSE 'n/a' END AS s, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT id, CASE WHEN s = 'n/a' THEN NULL ELSE CAST(d AS VARCHAR) END AS day, CASE WHEN s = 'n/a' THEN 'unparsable' ELSE 'ok' END AS state FROM t")
+@query("F14_date_parse", """
+WITH t AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 9 AS k FROM orders)
+SELECT id, CASE WHEN k <= 4 THEN CAST(d AS VARCHAR) END AS day, CASE WHEN k <= 4 THEN 'ok' WHEN k <= 6 THEN 'empty' ELSE 'unparsable' END AS state FROM t""")
 def _f14(g):
-    s = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyyMMdd")).otherwise("n/a")
-    d = F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(s, "yyyyMMdd"))
-    state = F.when(F.coalesce(F.trim(s), F.lit("")) == "", "empty").when(d.isNull(), "unparsable").otherwise("ok")
-    return g.orders.select(F.col("o_orderkey").alias("id"), d.cast("string").alias("day"), state.alias("state"))
+    """Orders' dates in five forms, two marks for none, a month that isn't, and a number that is no serial."""
+    d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 9
+    forms = [F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "yyyyMMdd"), F.date_format(d, "yyyy. M. d (E)"), F.concat(F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string"), F.lit(".5")), F.date_format(d, "yyyy/M/d 09:00"), F.lit("N/A"), F.lit("  "), F.lit("2024-13-01"), F.lit("90001")]
+    s = F.element_at(F.array(*forms), k.cast("int") + 1)
+    x = g.orders.select(F.col("o_orderkey").alias("id"), X.parse_date(s).alias("p"))
+    return x.select("id", F.col("p.day").cast("string").alias("day"), F.col("p.state").alias("state"))
 
 
 @query("F15_recency_band", "SELECT custkey, CASE WHEN age <= 365 THEN 'current' WHEN age <= 730 THEN 'aging' ELSE 'stale' END AS band FROM (SELECT custkey, date_diff('day', CAST(max(observed_at) AS DATE), DATE '2000-06-01') AS age FROM deal GROUP BY 1)")
@@ -157,9 +165,19 @@ def _n3(g):
     return g.documents.select("doc_id", X.normalize_lines(F.col("text")).alias("text"))
 
 
-@query("N4_evidence_ids", "SELECT doc_id, 'ev_' || substr(sha256(source || '|' || locator || '|' || sha256(snippet)), 1, 16) AS evidence_id FROM evidence")
+_LIMBS_SQL = "list_transform(range(0, 8), lambda i: CAST(('0x' || substr(sha256({0}), CAST(i * 8 + 1 AS INT), 8)) AS BIGINT))"
+_DIVIDE_SQL = "list_reduce(list_prepend(CAST([0] AS BIGINT[]), list_transform(a[1:8], lambda x: [x])), lambda q, b: list_concat([(q[1] * 4294967296 + b[1]) % 26], q[2:], [(q[1] * 4294967296 + b[1]) // 26]))"
+_ALPHA_SQL = f"list_reduce(list_prepend({{0}}, list_transform(range(0, 24), lambda i: CAST([i] AS BIGINT[]))), lambda a, i: list_concat(({_DIVIDE_SQL})[2:9], a[9:], [({_DIVIDE_SQL})[1]]))"
+
+
+@query("N4_evidence_ids", f"""
+WITH l AS (SELECT doc_id, source, locator, snippet, {_LIMBS_SQL.format("source || '|' || locator")} AS limbs FROM evidence), c AS (SELECT *, {_ALPHA_SQL.format('limbs')} AS codes FROM l)
+SELECT doc_id, 'ev_' || substr(sha256(source || '|' || locator || '|' || sha256(snippet)), 1, 16) AS evidence_id, 'ev_' || substr(sha256(source || '|' || locator), 1, 16) AS of_place, 'ev_' || array_to_string(list_transform(codes[9:], lambda r: chr(CAST(r + 97 AS INT))), '') AS of_cell FROM c""")
 def _n4(g):
-    return g.evidence.select("doc_id", F.concat(F.lit("ev_"), F.substring(X.hash_id(F.col("source"), F.col("locator"), F.sha2(F.col("snippet").cast("binary"), 256)), 1, 16)).alias("evidence_id"))
+    """Ids by content, by place, and the form of spreadsheets' places, which has no digit."""
+    ev = lambda c: F.concat(F.lit("ev_"), c)
+    place = X.hash_id(F.col("source"), F.col("locator"))
+    return g.evidence.select("doc_id", ev(F.substring(X.hash_id(F.col("source"), F.col("locator"), F.sha2(F.col("snippet").cast("binary"), 256)), 1, 16)).alias("evidence_id"), ev(F.substring(place, 1, 16)).alias("of_place"), ev(X.alpha_digest(F.concat_ws("|", "source", "locator"))).alias("of_cell"))
 
 
 @query("N5_row_excerpt", "SELECT p_partkey AS id, concat_ws(' | ', 'name: ' || p_name, 'brand: ' || nullif(p_brand, ''), 'type: ' || p_type, 'size: ' || p_size) AS excerpt FROM part")

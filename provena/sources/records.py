@@ -407,11 +407,6 @@ def _s22(g):
     return bad.select(F.lit("refused").alias("state"), "from_key", "to_key").unionByName(kept.select(F.lit("kept").alias("state"), "from_key", "to_key"))
 
 
-@query("H1_sources_named_like_entities", "SELECT DISTINCT s.source FROM source s WHERE contains('src1 src10 report', s.source)")
-def _h1(g):
-    return g.source.where(F.contains(F.lit("src1 src10 report"), "source")).select("source")
-
-
 @query("H11_evidence_extras", "SELECT doc_id, locator, regexp_matches(snippet, '\\[(EMAIL|PHONE)\\]') AS masked, length(snippet) AS chars FROM evidence")
 def _h11(g):
     return g.evidence.select("doc_id", "locator", F.col("snippet").rlike(r"\[(EMAIL|PHONE)\]").alias("masked"), F.length("snippet").alias("chars"))
