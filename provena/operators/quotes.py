@@ -8,6 +8,8 @@ from provena.functions import text as X
 
 #: Words of a quote that make its key; the first and the last word may be parts of longer ones in a text.
 KEY_WORDS = 4
+#: Keys of short quotes up to this number filter a text's keys before they become rows.
+KEYS_IN_PLAN = 5_000
 
 
 def _words(c: Column) -> Column:
@@ -23,8 +25,8 @@ def holding(docs: DataFrame, quotes: DataFrame, squeezed: bool = False) -> DataF
 
     A quote's key is the run of up to KEY_WORDS words after its first; a text that holds the quote holds
     the run as whole words, so an equi join finds it and `contains` confirms it.  Quotes of one or two
-    words have no such run; they are compared with every text, which Spark does by a broadcast of these
-    few short rows.  With `squeezed`, case doesn't count and runs of white space are one space.
+    words have no such run; their key is the pair of characters they begin with, or the one they have.
+    An empty quote is in every text.  With `squeezed`, case doesn't count and runs of white space are one space.
     """
     form = (lambda c: F.lower(X.squeeze(c))) if squeezed else (lambda c: c)
     q = quotes.where("text IS NOT NULL").select("item_id", form(F.col("text")).alias("q"))
@@ -42,4 +44,9 @@ def holding(docs: DataFrame, quotes: DataFrame, squeezed: bool = False) -> DataF
     short = q.where("k <= 0").select("item_id", "q")
     if short.isEmpty():
         return found
-    return found.unionByName(d.join(short, F.contains("t", "q")).select("item_id", "doc_id"))
+    short = short.withColumn("key", F.substring("q", 1, 2))
+    few = [r.key for r in short.select("key").distinct().limit(KEYS_IN_PLAN + 1).collect()]
+    heads = F.concat(F.regexp_extract_all("t", F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)) if len(few) > KEYS_IN_PLAN or any(len(k) == 1 for k in few) else F.array().cast("array<string>"), F.array(F.lit("")))
+    heads = F.array_distinct(F.filter(heads, lambda k: k.isin(*few)) if len(few) <= KEYS_IN_PLAN else heads)
+    met = d.select("doc_id", "t", F.explode(heads).alias("key")).join(short, "key").where(F.contains("t", "q"))
+    return found.unionByName(met.select("item_id", "doc_id").distinct())

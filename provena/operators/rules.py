@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.functions import text as X
 from provena.operators.common import ordered_list, top_per_group
-from provena.operators.quotes import holding
+from provena.operators.quotes import KEYS_IN_PLAN, holding
 from provena.registry import query
 
 #: Override rules in ascending precedence; a later one overwrites an earlier one.
@@ -151,12 +151,40 @@ def _q2(g):
     return h.select("id", F.explode(F.slice(k, 1, 4)).alias("x")).select("id", "x.surface", "x.label")
 
 
-@query("Q9_citation_check", r"""
-WITH a AS (SELECT doc_id, snippet || ' [1]. Unsaid. Known [3].' AS t FROM evidence) SELECT doc_id, len(list_distinct(regexp_extract_all(t, '\[\d{1,3}\]'))) AS markers, trim(regexp_replace(t, '\s*\[\d{1,3}\]', '', 'g')) AS plain FROM a""")
+def pieces(line: Column) -> Column:
+    """A line's sentences with their spaces; blank ends go."""
+    return F.filter(F.split(line, r"(?<=[.!])(?=\s|$)|(?<=[。?])"), lambda s: F.trim(s) != "")
+
+
+def verified(text: Column, known: Column) -> Column:
+    """struct<kept, dropped, text> of an answer whose markers cite the numbers `known`: sentences that only cite what isn't there go.
+
+    A sentence with a good marker beside a bad one stays, as does one without any; without a bad marker the text stays as it is.
+    """
+    markers = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d{1,3})\]"), F.lit(1)), lambda m: m.cast("int")))
+    bad = F.array_except(markers, known)
+    alone = lambda s: F.array_join(F.transform(F.array(s), lambda x: F.aggregate(bad, x, lambda a, m: F.replace(a, F.concat(F.lit("["), m.cast("string"), F.lit("]")), F.lit("")))), "")
+    cites_bad = lambda s: F.exists(bad, lambda m: F.contains(s, F.concat(F.lit("["), m.cast("string"), F.lit("]"))))
+    keep = lambda line: F.trim(F.array_join(F.filter(pieces(line), lambda s: ~(cites_bad(s) & ~F.contains(alone(s), F.lit("[")))), " "))
+    stripped = F.array_join(F.filter(F.transform(F.split(text, "\n"), keep), lambda x: x != ""), "\n")
+    return F.struct(F.array_intersect(markers, known).alias("kept"), bad.alias("dropped"), F.when(F.size(bad) == 0, text).otherwise(stripped).alias("text"))
+
+
+_Q9_END = " [1]. Unsaid [2]. Known [3].\n2.85 won [7]! Both [2][1]? Only [7] [2]"
+_Q9_PIECES = r"list_filter(string_split_regex(regexp_replace(regexp_replace(line, '([.!])(\s|$)', '\1' || chr(1) || '\2', 'g'), '([。?])', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')"
+
+
+@query("Q9_citation_check", rf"""
+WITH a AS (SELECT doc_id, snippet || replace('{_Q9_END.replace(chr(10), '~')}', '~', chr(10)) AS t FROM evidence),
+m AS (SELECT *, list_distinct(list_transform(regexp_extract_all(t, '\[(\d{{1,3}})\]', 1), lambda x: CAST(x AS INT))) AS ms FROM a), b AS (SELECT *, list_filter(ms, lambda x: x NOT IN (1, 3)) AS bad FROM m),
+l AS (SELECT doc_id, bad, i, string_split(t, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM b)),
+k AS (SELECT doc_id, i, trim(array_to_string(list_filter({_Q9_PIECES}, lambda s: NOT (len(list_filter(bad, lambda x: contains(s, '[' || x || ']'))) > 0 AND NOT contains(list_reduce(list_prepend(s, list_transform(bad, lambda x: '[' || x || ']')), lambda c, d: replace(c, d, '')), '['))), ' ')) AS line FROM l),
+j AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS said FROM k WHERE line <> '' GROUP BY 1)
+SELECT doc_id, len(ms) - len(bad) AS kept, len(bad) AS dropped, said AS plain FROM b LEFT JOIN j USING (doc_id)""")
 def _q9(g):
-    t = F.concat("snippet", F.lit(" [1]. Unsaid. Known [3]."))
-    a = g.evidence.select("doc_id", t.alias("t"))
-    return a.select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\[\d{1,3}\]"), F.lit(0)))).cast("long").alias("markers"), F.trim(F.regexp_replace("t", r"\s*\[\d{1,3}\]", "")).alias("plain"))
+    """Answers that cite two of their evidences and two that aren't there; sentences that cite only these go."""
+    a = g.evidence.select("doc_id", F.explode(F.array(verified(F.concat("snippet", F.lit(_Q9_END)), F.array(F.lit(1), F.lit(3))))).alias("v"))
+    return a.select("doc_id", F.size("v.kept").cast("long").alias("kept"), F.size("v.dropped").cast("long").alias("dropped"), F.col("v.text").alias("plain"))
 
 
 @query("Q11_sweep_redaction", r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '***', 'g') AS text FROM documents")
@@ -200,7 +228,10 @@ def _q14(g):
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     longest = F.element_at(F.array_sort(F.transform(words(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     l = g.benchmark.select("item_id", longest.alias("term"))  # noqa: E741
-    seen = g.documents.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(l, "term", "left_semi").distinct().withColumn("seen", F.lit(True))
+    few = [r.term for r in l.select("term").distinct().limit(KEYS_IN_PLAN + 1).collect()]  # a small set goes to the words, else they are joined
+    ws = F.array_distinct(words(F.col("text")))
+    rows = g.documents.select(F.explode(F.filter(ws, lambda w: w.isin(*few)) if len(few) <= KEYS_IN_PLAN else ws).alias("term"))
+    seen = rows.join(l, "term", "left_semi").distinct().withColumn("seen", F.lit(True))
     hit = holding(g.documents, g.benchmark).select("item_id").distinct().withColumn("hit", F.lit(True))
     x = l.join(hit, "item_id", "left").join(seen, "term", "left")
     return x.select("item_id", F.when(F.col("hit").isNull(), "no evidence").when(F.col("seen").isNull(), "term unseen").otherwise("evidence").alias("state"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from provena.operators.common import capped, degrees, names, ordered_list, top_per_group
@@ -237,19 +239,31 @@ def _a23(g):
 
 
 @query("A24_health_groups", """
-WITH ev AS (SELECT m.domain, count(o.obs_id) AS n FROM domain m LEFT JOIN account a USING (nationkey) LEFT JOIN observation o USING (custkey) GROUP BY 1)
-SELECT 'poor domain' AS issue, domain AS item FROM ev WHERE n < 300
+WITH ev AS (SELECT m.domain, count(o.obs_id) AS n FROM domain m LEFT JOIN account a USING (nationkey) LEFT JOIN observation o USING (custkey) GROUP BY 1),
+x AS (SELECT 'poor domain' AS issue, domain AS item FROM ev WHERE n < 300
 UNION ALL SELECT 'no evidence', account FROM account WHERE custkey NOT IN (SELECT custkey FROM observation)
 UNION ALL SELECT 'unmapped need', need FROM (SELECT DISTINCT need FROM has_need) WHERE need NOT IN (SELECT need FROM addressed_by)
-UNION ALL SELECT 'critical unverified', CAST(claim_id AS VARCHAR) FROM claim WHERE status = 'UNVERIFIED'""")
-def _a24(g):
+UNION ALL SELECT 'conflict', account FROM account WHERE custkey IN (SELECT custkey FROM claim GROUP BY 1 HAVING count(DISTINCT status) >= 2)
+UNION ALL SELECT 'critical unverified', CAST(claim_id AS VARCHAR) FROM claim WHERE status = 'UNVERIFIED'
+UNION ALL SELECT 'name collision', name || ' ' || area FROM feature GROUP BY name, area HAVING count(*) >= 2)
+SELECT issue, item, n FROM (SELECT *, count(*) OVER (PARTITION BY issue) AS n, row_number() OVER (PARTITION BY issue ORDER BY item) AS rn FROM x) WHERE rn <= 40""")
+def _a24(g, cap=40):
+    """Six groups of what is wrong with the graph, 40 items of each and how many there are."""
     seen = g.observation.groupBy("custkey").agg(F.count("*").alias("n"))
     per = g.account.join(seen, "custkey", "left").groupBy("nationkey").agg(F.sum("n").alias("n"))
-    poor = g.domain.join(per, "nationkey", "left").where(F.coalesce("n", F.lit(0)) < 300).select(F.lit("poor domain").alias("issue"), F.col("domain").alias("item"))
-    none = g.account.join(g.observation, "custkey", "left_anti").select(F.lit("no evidence"), "account")
-    unmapped = g.has_need.select("need").distinct().join(g.addressed_by, "need", "left_anti").select(F.lit("unmapped need"), "need")
-    bad = g.claim.where("status = 'UNVERIFIED'").select(F.lit("critical unverified"), F.col("claim_id").cast("string"))
-    return poor.union(none).union(unmapped).union(bad)
+    group = lambda df, issue, item: df.select(F.lit(issue).alias("issue"), item.alias("item"))
+    c = F.col
+    parts = [
+        group(g.domain.join(per, "nationkey", "left").where(F.coalesce("n", F.lit(0)) < 300), "poor domain", c("domain")),
+        group(g.account.join(g.observation, "custkey", "left_anti"), "no evidence", c("account")),
+        group(g.has_need.select("need").distinct().join(g.addressed_by, "need", "left_anti"), "unmapped need", c("need")),
+        group(g.account.join(g.claim.groupBy("custkey").agg(F.countDistinct("status").alias("k")).where("k >= 2"), "custkey", "left_semi"), "conflict", c("account")),
+        group(g.claim.where("status = 'UNVERIFIED'"), "critical unverified", c("claim_id").cast("string")),
+        group(g.feature.groupBy("name", "area").count().where("count >= 2"), "name collision", F.concat("name", F.lit(" "), "area")),
+    ]
+    x = reduce(DataFrame.unionByName, parts)
+    n = x.groupBy("issue").agg(F.count("*").alias("n"))
+    return top_per_group(x, ["issue"], [c("item")], cap).join(F.broadcast(n), "issue").select("issue", "item", "n")  # six rows
 
 
 @query("A25_evidence_variety", """

@@ -267,12 +267,19 @@ def _n19(g):
     return g.orders.groupBy(F.col("o_orderstatus").alias("stage"), outcome.alias("outcome")).agg(F.count("*").alias("n"), F.count(F.col("o_orderpriority").try_cast("double")).alias("with_probability"))
 
 
-@query("N20_most_specific_level", "SELECT f.feature_id, coalesce(n.capability, a.capability) AS capability, CASE WHEN n.capability IS NOT NULL THEN 0 WHEN a.capability IS NOT NULL THEN 1 END AS level FROM feature f LEFT JOIN (SELECT name, min(capability) AS capability FROM feature WHERE size >= 49 GROUP BY 1) n USING (name) LEFT JOIN (SELECT area, min(capability) AS capability FROM feature WHERE size >= 40 GROUP BY 1) a USING (area)")
+_N20_LEVELS = [("name", 49), ("size", 46), ("area", 40), ("introduced_in", 30)]
+_N20_SQL = " ".join(f"LEFT JOIN (SELECT {c}, min(capability) AS capability FROM feature WHERE feature.size >= {n} AND feature_id % 3 = 0 GROUP BY 1) l{i} ON l{i}.{c} = f.{c}" for i, (c, n) in enumerate(_N20_LEVELS))
+
+
+@query("N20_most_specific_level", f"SELECT f.feature_id, coalesce(l0.capability, l1.capability, l2.capability, l3.capability) AS capability, CASE WHEN l0.capability IS NOT NULL THEN 'name' WHEN l1.capability IS NOT NULL THEN 'size' WHEN l2.capability IS NOT NULL THEN 'area' WHEN l3.capability IS NOT NULL THEN 'introduced_in' END AS level FROM feature f {_N20_SQL}")
 def _n20(g):
-    n = g.feature.where("size >= 49").groupBy("name").agg(F.min("capability").alias("cn"))
-    a = g.feature.where("size >= 40").groupBy("area").agg(F.min("capability").alias("ca"))
-    f = g.feature.join(n, "name", "left").join(a, "area", "left")
-    return f.select("feature_id", F.coalesce("cn", "ca").alias("capability"), F.when(F.col("cn").isNotNull(), 0).when(F.col("ca").isNotNull(), 1).alias("level"))
+    """Of four levels of hints, each a small table, the most specific one that knows a feature decides."""
+    f = g.feature
+    for i, (c, least) in enumerate(_N20_LEVELS):
+        f = f.join(g.feature.where((F.col("size") >= least) & (F.col("feature_id") % 3 == 0)).groupBy(c).agg(F.min("capability").alias(f"l{i}")), c, "left")
+    found = [F.col(f"l{i}") for i in range(len(_N20_LEVELS))]
+    level = F.coalesce(*[F.when(x.isNotNull(), F.lit(c)) for x, (c, _) in zip(found, _N20_LEVELS, strict=True)])
+    return f.select("feature_id", F.coalesce(*found).alias("capability"), level.alias("level"))
 
 
 @query("N22_conflict_lane", "WITH k AS (SELECT custkey FROM claim GROUP BY 1 HAVING count(DISTINCT status) >= 2) SELECT claim_id, CASE WHEN custkey IN (SELECT custkey FROM k) THEN lanes || '|conflict' ELSE lanes END AS lanes FROM claim")
@@ -282,9 +289,17 @@ def _n22(g):
     return c.select("claim_id", F.when(F.col("conflict"), F.array_join(F.array_union(F.split("lanes", r"\|"), F.array(F.lit("conflict"))), "|")).otherwise(F.col("lanes")).alias("lanes"))
 
 
-@query("N23_extraction_pool", "SELECT doc_id, rn FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM evidence WHERE lang IN ('en', 'de')) WHERE rn <= 10")
-def _n23(g, cap=10, langs=("en", "de")):
-    return top_per_group(g.evidence.where(F.col("lang").isin(*langs)), ["source"], [F.col("doc_id")], cap).select("doc_id", "rn")
+@query("N23_extraction_pool", """
+WITH v AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS depth FROM evidence WHERE lang IN ('en', 'de') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND source <> 'src4')
+SELECT doc_id, source, depth, pos FROM (SELECT *, row_number() OVER (ORDER BY depth, source) AS pos FROM v WHERE depth <= 10) WHERE pos <= 120""")
+def _n23(g, cap=10, pool=120, langs=("en", "de"), skip=("src4",)):
+    """Excerpts in turn from each source, deeper from round to round, without those that were extracted before and sources to skip."""
+    done = g.labels.where("toxic = 1").select("doc_id")
+    v = g.evidence.where(F.col("lang").isin(*langs) & ~F.col("source").isin(*skip)).join(done, "doc_id", "left_anti")
+    v = top_per_group(v, ["source"], [F.col("doc_id")], cap, "depth").select("doc_id", "source", "depth")
+    # the pool's first rows are taken before they are numbered, so the window without a partition sees no more than these
+    first = v.orderBy("depth", "source").limit(pool)
+    return first.withColumn("pos", F.row_number().over(Window.orderBy("depth", "source")))
 
 
 @query("N26_best_amount", "SELECT custkey, deal_id, amount FROM (SELECT *, row_number() OVER (PARTITION BY custkey ORDER BY CASE outcome WHEN 'won' THEN 0 WHEN 'open' THEN 1 ELSE 2 END, observed_at DESC, amount DESC, deal_id) AS rn FROM deal) WHERE rn = 1")
@@ -322,10 +337,14 @@ def _n10(g):
     return x.groupBy("custkey").agg(F.min_by("need_id", F.when(F.col("need_id").isNotNull(), F.col("pos"))).alias("need_id"), F.count_if(F.col("need_id").isNull()).alias("unmapped"))
 
 
-@query("N12_domain_split_rules", "SELECT d.domain, unnest(CASE WHEN d.bd_status = 'candidate' THEN [d.domain || ' A', d.domain || ' B'] ELSE [d.domain] END) AS mapped FROM domain d WHERE d.bd_status <> 'excluded'")
+@query("N12_domain_split_rules", "WITH r AS (SELECT domain, nationkey, bd_status, CASE WHEN bd_status = 'candidate' THEN [domain || ' A', domain || ' B'] ELSE [domain] END AS parts FROM domain) SELECT domain, unnest(parts) AS mapped, bd_status = 'candidate' AND nationkey % 2 = 0 AS needs_human_confirm, CASE WHEN bd_status = 'excluded' THEN 'not settled' END AS refused FROM r")
 def _n12(g):
-    parts = F.when(F.col("bd_status") == "candidate", F.array(F.concat("domain", F.lit(" A")), F.concat("domain", F.lit(" B")))).otherwise(F.array("domain"))
-    return g.domain.where("bd_status <> 'excluded'").select("domain", F.explode(parts).alias("mapped"))
+    """Values of a cell by the rules of its column: some split, some wait for a person's word, some aren't settled and link nothing."""
+    rule = F.when(F.col("bd_status") == "candidate", F.struct(F.lit("/").alias("mark"), (F.col("nationkey") % 2 == 0).alias("confirm"))).otherwise(F.struct(F.lit(None).cast("string").alias("mark"), F.lit(False).alias("confirm")))
+    cell = F.when(F.col("bd_status") == "candidate", F.concat("domain", F.lit(" A / "), "domain", F.lit(" B"))).otherwise(F.col("domain"))
+    d = g.domain.select("domain", "bd_status", rule.alias("r"), cell.alias("cell"))
+    parts = F.when(F.col("r.mark").isNull(), F.array("cell")).otherwise(F.transform(F.split("cell", F.col("r.mark")), lambda x: F.trim(x)))
+    return d.select("domain", F.explode(parts).alias("mapped"), F.col("r.confirm").alias("needs_human_confirm"), F.when(F.col("bd_status") == "excluded", "not settled").alias("refused"))
 
 
 @query("N14_target_industries", "SELECT DISTINCT * FROM (SELECT p_name, unnest([p_name, p_type, p_brand]) AS industry FROM part)")
@@ -335,10 +354,18 @@ def _n14(g, generic=("etc",)):
     return g.part.select("p_name", F.explode(xs).alias("industry")).distinct()
 
 
-@query("N24_deal_amount_pool", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '\d') AND (contains(text, 'token') OR contains(text, 'Licensed'))")
-def _n24(g, named=("token", "Licensed")):
-    hit = F.exists(F.array(*map(F.lit, named)), lambda n: F.contains("text", n))
-    return g.documents.where(F.col("text").rlike(r"\d") & hit).select("doc_id")
+_N24_ROWS = "SELECT doc_id, source, concat(CASE WHEN doc_id % 4 = 0 THEN concat('Customer#', lpad(cast(doc_id AS string), 9, '0'), ' asks for ') WHEN doc_id % 4 = 1 THEN 'somebody asks for ' ELSE concat('customer#', lpad(cast(doc_id * 3 AS string), 9, '0'), ': ') END, CASE WHEN doc_id % 3 = 0 THEN concat(cast(doc_id AS string), '억') WHEN doc_id % 3 = 1 THEN 'no amount' ELSE '3천만원' END) AS text FROM {documents}"
+
+
+@query("N24_deal_amount_pool", f"""WITH t AS ({_N24_ROWS.replace('{', '').replace('}', '').replace('AS string', 'AS VARCHAR')})
+SELECT t.doc_id, a.account FROM t JOIN account a ON lower(a.account) = lower(regexp_extract(t.text, '(?i)customer#[0-9]+')) WHERE regexp_matches(t.text, '[0-9](억|천만원)')""")
+def _n24(g):
+    """Excerpts that name an account and an amount: account names are found as whole words by a join, whatever their number."""
+    from provena.operators.questions import link
+
+    t = g.spark.sql(_N24_ROWS, documents=g.documents).where(F.col("text").rlike(rf"\d\s*({'|'.join(X.UNITS)})"))
+    names = g.account.select(F.lit("Account").alias("label"), F.col("account").alias("key"), F.col("account").alias("surface"), F.lit(0).alias("priority"))
+    return link(t.withColumnRenamed("doc_id", "item_id"), names).select(F.col("item_id").alias("doc_id"), F.col("key").alias("account"))
 
 
 @query("N21_claim_emission", "SELECT claim_id, sha256(custkey || '|' || status) AS key, 'SUPPORTS' AS edge, claim_id AS evidence FROM claim UNION ALL SELECT claim_id, sha256(custkey || '|' || status), 'ABOUT', custkey FROM claim")
