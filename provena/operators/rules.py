@@ -208,13 +208,39 @@ def hard_gate(df: DataFrame) -> DataFrame:
     return x.select("doc_id", F.array_join("kept", " ").alias("answer"), (F.col("n") - F.size("kept")).cast("long").alias("removed"))
 
 
-@query("Q10_hard_gate", rf"""WITH d AS (SELECT doc_id, regexp_extract_all(replace(snippet, ',', ''), '\d+(?:\.\d+)*') AS held, list_concat(coalesce({X.SENTENCES_SQL.format('snippet')}, []), ['Case ' || doc_id || ' is closed.']) AS said FROM evidence),
-k AS (SELECT doc_id, len(said) AS n, list_filter(said, lambda t: NOT regexp_matches(t, '{X.EMAIL}') AND len(list_filter(regexp_extract_all(t, '\d[\d,]*(?:\.\d+)*'), lambda x: NOT coalesce(list_contains(held, replace(x, ',', '')), false))) = 0) AS kept FROM d)
-SELECT doc_id, array_to_string(kept, ' ') AS answer, CAST(n - len(kept) AS BIGINT) AS removed FROM k""")
+def scrubbed(df: DataFrame) -> DataFrame:
+    """`df` (doc_id, support, question, sentences) with `answer` and `log`: what each removed sentence held.
+
+    A sentence goes for personal data, for a number that the support doesn't hold as a whole, and for a name (a capitalised word or an organisation) that
+    neither support nor question holds.  Only the word would go from a sentence that misleads without it, so all of it goes.  The question's own
+    numbers are allowed too.
+    """
+    none = F.array().cast("array<string>")
+    numbers = lambda c: F.coalesce(F.regexp_extract_all(F.regexp_replace(c, ",", ""), F.lit(r"\d+(?:\.\d+)*"), F.lit(0)), none)
+    both = F.concat_ws("\n", "support", "question")
+    x = df.select("doc_id", F.explode(F.array(F.struct(F.coalesce("sentences", none).alias("sentences"), both.alias("hay"), F.array_distinct(F.concat(numbers("support"), numbers("question"))).alias("held")))).alias("x"))
+    names = lambda t: F.array_distinct(F.concat(X.proper_nouns(t), X.organisations(t)))
+    fault = lambda t: F.struct(
+        t.alias("sentence"), F.array_sort(F.array_distinct(F.array_except(X.numbers(t), F.col("x.held")))).alias("numbers"),
+        F.array_sort(F.filter(names(t), lambda n: ~F.contains(F.col("x.hay"), n))).alias("terms"), F.regexp_extract_all(t, F.lit(X.EMAIL), F.lit(0)).alias("personal"))
+    x = x.select("doc_id", F.explode(F.array(F.transform("x.sentences", fault))).alias("fs"))
+    clean = lambda f: (F.size(f["numbers"]) == 0) & (F.size(f["terms"]) == 0) & (F.size(f["personal"]) == 0)
+    return x.select("doc_id", F.array_join(F.transform(F.filter("fs", clean), lambda f: f["sentence"]), " ").alias("answer"), F.filter("fs", lambda f: ~clean(f)).alias("log"))
+
+
+@query("Q10_hard_gate", rf"""WITH d AS (SELECT doc_id, snippet || chr(10) || 'What is said in ' || source || ' of Acme?' AS hay, regexp_extract_all(replace(snippet || chr(10) || source, ',', ''), '\d+(?:\.\d+)*') AS held,
+  list_concat(coalesce({X.SENTENCES_SQL.format('snippet')}, []), ['Case ' || doc_id || ' is closed.', 'Then Acme and Zorbex met 새솔은행.', 'Nothing else was said.', 'and nothing else.']) AS said FROM evidence),
+f AS (SELECT doc_id, i, said[i] AS t, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(said[i], '\d[\d,]*(?:\.\d+)*'), lambda x: replace(x, ',', '')), lambda x: NOT list_contains(held, x)))) AS ns,
+  list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(said[i], '{X.PROPER}'), regexp_extract_all(said[i], '{X.ORG}')), lambda n: NOT contains(hay, n)))) AS ts, len(regexp_extract_all(said[i], '{X.EMAIL}')) AS ps FROM (SELECT *, unnest(range(1, len(said) + 1)) AS i FROM d))
+SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY i) FILTER (len(ns) + len(ts) + ps = 0), '') AS answer, count(*) FILTER (len(ns) + len(ts) + ps > 0) AS removed,
+  string_agg(array_to_string(ns, ',') || ':' || array_to_string(ts, ',') || ':' || ps, '|' ORDER BY i) FILTER (len(ns) + len(ts) + ps > 0) AS log FROM f GROUP BY 1""")
 def _q10(g):
-    """Answers are a document's sentences and one with its id, a number that the evidence seldom holds."""
-    said = F.concat(F.coalesce(X.sentences(F.col("snippet")), F.array().cast("array<string>")), F.array(F.concat(F.lit("Case "), F.col("doc_id").cast("string"), F.lit(" is closed."))))
-    return hard_gate(g.evidence.select("doc_id", F.col("snippet").alias("support"), said.alias("sentences")))
+    """Answers are a document's sentences and four more: with its id, with a name of the question and two of nobody, and two without either."""
+    more = [F.concat(F.lit("Case "), F.col("doc_id").cast("string"), F.lit(" is closed.")), *map(F.lit, ("Then Acme and Zorbex met 새솔은행.", "Nothing else was said.", "and nothing else."))]
+    said = F.concat(F.coalesce(X.sentences(F.col("snippet")), F.array().cast("array<string>")), F.array(*more))
+    out = scrubbed(g.evidence.select("doc_id", F.col("snippet").alias("support"), F.concat(F.lit("What is said in "), "source", F.lit(" of Acme?")).alias("question"), said.alias("sentences")))
+    line = F.transform("log", lambda r: F.concat_ws(":", F.array_join(r["numbers"], ","), F.array_join(r["terms"], ","), F.size(r["personal"]).cast("string")))
+    return out.select("doc_id", "answer", F.size("log").cast("long").alias("removed"), F.array_join(line, "|").alias("log"))
 
 
 _LONGEST_SQL = r"(SELECT max_by(w, (length(w), w)) FROM (SELECT unnest(regexp_split_to_array(lower(b.text), '[^\p{L}\p{N}]+')) AS w))"

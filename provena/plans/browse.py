@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from provena.operators.common import degrees, names, ordered_list, top_per_group
 from provena.operators.patterns import permitted, status_rank
@@ -35,17 +37,29 @@ def _b2(g, limit=50):
 
 
 @query("B3_entity", """
-WITH r AS (SELECT 'related' AS part, type AS name, to_key AS value, row_number() OVER (PARTITION BY type ORDER BY to_key) AS rn FROM edge WHERE from_label = 'Account' AND from_key = (SELECT account FROM account WHERE custkey = 7)),
-d AS (SELECT 'related' AS part, type AS name, from_key AS value, row_number() OVER (PARTITION BY type ORDER BY from_key) AS rn FROM edge WHERE to_label = 'Account' AND to_key = (SELECT account FROM account WHERE custkey = 7)),
-c AS (SELECT 'claim' AS part, status AS name, CAST(claim_id AS VARCHAR) AS value, row_number() OVER (ORDER BY CASE status WHEN 'CRITICAL' THEN 0 WHEN 'VERIFIED' THEN 1 WHEN 'CANDIDATE' THEN 2 ELSE 3 END, claim_id) AS rn FROM claim WHERE custkey = 7)
-SELECT part, name, value FROM r WHERE rn <= 40 UNION ALL SELECT part, name, value FROM d WHERE rn <= 40 UNION ALL SELECT part, name, value FROM c WHERE rn <= 40""")
+WITH k AS (SELECT account FROM account WHERE custkey = 7), r AS (SELECT 'related' AS part, type AS name, to_key AS value, row_number() OVER (PARTITION BY type ORDER BY to_key) AS rn FROM edge WHERE from_label = 'Account' AND from_key IN (FROM k)),
+d AS (SELECT 'related' AS part, type AS name, from_key AS value, row_number() OVER (PARTITION BY type ORDER BY from_key) AS rn FROM edge WHERE to_label = 'Account' AND to_key IN (FROM k)),
+c AS (SELECT 'claim' AS part, status AS name, CAST(claim_id AS VARCHAR) AS value, claim_id, row_number() OVER (ORDER BY CASE status WHEN 'CRITICAL' THEN 0 WHEN 'VERIFIED' THEN 1 WHEN 'CANDIDATE' THEN 2 ELSE 3 END, claim_id) AS rn FROM claim WHERE custkey = 7),
+o AS (SELECT doc_id, min(obs_id) AS o FROM observation WHERE custkey = 7 GROUP BY 1),
+e AS (SELECT doc_id, source, locator, row_number() OVER (ORDER BY p, o) AS rn FROM (SELECT v.doc_id, v.source, v.locator, CASE WHEN c.claim_id IS NOT NULL THEN 0 ELSE 1 END AS p, coalesce(o.o, v.doc_id) AS o FROM evidence v LEFT JOIN o USING (doc_id) LEFT JOIN (SELECT claim_id FROM c WHERE rn <= 40) c ON c.claim_id = v.doc_id WHERE o.doc_id IS NOT NULL OR c.claim_id IS NOT NULL)),
+s AS (SELECT source, count(*) AS n FROM e GROUP BY 1)
+SELECT part, name, value FROM r WHERE rn <= 40 UNION ALL SELECT part, name, value FROM d WHERE rn <= 40 UNION ALL SELECT part, name, value FROM c WHERE rn <= 40
+UNION ALL SELECT 'evidence', source, locator FROM e WHERE rn <= 30 UNION ALL SELECT 'source', source, CAST(n AS VARCHAR) FROM s""")
 def _b3(g, custkey=7):
+    """An account's page: what it is related to, its claims, their evidence topped up with that of its observations, and the sources of all of it."""
     a = g.account.where(F.col("custkey") == custkey).select("account")
     out = g.edge.where("from_label = 'Account'").join(F.broadcast(a), F.col("from_key") == F.col("account")).select("type", F.col("to_key").alias("value"))
     back = g.edge.where("to_label = 'Account'").join(F.broadcast(a), F.col("to_key") == F.col("account")).select("type", F.col("from_key").alias("value"))
     rel = [top_per_group(x, ["type"], [F.col("value")], 40).select(F.lit("related").alias("part"), F.col("type").alias("name"), "value") for x in (out, back)]
     c = g.claim.where(F.col("custkey") == custkey).orderBy(status_rank(), "claim_id").limit(40)
-    return rel[0].unionByName(rel[1]).unionByName(c.select(F.lit("claim").alias("part"), F.col("status").alias("name"), F.col("claim_id").cast("string").alias("value")))
+    seen = g.observation.where(F.col("custkey") == custkey).groupBy("doc_id").agg(F.min("obs_id").alias("o"))
+    told = c.select(F.col("claim_id").alias("doc_id"), F.lit(True).alias("told"))
+    ids = seen.join(told, "doc_id", "full")
+    e = g.evidence.select("doc_id", "source", "locator").join(ids, "doc_id")
+    top = e.orderBy(F.when(F.col("told"), 0).otherwise(1), F.coalesce("o", "doc_id")).limit(30)
+    parts = [*rel, c.select(F.lit("claim").alias("part"), F.col("status").alias("name"), F.col("claim_id").cast("string").alias("value")), top.select(F.lit("evidence").alias("part"), F.col("source").alias("name"), F.col("locator").alias("value")),
+             e.groupBy("source").agg(F.count("*").alias("n")).select(F.lit("source").alias("part"), F.col("source").alias("name"), F.col("n").cast("string").alias("value"))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("B4_sources", """
@@ -56,11 +70,19 @@ def _b4(g):
 
 
 @query("B5_source", """
-WITH l AS (SELECT a.account, count(*) AS n FROM observation o JOIN evidence v USING (doc_id) JOIN account a USING (custkey) WHERE v.source = 'src1' GROUP BY 1) SELECT account, n FROM l ORDER BY n DESC, account LIMIT 20""")
+WITH v AS (SELECT doc_id, locator, snippet FROM evidence WHERE source = 'src1'), l AS (SELECT a.account, count(*) AS n FROM observation o JOIN v USING (doc_id) JOIN account a USING (custkey) GROUP BY 1),
+c AS (SELECT status, count(*) AS n FROM claim WHERE claim_id IN (SELECT doc_id FROM v) GROUP BY 1), r AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run, count(*) AS n FROM observation WHERE doc_id IN (SELECT doc_id FROM v) GROUP BY 1)
+SELECT 'entity' AS part, account AS name, n FROM (SELECT * FROM l ORDER BY n DESC, account LIMIT 20) UNION ALL SELECT 'excerpt', locator, length(snippet) FROM (SELECT * FROM v ORDER BY doc_id LIMIT 30)
+UNION ALL SELECT 'claims', status, n FROM c UNION ALL SELECT 'run', run, n FROM (SELECT * FROM r ORDER BY run DESC LIMIT 10)""")
 def _b5(g, source="src1"):
-    docs = g.evidence.where(F.col("source") == source).select("doc_id")
-    n = g.observation.join(docs, "doc_id", "left_semi").groupBy("custkey").agg(F.count("*").alias("n"))
-    return n.join(g.account, "custkey").orderBy(F.desc("n"), "account").limit(20).select("account", "n")
+    """A source's page: the entities that it tells of most, its first excerpts, its claims by status, and the last runs that read it."""
+    v = g.evidence.where(F.col("source") == source).select("doc_id", "locator", F.length("snippet").cast("long").alias("chars"))
+    o = g.observation.join(v.select("doc_id"), "doc_id", "left_semi").select("custkey", F.to_date("ts").cast("string").alias("run"))
+    part = lambda df, what, name, n: df.select(F.lit(what).alias("part"), F.col(name).alias("name"), F.col(n).alias("n"))
+    who = o.groupBy("custkey").agg(F.count("*").alias("n")).join(g.account, "custkey").orderBy(F.desc("n"), "account").limit(20)
+    claims = g.claim.join(v.select(F.col("doc_id").alias("claim_id")), "claim_id", "left_semi").groupBy("status").agg(F.count("*").alias("n"))
+    runs = o.groupBy("run").agg(F.count("*").alias("n")).orderBy(F.desc("run")).limit(10)
+    return reduce(DataFrame.unionByName, [part(who, "entity", "account", "n"), part(v.orderBy("doc_id").limit(30), "excerpt", "locator", "chars"), part(claims, "claims", "status", "n"), part(runs, "run", "run", "n")])
 
 
 @query("B6_run", """

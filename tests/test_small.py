@@ -68,3 +68,21 @@ def test_subgraph_faults(spark):
 def test_budget_keeps_calls_of_other_stages(spark):
     calls = spark.createDataFrame([(1, "extract", 1, 1.0), (1, None, 2, 1.0), (1, "chat", 3, 1.0), (1, "map", 4, 1.0)], "run int, stage string, seq int, cost double")
     assert {r.seq: r.allowed for r in policy.within_budget(calls, 10.0, 1.0, 5).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_scrubbed_sentences_and_their_log(spark):
+    said = ["Sales were 4,200 in 2024.", "Only 3.7 of it.", "Acme agreed.", "새솔은행과 Zorbex agreed.", "Write to a.b@c.org.", "no claim here."]
+    df = spark.createDataFrame([(1, "In Only Sales 4200 of 3.77 Write", "How did Acme do in 2024?", said), (2, None, None, said[-1:]), (3, "x", "y", None)], "doc_id long, support string, question string, sentences array<string>")
+    got = {r.doc_id: (r.answer, [(x.sentence, x.numbers, x.terms, x.personal) for x in r.log]) for r in rules.scrubbed(df).collect()}
+    assert got[1] == ("Sales were 4,200 in 2024. Acme agreed. no claim here.", [(said[1], ["3.7"], [], []), (said[3], [], ["Zorbex", "새솔은행"], []), (said[4], [], [], ["a.b@c.org"])])
+    assert got[2] == ("no claim here.", []) and got[3] == ("", [])
+
+
+def test_uncited_sentences_go(spark):
+    known = [1, 3]
+    cases = {
+        "Good [1]. Bad [2]. Both [2][3]. None.": ("Good [1].  Both [2][3].  None.", [1, 3], [2]),
+        "Bad [9]\nkept 2.85 [9] won? yes [1]": ("yes [1]", [1], [9]), "All good [3][1].": ("All good [3][1].", [3, 1], []), "": ("", [], []), "[7]": ("", [], [7]), "a [12] b [1] c": ("a [12] b [1] c", [1], [12]),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", rules.verified(F.col("t"), F.array(*map(F.lit, known))).alias("v"))
+    assert {r.t: (r.v.text, r.v.kept, r.v.dropped) for r in df.collect()} == cases
