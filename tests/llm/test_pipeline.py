@@ -25,7 +25,7 @@ def test_run_keeps_what_the_stages_keep(spark, smoke, docs):
     assert set(docs.columns) <= set(out.columns)
     kept = {r.doc_id: r.text for r in out.select("doc_id", "text").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept]
-    left = neardup.brute_force(rows)
+    left = neardup.brute_force(rows, corpus_pipeline.NEAR)
     assert all(k for _, _, k in left.values())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{smoke}/benchmark.parquet").collect()]
     assert not any(decontaminate.brute_force(t, items)[4] for t in kept.values())
@@ -33,6 +33,15 @@ def test_run_keeps_what_the_stages_keep(spark, smoke, docs):
     assert all(r.n == r.d == r.m + 1 for r in slots)
 
 
+def test_whole_pipeline_on_odd_rows(spark, smoke, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{smoke}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.select("doc_id", "text", "shard", "slot").collect()
+    assert {r.text for r in got} >= {None, "", "one", "a b c d", "x" * 3000} and len({(r.shard, r.slot) for r in got}) == len(got)
+
+
 def test_near_copies_from_four_fifths_on_go(spark, smoke):
     """Texts of 104 words have 100 shingles; `cut` new words at the end leave 100 - cut of 100 + cut."""
     word = [f"w{i}" for i in range(104)]
