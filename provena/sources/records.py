@@ -136,6 +136,10 @@ def markdown_units(lines: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("no", "line")))), lambda v: v.line), "\n").alias("text"))
 
 
+# An anchor line and a fence of AsciiDoc.
+ANCHOR, FENCE = r"^\[#([A-Za-z0-9_\-.]+)\]$", r"^-{4,}\s*$"
+
+
 def asciidoc_units(lines: DataFrame) -> DataFrame:
     """(doc, section, level, title, anchor, path, text) of AsciiDoc lines (doc, no, line).
 
@@ -143,10 +147,10 @@ def asciidoc_units(lines: DataFrame) -> DataFrame:
     both.  Text before the first heading is section 0, the preamble, where it isn't blank.
     """
     upto = Window.partitionBy("doc").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").rlike("^-{4,}\\s*$")
+    fence = F.col("line").rlike(FENCE)
     x = lines.withColumn("block", (F.sum(fence.cast("int")).over(upto) % 2 == 1) | fence)
     x = x.withColumn("level", F.when(~F.col("block") & F.col("line").rlike("^={1,5}\\s+\\S"), F.length(F.regexp_extract("line", "^=+", 0))))
-    x = x.withColumn("anchor", F.when(~F.col("block"), F.nullif(F.regexp_extract(F.trim("line"), r"^\[#([A-Za-z0-9_\-.]+)\]$", 1), F.lit(""))))
+    x = x.withColumn("anchor", F.when(~F.col("block"), F.nullif(F.regexp_extract(F.trim("line"), ANCHOR, 1), F.lit(""))))
     x = x.withColumn("section", F.count("level").over(upto))
     x = x.withColumn("named", F.last("anchor", True).over(Window.partitionBy("doc", "section").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     said = F.sort_array(F.collect_list(F.when(F.col("level").isNull() & ~((F.col("section") == 0) & F.col("anchor").isNotNull()), F.struct("no", "line"))))
