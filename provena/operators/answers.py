@@ -113,7 +113,7 @@ def _q13(g):
     return a.select("source", "cited", F.to_json(F.struct(F.col("cited").alias("n"), F.col("f").alias("first"))).alias("answer"))
 
 
-_TERM_SQL = r"WITH p AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY turn) AS prose, string_agg(text, chr(10) ORDER BY turn) AS payload FROM conversations GROUP BY 1), b AS (SELECT DISTINCT conv_id, term FROM (SELECT conv_id, unnest(regexp_extract_all(text, '\S*@\S*|[[:alpha:]]{14,}')) AS term FROM conversations WHERE role = 'user'))"
+_TERM_SQL = r"WITH p AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY turn) AS prose, string_agg(text, chr(10) ORDER BY turn) AS payload FROM conversations GROUP BY 1), b AS (SELECT DISTINCT conv_id, term FROM (SELECT conv_id, unnest(regexp_extract_all(text, '\S*@\S*|[[:alpha:]]{9,}')) AS term FROM conversations WHERE role = 'user'))"
 
 
 @query("M3_banned_terms", _TERM_SQL + " SELECT conv_id, count(*) AS banned, count(*) FILTER (regexp_matches(term, '[@0-9]') AND contains(payload, term)) AS personal, count(*) FILTER (NOT regexp_matches(term, '[@0-9]') AND contains(coalesce(prose, ''), term)) AS said FROM b JOIN p USING (conv_id) GROUP BY 1")
@@ -121,7 +121,7 @@ def _m3(g):
     """Terms that an answer must not hold, of every conversation: its users' long words and addresses. Those that look like personal data are searched in all
     that is sent, the others in the answer's own words."""
     c = g.conversations
-    b = c.where("role = 'user'").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit(r"\S*@\S*|[A-Za-z]{14,}"), F.lit(0))).alias("term")).distinct()
+    b = c.where("role = 'user'").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit(r"\S*@\S*|[A-Za-z]{9,}"), F.lit(0))).alias("term")).distinct()
     said = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(x, F.struct("turn", "text")))), lambda r: r["text"]), "\n")
     p = c.groupBy("conv_id").agg(said(F.col("role") == "assistant").alias("prose"), said(F.lit(True)).alias("payload"))
     personal = F.col("term").rlike("[@0-9]")
