@@ -215,18 +215,3 @@ def _g3(g):
     nodes = g.account.join(g.deal.groupBy("custkey").agg(F.count("*").alias("n")), "custkey", "left").select(F.col("account").alias("key"), "custkey", F.coalesce("n", F.lit(0)).alias("degree"))
     carried = g.observation.where("statement = 'purchase'").join(cited, "doc_id", "left_semi").join(nodes, "custkey").select("key", "doc_id").distinct()
     return citation_nodes(nodes.drop("custkey"), carried, cited)
-
-
-def lead_fields(c: Column) -> Column:
-    """`label: value` lines as a map, labels in lower case; the first of a repeated label stays."""
-    pairs = F.transform(F.filter(F.split(c, "\n"), lambda x: x.rlike(r"^[^:]{1,40}:")), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    first = F.aggregate(pairs, F.expr("cast(array() AS array<struct<key: string, value: string>>)"), lambda a, x: F.when(F.exists(a, lambda y: y.key == x.key), a).otherwise(F.concat(a, F.array(x))))
-    return F.map_from_entries(first)
-
-
-@query("S19_lead_form", "SELECT p_partkey AS id, p_name AS name, p_brand AS brand FROM part")
-def _s19(g):
-    form = F.concat(F.lit("Name: "), "p_name", F.lit("\nnoise\nBRAND : "), "p_brand", F.lit("\nname: other"))
-    f = g.part.select("p_partkey", lead_fields(form).alias("f"))
-    return f.select(F.col("p_partkey").alias("id"), F.col("f")["name"].alias("name"), F.col("f")["brand"].alias("brand"))
-

@@ -56,11 +56,6 @@ def _x1(g):
     return verdict(t, rules).select("doc_id", "status", "lanes")
 
 
-def fired(checks: dict[str, Column]) -> Column:
-    """Ids of the rules whose condition holds, in rule order."""
-    return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
-
-
 #: Source types that are the record for a domain of claims, and outward-facing ones.
 OF_RECORD = {"product": ("spec", "code"), "deal": ("log",)}
 OUTWARD = ("brochure",)
@@ -96,14 +91,6 @@ def _x6(g, today="2025-01-15"):
     return a.select("custkey", "independent", F.when(F.col("top") >= 3, "LOW").when((F.col("top") == 0) & (F.col("age") <= 730), "HIGH").otherwise("MEDIUM").alias("band"))
 
 
-@query("X8_extraction_gate", r"""
-WITH c AS (SELECT p_partkey AS id, p_name AS quote, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand END AS field, CAST(p_size AS VARCHAR) AS num FROM part)
-SELECT id, concat_ws('|', CASE WHEN NOT contains(quote, field) THEN 'field' END, CASE WHEN NOT regexp_matches(quote, '(^|[^0-9])' || num || '($|[^0-9])') AND id % 2 = 0 THEN 'number' END) AS reasons FROM c""")
-def _x8(g):
-    c = g.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("quote"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.col("p_brand")).alias("field"), F.col("p_size").cast("string").alias("num"))
-    return c.select("id", F.array_join(fired({"field": ~F.contains("quote", "field"), "number": ~X.has_number(F.col("quote"), F.col("num")) & (F.col("id") % 2 == 0)}), "|").alias("reasons"))
-
-
 @query("X11_deterministic_answer", """
 SELECT source, string_agg(substr(snippet, 1, 200) || ' [' || rn || ']', ' ' ORDER BY rn) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM evidence) WHERE rn <= 4 GROUP BY 1""")
 def _x11(g):
