@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from provena import registry
-from provena.operators import answers, criticality, disputes, expansion, extraction, gaps, greedy, handlers, notes, patterns, policy, questions, rules, selection, templates, texts  # noqa: F401
+from provena.operators import answers, contracts, criticality, disputes, expansion, extraction, gaps, greedy, handlers, notes, patterns, policy, questions, rules, selection, templates, texts  # noqa: F401
 from provena.plans import browse  # noqa: F401
 from provena.plans.fixture import Graph, oracle
 from provena.sources import bundles, leads, office, records, tables  # noqa: F401

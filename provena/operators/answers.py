@@ -107,12 +107,6 @@ def _q12(g):
     return c.select("conv_id", "turn", F.to_json(X.anchors(X.sentences(F.col("text")), X.sentences(F.col("before"))), {"ignoreNullFields": "false"}).alias("anchors"))
 
 
-@query("Q13_answer_assembly", "SELECT source, count(*) AS cited, to_json({'n': count(*), 'first': min(doc_id)}) AS answer FROM evidence GROUP BY 1")
-def _q13(g):
-    a = g.evidence.groupBy("source").agg(F.count("*").alias("cited"), F.min("doc_id").alias("f"))
-    return a.select("source", "cited", F.to_json(F.struct(F.col("cited").alias("n"), F.col("f").alias("first"))).alias("answer"))
-
-
 _TERM_SQL = r"WITH p AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY turn) AS prose, string_agg(text, chr(10) ORDER BY turn) AS payload FROM conversations GROUP BY 1), b AS (SELECT DISTINCT conv_id, term FROM (SELECT conv_id, unnest(regexp_extract_all(text, '\S*@\S*|[[:alpha:]]{9,}')) AS term FROM conversations WHERE role = 'user'))"
 
 

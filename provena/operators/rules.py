@@ -195,20 +195,21 @@ def hard_gate(df: DataFrame) -> DataFrame:
     return x.select("doc_id", F.array_join("kept", " ").alias("answer"), (F.col("n") - F.size("kept")).cast("long").alias("removed"))
 
 
-def scrubbed(df: DataFrame) -> DataFrame:
+def scrubbed(df: DataFrame, marked: bool = False) -> DataFrame:
     """`df` (doc_id, support, question, sentences) with `answer` and `log`: what each removed sentence held.
 
     A sentence goes for personal data, for a number that the support doesn't hold as a whole, and for a name (a capitalised word or an organisation) that
     neither support nor question holds.  Only the word would go from a sentence that misleads without it, so all of it goes.  The question's own
-    numbers are allowed too.
+    numbers are allowed too.  With `marked`, markers such as [3] are no numbers of a sentence.
     """
     none = F.array().cast("array<string>")
     numbers = lambda c: F.coalesce(F.regexp_extract_all(F.regexp_replace(c, ",", ""), F.lit(r"\d+(?:\.\d+)*"), F.lit(0)), none)
     both = F.concat_ws("\n", "support", "question")
     x = df.select("doc_id", F.explode(F.array(F.struct(F.coalesce("sentences", none).alias("sentences"), both.alias("hay"), F.array_distinct(F.concat(numbers("support"), numbers("question"))).alias("held")))).alias("x"))
     names = lambda t: F.array_distinct(F.concat(X.proper_nouns(t), X.organisations(t)))
+    bare = lambda t: F.regexp_replace(t, r"\[\d{1,3}\]", "") if marked else t
     fault = lambda t: F.struct(
-        t.alias("sentence"), F.array_sort(F.array_distinct(F.array_except(X.numbers(t), F.col("x.held")))).alias("numbers"),
+        t.alias("sentence"), F.array_sort(F.array_distinct(F.array_except(X.numbers(bare(t)), F.col("x.held")))).alias("numbers"),
         F.array_sort(F.filter(names(t), lambda n: ~F.contains(F.col("x.hay"), n))).alias("terms"), F.regexp_extract_all(t, F.lit(X.EMAIL), F.lit(0)).alias("personal"))
     x = x.select("doc_id", F.explode(F.array(F.transform("x.sentences", fault))).alias("fs"))
     clean = lambda f: (F.size(f["numbers"]) == 0) & (F.size(f["terms"]) == 0) & (F.size(f["personal"]) == 0)

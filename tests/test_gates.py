@@ -74,3 +74,81 @@ def test_extraction_gate_by_brute_force(spark, exempt):
     assert {r.item_id: r.reasons for r in out.collect()} == {r[0]: by_hand(r, set(lexicon), exempt) for r in items}
     none = extraction.gate(i.limit(0), spark.createDataFrame([], "term string"))
     assert none.count() == 0
+
+
+# the contract of answers
+
+
+GOOD = {
+    "answer": {"text": "x"}, "citations": [{"marker": 1, "evidence_id": "e1"}],
+    "evidence": [{"evidence_id": "e1", "source_id": "s", "locator": "l", "snippet": "x" * 500, "observed_at": None, "masked": True,
+                  "authority_label": {"tier": "T1", "claim_domain": "deal_fact", "source_type": "spec", "policy_version": "1"}}],
+    "evidence_strength": {"band": "LOW", "basis": {"independent_evidence": 1, "highest_authority": "spec", "contradiction": "none", "recency": "stale"}},
+    "unknowns": [], "gaps": [], "subgraph": {"nodes": [], "edges": []}, "route": {"retriever": "Q-M"}, "notices": {"results_may_be_incomplete": False},
+}
+
+
+def changed(path, value):
+    """GOOD with another value at a path; `...` takes the field away."""
+    out = json.loads(json.dumps(GOOD))
+    at = out
+    for k in path[:-1]:
+        at = at[k]
+    if value is ...:
+        del at[path[-1]]
+    else:
+        at[path[-1]] = value
+    return json.dumps(out)
+
+
+EVIDENCE_AT = ("evidence", 0)
+CONTRACT_CASES = [
+    (json.dumps(GOOD), []), ("no json {", ["$: no JSON"]), (None, ["$: no JSON"]), ("[1]", ["$: not of type object"]),
+    (changed(("confidence",), 0.9), ["$: 'confidence' is not allowed"]), (changed(("gaps",), ...), ["$: 'gaps' is missing"]),
+    (changed(("answer", "text"), ""), ["$.answer.text: shorter than 1"]), (changed(("answer",), "x"), ["$.answer: not of type object"]),
+    (changed(("citations", 0, "marker"), 0), ["$.citations[0].marker: below 1"]), (changed(("citations", 0, "marker"), 1.5), ["$.citations[0].marker: not of type integer"]),
+    (changed(("citations", 0, "marker"), "1"), ["$.citations[0].marker: not of type integer"]), (changed(("citations", 0, "evidence_id"), "e2"), ["$.citations: no evidence 'e2'"]),
+    (changed((*EVIDENCE_AT, "snippet"), "x" * 501), ["$.evidence[0].snippet: longer than 500"]), (changed((*EVIDENCE_AT, "observed_at"), 3), ["$.evidence[0].observed_at: not of type string"]),
+    (changed((*EVIDENCE_AT, "masked"), "yes"), ["$.evidence[0].masked: not of type boolean"]), (changed((*EVIDENCE_AT, "authority_label", "tier"), "T9"), ["$.evidence[0].authority_label.tier: 'T9' is none of its values"]),
+    (changed(("subgraph", "nodes"), [{"id": "a", "labels": [], "label_text": "a", "rank": "focal", "status": None}]), ["$.subgraph.nodes[0].labels: fewer than 1 items"]),
+    (changed(("subgraph", "edges"), [{"from": "a", "to": "b", "type": "t"}] * 101), ["$.subgraph.edges: more than 100 items"]),
+    (changed(("disputes",), [{"subject": "s", "sides": [{"statement": "t", "evidence_ids": []}]}]), ["$.disputes[0].sides: fewer than 2 items", "$.disputes[0].sides[0].evidence_ids: fewer than 1 items"]),
+    (changed(("unknowns",), [None, 1]), ["$.unknowns[0]: not of type string", "$.unknowns[1]: not of type string"]), (changed(("route", "retriever"), "Q-X"), ["$.route.retriever: 'Q-X' is none of its values"]),
+]
+
+
+def test_contract_faults(spark):
+    from provena.operators.contracts import answer_faults
+
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CONTRACT_CASES)], "i int, t string")
+    got = {r.i: r.f for r in df.select("i", answer_faults(F.col("t")).alias("f")).collect()}
+    assert [got[i] for i in range(len(CONTRACT_CASES))] == [f for _, f in CONTRACT_CASES]
+
+
+def test_answers_are_put_together(spark):
+    from provena.operators.contracts import NOTHING, assemble
+
+    asks = [
+        (1, "What of Acme?", "Acme paid 12 won [1]. Zorbex paid [1]. nothing backs this. [9]\nit is late. [2]", [(1, "e1"), (2, "e2"), (9, "e9")]),
+        (2, "q", "Only this [7].", [(7, "e1")]), (3, None, None, None), (4, "q", "mail a@b.com [1].", [(1, "e8")]),
+    ]
+    a = spark.createDataFrame([(*r, "Q-E", "deal_fact", False) for r in asks], "qid int, question string, text string, citations array<struct<marker: int, evidence_id: string>>, retriever string, claim_domain string, incomplete boolean")
+    shape = "qid int, place int, evidence_id string, source_id string, locator string, snippet string, tier string, source_type string, observed_at date"
+    import datetime
+
+    row = lambda q, p, i, s, tier="T1": (q, p, i, f"s{p}", "l", s, tier, "spec", datetime.date(2024, 6, 1))
+    e = spark.createDataFrame([row(1, 1, "e1", "Acme paid 12 won"), row(1, 2, "e2", "it is late" + " x" * 400, "T4"), row(1, 3, "e3", "over the limit"), row(1, 0, "e4", "a@b.com"), row(4, 1, "e8", "mail a@b.com")], shape)
+    raw = spark.createDataFrame([row(1, 1, "e1", "Acme paid 12 won"), row(1, 2, "e5", "more")], shape)
+    claims = spark.createDataFrame([(1, 5, "s", "CRITICAL"), (1, 6, "s", "VERIFIED")], "qid int, claim_id int, statement string, status string")
+    got = {r.qid: r for r in assemble(a, e, raw, claims, "2025-01-15", limit=2).collect()}
+    one = json.loads(got[1].answer)
+    assert [x["evidence_id"] for x in one["evidence"]] == ["e1", "e2"] and len(one["evidence"][1]["snippet"]) == 500
+    assert [x["evidence_id"] for x in one["raw_signals"]] == ["e5"] and one["notices"]["critical_unverified_included"]
+    assert one["answer"]["text"].split() == "Acme paid 12 won [1]. it is late [2].".split() and [c["marker"] for c in one["citations"]] == [1, 2]
+    assert (got[1].dropped, got[1].removed) == (1, 1)
+    assert one["evidence_strength"]["band"] == "HIGH" and one["evidence_strength"]["basis"]["independent_evidence"] == 2
+    for q in (2, 3, 4):
+        x = json.loads(got[q].answer)
+        assert x["answer"]["text"] == NOTHING and not x["citations"] and not x["evidence"] and x["evidence_strength"]["band"] == "LOW"
+    assert all(r.faults == [] for r in got.values())
+    assert assemble(a.limit(0), e, raw, claims, "2025-01-15").count() == 0
