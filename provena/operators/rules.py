@@ -98,14 +98,6 @@ def _x11(g):
     return t.groupBy("source").agg(F.array_join(ordered_list("rn", "s"), " ").alias("answer"))
 
 
-@query("X12_route", """
-SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'how many|which|list|each') THEN 'Q-M' WHEN regexp_matches(lower(text), 'should|strategy|plan|wh') THEN 'Q-S' ELSE 'Q-E' END AS route FROM conversations WHERE role = 'user'""")
-def _x12(g):
-    rules = [("how many|which|list|each", "Q-M"), ("should|strategy|plan|wh", "Q-S")]
-    route = F.coalesce(*[F.when(F.lower("text").rlike(p), r) for p, r in rules], F.lit("Q-E"))
-    return g.conversations.where("role = 'user'").select("conv_id", "turn", route.alias("route"))
-
-
 @query("X13_prompt_compaction", """
 WITH t AS (SELECT source, doc_id, substr(snippet, 1, 200) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS m FROM evidence),
 c AS (SELECT *, sum(length(s)) OVER (PARTITION BY source ORDER BY rn) AS cum FROM t WHERE rn <= 10) SELECT source, doc_id, CASE WHEN m > 10 THEN '10 of ' || m ELSE '' END AS notice FROM c WHERE cum <= 1500""")
@@ -174,11 +166,6 @@ def _q9(g):
     return a.select("doc_id", F.size("v.kept").cast("long").alias("kept"), F.size("v.dropped").cast("long").alias("dropped"), F.col("v.text").alias("plain"))
 
 
-@query("Q11_sweep_redaction", r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '***', 'g') AS text FROM documents")
-def _q11(g):
-    return g.documents.select("doc_id", F.regexp_replace("text", X.EMAIL, "***").alias("text"))
-
-
 def hard_gate(df: DataFrame) -> DataFrame:
     """`df` (doc_id, support, sentences): sentences with personal data or with a number that `support` doesn't hold are removed.
 

@@ -15,6 +15,7 @@ from provena.operators.quotes import holding
 from provena.registry import query
 from provena.session import run_folder
 from provena.sources import snapshots
+from provena.sources.pages import heading_units, visible
 
 EVIDENCE = "evidence_id string, source_id string, locator string, excerpt string, unit string, authored_at string, raw_len int, structured map<string,string>"
 
@@ -105,7 +106,7 @@ def html_units(html: str | None) -> list[dict]:
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("path", T.StringType()).add("text", T.StringType())))
 def _units(s: pd.Series) -> pd.Series:
-    return s.map(html_units)
+    return s.map(lambda h: None if h is None else html_units(h))
 
 
 @query("S14_html_units", r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style)\b.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
@@ -118,8 +119,10 @@ def _s14(g):
 
 
 def html_pages(g):
-    """Units of text by heading path; repeated paths get a number."""
-    u = g.pages.select("page_id", F.posexplode(_units("html")).alias("pos", "u")).select("page_id", "pos", "u.path", "u.text")
+    """Units of text by heading path; repeated paths get a number.  Only pages that hold escaped markup are read by a parser in Python."""
+    page = F.coalesce("html", F.lit(""))
+    p = g.pages.select("page_id", F.when(F.contains(page, F.lit("\\u003c")) | F.contains(page, F.lit("&lt;")), page).alias("hidden"), visible(page).alias("page"))
+    u = p.select("page_id", F.posexplode(F.coalesce(_units("hidden"), heading_units(F.col("page")))).alias("pos", "u")).select("page_id", "pos", "u.path", "u.text")
     n = F.row_number().over(Window.partitionBy("page_id", "path").orderBy("pos"))
     return u.withColumn("n", n).select("page_id", "pos", F.when(F.col("n") == 1, F.col("path")).otherwise(F.concat("path", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).alias("locator"), "text")
 
