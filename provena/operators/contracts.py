@@ -192,6 +192,77 @@ def assemble(asks: DataFrame, evidence: DataFrame, raw: DataFrame, claims: DataF
     return x.select("qid", F.explode(F.array("answer")).alias("answer"), "dropped", "removed").select("*", answer_faults(F.col("answer")).alias("faults"))
 
 
+def ddl(rule: Rule) -> str:
+    """The Spark type of what a rule describes."""
+    kind = rule["is"]
+    if kind == "object":
+        return "struct<" + ", ".join(f"`{k}`: {ddl(r)}" for k, r in rule["fields"].items()) + ">"
+    return f"array<{ddl(rule['items'])}>" if kind == "array" else {"integer": "bigint", "boolean": "boolean"}.get(kind, "string")
+
+
+#: The kinds that no answer may show.
+SWEPT = ("mobile", "landline", "service", "email", "resident")
+_PATTERNS = [rx for k in SWEPT for kind, rx, _, _ in X.DETECTORS if kind == k]
+#: Numbers that only look like them; one that starts as a mobile number does is searched all the same.
+_GUARDS = "|".join(f"(?:{g})" for g in (*X.GUARDS[:2], X.GUARDS[2].replace(r"\d+\.", r"(?!010)\d+\.", 1)))
+
+
+def personal_values(text: Column) -> Column:
+    """Personal data of a text, kind by kind; null has none."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), _GUARDS, "")
+    return F.concat(*[F.regexp_extract_all(t, F.lit(rx), F.lit(0)) for rx in _PATTERNS])
+
+
+def covered(text: Column) -> Column:
+    """A text whose personal data is stars, letter by letter; marks between them stay."""
+    return F.aggregate(personal_values(text), text, lambda t, v: F.replace(t, v, F.regexp_replace(v, "[0-9A-Za-z]", "*")))
+
+
+def swept(answer: Column) -> Column:
+    """struct<answer, hits> of an answer's JSON: the last gate, for places that no sentence can be taken out of.
+
+    Text and recommendation, locators and snippets of evidence and raw signals, and labels of nodes are covered; `hits` has what was found there, by
+    place.  Without a hit the JSON stays as it is; else fields that the contract doesn't know, and nulls, aren't written again.  What is no JSON stays, too.
+    """
+    a = F.from_json(answer, ddl(ANSWER))
+    empty = F.array().cast("array<string>")
+    texts = lambda xs, *fs: F.coalesce(F.flatten(F.transform(xs, lambda x: F.array(*[x[f] for f in fs]))), empty)
+    places = F.concat(F.array(a["answer"]["text"], a["answer"]["recommendation"]), texts(a["evidence"], "locator", "snippet"), texts(a["raw_signals"], "locator", "snippet"), texts(a["subgraph"]["nodes"], "label_text"))
+    hits = F.flatten(F.transform(places, personal_values))
+
+    def over(xs: Column, *fs: str) -> Column:
+        def one(x: Column) -> Column:
+            for f in fs:
+                x = x.withField(f, covered(x[f]))
+            return x
+        return F.transform(xs, one)
+
+    clean = a.withField("evidence", over(a["evidence"], "locator", "snippet")).withField("raw_signals", over(a["raw_signals"], "locator", "snippet"))
+    clean = clean.withField("answer", F.when(a["answer"].isNotNull(), a["answer"].withField("text", covered(a["answer"]["text"])).withField("recommendation", covered(a["answer"]["recommendation"]))))
+    clean = clean.withField("subgraph", F.when(a["subgraph"].isNotNull(), a["subgraph"].withField("nodes", over(a["subgraph"]["nodes"], "label_text"))))
+    return F.struct(F.when(F.size(hits) > 0, F.to_json(clean)).otherwise(answer).alias("answer"), F.coalesce(hits, empty).alias("hits"))
+
+
+_SHOWN = """SELECT doc_id, concat(text, ' Ask 010-', cast(1000 + doc_id % 9000 AS string), '-5678') AS said, concat(locator, ' a', cast(doc_id AS string), '@b.org') AS locator, text AS snippet, concat('Node ', cast(doc_id AS string), ' 02 345 6789 v1.2.3') AS label FROM (SELECT doc_id, snippet AS text, locator FROM {evidence})"""
+
+
+def _cover(c: str) -> str:
+    bare = f"regexp_replace(regexp_replace({c}, '(^|[^0-9])1[0-9]{{12}}([^0-9]|$)', '\\1\\2', 'g'), '(^|[^0-9.])[0-9]+\\.[0-9]+\\.[0-9]+(?:[.\\-][\\w\\-]+)*', '\\1', 'g')"
+    found = ", ".join(f"regexp_extract_all({bare}, '{rx}')" for rx in _PATTERNS)
+    return f"list_reduce(list_prepend({c}, list_concat({found})), lambda t, v: replace(t, v, regexp_replace(v, '[0-9A-Za-z]', '*', 'g')))"
+
+
+@query("Q11_sweep_redaction", f"WITH s AS ({_SHOWN.replace('{', '').replace('}', '').replace('AS string', 'AS VARCHAR')}) SELECT doc_id, {_cover('said')} AS said, {_cover('locator')} AS locator, {_cover('snippet')} AS snippet, {_cover('label')} AS label FROM s")
+def _q11(g):
+    """Every document's text as an answer with a telephone number, under a locator with an address and a node with a number."""
+    s = g.spark.sql(_SHOWN, evidence=g.evidence)
+    node = F.struct(F.col("label").alias("label_text"))
+    a = F.struct(F.struct(F.col("said").alias("text")).alias("answer"), F.array(F.struct("locator", "snippet")).alias("evidence"), F.struct(F.array(node).alias("nodes")).alias("subgraph"))
+    x = s.select("doc_id", F.explode(F.array(swept(F.to_json(a)))).alias("x")).select("doc_id", F.explode(F.array(F.from_json("x.answer", ddl(ANSWER)))).alias("a"))
+    e = F.get("a.evidence", F.lit(0))
+    return x.select("doc_id", F.col("a.answer.text").alias("said"), e["locator"].alias("locator"), e["snippet"].alias("snippet"), F.get("a.subgraph.nodes", F.lit(0))["label_text"].alias("label"))
+
+
 #: What the query asks: of each source, its first records; a marker that nothing backs, a name that no record holds, and a route that the contract doesn't know.
 _ASKED = """SELECT source AS qid, concat('What do we know of ', source, '?') AS question, CASE substr(source, length(source), 1) WHEN '3' THEN 'Q-X' ELSE 'Q-E' END AS retriever FROM {source}"""
 _PLACED = """SELECT doc_id, source AS qid, source, doc_id AS place, concat('E', cast(doc_id AS string)) AS evidence_id, locator, substr(snippet, 1, 500) AS snippet, CASE lang WHEN 'en' THEN 'T1' WHEN 'fr' THEN 'T4' ELSE 'T2' END AS tier, CASE lang WHEN 'en' THEN 'spec' WHEN 'fr' THEN 'brochure' ELSE 'log' END AS source_type FROM {evidence}"""

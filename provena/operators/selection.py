@@ -12,7 +12,7 @@ from provena.operators.common import top_per_group
 from provena.operators.postings import B, K1
 from provena.operators.quotes import holding
 from provena.registry import query
-from provena.session import run_folder
+from provena.session import run_folder, stored
 
 def _tokens_sql(c: str) -> str:
     """DuckDB's list of search tokens."""
@@ -155,11 +155,32 @@ def _w5(g):
     return top_per_group(n, ["rare"], [F.col("source"), F.col("lang")], 8).where("rn <= CASE WHEN rare THEN 8 ELSE 6 END").select("source", "lang", "n")
 
 
-@query("W8_natural_order", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM evidence")
+def numbered(df: DataFrame, group: str, order: list[str], name: str = "pos") -> DataFrame:
+    """`df` with each row's place within its group, 1 on, for groups of any size.
+
+    Rows are dealt in ranges of (group, order) and numbered within a range; what the ranges before hold of the group is added, one number a
+    range and group.  So a group that holds a third of all rows is spread over a third of the tasks.  Rows equal in `order` have their places in no fixed order.
+    """
+    dealt = stored(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), before.alias("_before"))
+    inner = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)))
+    on = inner[group].eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))
+    return inner.join(starts, on).select(*df.columns, (F.col("_rn") + F.col("_before")).alias(name))
+
+
+@query("W8_natural_order", """WITH e AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN locator WHEN 1 THEN 'sheet ' || doc_id // 7 || ' row ' || doc_id % 7 ELSE (doc_id % 50) || '-' || substr(source, 1, 3) || doc_id END AS locator FROM evidence),
+k AS (SELECT doc_id, source, list_transform(regexp_extract_all(locator, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '1' || lpad(x, 30, '0') ELSE '0' || x END) AS k FROM e)
+SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) AS pos FROM k""")
 def _w8(g):
-    chunk = F.transform(F.regexp_extract_all("locator", F.lit(r"\d+|\D+"), F.lit(0)), lambda x: F.struct(x.rlike(r"^\d").alias("is_num"), x.try_cast("long").alias("num"), x.alias("text")))
-    v = g.evidence.select("doc_id", "source", chunk.alias("k"))
-    return v.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("k")).alias("pos"))
+    """Documents of a source in the order of three kinds of locators: words before numbers, numbers by value, of any length; then by id."""
+    i, text = F.col("doc_id"), lambda c: c.cast("string")
+    sheet = F.concat(F.lit("sheet "), text(F.floor(i / 7)), F.lit(" row "), text(i % 7))
+    at = F.when(i % 3 == 0, F.col("locator")).when(i % 3 == 1, sheet).otherwise(F.concat(text(i % 50), F.lit("-"), F.substring("source", 1, 3), text(i)))
+    plain = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    chunk = F.transform(F.regexp_extract_all(at, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), lambda x: F.struct(x.rlike("^[0-9]").alias("is_num"), F.when(x.rlike("^[0-9]"), F.length(plain(x))).alias("digits"), plain(x).alias("text")))
+    return numbered(g.evidence.select("doc_id", "source", chunk.alias("k")), "source", ["k", "doc_id"]).select("doc_id", "pos")
 
 
 @query("W9_occurrence_suffix", "SELECT p_partkey AS id, CASE WHEN rn = 1 THEN p_name ELSE p_name || ' (' || rn || ')' END AS locator FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part)")

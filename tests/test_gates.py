@@ -152,3 +152,22 @@ def test_answers_are_put_together(spark):
         assert x["answer"]["text"] == NOTHING and not x["citations"] and not x["evidence"] and x["evidence_strength"]["band"] == "LOW"
     assert all(r.faults == [] for r in got.values())
     assert assemble(a.limit(0), e, raw, claims, "2025-01-15").count() == 0
+
+
+def test_sweep_covers_each_place_and_nothing_else(spark):
+    from provena.operators.contracts import swept
+
+    full = json.loads(json.dumps(GOOD))
+    full["answer"] = {"text": "call 010-1234-5678 at 1700000000000", "recommendation": "mail a.b@c.org"}
+    full["evidence"][0] |= {"locator": "02-123-4567", "snippet": "v1.2.3 900101-1234567"}
+    full["raw_signals"] = [{"evidence_id": "r", "snippet": "1588-1234", "locator": "l", "source_id": "s"}]
+    full["subgraph"]["nodes"] = [{"id": "a@b.org", "labels": ["X"], "label_text": "a@b.org", "rank": "focal"}]
+    texts = [json.dumps(full), json.dumps(GOOD), "no json", None, "{}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", swept(F.col("t")).alias("x"))
+    got = {r.i: r.x for r in df.collect()}
+    out = json.loads(got[0].answer)
+    assert out["answer"] == {"text": "call ***-****-**** at 1700000000000", "recommendation": "mail *.*@*.***"}
+    assert out["evidence"][0]["locator"] == "**-***-****" and out["evidence"][0]["snippet"] == "v1.2.3 ******-*******"
+    assert out["raw_signals"][0]["snippet"] == "****-****" and out["subgraph"]["nodes"][0] == {"id": "a@b.org", "labels": ["X"], "label_text": "*@*.***", "rank": "focal"}
+    assert got[0].hits == ["010-1234-5678", "a.b@c.org", "02-123-4567", "900101-1234567", "1588-1234", "a@b.org"]
+    assert [(got[i].answer, got[i].hits) for i in range(1, 5)] == [(t, []) for t in texts[1:]]

@@ -131,3 +131,44 @@ def test_audit_finds_planted_gaps_only(spark):
     e = [(1, "s", 2, "name: ball | note: round thing"), (1, "s", 3, "name: cube"), (1, "s", 5, "name: 1,234"), (1, "s", 6, "name: tel")]
     got = {(r.row, r.col): r.state for r in tables.audit(spark.createDataFrame(c, CELL), spark.createDataFrame(e, "doc int, sheet string, row int, text string")).collect()}
     assert got == {(2, 1): "covered", (2, 2): "covered", (3, 1): "covered", (3, 2): "missing", (4, 1): "orphan", (4, 2): "merged", (5, 1): "covered", (5, 2): "trivial", (6, 1): "covered", (6, 2): "masked"}
+
+
+def test_places_in_groups_by_one_window(spark):
+    from pyspark.sql import Window
+
+    from provena.operators.selection import numbered
+
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"g{i % 5}", (i * 37) % 101, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k int, i int").repartition(7)
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("k", "i")))
+    got = numbered(df, "g", ["k", "i"])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert numbered(df.limit(0), "g", ["k", "i"]).count() == 0
+
+
+@pytest.mark.parametrize("text, linked, choice, want", [
+    ("어떤 고객사가 요청했나", False, None, ("Q-M", "template", "template:accounts_with_need", "accounts_with_need", ["accounts_with_need"])),
+    ("여러 BD에 걸친 공통 니즈", False, None, ("Q-E", "default", "no_rule_matched", None, [])),  # no word BD
+    ("여러 BD 에 걸친 공통 니즈", False, None, ("Q-M", "template", "template:common_needs_across_domains", "common_needs_across_domains", ["common_needs_across_domains"])),
+    ("전망과 전략이 무엇인가", True, "Q-M", ("Q-S", "signal", "signal:strategic:outlook", None, ["outlook", "portfolio"])),
+    ("이것은 무엇인가", False, "Q-S", ("Q-E", "signal", "signal:fact:what_is", None, ["what_is"])), ("Acme", True, "Q-S", ("Q-E", "signal", "signal:entity_linked", None, ["entity_linked"])),
+    ("Acme", False, "Q-S", ("Q-S", "fallback", "classifier", None, [])), ("Acme", False, "maybe", ("Q-E", "default", "classifier_rejected", None, [])),
+    ("Acme", False, None, ("Q-E", "default", "no_rule_matched", None, [])), (None, False, None, ("Q-E", "default", "no_rule_matched", None, [])),
+])
+def test_routes_in_three_steps(spark, text, linked, choice, want):
+    from provena.operators.questions import KOREAN, decide
+
+    df = spark.createDataFrame([(text, linked, choice)], "t string, l boolean, c string")
+    assert tuple(df.select(decide(F.col("t"), F.col("l"), KOREAN, F.col("c")).alias("d")).first().d) == want
+
+
+def test_needs_of_several_domains_answer_their_template(spark, smoke):
+    from provena.operators.templates import common_needs
+
+    g = Graph(spark, smoke)
+    asks = spark.createDataFrame([("1", "여러 도메인의 공통 니즈"), ("2", "어느 고객사인가"), ("3", "공통 니즈, 도메인 여러 곳")], "item_id string, text string")
+    q, rows = questions.answered(g, asks)
+    got = [tuple(r) for r in rows.where("stage = 'common_needs_across_domains'").select("item_id", "pos", "key").collect()]
+    want = [r.need for r in common_needs(g, limit=questions.OF_TEMPLATE).collect()]
+    assert want and sorted(got) == sorted((i, n, k) for i in "13" for n, k in enumerate(want, 1))
+    assert {r.item_id for r in rows.where("stage = 'accounts_with_need'").collect()} == {"2"}
