@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -41,6 +42,8 @@ LETTERS = {chr(65 + 4 * k + f): (kind, fault) for k, kind in enumerate(KINDS) fo
 BEGIN, SYSTEM, USER, ASSISTANT = range(4)
 FAR = 1 << 30
 LEGAL = ("su", "ua", "au")
+#: Answers in one Arrow batch.
+BLOCK = 1000
 
 
 def _moves(letter: str) -> list[tuple[int, int, int, str]]:
@@ -202,7 +205,7 @@ def solved(signatures: DataFrame) -> DataFrame:
 
     def run(batches):
         walk = answers(s for batch in batches for s in batch.column(0).to_pylist())
-        while block := [x for x, _ in zip(walk, range(1000))]:
+        while block := list(islice(walk, BLOCK)):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*block, strict=True), kinds, strict=True)], names=names)
 
     distinct = signatures.select("signature").distinct().repartitionByRange("signature").sortWithinPartitions("signature")
@@ -213,7 +216,7 @@ def reports(rows: DataFrame) -> DataFrame:
     """Of ordered rows, for each conversation: gaps, counts of faults, cost, audit, steps and pieces."""
     signs = stored(signed(rows))
     out = signs.join(stored(solved(signs)), "signature")
-    turns = rows.select("conv_id", "turn").distinct().groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))
+    turns = rows.select("conv_id", "turn").distinct().groupBy("conv_id").agg((F.max("turn") - F.min("turn") - (F.count("turn") - 1)).alias("gaps"))
     out = out.withColumn("audit", F.translate("steps", "uaUA", "IIRR"))
     return out.join(turns, out.conv_id.eqNullSafe(turns.conv_id), "left").select(out.conv_id, F.coalesce("gaps", F.lit(0)).alias("gaps"), "blank", "duplicate", "truncated", "illegal", "cost", "audit", "steps", "pieces")
 

@@ -190,6 +190,27 @@ def test_repair_brute_force(spark, none):
     assert repair.digest(df.limit(0)).count() == 0
 
 
+def test_every_signature_of_a_large_part_is_answered(spark):
+    """A part has more signatures than a batch: none may be lost between two batches."""
+    signatures = ["".join(s) for s in itertools.product("AEFIK", repeat=5)]
+    df = spark.createDataFrame([(s,) for s in signatures], "signature string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = sorted(r.signature for r in repair.solved(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(signatures) > 3 * repair.BLOCK and got == signatures
+
+
+def test_repair_gaps_of_turns_far_apart(spark):
+    """The span of turns alone may exceed a long where gaps don't."""
+    for first in (0, -1):  # whichever turns the damage leaves
+        rows = [(c, t, "user", "Hi.") for c in range(5) for t in (first, 2**63 - 2 + first + 1)]
+        got = {r.conv_id: tuple(r)[1:] for r in repair.digest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+        assert got == conversations_brute(rows)
+
+
 def test_repair_of_one_conversation_over_many_parts(spark):
     rows = [(1, t, "user" if t % 3 else "assistant", f"Said {t % 50}." if t % 7 else "cut") for t in range(3000)] + [(2, 0, "user", "Hi."), (2, 1, "assistant", "Ho.")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
