@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from provena.llm import vec
 from provena.llm.components import components
-from provena.session import durable, small_batches, stored
+from provena.session import small_batches, stored
 
 SHINGLE = 5
 BINS = 384
@@ -167,11 +167,11 @@ def _confirm(batches, percent: int):
 
 def confirm(edges: DataFrame, docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The candidate edges (a: centre, b: member) whose full sets are like enough."""
-    edges = durable(edges.select("a", "b").distinct())
+    edges = stored(edges.select("a", "b").distinct())
     nodes = edges.select(F.col("a").alias("set_key")).union(edges.select("b")).distinct()
     wanted = reps.join(nodes, "set_key").select("set_key", "rep")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("set_key", "text")
-    sets = durable(texts.mapInArrow(_sets, "node binary, items binary").dropDuplicates(["node"]))
+    sets = stored(texts.mapInArrow(_sets, "node binary, items binary").dropDuplicates(["node"]))
     parts = edges.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
     salted = edges.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
     members = salted.join(sets, "node").select("a", "part", F.col("node").alias("member"), "items")
@@ -193,7 +193,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     """(doc_id, text_key, n_shingles, set_key) of every row, and (node, label) of nodes with links."""
     small_batches(docs.sparkSession)
     base = docs.select("doc_id", "text")
-    signed = durable(base.withColumn("text_key", _text_key()).mapInArrow(_sign, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, text_key binary, n_shingles long, set_key binary, sig binary"))
+    signed = stored(base.withColumn("text_key", _text_key()).mapInArrow(_sign, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, text_key binary, n_shingles long, set_key binary, sig binary"))
     some = signed.where("set_key is not null")
     reps = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     nodes = some.dropDuplicates(["set_key"]).select(F.col("set_key").alias("node"), F.col("n_shingles").alias("n"), "sig")
@@ -210,7 +210,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     ranked = stored(multi.join(company, "node"))
     centres = ranked.groupBy("bucket").agg(F.max(F.struct("company", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("an"))
     star = ranked.join(centres, "bucket").where((F.col("a") != F.col("node")) & _like("an", "n", percent)).select("a", F.col("node").alias("b"))
-    links = durable(confirm(star, base, reps, percent))
+    links = stored(confirm(star, base, reps, percent))
     label = components(links) if not links.isEmpty() else None
     # buckets that still span components: compare their members across components
     if label is None:
@@ -227,7 +227,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
         dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "band", "node")
         pairs = dealt.mapInArrow(lambda batches: _alike(batches, percent), "a binary, b binary").distinct()
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = durable(confirm(pairs.join(tried, ["a", "b"], "left_anti"), base, reps, percent))
+        more = stored(confirm(pairs.join(tried, ["a", "b"], "left_anti"), base, reps, percent))
         if not more.isEmpty():
             label = components(links.unionByName(more))
     return signed, label
