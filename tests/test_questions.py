@@ -172,3 +172,12 @@ def test_needs_of_several_domains_answer_their_template(spark, smoke):
     want = [r.need for r in common_needs(g, limit=questions.OF_TEMPLATE).collect()]
     assert want and sorted(got) == sorted((i, n, k) for i in "13" for n, k in enumerate(want, 1))
     assert {r.item_id for r in rows.where("stage = 'accounts_with_need'").collect()} == {"2"}
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Doñas ósa", ("Q-E", "signal:fact:yes_no")), ("dote", ("Q-E", "no_rule_matched")), ("show ñhow now", ("Q-E", "signal:fact:how")), ("showñ", ("Q-E", "no_rule_matched")),
+    ("list fór", ("Q-E", "no_rule_matched")), ("list ñfor", ("Q-M", "template:listing")), ("list for_", ("Q-E", "no_rule_matched")), ("가can", ("Q-E", "no_rule_matched")), ("can가", ("Q-E", "signal:fact:yes_no")),
+])
+def test_bounds_of_rules_are_those_of_ascii_words(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert tuple(df.select(questions.route(F.col("t"), F.lit(False), questions.TALK).alias("r")).first().r) == want
