@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, functions as F
 
 from provena.functions import text as X
-from provena.operators.common import top_per_group
+from provena.operators.common import looked_up, top_per_group
 from provena.registry import query
 from provena.session import run_folder, stored
 from provena.sources import snapshots
@@ -72,12 +72,12 @@ def _h10(g, most=12):
 def version_claims(texts: DataFrame, features: DataFrame) -> DataFrame:
     """(id, name, said, introduced_in): sentences of `texts` (id, text) that give a feature another version than `features` (name, introduced_in).
 
-    A sentence counts where it holds one version, `v` with a number; it meets features by the first word of their names.
+    A sentence counts where it holds one version, `v` with a number; it meets features by the first two words of their names.
     """
     s = texts.select("id", F.explode(X.sentences(F.col("text"))).alias("s"))
     s = s.withColumn("vs", F.array_distinct(F.regexp_extract_all("s", F.lit(r"\bv\d+\b"), F.lit(0)))).where("size(vs) = 1")
-    f = features.withColumn("w", F.substring_index("name", " ", 1))
-    met = s.withColumn("w", F.explode(F.array_distinct(F.split("s", r"[^\w]+")))).join(f, "w")
+    f = features.withColumn("w", X.beginning(F.col("name")))
+    met = looked_up(s.withColumn("w", F.explode(X.beginnings(F.split("s", r"[^\w]+")))), f, "w")
     whole = F.contains(F.concat(F.lit(" "), F.regexp_replace("s", r"[^\w]+", " "), F.lit(" ")), F.concat(F.lit(" "), "name", F.lit(" ")))
     return met.where(whole & (F.col("vs")[0] != F.col("introduced_in"))).select("id", "name", F.col("vs")[0].alias("said"), "introduced_in").distinct()
 
