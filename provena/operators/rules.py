@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provena.functions import text as X
-from provena.operators.common import ordered_list, top_per_group
+from provena.operators.common import looked_up, ordered_list, top_per_group
 from provena.operators.quotes import KEYS_IN_PLAN, holding
 from provena.registry import query
 
@@ -116,14 +116,14 @@ SELECT id, surface, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORD
 def _q2(g):
     """Surfaces in a question as whole words; one inside a longer one is skipped; labels in order of priority, then longer ones first.
 
-    Surfaces meet questions by their first word, so the lexicon may be of any size.
+    Surfaces meet questions by their first two words, so the lexicon may be of any size.
     """
     lex = g.part.select(F.inline(F.array(*[F.struct(c.alias("surface"), F.lit(label).alias("label"), F.lit(p).alias("p")) for c, label, p in (
         (F.split_part("p_name", F.lit(" "), F.lit(1)), "Color", 1), (F.col("p_name"), "Need", 0), (F.col("p_type"), "Capability", 2))]))).distinct()
-    lex = lex.withColumn("w", F.substring_index("surface", " ", 1))
+    lex = lex.withColumn("w", X.beginning(F.col("surface")))
     q = g.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("where is "), "p_name", F.lit(" used for "), "p_type").alias("question"))
     inside = lambda a, b: F.contains(F.concat(F.lit(" "), a, F.lit(" ")), F.concat(F.lit(" "), b, F.lit(" ")))
-    met = q.withColumn("w", F.explode(F.array_distinct(F.split("question", " ")))).join(lex, "w").where(inside(F.col("question"), F.col("surface")))
+    met = looked_up(q.withColumn("w", F.explode(X.beginnings(F.split("question", " ")))), lex, "w").where(inside(F.col("question"), F.col("surface")))
     # a question holds few surfaces, however many there are
     h = met.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("p", (-F.length("surface")).alias("n"), "surface", "label"))).alias("h"))
     k = F.filter("h", lambda x: ~F.exists("h", lambda y: (y.surface != x.surface) & inside(y.surface, x.surface)))

@@ -11,7 +11,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["H18_version_misattribution"])
+@pytest.mark.parametrize("name", ["H18_version_misattribution", "Q2_entity_linker"])
 @pytest.mark.parametrize("lookup", [common.LOOKUP, 3])
 def test_lexicons_not_texts_are_broadcast(spark, smoke, monkeypatch, name, lookup):
     import __spark_entry__ as e
