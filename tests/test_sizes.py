@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from provena.operators import common, notes
+from provena.operators import common, expansion, notes
 from tests import compare
 
 
@@ -29,3 +29,25 @@ def test_phrases_meet_texts_by_two_words(spark):
     lower = texts.withColumn("text", F.lower("text"))
     got = {(r.id, r.name, r.said) for r in notes.version_claims(lower, f).collect()}
     assert got == {(1, "red car", "v2"), (1, "car", "v2"), (1, "red", "v2"), (1, "car", "v1"), (1, "red", "v1"), (1, "car", "v9"), (3, "car", "v7"), (3, "red", "v7"), (4, "red", "v3")}
+
+
+@pytest.mark.parametrize("lookup", [common.LOOKUP, 1])
+def test_pages_without_pairs(spark, monkeypatch, lookup):
+    """Hubs that are linked with each other, loops, repeated edges and edges of several types, each page one row of arrays."""
+    monkeypatch.setattr(common, "LOOKUP", lookup)
+    hubs = [f"h{i}" for i in range(8)]
+    edges = [("T", "A", h, "B", f"{h}-{i:02d}") for h in hubs for i in range(12)] + [("U", "A", a, "A", b) for a in hubs for b in hubs if a <= b]
+    edges += [("V", "B", "h0-03", "A", "h1"), ("W", "B", "h0-03", "A", "h1"), ("V", "A", "h1", "B", "h0-03"), ("V", "B", "h0-03", "B", "h0-03"), ("T", "A", "h0", "B", "h0-00"), ("T", "B", "h0-01", "B", "h0-02")]
+    e = spark.createDataFrame(edges, "type string, from_label string, from_key string, to_label string, to_key string")
+    limit = 6
+    nodes = sorted({x[1:3] for x in edges} | {x[3:] for x in edges} | {("A", "nobody")})
+    got = {(r.label, r.key): r for r in expansion.pages(e, spark.createDataFrame(nodes, "label string, key string"), limit).collect()}
+    assert set(got) == set(nodes)
+    near = {n: sorted({b for a, b in [(x[1:3], x[3:]) for x in edges] + [(x[3:], x[1:3]) for x in edges] if a == n != b}, key=lambda m: m[::-1]) for n in nodes}
+    for n in nodes:
+        first = near[n][:limit]
+        two = sorted({m for f in first for m in near[f]} - {n, *first}, key=lambda m: m[::-1])[: limit - len(first)]
+        all_ = {n, *first, *two}
+        inside = sorted({(x[2], x[4], x[0], x[1], x[3]) for x in edges if x[1:3] in all_ and x[3:] in all_})
+        r = got[n]
+        assert ([tuple(x)[::-1] for x in r.first], [tuple(x)[::-1] for x in r.two], [tuple(x) for x in r.edges]) == (first, two, inside[: expansion.EDGES])
