@@ -1,5 +1,7 @@
 """What large tables need of a plan: nothing that grows goes through the driver or is multiplied before it is cut."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,12 @@ def test_what_is_collected_for_questions_has_small_plans(spark, smoke):
     assert {r.stage for r in rows.select("stage").distinct().collect()} >= {"competitor", "capability", "accounts_with_need"}
     for said in map(plan, (q, rows)):
         assert "Join" not in said and "Exchange" not in said
+
+
+def test_cells_are_dealt_once_to_files_and_once_to_sheets(spark, smoke):
+    """Cells went by row, then by sheet, then by file, and by row and by sheet when they were read: five times all of them."""
+    import __spark_entry__ as e
+
+    said = plan(e.queries()["S7_weekly_plan"](spark, smoke))
+    assert said.count("Exchange hashpartitioning") <= 5  # a customer's orders, files, sheets; two are of merges, which are few
+    assert not re.search(r"hashpartitioning\(doc#\d+L, sheet#\d+, row#\d+, \d+\)", said)
